@@ -53,13 +53,18 @@ def nfkc(c: Column | str) -> Column:
     One ``translate`` for the one-to-one part.  The one-to-many part runs only
     on rows that hold such a character.
     """
-    base = F.translate(col(c), FULLWIDTH + WIDE_BLANKS, HALFWIDTH + " " * len(WIDE_BLANKS))
+    base = nfkc_same_length(c)
     expanded = base
     for source, target in LIGATURES.items():
         expanded = F.replace(expanded, F.lit(source), F.lit(target))
     return F.when(base.rlike("[" + "".join(LIGATURES) + "]"), expanded).otherwise(base)
 
 
+def nfkc_same_length(c: Column | str) -> Column:
+    """Only the one-to-one part, so positions stay those of the input."""
+    return F.translate(col(c), FULLWIDTH + WIDE_BLANKS, HALFWIDTH + " " * len(WIDE_BLANKS))
+
+
 def normalize_text(c: Column | str) -> Column:
     """N1. Look-around makes the CJK blank removal a single pass."""
     cjk = f"[\\p{{IsHan}}{CJK_PUNCT}]"
