@@ -50,14 +50,13 @@ def strip(c: Column | str) -> Column:
 def nfkc(c: Column | str) -> Column:
     """Compatibility forms that occur in page text: width, blanks, ligatures.
 
-    One ``translate`` for the one-to-one part.  The one-to-many part runs only
-    on rows that hold such a character.
+    One ``translate`` for the one-to-one part, one plain ``replace`` per
+    character that becomes several.
     """
-    base = nfkc_same_length(c)
-    expanded = base
+    out = nfkc_same_length(c)
     for source, target in LIGATURES.items():
-        expanded = F.replace(expanded, F.lit(source), F.lit(target))
-    return F.when(base.rlike("[" + "".join(LIGATURES) + "]"), expanded).otherwise(base)
+        out = F.replace(out, F.lit(source), F.lit(target))
+    return out
 
 
 def nfkc_same_length(c: Column | str) -> Column:
@@ -69,13 +68,21 @@ def normalize_text(c: Column | str) -> Column:
     """N1. Look-around makes the CJK blank removal a single pass."""
     cjk = f"[\\p{{IsHan}}{CJK_PUNCT}]"
     t = F.translate(nfkc(c), "​⁠", "")
-    t = F.regexp_replace(t, f"(?<={cjk})\\s+(?={cjk})", "")
-    t = F.regexp_replace(t, "(?<=\\p{L})-\\s*\\n\\s*(?=\\p{L})", "")
-    t = F.regexp_replace(t, f"(?<=[{MARKS}])\\s*\\n\\s*", "\n")
-    t = F.regexp_replace(t, f"(?<![{MARKS}])\\s*\\n\\s*(?=\\S)", " ")
-    t = F.regexp_replace(t, "[ \\t]+", " ")
-    t = F.regexp_replace(t, "\\n{3,}", "\n\n")
-    return strip(t)
+    t = F.regexp_replace(t, f"(?=\\s)(?<={cjk})\\s+(?={cjk})", "")
+    return strip(F.regexp_replace(join_wrapped_lines(t), "[ \\t]+", " "))
+
+
+def join_wrapped_lines(c: Column | str) -> Column:
+    """Undo line wraps: drop the hyphen of a broken word, keep one line break
+    after a sentence mark, turn the others into blanks, at most two in a row.
+
+    Patterns test the blank before the look-behind, which most positions then
+    never reach.
+    """
+    t = F.regexp_replace(col(c), "-(?<=\\p{L}-)\\s*\\n\\s*(?=\\p{L})", "")
+    t = F.regexp_replace(t, f"(?=\\s)(?<=[{MARKS}])\\s*\\n\\s*", "\n")
+    t = F.regexp_replace(t, f"(?=\\s)(?<![{MARKS}])\\s*\\n\\s*(?=\\S)", " ")
+    return F.regexp_replace(t, "\\n{3,}", "\n\n")
 
 
 def remove_spurious_spaces(c: Column | str) -> Column:
@@ -84,27 +91,39 @@ def remove_spurious_spaces(c: Column | str) -> Column:
 
     Each gap between two single letters is first marked on both sides; a gap
     goes when a marked gap touches it, so the fixed-width look-around never
-    recurses however long the run is.  Rows without a run skip these passes.
+    recurses however long the run is.
     """
-    cjk = f"[\\p{{IsHan}}0-9{CJK_PUNCT_WIDE}]"
-    t = F.regexp_replace(col(c), f"(?<={cjk})[ \\t]+(?={cjk})", "")
-    t = F.regexp_replace(
-        t,
-        "(?<=[A-Za-z])[\\x{00A0}\\x{2000}-\\x{200B}\\x{202F}\\x{2060}]+(?=[A-Za-z])",
-        "",
-    )
+    t = _without_odd_blanks(c)
     marked = F.regexp_replace(
-        t, "(?<=\\b[A-Za-z])([ \\t]+)(?=[A-Za-z]\\b)", "\u0001$1\u0002"
+        t, "(?=[ \\t])(?<=\\b[A-Za-z])([ \\t]+)(?=[A-Za-z]\\b)", "\u0001$1\u0002"
     )
     joined = F.regexp_replace(
         marked,
         "(?<=\\x02[A-Za-z])\\x01[ \\t]+\\x02|\\x01[ \\t]+\\x02(?=[A-Za-z]\\x01)",
         "",
     )
-    return F.when(
-        t.rlike("\\b[A-Za-z][ \\t]+[A-Za-z][ \\t]+[A-Za-z]\\b"),
-        F.translate(joined, "\u0001\u0002", ""),
-    ).otherwise(t)
+    return F.translate(joined, "\u0001\u0002", "")
+
+
+def _without_odd_blanks(c: Column | str) -> Column:
+    cjk = f"[\\p{{IsHan}}0-9{CJK_PUNCT_WIDE}]"
+    t = F.regexp_replace(col(c), f"(?=[ \\t])(?<={cjk})[ \\t]+(?={cjk})", "")
+    return F.regexp_replace(
+        t,
+        "(?=[^\\x00-\\x7f])(?<=[A-Za-z])[\\x{00A0}\\x{2000}-\\x{200B}\\x{202F}\\x{2060}]+(?=[A-Za-z])",
+        "",
+    )
+
+
+def single_spaced(c: Column | str) -> Column:
+    """N2 on text whose blanks become single ones anyway: with gaps of one
+    blank, one look-around pass joins letter runs."""
+    t = _without_odd_blanks(F.regexp_replace(col(c), "[ \\t]+", " "))
+    return F.regexp_replace(
+        t,
+        " (?=[A-Za-z]\\b)(?:(?<=\\b[A-Za-z] )(?=[A-Za-z] [A-Za-z]\\b)|(?<=\\b[A-Za-z] [A-Za-z] ))",
+        "",
+    )
 
 
 def inline(c: Column | str) -> Column:
@@ -113,9 +132,8 @@ def inline(c: Column | str) -> Column:
     t = F.regexp_replace(t, " ?[\\n\\r][ \\n\\r]*", "\n")
     t = F.btrim(t, F.lit(" \n"))
     t = F.regexp_replace(t, "-\\n(?=[a-z])", "")
-    t = F.regexp_replace(t, "(?<=[A-Za-z0-9_])\\n(?=[A-Za-z0-9_])", " ")
-    t = F.replace(t, F.lit("\n"), F.lit(""))
-    return remove_spurious_spaces(t)
+    t = F.regexp_replace(t, "\\n(?<=[A-Za-z0-9_]\\n)(?=[A-Za-z0-9_])", " ")
+    return single_spaced(F.replace(t, F.lit("\n"), F.lit("")))
 
 
 def comparison_key(c: Column | str) -> Column:
@@ -156,15 +174,20 @@ def tokens(c: Column | str) -> Column:
     words = F.filter(
         F.split(x, f"[^{ALNUM}]+"), lambda w: (F.length(w) >= 2) & (F.length(w) <= 40)
     )
-    han = F.regexp_replace(x, "[^\\x{4E00}-\\x{9FFF}]", "")
-    n = F.length(han)
-    singles = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(han, i, F.lit(1)))
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(han, i, F.lit(2)))
-    return (
-        F.when(n >= 2, F.concat(words, singles, pairs))
-        .when(n == 1, F.concat(words, singles))
-        .otherwise(words)
-    )
+
+    def grams(han: Column) -> Column:
+        singles = F.sequence(F.lit(1), F.length(han))
+        pairs = F.when(F.length(han) > 1, F.sequence(F.lit(1), F.length(han) - 1)).otherwise(
+            F.expr("cast(array() as array<int>)")
+        )
+        return F.concat(
+            F.transform(singles, lambda i: F.substring(han, i, F.lit(1))),
+            F.transform(pairs, lambda i: F.substring(han, i, F.lit(2))),
+        )
+
+    han = F.array(F.regexp_replace(x, "[^\\x{4E00}-\\x{9FFF}]", ""))
+    extra = F.when(x.rlike("[\\x{4E00}-\\x{9FFF}]"), F.flatten(F.transform(han, grams)))
+    return F.concat(words, F.coalesce(extra, F.expr("cast(array() as array<string>)")))
 
 
 def simple_tokens(c: Column | str) -> Column:

@@ -15,8 +15,7 @@ SEARCH_BACK = 180
 
 def chunk_source(c: Column | str) -> Column:
     """The text form that chunks are cut from."""
-    t = F.regexp_replace(T.remove_spurious_spaces(c), "[ \\t]+", " ")
-    return T.strip(F.regexp_replace(t, "\\n{3,}", "\n\n"))
+    return T.strip(F.regexp_replace(T.single_spaced(c), "\\n{3,}", "\n\n"))
 
 
 def bound(value: Column, body) -> Column:

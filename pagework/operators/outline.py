@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagework.functions import text as T
-from pagework.plans.running import PAGES_PER_BLOCK, block_of, numbered, running
+from pagework.plans.running import PAGES_PER_BLOCK, block_of, groups_fit, numbered, running
 
 MAX_LEVEL = 5
 LEVELS = range(MAX_LEVEL + 1)
@@ -20,20 +20,18 @@ def outline_paths(outline: DataFrame) -> DataFrame:
     d is the last title seen at that depth.
     """
     level = F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), F.col("level")))
-    placed = numbered(outline, ["book_id"], ["ord"], block_of("ord"), "_n")
-    clamped = running(
-        placed.withColumn("_i", F.col("_n") - 1),
-        ["book_id"],
-        ["ord"],
-        block_of("ord"),
-        low={"_low": level - F.col("_i")},
-    ).withColumn("_depth", (F.col("_i") + F.least(F.lit(0), F.col("_low"))).cast("int"))
+    where = (["book_id"], ["ord"], block_of("ord"))
+    split = not groups_fit(outline, ["book_id"])
+    placed = numbered(outline, *where, "_n", split=split).withColumn("_i", F.col("_n") - 1)
+    clamped = running(placed, *where, low={"_low": level - F.col("_i")}, split=split)
+    clamped = clamped.withColumn(
+        "_depth", (F.col("_i") + F.least(F.lit(0), F.col("_low"))).cast("int")
+    )
     seen = running(
         clamped,
-        ["book_id"],
-        ["ord"],
-        block_of("ord"),
+        *where,
         last={f"_t{d}": F.when(F.col("_depth") == d, F.col("title")) for d in LEVELS},
+        split=split,
     )
     ancestors = F.array(*[F.col(f"_t{d}") for d in LEVELS])
     return seen.select(

@@ -98,11 +98,7 @@ def drop_repeated_edges(pages: DataFrame) -> DataFrame:
 
 
 def compact_text(c: Column | str) -> Column:
-    t = F.regexp_replace(T.remove_spurious_spaces(c), "[ \\t]+", " ")
-    t = F.regexp_replace(t, "(?<=\\p{L})-\\s*\\n\\s*(?=\\p{L})", "")
-    t = F.regexp_replace(t, f"(?<=[{T.MARKS}])\\s*\\n\\s*", "\n")
-    t = F.regexp_replace(t, f"(?<![{T.MARKS}])\\s*\\n\\s*(?=\\S)", " ")
-    return T.strip(F.regexp_replace(t, "\\n{3,}", "\n\n"))
+    return T.strip(T.join_wrapped_lines(T.single_spaced(c)))
 
 
 def compact_pages(pages: DataFrame) -> DataFrame:

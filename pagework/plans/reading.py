@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagework.operators import chunks as K
 from pagework.operators import outline as O
-from pagework.plans.stage import stage
+from pagework.plans.stage import spread, stage
 
 
 def build_chunks(pages: DataFrame, outline: DataFrame | None) -> DataFrame:
@@ -32,3 +32,8 @@ def build_index(pages: DataFrame, outline: DataFrame | None) -> DataFrame:
     chunks = build_chunks(pages, outline)
     key = ["book_id", "page_index", "seg_no", "piece_no"]
     return chunks.join(K.number_chunks(chunks.select(*key)), key)
+
+
+def build_stored_index(pages: DataFrame, outline: DataFrame | None) -> DataFrame:
+    """The index as a stored table, read with all cores."""
+    return spread(stage(build_index(pages, outline), "index"), "book_id", "chunk_no")

@@ -9,19 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagework.plans.stage import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores when the input has fewer splits than the session has
-    cores (a small file with one row group).  Inputs with enough splits, which
-    is every large one, are read in place without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def pick(names: list[str], index) -> F.Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), index)
 
