@@ -1,2 +1,144 @@
+"""Queries over full-text search."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagework.catalog import retrieve as CQ
+from pagework.catalog import sql
+from pagework.catalog.sql import with_tables
+from pagework.operators import search as S
+from pagework.sources import derived as D
+
 QUERIES = {}
 ORACLE = {}
+
+
+def f1_match_ranges(spark, sf):
+    return S.match_ranges(D.queries(spark, sf), D.lines(spark, sf))
+
+
+def f2_sentence_hits(spark, sf):
+    return S.sentence_hits(D.queries(spark, sf), D.pages(spark, sf)).select(
+        "query_id", "page_index", "sentence_no", F.md5("sentence").alias("digest")
+    )
+
+
+def f3_snippet(spark, sf):
+    lines = D.lines(spark, sf).withColumnRenamed("line", "text")
+    key = ["page_index", "line_no"]
+    hits = S.matching_rows(D.queries(spark, sf), lines, key).join(lines, ["book_id", *key])
+    return S.snippet(hits).select("query_id", *key, "snippet")
+
+
+def every_second_broken(queries):
+    """Odd questions ask for a phrase that cannot occur."""
+    odd = F.concat("phrase", F.lit(" zzqx"))
+    return queries.withColumn(
+        "phrase", F.when(F.col("query_id") % 2 == 1, odd).otherwise(F.col("phrase"))
+    )
+
+
+def f4_fulltext_search(spark, sf):
+    asks = every_second_broken(D.queries(spark, sf))
+    return S.fulltext_search(asks, D.pages(spark, sf), CQ.index(spark, sf)).select(
+        "query_id", "page_index", "snippet"
+    )
+
+
+_GAP = "[^\\p{L}\\p{N}]*"
+_PATTERN = f"array_to_string(string_split(needle, ''), '{_GAP}')"
+
+
+def fold(x: str) -> str:
+    return f"strip_accents(lower({x}))"
+
+
+def ranges(text: str) -> str:
+    """List of (piece length, match length) pairs of the folded text."""
+    return (f"list_zip(list_transform(regexp_split_to_array({text}, pattern), lambda p: length(p)), "
+            f"list_transform(regexp_extract_all({text}, pattern), lambda m: length(m)))")
+
+
+sql.define("phrases", f"""
+SELECT *, {_PATTERN} AS pattern FROM (SELECT query_id, book_id, {sql.projection('phrase')} AS needle
+FROM rd_queries) WHERE needle <> ''""")
+sql.define("line_hits", f"""
+SELECT q.query_id, q.book_id, q.pattern, l.page_index, l.line_no, l.line, {fold('l.line')} AS folded
+FROM phrases q JOIN rd_lines l ON l.book_id = q.book_id
+  AND contains({sql.projection('l.line')}, q.needle)""")
+ORACLE["f1_match_ranges"] = with_tables(
+    """SELECT query_id, book_id, page_index, line_no, CAST(sum(p) OVER w + coalesce(sum(m) OVER e, 0) AS INT)
+      AS start, CAST(sum(p) OVER w + sum(m) OVER w AS INT) AS stop
+    FROM (SELECT query_id, book_id, page_index, line_no, i, ps[i] AS p, ms[i] AS m FROM (
+      SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
+        SELECT query_id, book_id, page_index, line_no,
+          list_transform(regexp_split_to_array(folded, pattern), lambda p: length(p)) AS ps,
+          list_transform(regexp_extract_all(folded, pattern), lambda m: length(m)) AS ms FROM line_hits)))
+    WINDOW w AS (PARTITION BY query_id, page_index, line_no ORDER BY i),
+      e AS (PARTITION BY query_id, page_index, line_no ORDER BY i
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+)
+ORACLE["f2_sentence_hits"] = with_tables(
+    f"""SELECT query_id, page_index, sentence_no, md5(s) AS digest FROM (
+      SELECT q.query_id, s.page_index, s.sentence_no, s.s, row_number() OVER (PARTITION BY q.query_id
+        ORDER BY s.page_index, s.sentence_no) AS r
+      FROM phrases q JOIN parts s ON s.book_id = q.book_id AND s.s <> ''
+        AND contains({sql.projection('s.s')}, q.needle)) WHERE r <= 500""",
+    parts=rf"""SELECT book_id, page_index, CAST(i - 1 AS INT) AS sentence_no, p[i] AS s FROM (
+      SELECT *, unnest(range(1, len(p) + 1)) AS i FROM (SELECT book_id, page_index,
+        string_split(regexp_replace({sql.normalized('text')}, '([。！？.!?])\s*', '\1' || chr(1), 'g'), chr(1))
+        AS p FROM rd_pages))""",
+)
+
+
+def display(x: str) -> str:
+    return sql.stripped(rf"regexp_replace({sql.despaced(x)}, '\s+', ' ', 'g')")
+
+
+def snippet_sql(rows: str, columns: str) -> str:
+    """First match of ``pattern`` in the display form of ``text``, widened."""
+    return rf"""
+SELECT {columns}, {sql.stripped("substr(shown, opening + 1, stop + length(closing) - opening)")} AS snippet
+FROM (SELECT *, length(regexp_extract(left(shown, start), '(?s)^.*[.。!?！？；;]')) AS opening,
+    regexp_extract(substr(shown, stop + 1), '(?s)^[^.。!?！？；;]*[.。!?！？；;]?') AS closing
+  FROM (SELECT *, length(regexp_split_to_array({fold('shown')}, pattern)[1]) AS start,
+      length(regexp_split_to_array({fold('shown')}, pattern)[1])
+        + length(regexp_extract({fold('shown')}, pattern)) AS stop
+    FROM (SELECT *, {display('text')} AS shown FROM {rows})
+    WHERE regexp_matches({fold('shown')}, pattern)))"""
+
+
+ORACLE["f3_snippet"] = with_tables(
+    snippet_sql("hits", "query_id, page_index, line_no"),
+    hits="SELECT *, line AS text FROM line_hits",
+)
+sql.define("chunk_df", "SELECT book_id, token, count(*) AS df FROM chunk_tokens GROUP BY ALL")
+ORACLE["f4_fulltext_search"] = with_tables(
+    f"""SELECT query_id, page_index, min(snippet) AS snippet FROM (
+      SELECT * FROM direct UNION ALL
+      SELECT query_id, page_index, {sql.inlined('text')} FROM (
+        SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_index, chunk_no) AS r
+        FROM (SELECT query_id, book_id, chunk_no, page_index, text, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5))
+            * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))) * least(1.6, 1 + ln(qtf))), 6)
+            AS score
+          FROM terms JOIN chunk_tokens USING (book_id, token) JOIN chunk_df USING (book_id, token)
+          JOIN chunk_lengths USING (book_id, chunk_no)
+          JOIN (SELECT book_id, chunk_no, text FROM chunks) USING (book_id, chunk_no)
+          JOIN (SELECT book_id, count(*) AS n, greatest(1, avg(length)) AS mean_length FROM chunk_lengths
+            GROUP BY ALL) USING (book_id) GROUP BY ALL) s WHERE score > 0) WHERE r <= 30)
+    GROUP BY query_id, page_index, lower({sql.inlined('snippet')})""",
+    asks="""SELECT * REPLACE (CASE WHEN query_id % 2 = 1 THEN phrase || ' zzqx' ELSE phrase END AS phrase)
+      FROM rd_queries""",
+    wanted=f"""SELECT *, {_PATTERN} AS pattern FROM (SELECT query_id, book_id, {sql.projection('phrase')}
+      AS needle FROM asks) WHERE needle <> ''""",
+    page_hits=f"""SELECT q.query_id, q.pattern, p.page_index, p.text FROM wanted q JOIN rd_pages p
+      ON p.book_id = q.book_id AND contains({sql.projection('p.text')}, q.needle)""",
+    direct=snippet_sql("page_hits", "query_id, page_index"),
+    terms=f"""SELECT query_id, book_id, token, count(*) AS qtf FROM (SELECT query_id, book_id,
+      unnest({sql.token_list('phrase')}) AS token FROM asks WHERE query_id NOT IN
+        (SELECT query_id FROM direct)) GROUP BY ALL""",
+)
+
+for _fn in (f1_match_ranges, f2_sentence_hits, f3_snippet, f4_fulltext_search):
+    QUERIES[_fn.__name__] = _fn

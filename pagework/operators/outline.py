@@ -291,14 +291,19 @@ def rows_in_spans(spans: DataFrame, rows: DataFrame) -> DataFrame:
     ).drop("_bucket")
 
 
-def count_in_spans(spans: DataFrame, rows: DataFrame) -> DataFrame:
-    """Number of rows in every span from running counts at its two ends: no
-    pair of span and row is ever formed."""
-    per_page = rows.groupBy("book_id", "page_index").agg(F.count("*").alias("n"))
+def count_in_spans(spans: DataFrame, rows: DataFrame, size: Column | None = None) -> DataFrame:
+    """Rows before the start and the end of every span (``first_row``,
+    ``end_row``), and with ``size`` the total size inside (``n_size``), from
+    running totals at the two ends: no pair of span and row is ever formed."""
+    measure = F.lit(0) if size is None else size
+    per_page = rows.groupBy("book_id", "page_index").agg(
+        F.count("*").alias("n"), F.sum(measure).cast("long").alias("size")
+    )
+    zero = F.lit(0).cast("long")
     ends = (
         spans.select("book_id", F.explode(F.array("start_page", "end_page")).alias("page_index"))
         .distinct()
-        .withColumn("n", F.lit(0).cast("long"))
+        .select("book_id", "page_index", zero.alias("n"), zero.alias("size"))
     )
     merged = per_page.withColumn("_end", F.lit(1)).unionByName(ends.withColumn("_end", F.lit(0)))
     counted = running(
@@ -306,13 +311,16 @@ def count_in_spans(spans: DataFrame, rows: DataFrame) -> DataFrame:
         ["book_id"],
         ["page_index", "_end"],
         block_of("page_index", PAGES_PER_BLOCK),
-        total={"before": F.col("n")},
+        total={"rows_before": F.col("n"), "size_before": F.col("size")},
     ).where("_end = 0")
     first = counted.select("book_id", F.col("page_index").alias("start_page"),
-                           F.col("before").alias("first_row"))
+                           F.col("rows_before").alias("first_row"),
+                           F.col("size_before").alias("_size0"))
     stop = counted.select("book_id", F.col("page_index").alias("end_page"),
-                          F.col("before").alias("end_row"))
-    return spans.join(first, ["book_id", "start_page"]).join(stop, ["book_id", "end_page"])
+                          F.col("rows_before").alias("end_row"),
+                          F.col("size_before").alias("_size1"))
+    joined = spans.join(first, ["book_id", "start_page"]).join(stop, ["book_id", "end_page"])
+    return joined.withColumn("n_size", F.col("_size1") - F.col("_size0")).drop("_size0", "_size1")
 
 
 def siblings(outline: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pagework.operators import chunks as K
 from pagework.operators import outline as O
+from pagework.operators import pack as P
+from pagework.operators import retrieve as Q
 from pagework.plans.stage import spread, stage
 
 
@@ -37,3 +39,16 @@ def build_index(pages: DataFrame, outline: DataFrame | None) -> DataFrame:
 def build_stored_index(pages: DataFrame, outline: DataFrame | None) -> DataFrame:
     """The index as a stored table, read with all cores."""
     return spread(stage(build_index(pages, outline), "index"), "book_id", "chunk_no")
+
+
+def reading_context(pages: DataFrame, outline: DataFrame, asks: DataFrame) -> DataFrame:
+    """Question -> packed excerpts, for all questions at once.
+
+    Retrieval works on keys and token counts; chunk text is fetched only for
+    the at most 14 chunks a question keeps.
+    """
+    chunks = build_stored_index(pages, outline)
+    chosen = Q.retrieve_for_reading(asks, chunks)
+    budget = Q.reading_budgets(asks).select("query_id", "token_budget")
+    rows = chosen.drop("page_index").join(chunks, ["book_id", "chunk_no"]).join(budget, "query_id")
+    return P.pack_context(rows)
