@@ -14,12 +14,22 @@ QUERIES = {}
 ORACLE = {}
 
 
+def asked(spark, sf):
+    """Every outline entry asks its book for the first two words of its title."""
+    o = D.outline(spark, sf)
+    return o.select(
+        (F.col("book_id") * 1000 + F.col("ord")).alias("query_id"),
+        "book_id",
+        F.array_join(F.slice(F.split("title", " "), 1, 2), " ").alias("phrase"),
+    )
+
+
 def f1_match_ranges(spark, sf):
-    return S.match_ranges(D.queries(spark, sf), D.lines(spark, sf))
+    return S.match_ranges(asked(spark, sf), D.lines(spark, sf))
 
 
 def f2_sentence_hits(spark, sf):
-    return S.sentence_hits(D.queries(spark, sf), D.pages(spark, sf)).select(
+    return S.sentence_hits(asked(spark, sf), D.pages(spark, sf)).select(
         "query_id", "page_index", "sentence_no", F.md5("sentence").alias("digest")
     )
 
@@ -27,7 +37,7 @@ def f2_sentence_hits(spark, sf):
 def f3_snippet(spark, sf):
     lines = D.lines(spark, sf).withColumnRenamed("line", "text")
     key = ["page_index", "line_no"]
-    hits = S.matching_rows(D.queries(spark, sf), lines, key).join(lines, ["book_id", *key])
+    hits = S.matching_rows(asked(spark, sf), lines, key).join(lines, ["book_id", *key])
     return S.snippet(hits).select("query_id", *key, "snippet")
 
 
@@ -40,7 +50,7 @@ def every_second_broken(queries):
 
 
 def f4_fulltext_search(spark, sf):
-    asks = every_second_broken(D.queries(spark, sf))
+    asks = every_second_broken(asked(spark, sf))
     return S.fulltext_search(asks, D.pages(spark, sf), CQ.index(spark, sf)).select(
         "query_id", "page_index", "snippet"
     )
@@ -60,9 +70,12 @@ def ranges(text: str) -> str:
             f"list_transform(regexp_extract_all({text}, pattern), lambda m: length(m)))")
 
 
+sql.define("search_asks", """
+SELECT book_id * 1000 + ord AS query_id, book_id,
+  array_to_string(string_split(title, ' ')[1:2], ' ') AS phrase FROM rd_outline""")
 sql.define("phrases", f"""
 SELECT *, {_PATTERN} AS pattern FROM (SELECT query_id, book_id, {sql.projection('phrase')} AS needle
-FROM rd_queries) WHERE needle <> ''""")
+FROM search_asks) WHERE needle <> ''""")
 sql.define("line_hits", f"""
 SELECT q.query_id, q.book_id, q.pattern, l.page_index, l.line_no, l.line, {fold('l.line')} AS folded
 FROM phrases q JOIN rd_lines l ON l.book_id = q.book_id
@@ -129,7 +142,7 @@ ORACLE["f4_fulltext_search"] = with_tables(
             GROUP BY ALL) USING (book_id) GROUP BY ALL) s WHERE score > 0) WHERE r <= 30)
     GROUP BY query_id, page_index, lower({sql.inlined('snippet')})""",
     asks="""SELECT * REPLACE (CASE WHEN query_id % 2 = 1 THEN phrase || ' zzqx' ELSE phrase END AS phrase)
-      FROM rd_queries""",
+      FROM search_asks""",
     wanted=f"""SELECT *, {_PATTERN} AS pattern FROM (SELECT query_id, book_id, {sql.projection('phrase')}
       AS needle FROM asks) WHERE needle <> ''""",
     page_hits=f"""SELECT q.query_id, q.pattern, p.page_index, p.text FROM wanted q JOIN rd_pages p

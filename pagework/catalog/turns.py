@@ -1,2 +1,219 @@
+"""Queries over conversations, usage and answer checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagework.catalog import sql
+from pagework.catalog.sql import with_tables
+from pagework.functions import text as T
+from pagework.operators import turns as H
+from pagework.sources import derived as D
+
 QUERIES = {}
 ORACLE = {}
+# Follow-up words of the four languages of the data.
+SIGNALS = ["Elle", "the", "und", "los"]
+
+
+def prefixed(spark, sf):
+    """User turns, two in three as page line, passage, empty line, request."""
+    words = F.split("content", " ")
+    asked = F.concat(
+        F.lit("P"), (F.col("anchor_page") + 1).cast("string"), F.lit("\n"),
+        F.array_join(F.slice(words, 1, 3), " "), F.lit("\n\n"), F.col("content"),
+    )
+    return D.turns(spark, sf).where("role = 'user'").withColumn(
+        "content", F.when(F.col("conv_id") % 3 > 0, asked).otherwise(F.col("content"))
+    )
+
+
+def h1_parse_question(spark, sf):
+    rows = prefixed(spark, sf).withColumn("q", H.parse_question("content"))
+    return rows.select(
+        "conv_id", "turn", "q.page_number", "q.passage", F.md5("q.request").alias("digest"),
+        H.page_reference("content").alias("reference"),
+    )
+
+
+def h2_focus_page(spark, sf):
+    turns = D.turns(spark, sf).withColumn("content", F.left("content", F.lit(110)))
+    current = ((F.col("conv_id") * 3 + F.col("turn")) % 50).cast("int")
+    return H.focus_page(turns, current, SIGNALS).select("conv_id", "turn", "focus_page")
+
+
+def h3_history_window(spark, sf):
+    turns = D.turns(spark, sf).withColumn("content", F.left("content", F.lit(110)))
+    return H.history_window(turns, 4, SIGNALS)
+
+
+def h4_complete_pairs(spark, sf):
+    return H.complete_pairs(D.turns(spark, sf)).select("conv_id", "turn")
+
+
+def h5_note_groups(spark, sf):
+    return H.note_groups(D.turns(spark, sf), D.outline(spark, sf))
+
+
+def h6_transcript(spark, sf):
+    return H.transcript(D.turns(spark, sf)).select(
+        "conv_id", "turn", F.md5("line").alias("digest")
+    )
+
+
+def h7_condense_budget(spark, sf):
+    """Budget of each conversation, and a check of its answers as the output."""
+    turns = D.turns(spark, sf)
+    source = H.transcript_tokens(H.transcript(turns))
+    output = H.transcript_tokens(
+        turns.where("role = 'assistant' AND turn % 4 = 1").select(
+            "conv_id", F.col("content").alias("line"))
+    ).withColumnRenamed("tokens", "output")
+    joined = source.join(output, "conv_id", "left").withColumn(
+        "output", F.coalesce("output", F.lit(0))
+    )
+    return joined.select(
+        "conv_id", "tokens", H.condense_budget("tokens").alias("limit"),
+        H.condense_incomplete(F.col("tokens") * 4, "output").alias("incomplete"),
+    )
+
+
+def h9_summary_sections(spark, sf):
+    """Structured summaries made from outline titles, incomplete by rule."""
+    t = F.col("title")
+    argument = F.concat(F.lit(" 1. "), t, F.lit(" 2. "), t)
+    text = F.concat(
+        F.lit("**问题**："), t, F.lit("\n论证：\n"), argument,
+        F.when(F.col("ord") % 2 == 0, F.concat(F.lit(" 3) "), t)).otherwise(""),
+        F.when(F.col("ord") % 5 != 4, F.concat(F.lit("\n- 结论: "), t)).otherwise(""),
+        F.when(F.col("ord") % 3 == 0, F.lit("\n章际关系：\n• 承上：据标题")).otherwise(
+            F.concat(F.lit("\n章际关系：\n• "), t)),
+    )
+    rows = D.outline(spark, sf).withColumn("p", H.summary_points(text))
+    return rows.select(
+        "book_id", "ord", H.summary_complete(F.col("p")).alias("complete"),
+        *[H.section_count(F.col("p"), name).alias(f"n{i}") for i, name in enumerate(H.SECTIONS)],
+    )
+
+
+def h10_decode_usage(spark, sf):
+    return H.decode_usage(D.usage_raw(spark, sf)).drop("payload", "n_chars")
+
+
+def filled(spark, sf):
+    """The question before each answer gives the input estimate."""
+    turns = D.turns(spark, sf)
+    tokens = turns.select("conv_id", "turn", T.estimated_tokens("content").alias("t"))
+    usage = H.decode_usage(D.usage_raw(spark, sf)).join(
+        tokens.withColumnRenamed("t", "out_t"), ["conv_id", "turn"]
+    ).join(
+        tokens.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("t").alias("in_t")),
+        ["conv_id", "turn"], "left",
+    )
+    return H.fill_usage(usage, F.coalesce("in_t", F.lit(0)), F.col("out_t"))
+
+
+def h11_fill_usage(spark, sf):
+    return filled(spark, sf).select(
+        "conv_id", "turn", "input_tokens", "output_tokens", "total_tokens", "is_estimated"
+    )
+
+
+def h12_usage_metrics(spark, sf):
+    return H.usage_metrics(filled(spark, sf)).select(
+        "conv_id", "turn", "uncached_tokens", "cache_hit_rate"
+    )
+
+
+sql.define("asked_turns", """
+SELECT * REPLACE (CASE WHEN conv_id % 3 > 0 THEN 'P' || (anchor_page + 1) || chr(10) ||
+  array_to_string(string_split(content, ' ')[1:3], ' ') || chr(10) || chr(10) || content ELSE content END
+  AS content), string_split(content, ' ') AS w, content AS plain FROM rd_turns WHERE role = 'user'""")
+_PASSAGE = sql.inlined("replace(array_to_string(w[1:3], ' '), chr(10), ' ')")
+ORACLE["h1_parse_question"] = with_tables(
+    f"""SELECT conv_id, turn, CASE WHEN conv_id % 3 > 0 THEN anchor_page + 1 END AS page_number,
+      CASE WHEN conv_id % 3 > 0 THEN {_PASSAGE} END AS passage,
+      md5(CASE WHEN conv_id % 3 > 0 THEN {sql.stripped('plain')} ELSE plain END) AS digest,
+      CASE WHEN conv_id % 3 > 0 THEN anchor_page END AS reference FROM asked_turns"""
+)
+sql.define("short_turns", """
+SELECT *, length(trim(short, ' ' || chr(10))) <= 120 AND (contains(short, 'Elle') OR contains(short, 'the')
+  OR contains(short, 'und') OR contains(short, 'los')) AS follow,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos
+FROM (SELECT *, left(content, 110) AS short FROM rd_turns)""")
+ORACLE["h2_focus_page"] = with_tables(
+    """SELECT conv_id, turn, coalesce(CASE WHEN follow THEN lag(anchor_page) OVER (PARTITION BY conv_id
+      ORDER BY turn) END, CAST((conv_id * 3 + turn) % 50 AS INT)) AS focus_page
+    FROM short_turns WHERE role = 'user'"""
+)
+ORACLE["h3_history_window"] = with_tables(
+    """SELECT a.conv_id, a.turn, b.turn AS history_turn FROM (SELECT *, (SELECT max(x.pos) FROM short_turns x
+        WHERE x.conv_id = s.conv_id AND x.role = 'user' AND x.pos < s.pos) AS anchored
+      FROM short_turns s WHERE role = 'user') a
+    JOIN short_turns b ON b.conv_id = a.conv_id AND b.pos <= a.pos AND b.pos > a.pos - 4
+      AND b.pos >= CASE WHEN a.follow THEN coalesce(a.anchored, a.pos) ELSE a.pos END"""
+)
+sql.define("pair_turns", """
+SELECT * FROM (SELECT *, bool_or(selected AND role = 'user') OVER (PARTITION BY conv_id, q) AS asked,
+  bool_or(selected AND role = 'assistant') OVER (PARTITION BY conv_id, q) AS answered
+  FROM (SELECT *, sum(CAST(role = 'user' AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS q,
+    last_value(CASE WHEN role = 'user' THEN anchor_page END IGNORE NULLS) OVER (PARTITION BY conv_id
+      ORDER BY turn) AS page FROM rd_turns))
+WHERE selected OR (role = 'user' AND answered) OR (role = 'assistant' AND asked)""")
+ORACLE["h4_complete_pairs"] = with_tables("SELECT conv_id, turn FROM pair_turns")
+ORACLE["h5_note_groups"] = with_tables(
+    """SELECT conv_id, chapter, CASE WHEN chapter IS NULL THEN page END AS anchor_page, count(*) AS n_turns,
+      min(turn) AS first_turn, count(DISTINCT page) AS n_pages
+    FROM (SELECT p.*, (SELECT o.title FROM rd_outline o WHERE o.book_id = p.book_id AND o.page_index <= p.page
+      ORDER BY ord DESC LIMIT 1) AS chapter FROM pair_turns p) GROUP BY ALL"""
+)
+ORACLE["h6_transcript"] = with_tables(
+    "SELECT conv_id, turn, md5(CASE role WHEN 'user' THEN 'Reader' ELSE 'Companion' END || '：' || content) "
+    "AS digest FROM rd_turns"
+)
+_T = sql.token_estimate("joined")
+ORACLE["h7_condense_budget"] = with_tables(
+    """SELECT conv_id, tokens, CAST(least(12000, greatest(1200, t + greatest(500, ceil(t / 2)))) AS INT) AS "limit",
+      tokens * 4 >= 800 AND coalesce(output, 0) < greatest(160, floor(tokens * 4 * 18 / 100)) AS incomplete
+    FROM (SELECT *, ceil(tokens * 3 / 10) AS t FROM whole) LEFT JOIN outputs USING (conv_id)""",
+    whole=f"""SELECT conv_id, {_T} AS tokens FROM (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN
+      'Reader' ELSE 'Companion' END || '：' || content, chr(10) || chr(10) ORDER BY turn) AS joined
+      FROM rd_turns GROUP BY ALL)""",
+    outputs=f"""SELECT conv_id, {_T} AS output FROM (SELECT conv_id, string_agg(content, ' ' ORDER BY turn)
+      AS joined FROM rd_turns WHERE role = 'assistant' AND turn % 4 = 1 GROUP BY ALL)""",
+)
+ORACLE["h9_summary_sections"] = with_tables(
+    """SELECT book_id, ord, n1 >= 3 AND n2 >= 1 AS complete, n0, n1, n2, n3 FROM (
+      SELECT book_id, ord, 1 AS n0, CASE WHEN ord % 2 = 0 THEN 3 ELSE 2 END AS n1,
+        CASE WHEN ord % 5 <> 4 THEN 1 ELSE 0 END AS n2, CASE WHEN ord % 3 = 0 THEN 0 ELSE 1 END AS n3
+      FROM rd_outline)"""
+)
+sql.define("usage_known", """
+SELECT conv_id, turn, CASE WHEN conv_id % 4 < 3 THEN n_chars END AS input_tokens,
+  CASE conv_id % 4 WHEN 0 THEN (turn + 1) * 9 WHEN 1 THEN (turn + 1) * 5 WHEN 2 THEN (turn + 1) * 4 END
+  AS output_tokens, CASE conv_id % 4 WHEN 0 THEN n_chars // 2 WHEN 3 THEN NULL ELSE 0 END AS cached_tokens,
+  CASE WHEN conv_id % 4 < 3 THEN 0 END AS cache_write_tokens,
+  CASE WHEN conv_id % 4 < 3 THEN 0 END AS reasoning_tokens
+FROM rd_usage_raw""")
+ORACLE["h10_decode_usage"] = with_tables(
+    "SELECT *, input_tokens + output_tokens AS total_tokens FROM usage_known"
+)
+sql.define("usage_filled", f"""
+SELECT u.conv_id, u.turn, cached_tokens, coalesce(input_tokens, coalesce({sql.token_estimate('q.content')}, 0) + 24)
+  AS input_tokens, coalesce(output_tokens, {sql.token_estimate('a.content')}) AS output_tokens,
+  input_tokens IS NULL AS is_estimated
+FROM usage_known u JOIN rd_turns a USING (conv_id, turn)
+LEFT JOIN rd_turns q ON q.conv_id = u.conv_id AND q.turn = u.turn - 1""")
+ORACLE["h11_fill_usage"] = with_tables(
+    "SELECT conv_id, turn, input_tokens, output_tokens, input_tokens + output_tokens AS total_tokens, "
+    "is_estimated FROM usage_filled"
+)
+ORACLE["h12_usage_metrics"] = with_tables(
+    "SELECT conv_id, turn, greatest(0, input_tokens - coalesce(cached_tokens, 0)) AS uncached_tokens, "
+    "round(least(1.0, coalesce(cached_tokens, 0) / input_tokens), 6) AS cache_hit_rate FROM usage_filled"
+)
+
+for _fn in (h1_parse_question, h2_focus_page, h3_history_window, h4_complete_pairs, h5_note_groups,
+            h6_transcript, h7_condense_budget, h9_summary_sections, h10_decode_usage,
+            h11_fill_usage, h12_usage_metrics):
+    QUERIES[_fn.__name__] = _fn

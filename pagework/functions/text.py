@@ -151,10 +151,10 @@ def search_projection(c: Column | str) -> Column:
     return F.regexp_replace(fold(nfkc(c)), "[^\\p{L}\\p{N}]", "")
 
 
-def estimated_tokens(c: Column | str) -> Column:
-    """N7. Counted in twentieths of a token so no sum depends on float order:
-    20 per Han character, max(20, 5 x length) per run of other letters or
-    digits, 7 per other visible symbol."""
+def token_units(c: Column | str) -> Column:
+    """N7 in twentieths of a token, so that no sum depends on float order and
+    units of parts add up: 20 per Han character, max(20, 5 x length) per run
+    of other letters or digits, 7 per other visible symbol."""
     x = col(c)
     runs = F.regexp_extract_all(x, F.lit(f"[{ALNUM}&&[^{HAN}]]+"), F.lit(0))
     latin = F.aggregate(
@@ -162,8 +162,13 @@ def estimated_tokens(c: Column | str) -> Column:
     )
     han = F.regexp_count(x, F.lit(f"[{HAN}]"))
     symbols = F.regexp_count(x, F.lit(f"[^{ALNUM}\\s{WIDE_BLANKS}]"))
-    units = latin + han * 20 + symbols * 7
-    estimate = F.floor((units + 19) / 20).cast("int")
+    return latin + han * 20 + symbols * 7
+
+
+def estimated_tokens(c: Column | str) -> Column:
+    """N7. At least one token for any text."""
+    x = col(c)
+    estimate = F.ceil(token_units(x) / 20).cast("int")
     return F.when(x.isNull() | (x == ""), F.lit(0)).otherwise(F.greatest(F.lit(1), estimate))
 
 

@@ -333,12 +333,33 @@ def siblings(outline: DataFrame) -> DataFrame:
     )
 
 
-SIGNATURE_BLOCK = 4096
+DIGEST_BLOCK = 4096
+
+
+def ordered_digest(rows: DataFrame, keys: list[str], position: str, line: Column,
+                   name: str) -> DataFrame:
+    """sha256 of the lines of a group in order; a group beyond one block of
+    positions gets the sha256 of its block digests, so no task holds it whole."""
+    listed = F.array_sort(F.collect_list(F.struct(position, line.alias("line"))))
+    joined = F.array_join(F.transform(listed, lambda r: r["line"]), "\x1e")
+    blocks = (
+        rows.withColumn("_block", block_of(position, DIGEST_BLOCK))
+        .groupBy(*keys, "_block")
+        .agg(F.sha2(joined, 256).alias("digest"))
+    )
+    digests = F.array_sort(F.collect_list(F.struct("_block", "digest")))
+    return blocks.groupBy(*keys).agg(
+        F.transform(digests, lambda d: d["digest"]).alias("_d")
+    ).select(
+        *keys,
+        F.when(F.size("_d") == 1, F.col("_d")[0])
+        .otherwise(F.sha2(F.array_join("_d", "\x1e"), 256))
+        .alias(name),
+    )
 
 
 def outline_signature(outline: DataFrame) -> DataFrame:
-    """O7. sha256 of the ordered entries; a book beyond one block of entries
-    gets the sha256 of its block digests, so no task holds a whole outline."""
+    """O7."""
     line = F.concat_ws(
         "|",
         F.col("ord").cast("string"),
@@ -346,18 +367,94 @@ def outline_signature(outline: DataFrame) -> DataFrame:
         F.col("level").cast("string"),
         F.col("title"),
     )
-    rows = F.array_sort(F.collect_list(F.struct("ord", line.alias("line"))))
-    joined = F.array_join(F.transform(rows, lambda r: r["line"]), "\x1e")
-    blocks = (
-        outline.withColumn("_block", block_of("ord", SIGNATURE_BLOCK))
-        .groupBy("book_id", "_block")
-        .agg(F.sha2(joined, 256).alias("digest"))
+    return ordered_digest(outline, ["book_id"], "ord", line, "signature")
+
+
+NOTE_PREFIXES = range(48, 7, -4)
+
+
+def _place_in_key(needle: Column, key: Column) -> Column:
+    """0-based place of a passage in the page key: its first 48, 44 ... 8
+    characters, the longest that occurs; null when too short or absent."""
+    size = F.least(F.length(needle), F.lit(48))
+    lengths = F.sequence(size, F.least(size, F.lit(8)), F.lit(-4))
+    found = F.filter(
+        F.transform(lengths, lambda n: F.call_function("locate", F.left(needle, n), key)),
+        lambda at: at > 0,
     )
-    digests = F.array_sort(F.collect_list(F.struct("_block", "digest")))
-    listed = F.transform(digests, lambda d: d["digest"])
-    return blocks.groupBy("book_id").agg(listed.alias("d")).select(
-        "book_id",
-        F.when(F.size("d") == 1, F.col("d")[0])
-        .otherwise(F.sha2(F.array_join("d", "\x1e"), 256))
-        .alias("signature"),
+    return F.when(F.length(needle) >= 4, F.get(found, F.lit(0)) - 1)
+
+
+def note_chapter(passages: DataFrame, pages: DataFrame, outline: DataFrame) -> DataFrame:
+    """O4. Chapter title of a passage: (passage_id, chapter).
+
+    ``passages``: passage_id, book_id, page_index, text.  Page text is needed
+    only for pages that open a heading and hold a passage.
+    """
+    paths = outline_paths(outline)
+    found = last_heading(page_positions(passages).distinct(), paths)
+    heads = outline.select(
+        "book_id", "page_index", "ord", "level", "title",
+        T.comparison_key("title").alias("_key"),
+        T.comparison_key(T.title_without_sequence("title")).alias("_bare"),
+    )
+    on_page = heads.groupBy("book_id", "page_index").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "level", "title", "_key", "_bare"))).alias(
+            "_heads"
+        )
+    )
+    parents = outline_parents(outline)
+    opened = pages.join(on_page, ["book_id", "page_index"]).join(
+        passages.select("book_id", "page_index").distinct(), ["book_id", "page_index"], "left_semi"
+    ).select("book_id", "page_index", "_heads", T.comparison_key("text").alias("_page"))
+    first = F.col("_heads")[0]
+    opened = opened.withColumn("ord", first["ord"]).join(parents, ["book_id", "ord"], "left").drop(
+        "ord"
+    )
+    joined = (
+        passages.join(found, ["book_id", "page_index"], "left")
+        .join(opened, ["book_id", "page_index"], "left")
+        .withColumn("_needle", T.comparison_key("text"))
+        .withColumn("_at", _place_in_key(F.col("_needle"), F.col("_page")))
+    )
+    placed = F.transform(
+        "_heads",
+        lambda h: F.struct(
+            F.coalesce(
+                _place_in_key(h["_key"], F.col("_page")),
+                F.when(h["_bare"] != h["_key"], _place_in_key(h["_bare"], F.col("_page"))),
+            ).alias("at"),
+            (-h["ord"]).alias("order"),
+            h["title"].alias("title"),
+        ),
+    )
+    before = F.array_max(F.filter(placed, lambda h: h["at"] <= F.col("_at")))
+    lowest = F.array_min(
+        F.transform(
+            "_heads",
+            lambda h: F.struct(h["level"].alias("level"), h["ord"].alias("ord"),
+                               h["title"].alias("title")),
+        )
+    )
+    chapter = (
+        F.when(F.col("_heads").isNull(), F.col("heading")["title"])
+        .when(F.col("_at").isNotNull() & before.isNotNull(), before["title"])
+        .when((F.col("_heads")[0]["level"] > 0) & F.col("parent").isNotNull(), F.col("parent"))
+        .otherwise(lowest["title"])
+    )
+    return joined.select("passage_id", chapter.alias("chapter"))
+
+
+def outline_parents(outline: DataFrame) -> DataFrame:
+    """(book_id, ord, parent): the last earlier entry of a lower level number."""
+    keys, block = ["book_id"], block_of("ord")
+    entry = F.struct("ord", "title")
+    seen = running(
+        outline, keys, ["ord"], block,
+        last={f"_p{d}": F.when(F.col("level") == d, entry) for d in LEVELS},
+        inclusive=False,
     )
+    options = [
+        F.when(F.col("level") > d, F.col(f"_p{d}")) for d in LEVELS
+    ]
+    return seen.select("book_id", "ord", F.greatest(*options)["title"].alias("parent"))

@@ -136,7 +136,7 @@ def fulltext_search(asks: DataFrame, pages: DataFrame, chunks: DataFrame) -> Dat
     key = ["page_index"]
     hits = matching_rows(asks, pages.select("book_id", "page_index", "text"), key)
     found = snippet(hits.join(pages.select("book_id", "page_index", "text"), ["book_id", *key]))
-    direct = found.where(F.col("snippet").isNotNull()).select(
+    direct = found.select(
         "query_id", "book_id", "page_index", "snippet"
     )
     silent = asks.join(direct.select("query_id").distinct(), "query_id", "left_anti")
