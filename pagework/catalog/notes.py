@@ -1,2 +1,139 @@
+"""Queries over notes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagework.catalog import sql
+from pagework.catalog.sql import with_tables
+from pagework.operators import notes as B
+from pagework.operators import outline as O
+from pagework.sources import derived as D
+
 QUERIES = {}
 ORACLE = {}
+
+
+def o4_note_chapter(spark, sf):
+    passages = D.marks(spark, sf).withColumnRenamed("mark_id", "passage_id")
+    return O.note_chapter(passages, D.pages(spark, sf), D.outline(spark, sf)).select(
+        "passage_id", "chapter"
+    )
+
+
+def titles(spark, sf):
+    """Each book is called like its third chapter."""
+    return D.outline(spark, sf).where("ord = 2").select("book_id", "title")
+
+
+def b1_note_skeleton(spark, sf):
+    return B.note_skeleton(D.outline(spark, sf), titles(spark, sf))
+
+
+def b2_missing_headings(spark, sf):
+    """Notes written before every third chapter was known."""
+    o = D.outline(spark, sf)
+    old = B.note_skeleton(o.where("ord % 3 <> 1"), titles(spark, sf))
+    return B.missing_headings(o, old)
+
+
+def b3_mark_block(spark, sf):
+    return D.marks(spark, sf).select("mark_id", B.mark_block().alias("block"))
+
+
+def b4_conversation_block(spark, sf):
+    turns = D.turns(spark, sf)
+    pages = turns.where("anchor_page IS NOT NULL").select(
+        "conv_id", F.col("anchor_page").alias("page_index")
+    )
+    return B.conversation_block(turns, pages)
+
+
+def mark_blocks(spark, sf):
+    marks = D.marks(spark, sf)
+    chapters = o4_note_chapter(spark, sf).withColumnRenamed("passage_id", "mark_id")
+    return marks.join(chapters, "mark_id").select(
+        "book_id", "chapter", "page_index",
+        F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+        F.col("mark_id").alias("block_id"), B.mark_block().alias("block"),
+    )
+
+
+def b5_insert_under_chapter(spark, sf):
+    note = B.insert_under_chapter(D.outline(spark, sf), mark_blocks(spark, sf))
+    return note.select(
+        "book_id", "heading_ord", "kind", "page_index", "created_at", "block_id",
+        F.md5("block").alias("digest"),
+    )
+
+
+def b6_skip_existing_blocks(spark, sf):
+    blocks = D.marks(spark, sf).select("mark_id", "book_id", B.mark_block().alias("block"))
+    written = blocks.where("mark_id % 7 = 0")
+    return B.skip_existing_blocks(blocks, written).select("mark_id", "book_id")
+
+
+ORACLE["o4_note_chapter"] = with_tables(
+    f"""SELECT m.mark_id AS passage_id, CASE WHEN h.title IS NULL THEN (SELECT o.title FROM rd_outline o
+        WHERE o.book_id = m.book_id AND o.page_index < m.page_index ORDER BY ord DESC LIMIT 1)
+      WHEN length({sql.key('h.title')}) >= 4 AND length({sql.key('m.text')}) >= 4 THEN h.title
+      ELSE coalesce((SELECT o.title FROM rd_outline o WHERE o.book_id = m.book_id AND o.ord < h.ord
+        AND o.level < h.level ORDER BY ord DESC LIMIT 1), h.title) END AS chapter
+    FROM rd_marks m LEFT JOIN rd_outline h USING (book_id, page_index)"""
+)
+sql.define("note_titles", "SELECT book_id, title FROM rd_outline WHERE ord = 2")
+_HEAD = "repeat('#', least(6, greatest(2, level + 2))) || ' ' || o.title"
+ORACLE["b1_note_skeleton"] = with_tables(
+    f"""SELECT book_id, -1 AS position, '# ' || title AS line FROM note_titles
+    UNION ALL SELECT book_id, 2000000000, '## 我的笔记' FROM note_titles
+    UNION ALL SELECT o.book_id, o.ord, {_HEAD} FROM rd_outline o JOIN note_titles t USING (book_id)
+      WHERE lower(trim(o.title)) <> lower(trim(t.title))"""
+)
+ORACLE["b2_missing_headings"] = with_tables(
+    f"""SELECT o.book_id, o.ord, {_HEAD} AS line FROM rd_outline o JOIN note_titles t USING (book_id)
+    WHERE {_HEAD} <> '# ' || t.title AND NOT EXISTS (SELECT 1 FROM rd_outline x WHERE x.book_id = o.book_id
+      AND x.ord % 3 <> 1 AND x.level = o.level AND x.title = o.title
+      AND lower(trim(x.title)) <> lower(trim(t.title)))"""
+)
+
+
+def block_sql() -> str:
+    esc = (rf"regexp_replace(replace(replace(replace(replace({sql.inlined('text')}, '\', '\\'), "
+           r"'&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([`*_\[\]])', '\\\1', 'g')")
+    page = "' · 第 ' || (page_index + 1) || ' 页'"
+    note = "note IS NOT NULL AND note <> ''"
+    return (
+        f"CASE WHEN kind = 'annotation' THEN '> [!success] 批注' || {page} || chr(10) || '> *原文：* ' || {esc} "
+        f"|| CASE WHEN {note} THEN chr(10) || '>' || chr(10) || '> ' || note ELSE '' END "
+        f"ELSE '> [!' || CASE color WHEN 'red' THEN 'danger' WHEN 'blue' THEN 'info' ELSE 'warning' END "
+        f"|| '] 划线' || {page} || chr(10) || '> ' || {esc} || CASE WHEN {note} THEN chr(10) || chr(10) || "
+        f"'> [!note] 批注' || chr(10) || '> ' || note ELSE '' END END"
+    )
+
+
+ORACLE["b3_mark_block"] = with_tables(f"SELECT mark_id, {block_sql()} AS block FROM rd_marks")
+ORACLE["b4_conversation_block"] = with_tables(
+    """SELECT conv_id, -1 AS turn, '> [!example]+ AI 讨论' || coalesce(' · 第 ' || string_agg(DISTINCT
+      anchor_page + 1, '、' ORDER BY anchor_page + 1) || ' 页', '') AS block FROM rd_turns GROUP BY conv_id
+    UNION ALL SELECT conv_id, turn, CASE WHEN turn > min(turn) OVER (PARTITION BY conv_id) THEN '> ' || chr(10)
+      ELSE '' END || '> **' || CASE role WHEN 'user' THEN '问题' ELSE '伴读' END || '：** '
+      || replace(content, chr(10), chr(10) || '> ') FROM rd_turns"""
+)
+ORACLE["b5_insert_under_chapter"] = with_tables(
+    f"""SELECT book_id, ord AS heading_ord, 0 AS kind, NULL::INT AS page_index, NULL::VARCHAR AS created_at,
+      NULL::BIGINT AS block_id, md5({_HEAD}) AS digest FROM rd_outline o
+    UNION ALL SELECT DISTINCT book_id, 2000000000, 0, NULL, NULL, NULL, md5('## 我的笔记') FROM rd_outline
+    UNION ALL SELECT m.book_id, coalesce((SELECT min(ord) FROM rd_outline o WHERE o.book_id = m.book_id
+        AND o.title = c.chapter), 2000000000), 1, m.page_index, strftime(m.created_at, '%Y-%m-%d %H:%M:%S'),
+      m.mark_id, md5({block_sql()}) FROM rd_marks m JOIN mark_chapters c ON c.passage_id = m.mark_id""",
+    mark_chapters=ORACLE["o4_note_chapter"][ORACLE["o4_note_chapter"].index("SELECT m.mark_id AS passage_id"):],
+)
+ORACLE["b6_skip_existing_blocks"] = with_tables(
+    """SELECT mark_id, book_id FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM blocks w
+      WHERE w.book_id = b.book_id AND w.block = b.block AND w.mark_id % 7 = 0)""",
+    blocks=f"SELECT mark_id, book_id, {block_sql()} AS block FROM rd_marks",
+)
+
+for _fn in (o4_note_chapter, b1_note_skeleton, b2_missing_headings, b3_mark_block,
+            b4_conversation_block, b5_insert_under_chapter, b6_skip_existing_blocks):
+    QUERIES[_fn.__name__] = _fn

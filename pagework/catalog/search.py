@@ -76,10 +76,12 @@ SELECT book_id * 1000 + ord AS query_id, book_id,
 sql.define("phrases", f"""
 SELECT *, {_PATTERN} AS pattern FROM (SELECT query_id, book_id, {sql.projection('phrase')} AS needle
 FROM search_asks) WHERE needle <> ''""")
+sql.define("line_forms", f"""
+SELECT *, {sql.projection('line')} AS projected FROM rd_lines""")
 sql.define("line_hits", f"""
-SELECT q.query_id, q.book_id, q.pattern, l.page_index, l.line_no, l.line, {fold('l.line')} AS folded
-FROM phrases q JOIN rd_lines l ON l.book_id = q.book_id
-  AND contains({sql.projection('l.line')}, q.needle)""")
+SELECT *, {fold('line')} AS folded FROM (
+  SELECT q.query_id, q.book_id, q.pattern, l.page_index, l.line_no, l.line
+  FROM phrases q JOIN line_forms l ON l.book_id = q.book_id AND contains(l.projected, q.needle))""")
 ORACLE["f1_match_ranges"] = with_tables(
     """SELECT query_id, book_id, page_index, line_no, CAST(sum(p) OVER w + coalesce(sum(m) OVER e, 0) AS INT)
       AS start, CAST(sum(p) OVER w + sum(m) OVER w AS INT) AS stop
@@ -131,23 +133,33 @@ ORACLE["f4_fulltext_search"] = with_tables(
     f"""SELECT query_id, page_index, min(snippet) AS snippet FROM (
       SELECT * FROM direct UNION ALL
       SELECT query_id, page_index, {sql.inlined('text')} FROM (
-        SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_index, chunk_no) AS r
-        FROM (SELECT query_id, book_id, chunk_no, page_index, text, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5))
-            * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))) * least(1.6, 1 + ln(qtf))), 6)
-            AS score
-          FROM terms JOIN chunk_tokens USING (book_id, token) JOIN chunk_df USING (book_id, token)
-          JOIN chunk_lengths USING (book_id, chunk_no)
-          JOIN (SELECT book_id, chunk_no, text FROM chunks) USING (book_id, chunk_no)
-          JOIN (SELECT book_id, count(*) AS n, greatest(1, avg(length)) AS mean_length FROM chunk_lengths
-            GROUP BY ALL) USING (book_id) GROUP BY ALL) s WHERE score > 0) WHERE r <= 30)
+        SELECT s.query_id, page_index, text, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
+          page_index, chunk_no) AS r
+        FROM (SELECT query_id, book_id, chunk_no, round(sum(part), 6) AS score FROM (
+            SELECT query_id, book_id, chunk_no, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 *
+              (0.25 + 0.75 * length / mean_length))) * least(1.6, 1 + ln(qtf)) AS part
+            FROM terms JOIN chunk_tokens USING (book_id, token) JOIN chunk_df USING (book_id, token)
+            JOIN chunk_lengths USING (book_id, chunk_no)
+            JOIN (SELECT book_id, count(*) AS n, greatest(1, avg(length)) AS mean_length FROM chunk_lengths
+              GROUP BY ALL) USING (book_id)
+            UNION ALL SELECT q.query_id, c.book_id, c.chunk_no, c.w FROM silent q JOIN (
+              SELECT book_id, chunk_no, title AS e, 5 AS w FROM chunks WHERE title IS NOT NULL
+              UNION ALL SELECT book_id, chunk_no, unnest(path), 2 FROM chunks) c
+              ON c.book_id = q.book_id AND contains(q.q, lower({sql.inlined('c.e')}))
+            UNION ALL SELECT q.query_id, c.book_id, c.chunk_no, 12 FROM silent q JOIN inline_chunks c
+              ON c.book_id = q.book_id AND length(q.q) >= 8 AND contains(c.t, left(q.q, 160)))
+          GROUP BY ALL) s JOIN chunks USING (book_id, chunk_no) WHERE score > 0) WHERE r <= 30)
     GROUP BY query_id, page_index, lower({sql.inlined('snippet')})""",
     asks="""SELECT * REPLACE (CASE WHEN query_id % 2 = 1 THEN phrase || ' zzqx' ELSE phrase END AS phrase)
       FROM search_asks""",
     wanted=f"""SELECT *, {_PATTERN} AS pattern FROM (SELECT query_id, book_id, {sql.projection('phrase')}
       AS needle FROM asks) WHERE needle <> ''""",
-    page_hits=f"""SELECT q.query_id, q.pattern, p.page_index, p.text FROM wanted q JOIN rd_pages p
-      ON p.book_id = q.book_id AND contains({sql.projection('p.text')}, q.needle)""",
+    page_forms=f"SELECT *, {sql.projection('text')} AS projected FROM rd_pages",
+    page_hits=f"""SELECT q.query_id, q.pattern, p.page_index, p.text FROM wanted q JOIN page_forms p
+      ON p.book_id = q.book_id AND contains(p.projected, q.needle)""",
     direct=snippet_sql("page_hits", "query_id, page_index"),
+    silent=f"""SELECT query_id, book_id, lower({sql.inlined('phrase')}) AS q FROM asks
+      WHERE query_id NOT IN (SELECT query_id FROM direct)""",
     terms=f"""SELECT query_id, book_id, token, count(*) AS qtf FROM (SELECT query_id, book_id,
       unnest({sql.token_list('phrase')}) AS token FROM asks WHERE query_id NOT IN
         (SELECT query_id FROM direct)) GROUP BY ALL""",
