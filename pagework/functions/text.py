@@ -225,31 +225,40 @@ def page_label_token(c: Column | str) -> Column:
     return F.when(direct.rlike("^(?:\\d{1,4}|[ivxlcdm]{1,10})$"), direct).otherwise(suffix)
 
 
-# Roman digits.
+def bound(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times."""
+    return F.transform(F.array(value), body)[0]
+
+
+# Roman digits in rising order.
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 
 
 def roman_value(c: Column | str) -> Column:
-    """Subtractive roman value of a lower-case token: every digit counts its
-    value, and a digit right before a larger one counts negative."""
-    x = col(c)
-    total = F.lit(0)
-    for digit, value in ROMAN.items():
-        total = total + F.regexp_count(x, F.lit(digit)) * value
-    ordered = list(ROMAN)
-    for rank, digit in enumerate(ordered[:-1]):
-        larger = "".join(ordered[rank + 1 :])
-        total = total - F.regexp_count(x, F.lit(f"{digit}(?=[{larger}])")) * 2 * ROMAN[digit]
-    return total
+    """Subtractive roman value of a lower-case token: a digit right before a
+    larger one counts negative."""
+    sizes = F.array(*[F.lit(v) for v in ROMAN.values()])
+    values = F.transform(
+        F.split(col(c), ""), lambda d: F.get(sizes, F.instr(F.lit("".join(ROMAN)), d) - 1)
+    )
+    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("last"))
+
+    def add(state: Column, value: Column) -> Column:
+        taken = F.when(state["last"] < value, 2 * state["last"]).otherwise(0)
+        return F.struct((state["total"] + value - taken).alias("total"), value.alias("last"))
+
+    return F.aggregate(values, start, add, lambda s: s["total"])
 
 
 def printed_page(token: Column) -> Column:
     """N10. ``struct(value, style)`` of a cleaned token, or null."""
-    arabic = token.rlike("^\\d{1,4}$") & (token.cast("int") > 0)
-    roman = token.rlike("^[ivxlcdm]{1,10}$") & (roman_value(token) > 0)
-    value = F.when(arabic, token.cast("int")).when(roman, roman_value(token))
-    style = F.when(arabic, F.lit("arabic")).when(roman, F.lit("roman"))
-    return F.when(arabic | roman, F.struct(value.alias("value"), style.alias("style")))
+    value = F.when(token.rlike("^\\d{1,4}$"), token.try_cast("int")).when(
+        token.rlike("^[ivxlcdm]{1,10}$"), roman_value(token)
+    )
+    style = F.when(token.rlike("^\\d"), "arabic").otherwise("roman")
+    return bound(
+        value, lambda v: F.when(v > 0, F.struct(v.alias("value"), style.alias("style")))
+    )
 
 
 # Chinese numerals.

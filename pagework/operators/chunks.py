@@ -18,11 +18,6 @@ def chunk_source(c: Column | str) -> Column:
     return T.strip(F.regexp_replace(T.single_spaced(c), "\\n{3,}", "\n\n"))
 
 
-def bound(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times inside a fold."""
-    return F.transform(F.array(value), body)[0]
-
-
 def windows(c: Column | str, target: int = TARGET, overlap: int = OVERLAP) -> Column:
     """Array of chunk texts of one segment.
 
@@ -43,7 +38,7 @@ def windows(c: Column | str, target: int = TARGET, overlap: int = OVERLAP) -> Co
         tail = F.substring(rest, target - back + 1, back)
         marked = F.length(F.regexp_extract(tail, "(?s)^.*[.!?。！？\\n]", 0))
         length = F.when(size <= target, size).otherwise(
-            bound(marked, lambda m: F.when(m > 0, m + (target - back)).otherwise(target))
+            T.bound(marked, lambda m: F.when(m > 0, m + (target - back)).otherwise(target))
         )
 
         def advance_by(end: Column) -> Column:
@@ -55,7 +50,7 @@ def windows(c: Column | str, target: int = TARGET, overlap: int = OVERLAP) -> Co
                 F.array_append(out, T.strip(F.substring(rest, F.lit(1), end))).alias("out"),
             )
 
-        return F.when(size == 0, state).otherwise(bound(length, advance_by))
+        return F.when(size == 0, state).otherwise(T.bound(length, advance_by))
 
     start = F.struct(
         x.alias("rest"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagework.functions import text as T
-from pagework.operators.chunks import bound
+from pagework.functions.text import bound
 from pagework.plans.running import top_rows
 
 LONGEST_OVERLAP = 260
