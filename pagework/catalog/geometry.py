@@ -1,2 +1,283 @@
+"""Queries over recognised boxes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagework.catalog import search as CS
+from pagework.catalog import sql
+from pagework.catalog.sql import with_tables
+from pagework.operators import geometry as G
+from pagework.sources import derived as D
+from pagework.sources import store
+
 QUERIES = {}
 ORACLE = {}
+KEY = ["line_no", "word_no", "dup"]
+
+
+def words(spark, sf):
+    return D.words(spark, sf)
+
+
+def single(spark, sf):
+    return words(spark, sf).where("dup = 0")
+
+
+def two_columns(spark, sf):
+    """Odd lines moved to the right half; lines keep their first 100 units."""
+    move = F.when(F.col("line_no") % 2 == 1, 1200).otherwise(0)
+    return single(spark, sf).where("x1 <= 1100").withColumns(
+        {"x0": F.col("x0") + move, "x1": F.col("x1") + move,
+         "y0": F.col("y0") - F.when(F.col("line_no") % 2 == 1, 51).otherwise(0),
+         "y1": F.col("y1") - F.when(F.col("line_no") % 2 == 1, 51).otherwise(0)})
+
+
+def s2_ocr_lines(spark, sf):
+    """The word boxes as a word table on disk, with broken rows."""
+    path = store.new_folder(spark, "tsv")
+    rows = single(spark, sf).select(
+        F.lit(5).alias("level"),
+        (F.col("book_id") * 50 + F.col("page_index")).cast("int").alias("page_num"),
+        F.lit(1).alias("block_num"), F.lit(1).alias("par_num"), F.col("line_no").alias("line_num"),
+        F.col("word_no").alias("word_num"), F.col("x0").alias("left"), F.col("y0").alias("top"),
+        F.when(F.col("word_no") % 13 == 5, 0).otherwise(F.col("x1") - F.col("x0")).alias("width"),
+        (F.col("y1") - F.col("y0")).alias("height"), "conf", "text",
+    )
+    rows.write.option("sep", "\t").option("header", "true").option("quote", "").csv(path)
+    lines = store.ocr_lines(store.read_ocr_tsv(spark, path), ["page_num"])
+    return lines.select("page_num", "line_num", "x0", "y0", "x1", "y1",
+                        F.round("confidence", 6).alias("confidence"), F.md5("text").alias("digest"))
+
+
+def s3_layout_pages(spark, sf):
+    """Every page's first lines as labelled layout blocks, one document a book."""
+    path = store.new_folder(spark, "layout")
+    labels = F.array(*[F.lit(n) for n in ("text", "picture", "title", "list_item")])
+    block = F.struct(
+        F.get(labels, (F.col("line_no") % 4).cast("int")).alias("label"),
+        F.col("line").alias("text"),
+        F.array(F.struct((F.col("page_index") + 1).alias("page_no"))).alias("prov"),
+    )
+    lines = D.lines(spark, sf).where("line_no < 4 AND page_index < 10 AND line <> ''")
+    listed = F.array_sort(F.collect_list(F.struct("page_index", "line_no", block.alias("b"))))
+    docs = lines.groupBy("book_id").agg(F.transform(listed, lambda e: e["b"]).alias("texts"))
+    docs.write.json(path)
+    layout = spark.read.schema("book_id BIGINT, " + store.LAYOUT).json(path)
+    page_map = D.pages(spark, sf).where("page_index < 10").select(
+        "book_id", (F.col("page_index") + 1).alias("position"), "page_index")
+    return store.layout_pages(layout, page_map, "book_id").select(
+        "book_id", "page_index", F.md5("text").alias("digest"))
+
+
+def rounded(*columns):
+    return [F.round(c, 7).alias(c) for c in columns]
+
+
+def g1_normalize_boxes(spark, sf):
+    boxes = G.normalize_boxes(words(spark, sf), 2000, 3200)
+    return boxes.select(*G.PAGE, *KEY, *rounded(*G.BOX))
+
+
+def g2_rotate_boxes(spark, sf):
+    boxes = G.normalize_boxes(single(spark, sf), 2400, 3200)
+    turned = G.rotate_boxes(boxes, (F.col("word_no") % 8 - 4) * 90)
+    return turned.select(*G.PAGE, "line_no", "word_no", *rounded(*G.BOX))
+
+
+def g3_dedupe_boxes(spark, sf):
+    return G.dedupe_boxes(words(spark, sf), KEY).select(*G.PAGE, *KEY)
+
+
+def g4_assemble_rows(spark, sf):
+    return G.assemble_rows(single(spark, sf)).select(
+        *G.PAGE, "row_no", *G.BOX, F.md5("text").alias("digest"))
+
+
+def g5_split_by_gutter(spark, sf):
+    return G.split_rows_by_gutter(two_columns(spark, sf)).select(
+        *G.PAGE, "row_no", "part_no", "x0", "x1", F.md5("text").alias("digest"))
+
+
+def g6_column_order(spark, sf):
+    lines = G.split_rows_by_gutter(two_columns(spark, sf))
+    return G.column_order(lines, 2400).select(*G.PAGE, "place", "column_no", "x0", "y0")
+
+
+def vertical(spark, sf):
+    """Boxes with x and y swapped."""
+    lines = G.split_rows_by_gutter(single(spark, sf).where("line_no < 30"))
+    return lines.select(*G.PAGE, "text", F.col("y0").alias("x0"), F.col("x0").alias("y0"),
+                        F.col("y1").alias("x1"), F.col("x1").alias("y1"))
+
+
+def g7_vertical_order(spark, sf):
+    return G.vertical_order(vertical(spark, sf)).select(*G.PAGE, "place", "x0", "y0")
+
+
+def g8_best_layout(spark, sf):
+    """The printed contents in line order, and in reverse."""
+    rows = D.toc_lines(spark, sf).select("book_id", "page_index", "line_no", F.col("line").alias("text"))
+    a = rows.select(*G.PAGE, F.lit("down").alias("tag"), F.col("line_no").alias("place"), "text")
+    b = rows.select(*G.PAGE, F.lit("up").alias("tag"), (-F.col("line_no")).alias("place"), "text")
+    return G.best_layout(a.unionByName(b))
+
+
+def g9_attach_chapter_label(spark, sf):
+    """Chapter labels split off their contents lines: after the completed line
+    in even books, before it in odd ones."""
+    o = D.outline(spark, sf)
+    shift = F.when(F.col("book_id") % 2 == 0, 1).otherwise(-1)
+    title = o.select("book_id", F.lit(3).alias("page_index"), (F.col("ord") * 10).alias("place"),
+                     F.when(F.col("book_id") % 2 == 0, F.concat(
+                         F.lit("Topic "), F.col("printed_page").cast("string"))).otherwise(
+                         F.concat(F.lit("Topic "), "ord", F.lit(" x"))).alias("text"))
+    label = o.select("book_id", F.lit(3).alias("page_index"),
+                     (F.col("ord") * 10 + shift).alias("place"),
+                     F.concat(F.lit("CHAPTER "), F.col("ord") + 1).alias("text"))
+    boxed = title.unionByName(label).select(
+        *G.PAGE, "place", "text", F.lit(0).alias("x0"), F.col("place").alias("y0"),
+        F.lit(10).alias("x1"), (F.col("place") + 5).alias("y1"), F.lit(1.0).alias("conf"))
+    return G.attach_chapter_label(boxed).select("book_id", "place", "text", "y0", "y1")
+
+
+def g10_merge_fragments(spark, sf):
+    return G.merge_fragments(words(spark, sf).select(*G.PAGE, *G.BOX))
+
+
+def g11_search_hit_boxes(spark, sf):
+    return G.search_hit_boxes(CS.asked(spark, sf), single(spark, sf))
+
+
+def g12_filter_repair_lines(spark, sf):
+    rows = words(spark, sf).withColumn("conf", F.col("conf") / 100)
+    marked = rows.withColumn("text", F.when(
+        F.col("word_no") % 3 == 0, F.concat("text", F.lit("|"), "line_no")
+    ).when(F.col("word_no") % 3 == 1, F.concat("text", F.lit(": "), "line_no")).otherwise(
+        F.concat("text", F.lit("1042"))))
+    return G.filter_repair_lines(marked, 0.75).select(*G.PAGE, *KEY, F.md5("text").alias("digest"))
+
+
+def _share(c: str, size: int) -> str:
+    return f"greatest(0.0, least(1.0, {c} / {size}))"
+
+
+sql.define("boxes", f"""
+SELECT *, {_share('x0', 2400)} AS a0, {_share('y0', 3200)} AS b0, greatest({_share('x0', 2400)},
+  {_share('x1', 2400)}) AS a1, greatest({_share('y0', 3200)}, {_share('y1', 3200)}) AS b1
+FROM rd_words WHERE dup = 0""")
+ORACLE["s2_ocr_lines"] = with_tables(
+    """SELECT CAST(book_id * 50 + page_index AS INT) AS page_num, line_no AS line_num, CAST(min(x0) AS DOUBLE) AS x0,
+      CAST(min(y0) AS DOUBLE) AS y0, CAST(max(x1) AS DOUBLE) AS x1, CAST(max(y1) AS DOUBLE) AS y1,
+      round(avg(conf), 6) AS confidence, md5(string_agg(text, ' ' ORDER BY word_no)) AS digest
+    FROM rd_words WHERE dup = 0 AND word_no % 13 <> 5 GROUP BY ALL"""
+)
+ORACLE["s3_layout_pages"] = with_tables(
+    f"""SELECT book_id, page_index, md5(string_agg(t, chr(10) ORDER BY line_no)) AS digest FROM (
+      SELECT *, {sql.stripped('line')} AS t FROM rd_lines WHERE line_no < 4 AND line_no <> 1 AND page_index < 10)
+    WHERE t <> '' GROUP BY ALL"""
+)
+ORACLE["g1_normalize_boxes"] = with_tables(
+    f"""SELECT book_id, page_index, line_no, word_no, dup, round(a0, 7) AS x0, round(b0, 7) AS y0,
+      round(a1, 7) AS x1, round(b1, 7) AS y1 FROM (SELECT *, {_share('x0', 2000)} AS a0, {_share('y0', 3200)} AS b0,
+        greatest({_share('x0', 2000)}, {_share('x1', 2000)}) AS a1,
+        greatest({_share('y0', 3200)}, {_share('y1', 3200)}) AS b1 FROM rd_words)
+    WHERE a1 - a0 >= 0.0001 AND b1 - b0 >= 0.0001 AND {sql.stripped('text')} <> ''"""
+)
+ORACLE["g2_rotate_boxes"] = with_tables(
+    """SELECT book_id, page_index, line_no, word_no,
+      round(CASE r WHEN 90 THEN 1 - b1 WHEN 180 THEN 1 - a1 WHEN 270 THEN b0 ELSE a0 END, 7) AS x0,
+      round(CASE r WHEN 90 THEN a0 WHEN 180 THEN 1 - b1 WHEN 270 THEN 1 - a1 ELSE b0 END, 7) AS y0,
+      round(CASE r WHEN 90 THEN 1 - b0 WHEN 180 THEN 1 - a0 WHEN 270 THEN b1 ELSE a1 END, 7) AS x1,
+      round(CASE r WHEN 90 THEN a1 WHEN 180 THEN 1 - b0 WHEN 270 THEN 1 - a0 ELSE b1 END, 7) AS y1
+    FROM (SELECT *, ((word_no % 8 - 4) * 90 + 360) % 360 AS r FROM boxes)
+    WHERE a1 - a0 >= 0.0001 AND b1 - b0 >= 0.0001"""
+)
+ORACLE["g3_dedupe_boxes"] = with_tables(
+    """SELECT book_id, page_index, line_no, word_no, dup FROM rd_words a WHERE NOT EXISTS (
+      SELECT 1 FROM rd_words b WHERE b.book_id = a.book_id AND b.page_index = a.page_index
+        AND b.x0 < a.x1 AND b.x1 > a.x0 AND b.y0 < a.y1 AND b.y1 > a.y0
+        AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))
+          / least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) >= 0.72
+        AND (contains(a.text, b.text) OR contains(b.text, a.text))
+        AND (-b.conf, -length(b.text), b.line_no, b.word_no, b.dup)
+          < (-a.conf, -length(a.text), a.line_no, a.word_no, a.dup))"""
+)
+
+
+def rows_sql(source: str) -> str:
+    return f"""
+SELECT *, sum(CASE WHEN y0 - py <= greatest(h, ph) * 0.55 THEN 0 ELSE 1 END) OVER (PARTITION BY book_id,
+  page_index ORDER BY y0, x0, x1, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS row_no
+FROM (SELECT *, y1 - y0 AS h, lag(y0) OVER w AS py, lag(y1 - y0) OVER w AS ph FROM {source}
+  WINDOW w AS (PARTITION BY book_id, page_index ORDER BY y0, x0, x1, text))"""
+
+
+sql.define("single_words", "SELECT * FROM rd_words WHERE dup = 0")
+sql.define("split_words", """
+SELECT * REPLACE (x0 + m * 1200 AS x0, x1 + m * 1200 AS x1, y0 - m * 51 AS y0, y1 - m * 51 AS y1)
+FROM (SELECT *, line_no % 2 AS m FROM rd_words WHERE dup = 0 AND x1 <= 1100)""")
+sql.define("word_rows", rows_sql("single_words"))
+sql.define("split_rows", rows_sql("split_words"))
+sql.define("gutter_parts", """
+SELECT book_id, page_index, CAST(row_no AS BIGINT) AS row_no, CAST(part_no AS BIGINT) AS part_no, min(x0) AS x0,
+  min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(text, ' ' ORDER BY x0, x1, text) AS text
+FROM (SELECT *, sum(CASE WHEN x0 - reach <= greatest(9, fh * 1.35) THEN 0 ELSE 1 END) OVER (PARTITION BY
+    book_id, page_index, row_no ORDER BY x0, x1, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part_no
+  FROM (SELECT *, max(x1) OVER (PARTITION BY book_id, page_index, row_no ORDER BY x0, x1, text
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, first_value(h) OVER (PARTITION BY book_id,
+      page_index, row_no ORDER BY y0, x0, x1, text) AS fh FROM split_rows)) GROUP BY ALL""")
+ORACLE["g4_assemble_rows"] = with_tables(
+    r"""SELECT book_id, page_index, row_no, x0, y0, x1, y1, md5(CASE WHEN len(w) > 2 AND w[len(w)] = w[len(w) - 1]
+      AND regexp_matches(w[len(w)], '^[0-9]{1,4}$') THEN array_to_string(w[1:len(w) - 1], ' ')
+      ELSE array_to_string(w, ' ') END) AS digest
+    FROM (SELECT book_id, page_index, CAST(row_no AS BIGINT) AS row_no, min(x0) AS x0, min(y0) AS y0,
+      max(x1) AS x1, max(y1) AS y1, list(text ORDER BY x0, x1, text) AS w FROM word_rows GROUP BY ALL)"""
+)
+ORACLE["g5_split_by_gutter"] = with_tables(
+    "SELECT book_id, page_index, row_no, part_no, x0, x1, md5(text) AS digest FROM gutter_parts"
+)
+ORACLE["g6_column_order"] = with_tables(
+    """SELECT book_id, page_index, CAST(row_number() OVER (PARTITION BY book_id, page_index ORDER BY column_no, y0, x0,
+      x1, text) AS INT) AS place, column_no, x0, y0 FROM (
+      SELECT *, CASE WHEN NOT coalesce(nl >= 5 AND nr >= 5 AND least(lmax, rmax) > greatest(lmin, rmin), false) THEN 0
+        WHEN narrow AND l THEN 1 WHEN narrow THEN 2 WHEN y0 <= top + greatest(8, abs(top) * 0.01) THEN 0 ELSE 3 END
+        AS column_no
+      FROM (SELECT *, count(*) FILTER (WHERE narrow AND l) OVER w AS nl,
+          count(*) FILTER (WHERE narrow AND NOT l) OVER w AS nr, min(y0) FILTER (WHERE narrow AND l) OVER w AS lmin,
+          max(y0) FILTER (WHERE narrow AND l) OVER w AS lmax, min(y0) FILTER (WHERE narrow AND NOT l) OVER w AS rmin,
+          max(y0) FILTER (WHERE narrow AND NOT l) OVER w AS rmax, min(y0) FILTER (WHERE narrow) OVER w AS top
+        FROM (SELECT *, x1 - x0 < 2400 * 0.58 AS narrow, (x0 + x1) / 2 < 1200 AS l FROM gutter_parts)
+        WINDOW w AS (PARTITION BY book_id, page_index)))"""
+)
+ORACLE["g8_best_layout"] = with_tables(
+    r"""SELECT book_id, page_index, max_by(tag, (score, tag)) AS tag, max(score) AS score FROM (
+      SELECT book_id, page_index, tag, round(count(p) * 5 + coalesce(sum(CAST(p >= prev AS INT)), 0)
+        / greatest(count(p) - 1, 1) * 8, 6) AS score
+      FROM (SELECT *, lag(p) OVER (PARTITION BY book_id, tag ORDER BY place) AS prev FROM (
+        SELECT *, CAST(regexp_extract(line, '(?:^|[/／.·…:\s])\s*([0-9]{1,4})\s*$', 1) AS INT) AS p FROM (
+          SELECT book_id, page_index, 'down' AS tag, line_no AS place, line FROM rd_toc_lines
+          UNION ALL SELECT book_id, page_index, 'up', -line_no, line FROM rd_toc_lines)
+        WHERE regexp_matches(line, '(?:^|[/／.·…:\s])\s*([0-9]{1,4})\s*$'))) GROUP BY ALL) GROUP BY ALL"""
+)
+ORACLE["g9_attach_chapter_label"] = with_tables(
+    """SELECT book_id, CASE WHEN book_id % 2 = 0 THEN ord * 10 ELSE ord * 10 - 1 END AS place,
+      'CHAPTER ' || (ord + 1) || ' Topic ' || CASE WHEN book_id % 2 = 0 THEN '' || printed_page
+        ELSE ord || ' x' END AS text,
+      CASE WHEN book_id % 2 = 0 THEN ord * 10 ELSE ord * 10 - 1 END AS y0,
+      CASE WHEN book_id % 2 = 0 THEN ord * 10 + 6 ELSE ord * 10 + 5 END AS y1 FROM rd_outline"""
+)
+ORACLE["g12_filter_repair_lines"] = with_tables(
+    r"""SELECT book_id, page_index, line_no, word_no, dup, md5(CASE word_no % 3
+      WHEN 0 THEN CASE WHEN regexp_matches(text, '[0-9]$') THEN text || '|' || line_no ELSE text || ' / ' || line_no END
+      WHEN 1 THEN text || ' ' || line_no
+      ELSE CASE WHEN regexp_matches(text, '[^0-9\s][iIlL|]$') THEN left(text, length(text) - 1) || ' / 1042'
+        WHEN regexp_matches(text, '[0-9]$') THEN text || '1042' ELSE text || ' 1042' END END) AS digest
+    FROM rd_words WHERE conf >= 75"""
+)
+
+for _fn in (s2_ocr_lines, s3_layout_pages, g1_normalize_boxes, g2_rotate_boxes, g3_dedupe_boxes,
+            g4_assemble_rows, g5_split_by_gutter, g6_column_order, g7_vertical_order,
+            g8_best_layout, g9_attach_chapter_label, g10_merge_fragments, g11_search_hit_boxes,
+            g12_filter_repair_lines):
+    QUERIES[_fn.__name__] = _fn

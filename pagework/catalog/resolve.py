@@ -201,14 +201,14 @@ SELECT book_id, ord, CAST(CASE WHEN front THEN least(raw, 2) ELSE greatest(raw,
 sql.define("given_anchors", """
 SELECT book_id, segment, ord, printed_page, page_index AS page FROM restart_segments WHERE ord % 3 = 1""")
 ORACLE["r7_estimate_page"] = with_tables(estimate_sql("restart_segments", "given_anchors"))
-_RESOLVED = f"""SELECT book_id, ord, title, page_index, level FROM (SELECT *, row_number() OVER (
+_RESOLVED = lambda page, joins: f"""SELECT book_id, ord, title, page_index, level FROM (SELECT *, row_number() OVER (
     PARTITION BY book_id, {sql.key('title')}, page_index ORDER BY ord) AS copy FROM (
   SELECT r.book_id, r.ord, {sql.stripped('r.title')} AS title, r.level,
-    CAST(least(greatest({{page}}, 0), b.n_pages - 1) AS INT) AS page_index
-  FROM rd_outline r JOIN book_sizes b USING (book_id) {{joins}})
-  WHERE length(title) BETWEEN 2 AND 180) WHERE copy = 1"""
+    CAST(least(greatest({page}, 0), b.n_pages - 1) AS INT) AS page_index
+  FROM rd_outline r JOIN page_totals b USING (book_id) {joins})
+  WHERE length(title) BETWEEN 2 AND 180) WHERE copy = 1"""
 ORACLE["r8_resolve_with_labels"] = with_tables(
-    _RESOLVED.format(page="r.printed_page + 3", joins="")
+    _RESOLVED(page="r.printed_page + 3", joins="")
 )
 sql.define("one_segment", "SELECT *, 0 AS segment FROM rd_outline")
 sql.define("found_anchors", """
@@ -216,7 +216,7 @@ SELECT p.book_id, 0 AS segment, p.ord, o.printed_page, p.anchor AS page FROM anc
 JOIN rd_outline o USING (book_id, ord)""")
 sql.define("estimates", estimate_sql("one_segment", "found_anchors"))
 ORACLE["r8_resolve_outline"] = with_tables(
-    _RESOLVED.format(
+    _RESOLVED(
         page="coalesce(p.anchor, e.estimate)",
         joins="LEFT JOIN anchor_picks p USING (book_id, ord) LEFT JOIN estimates e USING (book_id, ord)",
     )

@@ -1,2 +1,119 @@
+"""Queries over the streaming operators, each run over files until no new one
+is left (X1-X4)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagework.catalog import outline as _outline
+from pagework.catalog import sql
+from pagework.catalog.sql import with_tables
+from pagework.plans.stage import shared_folder
+from pagework.sources import derived as D
+from pagework.sources import store
+from pagework.streaming import streams as X
+
 QUERIES = {}
 ORACLE = {}
+
+
+def replay(rows, order, files=3):
+    """``rows`` as a stream of a few files in order."""
+    spark = rows.sparkSession
+    path = store.new_folder(spark, "replay")
+    rows.repartitionByRange(files, order).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def folder(spark, label):
+    shared_folder(spark)
+    return store.new_folder(spark, label)
+
+
+def x1_transcript_stream(spark, sf):
+    stream = X.transcript_stream(replay(D.speech(spark, sf), "seq"))
+    path = folder(spark, "transcripts")
+    X.run_available(stream, "update", folder(spark, "checkpoint"),
+                    lambda batch, _: X.upsert(batch, path, ["session_id"]))
+    return spark.read.parquet(path).select("session_id", "text", "last_seq")
+
+
+def deltas(spark, sf):
+    """Answers cut into words; the last piece names the reason to stop."""
+    a = D.turns(spark, sf).where("role = 'assistant'")
+    words = F.split("content", "(?<= )")
+    return a.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
+        F.posexplode(words).alias("seq", "delta"), F.size(words).alias("n"),
+    ).select(
+        "request_id", "seq", "delta",
+        F.when(F.col("seq") == F.col("n") - 1,
+               F.when(F.col("request_id") % 5 == 0, "length").otherwise("stop")).alias("finish"),
+    )
+
+
+def x2_join_deltas(spark, sf):
+    return X.join_deltas(deltas(spark, sf)).select(
+        "request_id", "failed", F.md5("text").alias("digest"))
+
+
+def x2_delta_stream(spark, sf):
+    stream = X.delta_stream(replay(deltas(spark, sf), "seq"))
+    path = folder(spark, "answers")
+    X.run_available(stream, "append", folder(spark, "checkpoint"),
+                    lambda batch, _: X.upsert(batch, path, ["request_id"]))
+    return spark.read.parquet(path).select("request_id", "failed", F.md5("text").alias("digest"))
+
+
+def x3_activity_stream(spark, sf):
+    """Every tenth event is delivered twice."""
+    events = D.activity(spark, sf)
+    rows = events.unionByName(events.where("event_id % 10 = 0"))
+    stream = X.activity_stream(replay(rows, "ts"))
+    path = folder(spark, "activity")
+    X.run_available(stream, "update", folder(spark, "checkpoint"),
+                    lambda batch, _: X.upsert(batch, path, ["user_id", "book_id"]))
+    return spark.read.parquet(path).select(
+        "user_id", "book_id", F.col("opened.event_id").alias("opened_event"),
+        F.col("seen.page_index").alias("page_index"), "toggles")
+
+
+def x4_index_stream(spark, sf):
+    """All pages, then a second version of every tenth and an unchanged copy of
+    every seventh one."""
+    pages = D.pages(spark, sf).select("book_id", "page_index", "doc_id", "text")
+    first = pages.withColumn("version", F.lit(1))
+    changed = pages.where("doc_id % 10 = 0").withColumns(
+        {"version": F.lit(2), "text": F.concat(F.lit("Changed. "), "text")})
+    same = pages.where("doc_id % 7 = 0 AND doc_id % 10 <> 0").withColumn("version", F.lit(2))
+    rows = first.unionByName(changed).unionByName(same).drop("doc_id")
+    stream = replay(rows, "version")
+    chunk_path, manifest_path = folder(spark, "chunks"), folder(spark, "manifest")
+    X.run_available(stream, "append", folder(spark, "checkpoint"),
+                    lambda batch, i: X.index_batch(batch, chunk_path, manifest_path, i))
+    return X.current_chunks(spark, chunk_path, manifest_path).groupBy("book_id", "page_index").agg(
+        F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
+
+
+_DELTAS = """SELECT conv_id * 1000 + turn AS request_id, (conv_id * 1000 + turn) % 5 = 0 AS failed,
+  md5(content) AS digest FROM rd_turns WHERE role = 'assistant'"""
+ORACLE["x2_join_deltas"] = with_tables(_DELTAS)
+ORACLE["x2_delta_stream"] = with_tables(_DELTAS)
+ORACLE["x3_activity_stream"] = with_tables(
+    """SELECT user_id, book_id, max_by(event_id, (ts, event_id)) FILTER (WHERE action = 'open') AS opened_event,
+      max_by(page_index, (ts, event_id)) FILTER (WHERE action IN ('open', 'navigate')) AS page_index,
+      count(*) FILTER (WHERE action = 'toggle_bookmark') AS toggles
+    FROM rd_activity GROUP BY ALL"""
+)
+sql.define("version_pages", f"""
+SELECT book_id, page_index, 0 AS seg_no, {_outline.chunk_text("CASE WHEN doc_id % 10 = 0 THEN 'Changed. ' || text ELSE text END")}
+  AS text FROM rd_pages""")
+sql.define("version_chunks", _outline.cut_sql("version_pages"))
+ORACLE["x4_index_stream"] = with_tables(
+    "SELECT book_id, page_index, count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS n_chars "
+    "FROM version_chunks GROUP BY ALL"
+)
+
+for _fn in (x1_transcript_stream, x2_join_deltas, x2_delta_stream, x3_activity_stream,
+            x4_index_stream):
+    QUERIES[_fn.__name__] = _fn
