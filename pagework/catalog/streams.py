@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagework.catalog import outline as _outline
 from pagework.catalog import sql
 from pagework.catalog.sql import with_tables
-from pagework.plans.stage import shared_folder
+from pagework.plans.stage import shared_folder, stage
 from pagework.sources import derived as D
 from pagework.sources import store
 from pagework.streaming import streams as X
@@ -18,10 +18,15 @@ ORACLE = {}
 
 
 def replay(rows, order, files=3):
-    """``rows`` as a stream of a few files in order."""
+    """``rows`` as a stream of a few files, written one after the other in
+    order so that they also arrive in order."""
     spark = rows.sparkSession
     path = store.new_folder(spark, "replay")
-    rows.repartitionByRange(files, order).write.parquet(path)
+    ranged = stage(
+        rows.repartitionByRange(files, order).withColumn("_file", F.spark_partition_id()), "ranged"
+    )
+    for i in range(files):
+        ranged.where(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -67,7 +72,7 @@ def x2_delta_stream(spark, sf):
 
 def x3_activity_stream(spark, sf):
     """Every tenth event is delivered twice."""
-    events = D.activity(spark, sf)
+    events = D.activity(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     rows = events.unionByName(events.where("event_id % 10 = 0"))
     stream = X.activity_stream(replay(rows, "ts"))
     path = folder(spark, "activity")
