@@ -54,7 +54,7 @@ def o2_chapter_for_passage(spark, sf):
 def o3_page_segments(spark, sf):
     source = D.pages(spark, sf).select(
         "book_id", "page_index", K.chunk_source("text").alias("text")
-    ).where("text <> ''")
+    )
     segments = O.page_segments(source, O.outline_paths(D.outline(spark, sf)))
     return segments.select(
         "book_id", "page_index", "seg_no", joined("path"), F.md5("text").alias("digest")

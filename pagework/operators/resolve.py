@@ -108,13 +108,12 @@ def title_candidates(entries: DataFrame, pages: DataFrame, toc_pages: DataFrame)
     keyed = stage(
         searchable.select(
             "book_id", "page_index", "text", head_key("text").alias("head"),
-            T.comparison_key("text").alias("key"),
         ).where("head <> ''"),
         "page-keys",
     )
     whole = contains_pairs(
-        needles, keyed.select("book_id", "page_index", F.col("key").alias("text")),
-        ["book_id"], ["page_index"],
+        needles, keyed.select("book_id", "page_index", "text"), ["book_id"], ["page_index"],
+        T.comparison_key,
     )
     heads = keyed.select("book_id", "page_index", "head")
     near = similar_pairs(needles.where("length(needle) > 3"), heads)

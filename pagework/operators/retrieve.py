@@ -55,10 +55,10 @@ def title_hits(asks: DataFrame, chunks: DataFrame, form) -> DataFrame:
                 F.when(F.col("chapter_title").isNotNull(), F.array("chapter_title")).otherwise(
                     F.expr("cast(array() as array<string>)"))))).alias("title"))
         .distinct()
-        .withColumn("needle", form("title"))
     )
-    texts = asks.select("book_id", "query_id", form("query").alias("text"))
-    pairs = contains_pairs(titles, texts, ["book_id"], ["query_id"])
+    titles = stage(titles, "titles").withColumn("needle", form("title"))
+    texts = asks.select("book_id", "query_id", F.col("query").alias("text"))
+    pairs = contains_pairs(titles, texts, ["book_id"], ["query_id"], form)
     return pairs.join(titles, ["book_id", "needle"]).select("query_id", "book_id", "title")
 
 
@@ -68,10 +68,8 @@ def phrase_hits(asks: DataFrame, chunks: DataFrame, form) -> DataFrame:
     needles = asks.select("query_id", "book_id", form("query").alias("_q")).where(
         F.length("_q") >= 8
     ).select("query_id", "book_id", F.left("_q", F.lit(160)).alias("needle"))
-    texts = chunks.join(asks.select("book_id").distinct(), "book_id", "left_semi").select(
-        "book_id", "chunk_no", form("text").alias("text")
-    )
-    pairs = contains_pairs(needles, texts, ["book_id"], ["chunk_no"])
+    texts = chunks.select("book_id", "chunk_no", "text")
+    pairs = contains_pairs(needles, texts, ["book_id"], ["chunk_no"], form)
     return pairs.join(needles, ["book_id", "needle"]).select("query_id", "book_id", "chunk_no")
 
 

@@ -13,6 +13,7 @@ from pagework.functions import text as T
 from pagework.operators import retrieve as Q
 from pagework.plans.containment import contains_pairs
 from pagework.plans.running import keep_first, top_rows
+from pagework.plans.stage import stage
 
 GAP = "[^\\p{L}\\p{N}]*"
 BOUNDARY = ".。!?！？；;"
@@ -28,10 +29,8 @@ def matching_rows(asks: DataFrame, texts: DataFrame, text_id: list[str]) -> Data
     """(query_id, book_id, text_id, needle) where the projection of the text
     contains the projection of the phrase.  ``texts`` has book_id, text_id, text."""
     wanted = needles(asks)
-    projected = texts.join(wanted.select("book_id").distinct(), "book_id", "left_semi").select(
-        "book_id", *text_id, T.search_projection("text").alias("text")
-    )
-    pairs = contains_pairs(wanted, projected, ["book_id"], text_id)
+    raw = texts.select("book_id", *text_id, "text")
+    pairs = contains_pairs(wanted, raw, ["book_id"], text_id, T.search_projection)
     return pairs.join(wanted, ["book_id", "needle"])
 
 
@@ -93,7 +92,7 @@ def sentence_hits(asks: DataFrame, pages: DataFrame) -> DataFrame:
     """F2. Matching sentences in reading order; a report of the first 500."""
     key = ["page_index", "sentence_no"]
     asked = pages.join(needles(asks).select("book_id").distinct(), "book_id", "left_semi")
-    rows = sentences(asked)
+    rows = stage(sentences(asked), "sentences")
     hits = matching_rows(asks, rows, key)
     first = top_rows(hits, ["query_id"], key, SENTENCE_LIMIT)
     return first.join(rows, ["book_id", *key]).select(
@@ -136,16 +135,16 @@ def fulltext_search(asks: DataFrame, pages: DataFrame, chunks: DataFrame) -> Dat
     key = ["page_index"]
     hits = matching_rows(asks, pages.select("book_id", "page_index", "text"), key)
     found = snippet(hits.join(pages.select("book_id", "page_index", "text"), ["book_id", *key]))
-    direct = found.select(
-        "query_id", "book_id", "page_index", "snippet"
-    )
+    # Read by the fallback's gate and by the result.
+    direct = stage(found.select("query_id", "book_id", "page_index", "snippet"), "direct")
     silent = asks.join(direct.select("query_id").distinct(), "query_id", "left_anti")
-    silent = silent.select("query_id", "book_id", F.col("phrase").alias("query"))
+    silent = stage(silent.select("query_id", "book_id", F.col("phrase").alias("query")), "silent")
     ranked = Q.retrieve(silent, chunks, FALLBACK_LIMIT).select(
         "query_id", "book_id", "chunk_no"
     )
     guessed = ranked.join(
         chunks.select("book_id", "chunk_no", "page_index", "text"), ["book_id", "chunk_no"]
     ).select("query_id", "book_id", "page_index", T.inline("text").alias("snippet"))
-    both = direct.unionByName(guessed).withColumn("_key", F.lower(T.inline("snippet")))
+    both = stage(direct.unionByName(guessed), "hits")
+    both = both.withColumn("_key", F.lower(T.inline("snippet")))
     return keep_first(both, ["query_id", "page_index", "_key"], ["snippet"]).drop("_key")

@@ -180,8 +180,8 @@ def infer_toc_pages(entries: DataFrame, pages: DataFrame, profiles: DataFrame,
                     detected: DataFrame) -> DataFrame:
     """T4. Pages that name many known titles, and their neighbours that name one."""
     needles = title_keys(entries)
-    texts = pages.select("book_id", "page_index", T.comparison_key("text").alias("text"))
-    pairs = contains_pairs(needles, texts, ["book_id"], ["page_index"])
+    texts = pages.select("book_id", "page_index", "text")
+    pairs = contains_pairs(needles, texts, ["book_id"], ["page_index"], T.comparison_key)
     matches = pairs.join(needles, ["book_id", "needle"]).groupBy("book_id", "page_index").agg(
         F.countDistinct("ord").alias("matches")
     )

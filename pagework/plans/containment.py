@@ -10,7 +10,7 @@ of all positions, but only where a needle of that kind exists.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,12 +47,14 @@ def contains_pairs(
     texts: DataFrame,
     keys: Sequence[str],
     text_id: Sequence[str],
+    form: Callable[[str], Column] = F.col,
 ) -> DataFrame:
     """(keys, needle, text_id) for every text that contains the needle.
 
     ``needles`` has the keys and ``needle``; ``texts`` has the keys, the
-    identifying columns and ``text``.  Keys may be empty of repeats or not:
-    needles are made distinct first.
+    identifying columns and ``text``.  ``form`` turns the raw text into the one
+    that is searched; it is applied while grams are offered and once more to
+    the few candidates, so the searched form of all texts is never shuffled.
     """
     keys, text_id = list(keys), list(text_id)
     kind, gram = _anchor(F.col("needle"))
@@ -66,8 +68,11 @@ def contains_pairs(
     # At most five kinds per key, whatever the number of needles.
     kinds = anchored.groupBy(*keys).agg(F.collect_set("_kind").alias("_kinds"))
     offered = texts.join(kinds, keys).select(
-        *keys, *text_id, F.explode(_grams(F.col("text"), F.col("_kinds"))).alias("_gram")
+        *keys, *text_id, "_kinds", form("text").alias("_searched")
+    )
+    offered = offered.select(
+        *keys, *text_id, F.explode(_grams(F.col("_searched"), F.col("_kinds"))).alias("_gram")
     )
     candidates = offered.join(anchored.drop("_kind"), [*keys, "_gram"]).drop("_gram")
     checked = candidates.join(texts.select(*keys, *text_id, "text"), [*keys, *text_id])
-    return checked.where(F.contains("text", "needle")).select(*keys, "needle", *text_id)
+    return checked.where(F.contains(form("text"), F.col("needle"))).select(*keys, "needle", *text_id)

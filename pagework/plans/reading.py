@@ -19,7 +19,6 @@ def build_chunks(pages: DataFrame, outline: DataFrame | None) -> DataFrame:
     statistics, expansion, packing) reads a different part of it.
     """
     source = pages.select("book_id", "page_index", K.chunk_source("text").alias("text"))
-    source = source.where("text <> ''")
     if outline is None:
         none = F.expr("cast(array() as array<string>)")
         segments = source.withColumn("seg_no", F.lit(0)).withColumn("path", none)
