@@ -361,6 +361,11 @@ ORACLE["t13_infer_levels"] = with_tables(
     FROM (SELECT *, CAST(bool_or(book_id % 2 = 0 AND ord % 4 = 0) OVER (PARTITION BY book_id) AS INT) AS part,
       CAST(bool_or(ord % 4 = 1) OVER (PARTITION BY book_id) AS INT) AS chapter FROM rd_outline)"""
 )
+ORACLE["t15_pair_pages"] = with_tables(
+    """SELECT book_id, ord, CASE WHEN ord < 5 THEN printed_page + 30
+      WHEN book_id % 2 = 1 THEN [1, 2, 3, 5, NULL][ord - 4] ELSE ord - 4 END AS printed_page,
+      book_id % 2 AS missing, 2 - 2 * (book_id % 2) AS surplus FROM rd_outline"""
+)
 ORACLE["t18_outline_plausible"] = with_tables(
     "SELECT DISTINCT book_id, book_id % 2 = 0 AND u >= 0.35 AND d < 0.45 AS plausible FROM rates",
     rates=r"""SELECT book_id, count(DISTINCT lower(trim(title))) / count(*) AS u, count(*) FILTER (WHERE
