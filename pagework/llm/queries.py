@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers as tokenizers
 
-from pagework.llm import bpe, counts
-from pagework.llm.common import table
+from pyspark.sql import functions as F
+
+from pagework.llm import bpe, counts, decontaminate, toxicity
+from pagework.llm.common import id_hash, table
 
 QUERIES = {}
 ORACLE = {}
@@ -16,6 +18,17 @@ def op1_bpe_round_trip(spark, sf):
     return bpe.round_trip(table(spark, sf, "documents"), path, tokenizers.PATTERN)
 
 
+def op2_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf, "labels"), id_hash() % 4 != 2)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (id_hash() % 4 == 2).alias("held_out"), F.col("score"), "predicted")
+
+
+def op3_decontamination(spark, sf):
+    return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op4_token_counts(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     counted = counts.count_tokens(docs, tokenizers.path("byte_bpe_50k.json"))
@@ -23,4 +36,6 @@ def op4_token_counts(spark, sf):
 
 
 QUERIES["op1_bpe_round_trip"] = op1_bpe_round_trip
+QUERIES["op2_toxicity"] = op2_toxicity
+QUERIES["op3_decontamination"] = op3_decontamination
 QUERIES["op4_token_counts"] = op4_token_counts
