@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 
 from pyspark.sql import functions as F
 
-from pagework.llm import bpe, counts, decontaminate, toxicity
+from pagework.llm import bpe, counts, decontaminate, simhash, toxicity
 from pagework.llm.common import id_hash, table
 
 QUERIES = {}
@@ -35,7 +35,13 @@ def op4_token_counts(spark, sf):
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_simhash(spark, sf):
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", simhash.hexadecimal("simhash").alias("fingerprint"), "component_id")
+
+
 QUERIES["op1_bpe_round_trip"] = op1_bpe_round_trip
 QUERIES["op2_toxicity"] = op2_toxicity
 QUERIES["op3_decontamination"] = op3_decontamination
 QUERIES["op4_token_counts"] = op4_token_counts
+QUERIES["op6_simhash"] = op6_simhash
