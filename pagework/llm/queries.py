@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 
 from pyspark.sql import functions as F
 
-from pagework.llm import bpe, counts, decontaminate, simhash, toxicity
+from pagework.llm import bpe, counts, decontaminate, search, simhash, toxicity
 from pagework.llm.common import id_hash, table
 
 QUERIES = {}
@@ -40,8 +40,25 @@ def op6_simhash(spark, sf):
     return found.select("doc_id", simhash.hexadecimal("simhash").alias("fingerprint"), "component_id")
 
 
+def op8_top_k(spark, sf):
+    return search.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op8_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                  list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
 QUERIES["op1_bpe_round_trip"] = op1_bpe_round_trip
 QUERIES["op2_toxicity"] = op2_toxicity
 QUERIES["op3_decontamination"] = op3_decontamination
 QUERIES["op4_token_counts"] = op4_token_counts
 QUERIES["op6_simhash"] = op6_simhash
+QUERIES["op8_top_k"] = op8_top_k
