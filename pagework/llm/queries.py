@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 
 from pyspark.sql import functions as F
 
-from pagework.llm import bpe, counts, decontaminate, search, simhash, toxicity
+from pagework.llm import bpe, counts, decontaminate, lm, search, simhash, toxicity
 from pagework.llm.common import id_hash, table
 
 QUERIES = {}
@@ -40,6 +40,11 @@ def op6_simhash(spark, sf):
     return found.select("doc_id", simhash.hexadecimal("simhash").alias("fingerprint"), "component_id")
 
 
+def op7_language_model(spark, sf):
+    scored = lm.scored(table(spark, sf, "documents"), id_hash() % 7 != 2)
+    return scored.withColumn("held_out", id_hash() % 7 == 2)
+
+
 def op8_top_k(spark, sf):
     return search.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -61,4 +66,5 @@ QUERIES["op2_toxicity"] = op2_toxicity
 QUERIES["op3_decontamination"] = op3_decontamination
 QUERIES["op4_token_counts"] = op4_token_counts
 QUERIES["op6_simhash"] = op6_simhash
+QUERIES["op7_language_model"] = op7_language_model
 QUERIES["op8_top_k"] = op8_top_k
