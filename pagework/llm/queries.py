@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 
 from pyspark.sql import functions as F
 
-from pagework.llm import bpe, counts, decontaminate, lm, search, simhash, toxicity
+from pagework.llm import bpe, counts, decontaminate, lm, pii, search, simhash, toxicity
 from pagework.llm.common import id_hash, table
 
 QUERIES = {}
@@ -35,6 +35,10 @@ def op4_token_counts(spark, sf):
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_pii(spark, sf):
+    return pii.digest(table(spark, sf, "documents"))
+
+
 def op6_simhash(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", simhash.hexadecimal("simhash").alias("fingerprint"), "component_id")
@@ -65,6 +69,7 @@ QUERIES["op1_bpe_round_trip"] = op1_bpe_round_trip
 QUERIES["op2_toxicity"] = op2_toxicity
 QUERIES["op3_decontamination"] = op3_decontamination
 QUERIES["op4_token_counts"] = op4_token_counts
+QUERIES["op5_pii"] = op5_pii
 QUERIES["op6_simhash"] = op6_simhash
 QUERIES["op7_language_model"] = op7_language_model
 QUERIES["op8_top_k"] = op8_top_k
