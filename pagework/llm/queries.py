@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 
 from pyspark.sql import functions as F
 
-from pagework.llm import bpe, counts, decontaminate, lm, pii, search, simhash, toxicity
+from pagework.llm import bpe, counts, decontaminate, licenses, lm, pii, search, simhash, toxicity
 from pagework.llm.common import id_hash, table
 
 QUERIES = {}
@@ -65,6 +65,10 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, CAST(score AS BIGINT) AS sco
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
+def op10_license_scan(spark, sf):
+    return licenses.report(table(spark, sf, "documents"), licenses.notices(spark))
+
+
 QUERIES["op1_bpe_round_trip"] = op1_bpe_round_trip
 QUERIES["op2_toxicity"] = op2_toxicity
 QUERIES["op3_decontamination"] = op3_decontamination
@@ -73,3 +77,4 @@ QUERIES["op5_pii"] = op5_pii
 QUERIES["op6_simhash"] = op6_simhash
 QUERIES["op7_language_model"] = op7_language_model
 QUERIES["op8_top_k"] = op8_top_k
+QUERIES["op10_license_scan"] = op10_license_scan
