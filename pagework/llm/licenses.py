@@ -2,12 +2,12 @@
 
 Templates are cut into pieces of at most nine shingles.  A run of t shingles lies
 wholly in one of the windows of 2s shingles that start every s shingles if
-t <= s + 1, so pieces of 6 to 9 shingles look at windows of 16 that start every
-8, pieces of 3 to 5 at windows of 8 that start every 4, and shorter ones at single
-shingles.  A piece and its window are then at least 3/8 alike, and with 10 bands
-of one row they share a band with probability 1 - (5/8)^10 = 0.991 or more; longer
-templates have several pieces.  Window minima are made of block minima, so every
-shingle is visited once per band.
+t <= s + 1, so pieces of 6 to 9 shingles look at windows of 16 that start every 8;
+piece and window are then at least 3/8 alike and share one of 10 bands of one row
+with probability 1 - (5/8)^10 = 0.991 or more, and longer templates have several
+pieces.  Shorter pieces look at windows of one shingle, whose minimum is the
+shingle itself, so they are always retrieved.  Window minima are made of block
+minima: every shingle is visited once per band.
 
 Templates of a shared band are retrieved and verified: the share of the
 template's distinct shingles that the document holds must reach ``least``.
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 BANDS = 10
 LEAST = 0.8
-BLOCK = 4  # shingles whose minima are taken at once
+BLOCK = 8  # shingles whose minima are taken at once; a window is two blocks
 PIECE = 9
+SHORT = 5  # pieces up to this size look at single shingles
 KEYS_AT_ONCE = 20_000  # band keys that one pass over the documents looks for
 
 # Notices that are looked for by default: (template_id, text).
@@ -90,8 +91,8 @@ def _template_blocks(templates: DataFrame) -> Iterator[list[tuple[str, list[int]
         if not found:
             continue
         pieces = list(_pieces(found))
-        short = [x for p in pieces if len(p) <= 2 for x in p]
-        keys = sorted({*short, *[key for p in pieces if len(p) > 2 for key in _minima(p)]})
+        short = [x for p in pieces if len(p) <= SHORT for x in p]
+        keys = sorted({*short, *[key for p in pieces if len(p) > SHORT for key in _minima(p)]})
         if block and size + len(keys) > KEYS_AT_ONCE:
             yield block
             block, size = [], 0
@@ -105,6 +106,11 @@ def _longs(values: list[int]) -> Column:
     return F.expr("array(" + ",".join(f"{v}L" if v > -(1 << 63) else "(-9223372036854775807L - 1L)" for v in values) + ")")
 
 
+def _among(keys: list[int]):
+    """Membership in a set that is built once, not per row."""
+    return lambda x: x.isin(keys)
+
+
 def scan(docs: DataFrame, templates: DataFrame, least: float = LEAST, text: str = "text") -> DataFrame:
     """Append ``licenses``: (template_id, containment) of every template that a
     window retrieves and of whose shingles the document holds ``least`` or more,
@@ -136,17 +142,15 @@ def scan(docs: DataFrame, templates: DataFrame, least: float = LEAST, text: str
 
     out = out.select(*kept, "__shingles", *[block_minima(s).alias(f"__b{b}") for b, s in enumerate(_seeds())])
 
-    def next_to(name: str, step: int) -> Column:
-        return F.transform(name, lambda x, i: F.least(x, F.get(name, i + step)))
-
-    out = out.select(*kept, "__shingles", *[next_to(f"__b{b}", 1).alias(f"__w{b}") for b in range(BANDS)])
-    # Windows of 16 start every 8 shingles; those at odd blocks do no harm.
-    out = out.select(*kept, "__shingles", *[f"__w{b}" for b in range(BANDS)], *[next_to(f"__w{b}", 2).alias(f"__v{b}") for b in range(BANDS)])
+    def window_minima(band: str) -> Column:
+        return F.transform(band, lambda x, i: F.least(x, F.get(band, i + 1)))
 
+    minima = [window_minima(f"__b{b}") for b in range(BANDS)]
+    out = out.select(*kept, "__shingles", F.concat("__shingles", *minima).alias("__minima"))
     hits = [F.expr("cast(array() as array<bigint>)")]
     for block in blocks:
-        keys = _longs(sorted({key for _, _, own_keys in block for key in own_keys}))
-        hits += [F.array_intersect(F.col(c), keys) for c in ("__shingles", *[f"__{x}{b}" for b in range(BANDS) for x in "wv"])]
+        keys = sorted({key for _, _, own_keys in block for key in own_keys})
+        hits.append(F.filter("__minima", _among(keys)))
     out = out.select(*kept, "__shingles", F.array_distinct(F.concat(*hits)).alias("__hits"))
 
     found = [F.expr(f"cast(array() as {kind})")]
