@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 
 from pyspark.sql import functions as F
 
-from pagework.llm import bpe, counts, decontaminate, licenses, lm, pii, search, simhash, toxicity
+from pagework.llm import bpe, counts, decontaminate, licenses, linededup, lm, pii, search, simhash, toxicity
 from pagework.llm.common import id_hash, table
 
 QUERIES = {}
@@ -65,6 +65,12 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, CAST(score AS BIGINT) AS sco
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
+def op9_line_dedup(spark, sf):
+    done = linededup.dedup(table(spark, sf, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return done.select("doc_id", "removed_words", F.length(text).cast("bigint").alias("n_chars"), F.sha2(F.encode(text, "UTF-8"), 256).alias("text_sha256"))
+
+
 def op10_license_scan(spark, sf):
     return licenses.report(table(spark, sf, "documents"), licenses.notices(spark))
 
@@ -77,4 +83,5 @@ QUERIES["op5_pii"] = op5_pii
 QUERIES["op6_simhash"] = op6_simhash
 QUERIES["op7_language_model"] = op7_language_model
 QUERIES["op8_top_k"] = op8_top_k
+QUERIES["op9_line_dedup"] = op9_line_dedup
 QUERIES["op10_license_scan"] = op10_license_scan
