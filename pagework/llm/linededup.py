@@ -1,7 +1,7 @@
 """Line deduplication by pairwise alignment (operator 9).
 
 A line is what a line break or the end of a sentence ends; a word whose hash is
-divisible by 32 ends one too, so that endless lines are cut where their content
+divisible by 12 ends one too, so that endless lines are cut where their content
 says.  Documents meet through anchors: hashes of the shortest run of whole lines
 that has ANCHOR words, of which the least of every WINNOW in a row is kept, so
 that long passages always keep some.  Such runs are rare; frequent single lines
@@ -34,7 +34,7 @@ from pagework.plans.stage import stage
 ANCHOR = 12
 WINNOW = 3
 LEAST = 30
-CUT = 32
+CUT = 12
 WORDS_KEPT = 500_000
 BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2**64
 SPANS = "array<struct<first: int, last: int>>"
