@@ -217,9 +217,11 @@ def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     """The model of all rows, and the (word, n) counts in the shared folder."""
     small_batches(docs.sparkSession)
     counts = stage(word_counts(docs, text), "lm-counts")
-    totals = counts.agg(F.sum("n"), F.count("*")).first()
+    at_end = F.sum(F.when(F.col("word") == END, F.col("n")))
+    totals = counts.agg(F.sum("n"), F.count("*"), at_end).first()
     head = {r.word: r.n for r in counts.orderBy(F.desc("n"), "word").limit(HEAD).toLocalIterator()}
     words = [w for w in head if w != END]
+    head |= {END: totals[2]} if totals[2] else {}
     symbols = [END, *words[:SYMBOLS]]
     suffix = F.pmod(F.crc32(F.encode(F.right("word", F.lit(2)), "UTF-8")), F.lit(CLASSES))
     inside = counts.where(~F.col("word").isin(END)).groupBy(suffix.alias("class")).agg((F.sum("n") + F.count("*")).alias("n"))
