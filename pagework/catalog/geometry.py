@@ -25,10 +25,14 @@ def single(spark, sf):
 
 
 def two_columns(spark, sf):
-    """Odd lines moved to the right half; lines keep their first 100 units."""
+    """Words at half their width; odd lines moved to the right half."""
     move = F.when(F.col("line_no") % 2 == 1, 1200).otherwise(0)
-    return single(spark, sf).where("x1 <= 1100").withColumns(
-        {"x0": F.col("x0") + move, "x1": F.col("x1") + move,
+
+    def half(c):
+        return F.floor(F.col(c) / 2).cast("int") + move
+
+    return single(spark, sf).withColumns(
+        {"x0": half("x0"), "x1": half("x1"),
          "y0": F.col("y0") - F.when(F.col("line_no") % 2 == 1, 51).otherwise(0),
          "y1": F.col("y1") - F.when(F.col("line_no") % 2 == 1, 51).otherwise(0)})
 
@@ -51,7 +55,7 @@ def s2_ocr_lines(spark, sf):
 
 
 def s3_layout_pages(spark, sf):
-    """Every page's first lines as labelled layout blocks, one document a book."""
+    """Every line as a labelled layout block, one document a book."""
     path = store.new_folder(spark, "layout")
     labels = F.array(*[F.lit(n) for n in ("text", "picture", "title", "list_item")])
     block = F.struct(
@@ -59,12 +63,12 @@ def s3_layout_pages(spark, sf):
         F.col("line").alias("text"),
         F.array(F.struct((F.col("page_index") + 1).alias("page_no"))).alias("prov"),
     )
-    lines = D.lines(spark, sf).where("line_no < 4 AND page_index < 10 AND line <> ''")
+    lines = D.lines(spark, sf).where("line <> ''")
     listed = F.array_sort(F.collect_list(F.struct("page_index", "line_no", block.alias("b"))))
     docs = lines.groupBy("book_id").agg(F.transform(listed, lambda e: e["b"]).alias("texts"))
     docs.write.json(path)
     layout = spark.read.schema("book_id BIGINT, " + store.LAYOUT).json(path)
-    page_map = D.pages(spark, sf).where("page_index < 10").select(
+    page_map = D.pages(spark, sf).select(
         "book_id", (F.col("page_index") + 1).alias("position"), "page_index")
     return store.layout_pages(layout, page_map, "book_id").select(
         "book_id", "page_index", F.md5("text").alias("digest"))
@@ -106,7 +110,7 @@ def g6_column_order(spark, sf):
 
 def vertical(spark, sf):
     """Boxes with x and y swapped."""
-    lines = G.split_rows_by_gutter(single(spark, sf).where("line_no < 30"))
+    lines = G.split_rows_by_gutter(single(spark, sf))
     return lines.select(*G.PAGE, "text", F.col("y0").alias("x0"), F.col("x0").alias("y0"),
                         F.col("y1").alias("x1"), F.col("x1").alias("y1"))
 
@@ -174,7 +178,7 @@ ORACLE["s2_ocr_lines"] = with_tables(
 )
 ORACLE["s3_layout_pages"] = with_tables(
     f"""SELECT book_id, page_index, md5(string_agg(t, chr(10) ORDER BY line_no)) AS digest FROM (
-      SELECT *, {sql.stripped('line')} AS t FROM rd_lines WHERE line_no < 4 AND line_no <> 1 AND page_index < 10)
+      SELECT *, {sql.stripped('line')} AS t FROM rd_lines WHERE line_no % 4 <> 1)
     WHERE t <> '' GROUP BY ALL"""
 )
 ORACLE["g1_normalize_boxes"] = with_tables(
@@ -215,8 +219,8 @@ FROM (SELECT *, y1 - y0 AS h, lag(y0) OVER w AS py, lag(y1 - y0) OVER w AS ph FR
 
 sql.define("single_words", "SELECT * FROM rd_words WHERE dup = 0")
 sql.define("split_words", """
-SELECT * REPLACE (x0 + m * 1200 AS x0, x1 + m * 1200 AS x1, y0 - m * 51 AS y0, y1 - m * 51 AS y1)
-FROM (SELECT *, line_no % 2 AS m FROM rd_words WHERE dup = 0 AND x1 <= 1100)""")
+SELECT * REPLACE (CAST(x0 // 2 + m * 1200 AS INT) AS x0, CAST(x1 // 2 + m * 1200 AS INT) AS x1, y0 - m * 51 AS y0, y1 - m * 51 AS y1)
+FROM (SELECT *, line_no % 2 AS m FROM rd_words WHERE dup = 0)""")
 sql.define("word_rows", rows_sql("single_words"))
 sql.define("split_rows", rows_sql("split_words"))
 sql.define("gutter_parts", """

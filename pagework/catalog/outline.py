@@ -272,8 +272,9 @@ ORACLE["o6_sibling_chunks"] = with_tables(
     WHERE r <= 2"""
 )
 ORACLE["o7_outline_signature"] = with_tables(
-    """SELECT book_id, sha256(string_agg(ord || '|' || page_index || '|' || level || '|' || title, chr(30)
-      ORDER BY ord)) AS signature FROM rd_outline GROUP BY ALL"""
+    """SELECT book_id, sha256(string_agg(d, chr(30) ORDER BY b)) AS signature FROM (SELECT book_id, ord // 4096 AS b,
+      sha256(string_agg(ord || '|' || page_index || '|' || level || '|' || title, chr(30) ORDER BY ord)) AS d
+      FROM rd_outline GROUP BY ALL) GROUP BY ALL"""
 )
 
 for _fn in (o1_outline_paths, o2_chapter_for_page, o2_chapter_for_passage, o3_page_segments,

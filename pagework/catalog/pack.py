@@ -41,7 +41,7 @@ def p3_assemble_prompt(spark, sf):
         F.when(F.col("query_id") % 2 == 0, F.col("phrase")).alias("passage"),
         F.col("query").alias("request"),
     )
-    return P.assemble_prompt(asks, excerpts, outline).select(
+    return P.assemble_prompt(asks, excerpts, outline, outline_lines=180).select(
         "query_id", F.length("prompt").alias("n"), F.md5("prompt").alias("digest")
     )
 

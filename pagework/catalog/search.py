@@ -29,7 +29,7 @@ def f1_match_ranges(spark, sf):
 
 
 def f2_sentence_hits(spark, sf):
-    return S.sentence_hits(asked(spark, sf), D.pages(spark, sf)).select(
+    return S.sentence_hits(asked(spark, sf), D.pages(spark, sf), limit=500).select(
         "query_id", "page_index", "sentence_no", F.md5("sentence").alias("digest")
     )
 

@@ -54,8 +54,7 @@ SELECT item_id AS query_id, text AS query, item_id % (SELECT max(book_id) + 1 FR
 
 TABLES["rd_words"] = r"""
 WITH w AS (SELECT book_id, page_index, line_no, CAST(u.i - 1 AS INT) AS word_no, string_split(line, ' ')[u.i] AS word,
-                  line FROM rd_lines, LATERAL (SELECT unnest(range(1, len(string_split(line, ' ')) + 1)) AS i) u
-           WHERE line_no < 60),
+                  line FROM rd_lines, LATERAL (SELECT unnest(range(1, len(string_split(line, ' ')) + 1)) AS i) u),
      b AS (SELECT *, CAST(coalesce(sum(length(word) + 1) OVER (PARTITION BY book_id, page_index, line_no ORDER BY word_no
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM w WHERE word <> '')
 SELECT book_id, page_index, line_no, word_no, word AS text, 40 + (off % 220) * 10 AS x0,
@@ -101,7 +100,7 @@ SELECT event_id, ts, user_id, CASE event_type WHEN 'view' THEN 'open' WHEN 'clic
 
 TABLES["rd_speech"] = r"""
 SELECT conv_id AS session_id, turn AS seq, (turn % 2 = 1) AS is_final,
-       array_to_string(string_split(content, ' ')[1:5], ' ') AS text FROM rd_turns
+       content AS text FROM rd_turns
 """
 
 

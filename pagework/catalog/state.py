@@ -106,7 +106,8 @@ def d7_bookmarks(spark, sf):
 
 
 def d8_last_position(spark, sf):
-    sizes = O.page_counts(D.pages(spark, sf).where("page_index < 40"))
+    """Books of which the last ten pages are gone."""
+    sizes = O.page_counts(D.pages(spark, sf)).withColumn("n_pages", F.col("n_pages") - 10)
     return S.last_position(D.activity(spark, sf), sizes)
 
 
@@ -157,8 +158,8 @@ ORACLE["d3_stale_books"] = with_tables(
     "SELECT DISTINCT book_id FROM rd_pages WHERE book_id % 3 = 0 OR book_id % 4 = 0 OR book_id % 5 = 0"
 )
 ORACLE["d3_fingerprints"] = with_tables(
-    "SELECT book_id, sha256(string_agg(md5(text), chr(30) ORDER BY page_index)) AS fingerprint "
-    "FROM rd_pages GROUP BY ALL"
+    "SELECT book_id, sha256(string_agg(d, chr(30) ORDER BY b)) AS fingerprint FROM (SELECT book_id, page_index // 4096 AS b, "
+    "sha256(string_agg(md5(text), chr(30) ORDER BY page_index)) AS d FROM rd_pages GROUP BY ALL) GROUP BY ALL"
 )
 ORACLE["d4_invalidate_derived"] = with_tables(
     """SELECT book_id, has_outline AND NOT gone AS has_outline, manual_outline,
@@ -190,7 +191,7 @@ ORACLE["d8_last_position"] = with_tables(
     """SELECT a.user_id, a.book_id, coalesce(least(a.page_index, greatest(s.n - 1, 0)), a.page_index) AS page_index
     FROM (SELECT user_id, book_id, max_by(page_index, (ts, event_id)) AS page_index FROM rd_activity
       WHERE action IN ('open', 'navigate') GROUP BY ALL) a
-    LEFT JOIN (SELECT book_id, max(page_index) + 1 AS n FROM rd_pages WHERE page_index < 40 GROUP BY ALL) s
+    LEFT JOIN (SELECT book_id, max(page_index) + 1 - 10 AS n FROM rd_pages GROUP BY ALL) s
       USING (book_id)"""
 )
 ORACLE["d9_opaque_book_id"] = (

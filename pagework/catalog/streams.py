@@ -18,16 +18,20 @@ ORACLE = {}
 
 
 def replay(rows, order, files=3):
-    """``rows`` as a stream of a few files, written one after the other in
-    order so that they also arrive in order."""
+    """``rows`` as a stream of a few deliveries in the given order, with every
+    seventh row delivered again and every eleventh one delivery late."""
     spark = rows.sparkSession
     path = store.new_folder(spark, "replay")
-    ranged = stage(
-        rows.repartitionByRange(files, order).withColumn("_file", F.spark_partition_id()), "ranged"
-    )
-    for i in range(files):
-        ranged.where(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    # Which delivery a row belongs to: its place on the range of ``order``.
+    ranged = rows.repartitionByRange(files, order).withColumn("_file", F.spark_partition_id())
+    mark = F.pmod(F.xxhash64(*rows.columns), F.lit(77))
+    late = F.when(mark % 11 == 0, F.col("_file") + 1).otherwise(F.col("_file"))
+    once = ranged.withColumn("_file", late).withColumn("_again", mark % 7 == 0)
+    twice = once.where("_again").withColumn("_file", F.col("_file") + 1)
+    rows = stage(once.unionByName(twice).drop("_again"), "ranged")
+    for i in range(files + 2):
+        rows.where(F.col("_file") == i).drop("_file").write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.drop("_file").schema).option("maxFilesPerTrigger", 4).parquet(path)
 
 
 def folder(spark, label):
@@ -35,12 +39,21 @@ def folder(spark, label):
     return store.new_folder(spark, label)
 
 
+def folded(spark, stream, group, row, fold):
+    """The result table of a stream whose batches are folded."""
+    log, out = folder(spark, "log"), folder(spark, "folded")
+    X.run_available(stream, "append", folder(spark, "checkpoint"),
+                    lambda batch, _: X.fold_batch(batch, log, out, group, row, fold))
+    return spark.read.parquet(out)
+
+
+def x1_transcripts(spark, sf):
+    return X.transcripts(D.speech(spark, sf)).select("session_id", F.md5("text").alias("digest"), "last_seq")
+
+
 def x1_transcript_stream(spark, sf):
-    stream = X.transcript_stream(replay(D.speech(spark, sf), "seq"))
-    path = folder(spark, "transcripts")
-    X.run_available(stream, "update", folder(spark, "checkpoint"),
-                    lambda batch, _: X.upsert(batch, path, ["session_id"]))
-    return spark.read.parquet(path).select("session_id", "text", "last_seq")
+    done = folded(spark, replay(D.speech(spark, sf), "seq"), ["session_id"], ["seq"], X.transcripts)
+    return done.select("session_id", F.md5("text").alias("digest"), "last_seq")
 
 
 def deltas(spark, sf):
@@ -63,24 +76,17 @@ def x2_join_deltas(spark, sf):
 
 
 def x2_delta_stream(spark, sf):
-    stream = X.delta_stream(replay(deltas(spark, sf), "seq"))
-    path = folder(spark, "answers")
-    X.run_available(stream, "append", folder(spark, "checkpoint"),
-                    lambda batch, _: X.upsert(batch, path, ["request_id"]))
-    return spark.read.parquet(path).select("request_id", "failed", F.md5("text").alias("digest"))
+    done = folded(spark, replay(deltas(spark, sf), "seq"), ["request_id"], ["seq"], X.join_deltas)
+    return done.select("request_id", "failed", F.md5("text").alias("digest"))
 
 
 def x3_activity_stream(spark, sf):
-    """Every tenth event is delivered twice."""
     events = D.activity(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = events.unionByName(events.where("event_id % 10 = 0"))
-    stream = X.activity_stream(replay(rows, "ts"))
-    path = folder(spark, "activity")
-    X.run_available(stream, "update", folder(spark, "checkpoint"),
-                    lambda batch, _: X.upsert(batch, path, ["user_id", "book_id"]))
-    return spark.read.parquet(path).select(
+    done = folded(spark, replay(events, "ts"), ["user_id", "book_id"], ["event_id"], X.activity)
+    return done.select(
         "user_id", "book_id", F.col("opened.event_id").alias("opened_event"),
-        F.col("seen.page_index").alias("page_index"), "toggles")
+        F.col("seen.page_index").alias("page_index"),
+        F.array_join(F.transform("bookmarks", lambda p: p.cast("string")), ",").alias("bookmarks"))
 
 
 def x4_index_stream(spark, sf):
@@ -105,11 +111,40 @@ _DELTAS = """SELECT conv_id * 1000 + turn AS request_id, (conv_id * 1000 + turn)
 ORACLE["x2_join_deltas"] = with_tables(_DELTAS)
 ORACLE["x2_delta_stream"] = with_tables(_DELTAS)
 ORACLE["x3_activity_stream"] = with_tables(
-    """SELECT user_id, book_id, max_by(event_id, (ts, event_id)) FILTER (WHERE action = 'open') AS opened_event,
-      max_by(page_index, (ts, event_id)) FILTER (WHERE action IN ('open', 'navigate')) AS page_index,
-      count(*) FILTER (WHERE action = 'toggle_bookmark') AS toggles
-    FROM rd_activity GROUP BY ALL"""
+    """SELECT user_id, book_id, opened_event, a.page_index, coalesce(bookmarks, '') AS bookmarks FROM (
+      SELECT user_id, book_id, max_by(event_id, (ts, event_id)) FILTER (WHERE action = 'open') AS opened_event,
+        max_by(page_index, (ts, event_id)) FILTER (WHERE action IN ('open', 'navigate')) AS page_index
+      FROM rd_activity GROUP BY ALL) a
+    LEFT JOIN (SELECT user_id, book_id, string_agg(CAST(page_index AS VARCHAR), ',' ORDER BY page_index) AS bookmarks
+      FROM (SELECT user_id, book_id, page_index FROM rd_activity WHERE action = 'toggle_bookmark' GROUP BY ALL
+        HAVING count(*) % 2 = 1) GROUP BY ALL) m USING (user_id, book_id)"""
+)
+# Pieces in order, joined one by one: a recursive fold over each session's rows.
+_JOIN = """CASE WHEN starts_with({b}, {a}) THEN {b} WHEN ends_with({a}, {b}) THEN {a} ELSE {a} ||
+  CASE WHEN {n} = 0 AND regexp_matches(right({a}, 1), '[A-Za-z0-9$+<=>^`|~]') AND regexp_matches(left({b}, 1), '[A-Za-z0-9$+<=>^`|~]')
+    THEN ' ' ELSE '' END || substr({b}, {n} + 1) END"""
+_SHARED = "(SELECT coalesce(max(k), 0) FROM unnest(range(1, least(length({a}), length({b})) + 1)) AS u(k) WHERE right({a}, k) = left({b}, k))"
+
+
+def _joined(a, b):
+    return _JOIN.format(a=a, b=b, n=_SHARED.format(a=a, b=b))
+
+
+_TRANSCRIPTS = with_tables(
+    f"""SELECT s.session_id, md5(CASE WHEN v.said IS NULL THEN f.text ELSE {_joined("f.text", "v.said")} END) AS digest, s.last_seq
+    FROM (SELECT session_id, max(seq) AS last_seq FROM rd_speech GROUP BY ALL) s
+    JOIN (SELECT session_id, text FROM folded QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n DESC) = 1) f USING (session_id)
+    LEFT JOIN (SELECT h.session_id, h.said FROM heard h WHERE NOT is_final AND seq = (SELECT max(seq) FROM heard x
+      WHERE x.session_id = h.session_id)) v USING (session_id)""",
+    heard="SELECT session_id, seq, is_final, trim(text) AS said FROM rd_speech WHERE trim(text) <> ''",
+    finals="SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM heard WHERE is_final",
+    folded=f"""SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS n, '' AS text FROM rd_speech
+      UNION ALL SELECT p.session_id, p.n + 1, {_joined("p.text", "f.said")} FROM folded p
+      JOIN finals f ON f.session_id = p.session_id AND f.n = p.n + 1""",
 )
+_TRANSCRIPTS = _TRANSCRIPTS.replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLE["x1_transcripts"] = _TRANSCRIPTS
+ORACLE["x1_transcript_stream"] = _TRANSCRIPTS
 sql.define("version_pages", f"""
 SELECT book_id, page_index, 0 AS seg_no, {_outline.chunk_text("CASE WHEN doc_id % 10 = 0 THEN 'Changed. ' || text ELSE text END")}
   AS text FROM rd_pages""")
@@ -119,6 +154,6 @@ ORACLE["x4_index_stream"] = with_tables(
     "FROM version_chunks GROUP BY ALL"
 )
 
-for _fn in (x1_transcript_stream, x2_join_deltas, x2_delta_stream, x3_activity_stream,
+for _fn in (x1_transcripts, x1_transcript_stream, x2_join_deltas, x2_delta_stream, x3_activity_stream,
             x4_index_stream):
     QUERIES[_fn.__name__] = _fn

@@ -85,8 +85,8 @@ def t6_normalize_toc_lines(spark, sf):
 
 def t7_split_combined(spark, sf):
     """Neighbouring entry lines glued together, then cut again."""
-    rows = D.toc_lines(spark, sf).where("line_no % 8 IN (1, 3)")
-    pair = F.floor(F.col("line_no") / 8).cast("int")
+    rows = D.toc_lines(spark, sf).where("line_no % 2 = 1")
+    pair = F.floor(F.col("line_no") / 4).cast("int")
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     glued = rows.groupBy("book_id", pair.alias("pair")).agg(
         F.array_join(F.transform(ordered, lambda e: F.trim(e["line"])), " ").alias("line")
@@ -201,11 +201,13 @@ def t17_merge_entries(spark, sf):
 
 
 def t18_outline_plausible(spark, sf):
-    """The outlines; one entry per page as every second book's outline."""
-    per_page = D.pages(spark, sf).where("book_id % 2 = 1").select(
+    """The outlines; one entry per page as another outline of every book."""
+    per_page = D.pages(spark, sf).select(
         "book_id", "page_index", F.concat(F.lit("Page "), F.col("page_index") + 1).alias("title"))
-    rows = D.outline(spark, sf).where("book_id % 2 = 0").select("book_id", "page_index", "title")
-    return T.outline_plausible(rows.unionByName(per_page), sizes(spark, sf))
+    rows = D.outline(spark, sf).select("book_id", "page_index", "title")
+    kinds = {"outline": rows, "pages": per_page}
+    judged = [T.outline_plausible(r, sizes(spark, sf)).withColumn("kind", F.lit(k)) for k, r in kinds.items()]
+    return judged[0].unionByName(judged[1])
 
 
 def t20_edit_entries(spark, sf):
@@ -300,8 +302,8 @@ ORACLE["t5_build_toc_text"] = with_tables(
 )
 ORACLE["t6_normalize_toc_lines"] = with_tables("SELECT book_id, line_no, line FROM rd_toc_lines")
 ORACLE["t7_split_combined"] = with_tables(
-    r"""SELECT book_id, CAST(line_no // 8 AS INT) AS pair, CASE WHEN line_no % 8 = 1 THEN 0 ELSE 1 END AS part_no,
-      trim(line) AS line FROM rd_toc_lines WHERE line_no % 8 IN (1, 3)"""
+    r"""SELECT book_id, CAST(line_no // 4 AS INT) AS pair, CASE WHEN line_no % 4 = 1 THEN 0 ELSE 1 END AS part_no,
+      trim(line) AS line FROM rd_toc_lines WHERE line_no % 2 = 1"""
 )
 _TAIL = r"(?:p\.?\s*)?[（(\[【{]?\s*([0-9]{1,4}|[ivxlcdm]{1,10})\s*[）)\]】}]?\s*$"
 _SEP = r"(?:\.{2,}|…+|·{2,}|[/／]+|\s{2,}|[-—–]\s*|\s+)"
@@ -367,7 +369,8 @@ ORACLE["t15_pair_pages"] = with_tables(
       book_id % 2 AS missing, 2 - 2 * (book_id % 2) AS surplus FROM rd_outline"""
 )
 ORACLE["t18_outline_plausible"] = with_tables(
-    "SELECT DISTINCT book_id, book_id % 2 = 0 AND u >= 0.35 AND d < 0.45 AS plausible FROM rates",
+    "SELECT book_id, u >= 0.35 AND d < 0.45 AS plausible, 'outline' AS kind FROM rates "
+    "UNION ALL SELECT DISTINCT book_id, false, 'pages' FROM rd_pages",
     rates=r"""SELECT book_id, count(DISTINCT lower(trim(title))) / count(*) AS u, count(*) FILTER (WHERE
       regexp_matches(trim(title), '(?i)^(?:page|p\.?)?\s*[ivxlcdm0-9]+\s*$')) / count(*) AS d
       FROM rd_outline GROUP BY ALL""",

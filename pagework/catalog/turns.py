@@ -37,13 +37,13 @@ def h1_parse_question(spark, sf):
 
 
 def h2_focus_page(spark, sf):
-    turns = D.turns(spark, sf).withColumn("content", F.left("content", F.lit(110)))
+    turns = D.turns(spark, sf)
     current = ((F.col("conv_id") * 3 + F.col("turn")) % 50).cast("int")
     return H.focus_page(turns, current, SIGNALS).select("conv_id", "turn", "focus_page")
 
 
 def h3_history_window(spark, sf):
-    turns = D.turns(spark, sf).withColumn("content", F.left("content", F.lit(110)))
+    turns = D.turns(spark, sf)
     return H.history_window(turns, 4, SIGNALS)
 
 
@@ -66,7 +66,7 @@ def h7_condense_budget(spark, sf):
     turns = D.turns(spark, sf)
     source = H.transcript_tokens(H.transcript(turns))
     output = H.transcript_tokens(
-        turns.where("role = 'assistant' AND turn % 4 = 1").select(
+        turns.where("role = 'assistant'").select(
             "conv_id", F.col("content").alias("line"))
     ).withColumnRenamed("tokens", "output")
     joined = source.join(output, "conv_id", "left").withColumn(
@@ -140,7 +140,7 @@ sql.define("short_turns", """
 SELECT *, length(trim(short, ' ' || chr(10))) <= 120 AND (contains(short, 'Elle') OR contains(short, 'the')
   OR contains(short, 'und') OR contains(short, 'los')) AS follow,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos
-FROM (SELECT *, left(content, 110) AS short FROM rd_turns)""")
+FROM (SELECT *, content AS short FROM rd_turns)""")
 ORACLE["h2_focus_page"] = with_tables(
     """SELECT conv_id, turn, coalesce(CASE WHEN follow THEN lag(anchor_page) OVER (PARTITION BY conv_id
       ORDER BY turn) END, CAST((conv_id * 3 + turn) % 50 AS INT)) AS focus_page
@@ -180,7 +180,7 @@ ORACLE["h7_condense_budget"] = with_tables(
       'Reader' ELSE 'Companion' END || '：' || content, chr(10) || chr(10) ORDER BY turn) AS joined
       FROM rd_turns GROUP BY ALL)""",
     outputs=f"""SELECT conv_id, {_T} AS output FROM (SELECT conv_id, string_agg(content, ' ' ORDER BY turn)
-      AS joined FROM rd_turns WHERE role = 'assistant' AND turn % 4 = 1 GROUP BY ALL)""",
+      AS joined FROM rd_turns WHERE role = 'assistant' GROUP BY ALL)""",
 )
 ORACLE["h9_summary_sections"] = with_tables(
     """SELECT book_id, ord, n1 >= 3 AND n2 >= 1 AS complete, n0, n1, n2, n3 FROM (

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagework.functions import text as T
-from pagework.plans.running import PAGES_PER_BLOCK, block_of, groups_fit, numbered, running
+from pagework.plans.running import PAGES_PER_BLOCK, block_of, numbered, running
 
 MAX_LEVEL = 5
 LEVELS = range(MAX_LEVEL + 1)
@@ -21,9 +21,8 @@ def outline_paths(outline: DataFrame) -> DataFrame:
     """
     level = F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), F.col("level")))
     where = (["book_id"], ["ord"], block_of("ord"))
-    split = not groups_fit(outline, ["book_id"])
-    placed = numbered(outline, *where, "_n", split=split).withColumn("_i", F.col("_n") - 1)
-    clamped = running(placed, *where, low={"_low": level - F.col("_i")}, split=split)
+    placed = numbered(outline, *where, "_n").withColumn("_i", F.col("_n") - 1)
+    clamped = running(placed, *where, low={"_low": level - F.col("_i")})
     clamped = clamped.withColumn(
         "_depth", (F.col("_i") + F.least(F.lit(0), F.col("_low"))).cast("int")
     )
@@ -31,7 +30,6 @@ def outline_paths(outline: DataFrame) -> DataFrame:
         clamped,
         *where,
         last={f"_t{d}": F.when(F.col("_depth") == d, F.col("title")) for d in LEVELS},
-        split=split,
     )
     ancestors = F.array(*[F.col(f"_t{d}") for d in LEVELS])
     return seen.select(
@@ -338,8 +336,9 @@ DIGEST_BLOCK = 4096
 
 def ordered_digest(rows: DataFrame, keys: list[str], position: str, line: Column,
                    name: str) -> DataFrame:
-    """sha256 of the lines of a group in order; a group beyond one block of
-    positions gets the sha256 of its block digests, so no task holds it whole."""
+    """sha256 of a group's block digests in order, where a block's digest is the
+    sha256 of its lines in order; one rule for all sizes, and no task holds a
+    group whole."""
     listed = F.array_sort(F.collect_list(F.struct(position, line.alias("line"))))
     joined = F.array_join(F.transform(listed, lambda r: r["line"]), "\x1e")
     blocks = (
@@ -352,9 +351,7 @@ def ordered_digest(rows: DataFrame, keys: list[str], position: str, line: Column
         F.transform(digests, lambda d: d["digest"]).alias("_d")
     ).select(
         *keys,
-        F.when(F.size("_d") == 1, F.col("_d")[0])
-        .otherwise(F.sha2(F.array_join("_d", "\x1e"), 256))
-        .alias(name),
+        F.sha2(F.array_join("_d", "\x1e"), 256).alias(name),
     )
 
 

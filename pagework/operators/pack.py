@@ -124,11 +124,8 @@ def pack_context(rows: DataFrame) -> DataFrame:
     ).select("query_id", "position", "item.*")
 
 
-OUTLINE_LINES = 180
-
-
-def outline_map(outline: DataFrame) -> DataFrame:
-    """The first 180 outline lines of each book, indented by level."""
+def outline_map(outline: DataFrame, limit: int | None = None) -> DataFrame:
+    """All, or the first ``limit``, outline lines of each book, indented by level."""
     line = F.concat(
         F.repeat(F.lit("  "), F.least(F.col("level"), F.lit(5))),
         F.lit("- P"),
@@ -136,7 +133,9 @@ def outline_map(outline: DataFrame) -> DataFrame:
         F.lit(" "),
         F.col("title"),
     )
-    first = top_rows(outline.withColumn("line", line), ["book_id"], ["ord"], OUTLINE_LINES)
+    first = outline.withColumn("line", line)
+    if limit is not None:
+        first = top_rows(first, ["book_id"], ["ord"], limit)
     ordered = F.array_sort(F.collect_list(F.struct("ord", "line")))
     return first.groupBy("book_id").agg(
         F.array_join(F.transform(ordered, lambda e: e["line"]), "\n").alias("outline_map")
@@ -144,7 +143,8 @@ def outline_map(outline: DataFrame) -> DataFrame:
 
 
 def assemble_prompt(asks: DataFrame, excerpts: DataFrame, outline: DataFrame,
-                    history: DataFrame | None = None) -> DataFrame:
+                    history: DataFrame | None = None,
+                    outline_lines: int | None = None) -> DataFrame:
     """P3. One prompt row per question.
 
     ``asks`` has query_id, book_id, whole_book, focus_page, passage (or null)
@@ -180,7 +180,7 @@ def assemble_prompt(asks: DataFrame, excerpts: DataFrame, outline: DataFrame,
         F.array_join(F.transform(ordered, lambda e: e["block"]), "\n\n").alias("excerpts"),
         F.max(F.col("_first").isNotNull()).alias("marked"),
     )
-    out = asks.join(body, "query_id", "left").join(outline_map(outline), "book_id", "left")
+    out = asks.join(body, "query_id", "left").join(outline_map(outline, outline_lines), "book_id", "left")
     out = out.join(history, "query_id", "left") if history is not None else out.withColumn(
         "history", F.lit(None).cast("string")
     )

@@ -88,8 +88,8 @@ def similar_pairs(needles: DataFrame, heads: DataFrame) -> DataFrame:
     # ranks first and simply finds nothing.
     ranked = top_rows(
         listed.join(frequency, ["book_id", "_gram"], "left"),
-        ["book_id", "needle"], [F.coalesce("_df", F.lit(0)), "_gram"], 200,
-    ).where("_rank <= _n")
+        ["book_id", "needle"], [F.coalesce("_df", F.lit(0)), "_gram"], F.col("_n"),
+    )
     return offered.join(ranked.select("book_id", "needle", "_gram"), ["book_id", "_gram"]).select(
         "book_id", "needle", "page_index"
     ).distinct()

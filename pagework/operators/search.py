@@ -79,22 +79,19 @@ def match_ranges(asks: DataFrame, lines: DataFrame) -> DataFrame:
     return placed.select("query_id", "book_id", *key, "r.start", "r.stop")
 
 
-SENTENCE_LIMIT = 500
-
-
 def sentences(pages: DataFrame) -> DataFrame:
     normal = pages.select("book_id", "page_index", T.normalize_text("text").alias("text"))
     parts = F.posexplode(F.split("text", "(?<=[。！？.!?])\\s*")).alias("sentence_no", "text")
     return normal.select("book_id", "page_index", parts).where("text <> ''")
 
 
-def sentence_hits(asks: DataFrame, pages: DataFrame) -> DataFrame:
-    """F2. Matching sentences in reading order; a report of the first 500."""
+def sentence_hits(asks: DataFrame, pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """F2. Matching sentences in reading order: all, or the first ``limit``."""
     key = ["page_index", "sentence_no"]
     asked = pages.join(needles(asks).select("book_id").distinct(), "book_id", "left_semi")
     rows = stage(sentences(asked), "sentences")
     hits = matching_rows(asks, rows, key)
-    first = top_rows(hits, ["query_id"], key, SENTENCE_LIMIT)
+    first = hits if limit is None else top_rows(hits, ["query_id"], key, limit)
     return first.join(rows, ["book_id", *key]).select(
         "query_id", "book_id", *key, F.col("text").alias("sentence")
     )
@@ -121,12 +118,10 @@ def snippet(rows: DataFrame) -> DataFrame:
     return located.withColumn("snippet", cut).drop("_shown", "_hit")
 
 
-FALLBACK_LIMIT = 30
-
-
-def fulltext_search(asks: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:
+def fulltext_search(asks: DataFrame, pages: DataFrame, chunks: DataFrame,
+                    fallback: int = 30) -> DataFrame:
     """F4. One snippet per matching page; questions without any match get the
-    best 30 chunks instead.  Repeats of a page and text go.
+    ``fallback`` best chunks instead.  Repeats of a page and text go.
 
     A direct, case- and accent-insensitive occurrence always is a match of the
     projections too, so one containment join covers direct hits and fallback
@@ -139,7 +134,7 @@ def fulltext_search(asks: DataFrame, pages: DataFrame, chunks: DataFrame) -> Dat
     direct = stage(found.select("query_id", "book_id", "page_index", "snippet"), "direct")
     silent = asks.join(direct.select("query_id").distinct(), "query_id", "left_anti")
     silent = stage(silent.select("query_id", "book_id", F.col("phrase").alias("query")), "silent")
-    ranked = Q.retrieve(silent, chunks, FALLBACK_LIMIT).select(
+    ranked = Q.retrieve(silent, chunks, fallback).select(
         "query_id", "book_id", "chunk_no"
     )
     guessed = ranked.join(

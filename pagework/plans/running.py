@@ -1,11 +1,9 @@
 """Running values over long ordered groups, without one task per long group.
 
-When every group is short (checked by a count over the key columns alone) a
-plain window does it.  Otherwise every group is split into blocks: each block
-is reduced before the shuffle, the carry runs over one row per block, and the
-rows are finished inside their blocks.  A group that holds a third of all rows
-is then spread over as many tasks as it has blocks; only its block summaries
-meet in one place.
+Every group is split into blocks: each block is reduced before the shuffle, the
+carry runs over one row per block, and the rows are finished inside their
+blocks.  A group that holds a third of all rows is spread over as many tasks as
+it has blocks; only its block summaries meet in one place.
 """
 
 from __future__ import annotations
@@ -15,23 +13,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagework.plans.stage import stage
-
 ENTRIES_PER_BLOCK = 4096
 PAGES_PER_BLOCK = 1024
 
 
-# A window task sorts and spills this many narrow rows without trouble.
-LONGEST_GROUP = 1_000_000
-
-
-def groups_fit(df: DataFrame, keys: Sequence[str]) -> bool:
-    """True when no group is longer than ``LONGEST_GROUP``.  One number comes
-    back to the driver; the count reads key columns only."""
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (largest or 0) <= LONGEST_GROUP
-
-
 def block_of(position: Column | str, size: int = ENTRIES_PER_BLOCK) -> Column:
     position = F.col(position) if isinstance(position, str) else position
     return F.floor(position / size).cast("long")
@@ -49,34 +34,21 @@ def running(
     high: Mapping[str, Column] | None = None,
     reverse: bool = False,
     inclusive: bool = True,
-    split: bool | None = None,
 ) -> DataFrame:
     """Append running columns: ``last`` non-null value, ``total``, ``low`` (min)
     and ``high`` (max) up to each row, or from it on when ``reverse``.
 
     ``order`` must be unique inside a group and ``block`` non-decreasing in it.
-    ``split`` says whether groups are split; by default their size decides.
+    The rows are read twice, once for the block summaries; callers stage what is
+    dear to compute.
     """
     last, total, low, high = (dict(m or {}) for m in (last, total, low, high))
     keys, order = list(keys), list(order)
-    if split is None:
-        split = not groups_fit(df, keys)
 
     def ranked(columns: Sequence[str]) -> list[Column]:
         return [F.col(c).desc() if reverse else F.col(c).asc() for c in columns]
 
     end = 0 if inclusive else -1
-    if not split:
-        over = Window.partitionBy(*keys).orderBy(*ranked(order)).rowsBetween(
-            Window.unboundedPreceding, end
-        )
-        out = {n: F.last(v, ignorenulls=True).over(over) for n, v in last.items()}
-        out |= {n: F.coalesce(F.sum(v).over(over), F.lit(0)) for n, v in total.items()}
-        out |= {n: F.min(v).over(over) for n, v in low.items()}
-        out |= {n: F.max(v).over(over) for n, v in high.items()}
-        columns = [c for c in df.columns if c not in out]
-        return df.select(*columns, *[value.alias(name) for name, value in out.items()])
-
     place = F.struct(*[F.col(c) for c in order])
     pick = F.min_by if reverse else F.max_by
     summary = []
@@ -86,8 +58,7 @@ def running(
     summary += [F.min(value).alias(f"_b_{name}") for name, value in low.items()]
     summary += [F.max(value).alias(f"_b_{name}") for name, value in high.items()]
 
-    # Both branches below read the rows, so they are staged first.
-    tagged = stage(df.withColumn("_block", block), "blocks")
+    tagged = df.withColumn("_block", block)
     before = (
         Window.partitionBy(*keys).orderBy(*ranked(["_block"])).rowsBetween(
             Window.unboundedPreceding, -1
@@ -128,10 +99,9 @@ def numbered(
     order: Sequence[str],
     block: Column,
     name: str,
-    split: bool | None = None,
 ) -> DataFrame:
     """1-based position of each row in its group."""
-    return running(df, keys, order, block, total={name: F.lit(1).cast("long")}, split=split)
+    return running(df, keys, order, block, total={name: F.lit(1).cast("long")})
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -144,7 +114,7 @@ def top_rows(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
-    limit: int,
+    limit: int | Column,
     name: str = "_rank",
 ) -> DataFrame:
     window = Window.partitionBy(*keys).orderBy(*order)

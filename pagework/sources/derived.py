@@ -120,7 +120,6 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     occurs as a shorter copy of lower confidence."""
     exploded = (
         lines(spark, sf_dir)
-        .where("line_no < 60")
         .select("book_id", "page_index", "line_no",
                 F.posexplode(F.split("line", " ")).alias("word_no", "word"))
         .where("word <> ''")
@@ -243,5 +242,5 @@ def speech(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").alias("session_id"),
         F.col("turn").alias("seq"),
         (F.col("turn") % 2 == 1).alias("is_final"),
-        F.array_join(F.slice(F.split("content", " "), 1, 5), " ").alias("text"),
+        F.col("content").alias("text"),
     )

@@ -12,7 +12,7 @@ from pagework.operators import retrieve as Q
 from pagework.operators import state as S
 from pagework.operators import toc
 from pagework.operators import turns as H
-from pagework.streaming.streams import merge_transcript
+from pagework.streaming.streams import transcripts
 
 OUTLINE = "book_id long, ord int, page_index int, level int, title string"
 
@@ -134,14 +134,17 @@ def test_manual_outline_survives(spark):
     assert got == {1: (True, False), 2: (False, True)}
 
 
-def test_transcript_merge():
-    assert merge_transcript("hello wor", "world") == "hello world"
-    assert merge_transcript("hello", "hello there") == "hello there"
-    assert merge_transcript("we say", "this") == "we say this"
-    assert merge_transcript("你好", "世界") == "你好世界"
-    assert merge_transcript("a b", "b") == "a b"
-
-
+def test_transcript_joins_pieces(spark):
+    said = {
+        1: ["hello wor", "world"], 2: ["hello", "hello there"], 3: ["we say", "this"],
+        4: ["你好", "世界"], 5: ["a b", "b"], 6: ["one two", "", "two three"],
+    }
+    rows = [(s, i, True, t) for s, texts in said.items() for i, t in enumerate(texts)]
+    rows += [(3, 2, False, "this is"), (3, 2, False, "this is"), (7, 0, False, "only heard"), (8, 0, True, None)]
+    frame = spark.createDataFrame(rows[::-1], "session_id bigint, seq bigint, is_final boolean, text string")
+    got = {r["session_id"]: r["text"] for r in transcripts(frame).collect()}
+    assert got == {1: "hello world", 2: "hello there", 3: "we say this is", 4: "你好世界", 5: "a b",
+                   6: "one two three", 7: "only heard", 8: ""}
 def test_entries_have_queries_and_sql():
     import __spark_entry__ as entry
 
