@@ -71,7 +71,6 @@ def similar_pairs(needles: DataFrame, heads: DataFrame) -> DataFrame:
     its g - ceil(.82 g) + 1 rarest ones must occur: only those are joined, and
     common bigrams never meet all pages.
     """
-    offered = heads.select("book_id", "page_index", F.explode(bigrams(F.col("head"))).alias("_gram"))
     wanted = needles.select("book_id", "needle").distinct().withColumn(
         "_grams", bigrams(F.col("needle"))
     )
@@ -80,10 +79,11 @@ def similar_pairs(needles: DataFrame, heads: DataFrame) -> DataFrame:
         "book_id", "needle", F.explode("_grams").alias("_gram"),
         (size - F.ceil(size * F.lit(ENOUGH)) + 1).cast("int").alias("_n"),
     )
-    asked = listed.select("book_id", "_gram").distinct()
-    frequency = offered.join(asked, ["book_id", "_gram"], "left_semi").groupBy(
-        "book_id", "_gram"
-    ).agg(F.count("*").alias("_df"))
+    # Heads meet the book's wanted bigrams in their own row and offer only those.
+    asked = listed.groupBy("book_id").agg(F.collect_set("_gram").alias("_asked"))
+    held = F.array_intersect(bigrams(F.col("head")), F.col("_asked"))
+    offered = heads.join(asked, "book_id").select("book_id", "page_index", F.explode(held).alias("_gram"))
+    frequency = offered.groupBy("book_id", "_gram").agg(F.count("*").alias("_df"))
     # A gram no page has leaves the title with fewer that can be shared; it
     # ranks first and simply finds nothing.
     ranked = top_rows(

@@ -1,11 +1,11 @@
 """Exact "text contains needle" joins without forming all pairs.
 
 Every needle is anchored by one short gram that any text holding the needle
-must also hold; texts are joined to needles on (keys, gram) and only those
-candidates are checked.  A needle with an inner blank is anchored on the eight
-characters after the blank, so texts offer one gram per word; other needles
-are anchored on their first 8, 4, 2 or 1 characters and texts offer the grams
-of all positions, but only where a needle of that kind exists.
+must also hold: the eight characters after an inner blank, which texts offer
+once per word, or else its first 8, 4, 2 or 1 characters, which texts offer at
+every position.  A text meets the anchors of its key as arrays in its own row;
+the intersection is taken there, so no gram that finds nothing leaves the row,
+and the survivors are checked against the text they came with.
 """
 
 from __future__ import annotations
@@ -28,18 +28,16 @@ def _anchor(needle: Column) -> tuple[Column, Column]:
     return kind, gram
 
 
-def _grams(text: Column, kinds: Column) -> Column:
-    """All anchor grams a text offers, each marked with its kind."""
-    none = F.expr("cast(array() as array<string>)")
+PATTERNS = {"w": "(?s) (?=(.{8}))"} | {str(n): "(?s)(?=(.{%d}))" % n for n in SIZES}
+NEEDLES_AT_ONCE = 4096
 
-    def offered(kind: str, pattern: str) -> Column:
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        marked = F.transform(F.array_distinct(found), lambda g: F.concat(F.lit(kind + ":"), g))
-        return F.when(F.array_contains(kinds, kind), marked).otherwise(none)
 
-    parts = [offered("w", "(?s) (?=(.{8}))")]
-    parts += [offered(str(size), "(?s)(?=(.{%d}))" % size) for size in SIZES]
-    return F.concat(*parts)
+def _offered(text: Column, wanted: Column, kind: str) -> Column:
+    """Anchors of one kind that the text holds, each marked with its kind."""
+    none = F.expr("cast(array() as array<string>)")
+    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(1))
+    held = F.transform(F.array_intersect(found, wanted), lambda g: F.concat(F.lit(kind + ":"), g))
+    return F.when(F.size(wanted) > 0, held).otherwise(none)
 
 
 def contains_pairs(
@@ -53,26 +51,24 @@ def contains_pairs(
 
     ``needles`` has the keys and ``needle``; ``texts`` has the keys, the
     identifying columns and ``text``.  ``form`` turns the raw text into the one
-    that is searched; it is applied while grams are offered and once more to
-    the few candidates, so the searched form of all texts is never shuffled.
+    that is searched.  The anchors of a key are dealt to blocks of about
+    NEEDLES_AT_ONCE, so a row never meets an unbounded array.
     """
     keys, text_id = list(keys), list(text_id)
     kind, gram = _anchor(F.col("needle"))
-    anchored = (
-        needles.select(*keys, "needle")
-        .where("needle <> ''")
-        .distinct()
-        .select(*keys, "needle", kind.alias("_kind"), gram.alias("_gram"))
-        .select(*keys, "needle", "_kind", F.concat("_kind", F.lit(":"), "_gram").alias("_gram"))
-    )
-    # At most five kinds per key, whatever the number of needles.
-    kinds = anchored.groupBy(*keys).agg(F.collect_set("_kind").alias("_kinds"))
-    offered = texts.join(kinds, keys).select(
-        *keys, *text_id, "_kinds", form("text").alias("_searched")
+    anchored = needles.select(*keys, "needle").where("needle <> ''").distinct().select(
+        *keys, "needle", kind.alias("_kind"), gram.alias("_gram")
     )
-    offered = offered.select(
-        *keys, *text_id, F.explode(_grams(F.col("_searched"), F.col("_kinds"))).alias("_gram")
+    blocks = anchored.groupBy(*keys).agg(F.ceil(F.count("*") / NEEDLES_AT_ONCE).alias("_blocks"))
+    wanted = anchored.join(blocks, keys).groupBy(
+        *keys, F.pmod(F.xxhash64("_gram"), F.col("_blocks")).alias("_block")
+    ).agg(*[F.collect_set(F.when(F.col("_kind") == k, F.col("_gram"))).alias(f"_w{k}") for k in PATTERNS])
+    searched = texts.join(wanted.drop("_block"), keys).select(
+        *keys, *text_id, form("text").alias("_searched"), *[f"_w{k}" for k in PATTERNS]
     )
-    candidates = offered.join(anchored.drop("_kind"), [*keys, "_gram"]).drop("_gram")
-    checked = candidates.join(texts.select(*keys, *text_id, "text"), [*keys, *text_id])
-    return checked.where(F.contains(form("text"), F.col("needle"))).select(*keys, "needle", *text_id)
+    grams = F.concat(*[_offered(F.col("_searched"), F.col(f"_w{k}"), k) for k in PATTERNS])
+    met = searched.select(*keys, *text_id, "_searched", F.explode(grams).alias("_gram"))
+    marked = anchored.select(*keys, "needle", F.concat("_kind", F.lit(":"), "_gram").alias("_gram"))
+    return met.join(marked, [*keys, "_gram"]).where(
+        F.contains("_searched", F.col("needle"))
+    ).select(*keys, "needle", *text_id)
