@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from pagework.llm.common import Bounded, small_batches, with_result
 
-PIECES_KEPT = 400_000
-STATES_KEPT = 300_000
+PIECES_KEPT = 200_000
+STATES_KEPT = 120_000
 ROOT = 0
 
 
@@ -98,7 +98,7 @@ class Transducer:
                     self.depth.append(self.depth[node] + 1)
                 node = self.child[key]
             self.token_at[node] = rank
-        self.allowed = Bounded(self._follows, 2_000_000)
+        self.allowed = Bounded(self._follows, 400_000)
         self.forget()
 
     def forget(self) -> None:
@@ -216,7 +216,7 @@ class Decoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.steps = Bounded(self._step, 500_000)
+        self.steps = Bounded(self._step, 100_000)
         self.whole: dict[int, str] = {}
         for rank, token in self.bytes_of.items():
             text, pending = self._step((b"", rank))

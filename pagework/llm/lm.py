@@ -27,28 +27,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagework.llm.bpe import _once
-from pagework.llm.common import Bounded, small_batches
+from pagework.llm.common import small_batches
 from pagework.plans.stage import stage
 
 SYMBOLS = 1024  # words that are symbols of their own
 CLASSES = 256
 HEAD = 150_000  # words whose counts travel with the tasks
-SIZE = 24  # of a representation
+SIZE = 16  # of a representation
 NOISE = 64
-BATCH = 4096
-RATE = 0.1
+BATCH = 2048
+RATE = 0.15
 ROUNDS = 1
-END = "\n"  # cannot be a word
+END = b"\n"  # cannot be a word
 FLUSH = 300_000  # distinct words a task counts before it sends them on
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words between ASCII blanks, A-Z in lower case."""
-    return [w.decode() for w in text.encode().lower().split()] if text else []
+def tokens_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """Tokens of all texts one after the other (words between ASCII blanks with A-Z
+    in lower case, then the end), and each text's number of them."""
+    words, sizes = [], []
+    for value in texts:
+        text = value.as_py()
+        own = text.encode().lower().split() if text else []
+        words += own
+        words.append(END)
+        sizes.append(len(own) + 1)
+    return words, np.array(sizes, np.int64)
 
 
-def _class(word: str) -> int:
-    return zlib.crc32(word[-2:].encode()) % CLASSES
+def _class(word: bytes) -> int:
+    return zlib.crc32(word.decode()[-2:].encode()) % CLASSES
+
+
+class _Known(dict):
+    """Places of known words; others are at -1 and are not remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -56,16 +71,15 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent(counts: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+            words = pa.array(list(counts), pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
         counts: Counter = Counter()
         for batch in batches:
-            for value in batch.column(0):
-                counts.update(words_of(value.as_py()))
-                counts[END] += 1
-                if len(counts) > FLUSH:
-                    yield sent(counts)
-                    counts = Counter()
+            counts.update(tokens_of(batch.column(0))[0])
+            if len(counts) > FLUSH:
+                yield sent(counts)
+                counts = Counter()
         yield sent(counts)
 
     parts = docs.select(text).mapInArrow(run, "word string, n bigint")
@@ -75,16 +89,19 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 class Model:
     """Parameters and the statistics that normalise words outside the symbols."""
 
-    def __init__(self, head: dict[str, int], symbols: list[str], class_totals: np.ndarray, tokens: int, types: int):
-        self.head, self.tokens, self.types = head, tokens, types
-        self.number = {word: i for i, word in enumerate(symbols)}
+    def __init__(self, head: dict[bytes, int], symbols: list[bytes], class_totals: np.ndarray, tokens: int, types: int):
+        self.tokens, self.types = tokens, types
         self.first_class = len(symbols)
         self.start = self.first_class + CLASSES
         self.count = self.start + 1
         self.class_cost = np.log10(class_totals + 1.0)
+        own = {word: i for i, word in enumerate(symbols)}
+        self.place = _Known(zip(head, range(len(head)), strict=True))
+        # One more entry, for place -1.
+        self.symbol_at = np.array([own.get(w, self.first_class + _class(w)) for w in head] + [0], np.int64)
+        self.log_at = np.log10(np.array([*head.values(), 0], float) + 1)
         counts = np.ones(self.count)
-        for word, i in self.number.items():
-            counts[i] += head.get(word, 0)
+        counts[: self.first_class] += [head.get(w, 0) for w in symbols]
         counts[self.first_class : self.start] += class_totals
         counts[self.start] = 0
         self.noise = counts / counts.sum()
@@ -101,26 +118,27 @@ class Model:
         self.a1, self.a2, self.t = (np.ascontiguousarray(table[:, i * SIZE : (i + 1) * SIZE], np.float32) for i in range(3))
         self.bias = table[:, 3 * SIZE].astype(np.float32)
 
-    def symbol(self, word: str) -> int:
-        number = self.number.get(word)
-        return self.first_class + _class(word) if number is None else number
-
-    def trained(self, sequences: Iterator[np.ndarray]) -> int:
-        """One pass of NCE with Adagrad over symbol sequences; returns the tokens."""
-        self.squares = [np.full(x.shape, 1e-2, np.float32) for x in (self.a1, self.a2, self.t, self.bias)]
+    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol of every token, and its place among the known words or -1."""
+        place = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        numbers = self.symbol_at[place]
+        unknown = np.flatnonzero(place < 0)
+        numbers[unknown] = [self.first_class + _class(words[i]) for i in unknown]
+        return numbers, place
+
+    def trained(self, batches: Iterator[tuple[list[bytes], np.ndarray]]) -> int:
+        """One pass of NCE with Adagrad over tokens and sizes; returns their number."""
+        self.squares = [np.full(x.shape, 1e-3, np.float32) for x in (self.a1, self.a2, self.t, self.bias)]
         self.cdf = np.cumsum(self.noise)
         self.log_noise = np.log(NOISE * np.maximum(self.noise, 1e-12)).astype(np.float32)
         generator = np.random.default_rng(11)
-        held, size, seen = [], 0, 0
-        for sequence in sequences:
-            held.append(contexts(sequence, self.start))
-            size += len(sequence)
-            if size >= BATCH:
-                seen += self._steps(np.concatenate(held, axis=1), generator)
-                held, size = [], 0
-        if held:
-            seen += self._steps(np.concatenate(held, axis=1), generator)
-        return seen
+        rest, seen = np.empty((3, 0), np.int64), 0
+        for words, sizes in batches:
+            rest = np.concatenate([rest, contexts(self.symbols(words)[0], sizes, self.start)], axis=1)
+            full = rest.shape[1] // BATCH * BATCH
+            seen += self._steps(rest[:, :full], generator)
+            rest = rest[:, full:]
+        return seen + self._steps(rest, generator)
 
     def _steps(self, triples: np.ndarray, generator) -> int:
         for at in range(0, triples.shape[1], BATCH):
@@ -153,9 +171,9 @@ class Model:
         self.log_sums = np.full((self.count, self.count), np.nan, np.float32)
         return self
 
-    def log_probabilities(self, sequence: np.ndarray) -> np.ndarray:
-        """Natural log-probability of every symbol after its context."""
-        before, previous, target = contexts(sequence, self.start)
+    def log_probabilities(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Natural log-probability of every symbol after its context in its text."""
+        before, previous, target = contexts(symbols, sizes, self.start)
         sums = self.log_sums[before, previous]
         if np.isnan(sums).any():
             new = np.unique(before[np.isnan(sums)].astype(np.int64) * self.count + previous[np.isnan(sums)])
@@ -168,10 +186,14 @@ class Model:
         return self.pair1[previous, target] + self.pair2[before, target] + self.bias[target] - sums
 
 
-def contexts(sequence: np.ndarray, start: int) -> np.ndarray:
-    """Rows: symbol two before, symbol before, symbol."""
-    padded = np.concatenate([[start, start], sequence])
-    return np.stack([padded[:-2], padded[1:-1], padded[2:]])
+def contexts(symbols: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
+    """Rows: symbol two before, symbol before (``start`` before a text), symbol."""
+    first = np.cumsum(sizes) - sizes
+    out = np.empty((3, len(symbols)), np.int64)
+    out[2], out[1, 1:], out[0, 2:] = symbols, symbols[:-1], symbols[:-2]
+    out[1, first] = out[0, first] = start
+    out[0, first[sizes > 1] + 1] = start
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -191,15 +213,7 @@ def _mixed(docs: DataFrame, model: Model, text: str) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine: Model = pickle.loads(shared.value)
-        number = Bounded(mine.symbol, 300_000)
-
-        def sequences():
-            for batch in batches:
-                for value in batch.column(0):
-                    words = words_of(value.as_py())
-                    yield np.fromiter(map(number.__getitem__, [*words, END]), np.int64, len(words) + 1)
-
-        seen = mine.trained(sequences())
+        seen = mine.trained(tokens_of(batch.column(0)) for batch in batches)
         if seen:
             table = mine.parameters().astype(np.float64) * seen
             arrays = [pa.array(np.arange(mine.count)), pa.array(np.full(mine.count, seen)), *[pa.array(table[:, i]) for i in range(width)]]
@@ -217,14 +231,15 @@ def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     """The model of all rows, and the (word, n) counts in the shared folder."""
     small_batches(docs.sparkSession)
     counts = stage(word_counts(docs, text), "lm-counts")
-    at_end = F.sum(F.when(F.col("word") == END, F.col("n")))
+    end = END.decode()
+    at_end = F.sum(F.when(F.col("word") == end, F.col("n")))
     totals = counts.agg(F.sum("n"), F.count("*"), at_end).first()
-    head = {r.word: r.n for r in counts.orderBy(F.desc("n"), "word").limit(HEAD).toLocalIterator()}
+    head = {r.word.encode(): r.n for r in counts.orderBy(F.desc("n"), "word").limit(HEAD).toLocalIterator()}
     words = [w for w in head if w != END]
     head |= {END: totals[2]} if totals[2] else {}
     symbols = [END, *words[:SYMBOLS]]
     suffix = F.pmod(F.crc32(F.encode(F.right("word", F.lit(2)), "UTF-8")), F.lit(CLASSES))
-    inside = counts.where(~F.col("word").isin(END)).groupBy(suffix.alias("class")).agg((F.sum("n") + F.count("*")).alias("n"))
+    inside = counts.where(F.col("word") != end).groupBy(suffix.alias("class")).agg((F.sum("n") + F.count("*")).alias("n"))
     class_totals = np.zeros(CLASSES)
     for row in inside.collect():  # at most CLASSES rows
         class_totals[row["class"]] = row["n"]
@@ -246,34 +261,30 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(pickle.dumps(model))
-    token = id(shared)
-    kind = "struct<n_tokens: bigint, n_known: bigint, base: double, score: double, rest: array<struct<word: string, n: int>>>"
+    model_key, token = (model.tokens, model.types), id(shared)
+    kind = "struct<n_tokens: bigint, n_known: bigint, base: double, score: double, rest: array<string>>"
 
     @F.arrow_udf(kind)
     def run(texts: pa.Array) -> pa.Array:
-        mine, known, number = _once("lm", (model.tokens, token), lambda: _prepared(shared.value))
-        rows = []
-        for value in texts:
-            words = [*words_of(value.as_py()), END]
-            sequence = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-            total = float(mine.log_probabilities(sequence).sum()) / np.log(10)
-            outside = sequence >= mine.first_class
-            total -= float(mine.class_cost[sequence[outside] - mine.first_class].sum())
-            logs = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-            found = logs > 0
-            base = float(logs[found].sum())
-            total += float(logs[found & outside].sum())
-            rest = Counter(words[i] for i in np.flatnonzero(~found))
-            rows.append({"n_tokens": len(words), "n_known": int(found.sum()), "base": base, "score": total, "rest": [{"word": w, "n": n} for w, n in rest.items()]})
-        item = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
-        fields = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rest", item)]
-        return pa.array(rows, pa.struct(fields))
+        mine: Model = _once("lm", (model_key, token), lambda: pickle.loads(shared.value).ready())
+        words, sizes = tokens_of(texts)
+        symbols, place = mine.symbols(words)
+        logs = mine.log_at[place]
+        outside = symbols >= mine.first_class
+        gain = mine.log_probabilities(symbols, sizes) / np.log(10)
+        gain[outside] += logs[outside] - mine.class_cost[symbols[outside] - mine.first_class]
+        first = np.cumsum(sizes) - sizes
+        known, base, score = (np.add.reduceat(x, first) for x in ((place >= 0).astype(np.int64), logs, gain))
+        rest = pa.array([words[i] for i in np.flatnonzero(place < 0)], pa.binary()).cast(pa.string())
+        offsets = np.concatenate([[0], np.cumsum(sizes - known)]).astype(np.int32)
+        arrays = [pa.array(sizes), pa.array(known), pa.array(base), pa.array(score.astype(np.float64)), pa.ListArray.from_arrays(pa.array(offsets), rest)]
+        return pa.StructArray.from_arrays(arrays, ["n_tokens", "n_known", "base", "score", "rest"])
 
     key = F.xxhash64(text).alias("key")
     parts = stage(docs.select("doc_id", key, run(F.col(text)).alias("r")).select("doc_id", "key", "r.*"), "lm-parts")
-    tail = parts.select("doc_id", "key", F.inline("rest")).withColumnRenamed("n", "times")
-    looked = tail.join(counts.where(~F.col("word").isin(END)), "word")
-    found = looked.select("doc_id", "key", (F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"), F.col("times").cast("bigint").alias("times"), F.lit(0).alias("copies"))
+    tail = parts.select("doc_id", "key", F.explode("rest").alias("word"))
+    looked = tail.join(counts.where(F.col("word") != END.decode()), "word")
+    found = looked.select("doc_id", "key", F.log10(F.col("n") + 1.0).alias("logs"), F.lit(1).cast("bigint").alias("times"), F.lit(0).alias("copies"))
     marks = parts.select("doc_id", "key", F.lit(0.0).alias("logs"), F.lit(0).cast("bigint").alias("times"), F.lit(1).alias("copies"))
     sums = found.unionByName(marks).groupBy("doc_id", "key").agg(
         (F.sum("logs") / F.sum("copies")).alias("more"), (F.sum("times") / F.sum("copies")).cast("bigint").alias("more_known")
@@ -289,12 +300,6 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
     )
 
 
-def _prepared(blob: bytes):
-    mine: Model = pickle.loads(blob).ready()
-    logs = {word: float(np.log10(n + 1)) for word, n in mine.head.items()}
-    return mine, Bounded(lambda word: logs.get(word, 0.0), 1_000_000), Bounded(mine.symbol, 500_000)
-
-
 def scored(docs: DataFrame, training: Column) -> DataFrame:
     """Train on the rows for which ``training`` holds and score all."""
     rows = docs.select("doc_id", "text")

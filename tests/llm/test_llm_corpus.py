@@ -150,7 +150,7 @@ def test_model_is_normalised_and_learns_context(spark):
     model, counts = lm.train(docs)
     model.ready()
     for context in ([0, 1], [2, 3]):
-        total = sum(math.exp(model.log_probabilities(np.array([*context, s]))[-1]) for s in range(model.count))
+        total = sum(math.exp(model.log_probabilities(np.array([*context, s]), np.array([3]))[-1]) for s in range(model.count))
         assert abs(total - 1) < 1e-3
     got = lm.score(docs, model, counts).collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
@@ -166,8 +166,8 @@ def sentence(words, n):
 def test_patience_rows_increase_and_match():
     random.seed(6)
     for _ in range(100):
-        a = np.array(random.choices(range(12), k=random.randint(0, 30)), np.uint64)
-        b = np.array(random.choices(range(12), k=random.randint(0, 30)), np.uint64)
+        a = random.choices(range(12), k=random.randint(0, 30))
+        b = random.choices(range(12), k=random.randint(0, 30))
         rows = linededup.patience(a, b)
         assert all(a[i] == b[j] for i, j in rows)
         assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(rows, rows[1:], strict=False))
@@ -175,6 +175,20 @@ def test_patience_rows_increase_and_match():
     assert (x, y, size) == (1, 3, 3)
 
 
+def test_lines_and_anchors_do_not_depend_on_neighbours():
+    random.seed(5)
+    texts = [" \n".join(sentence(["aa", "b", "É", "dd", "x.y"], random.randint(1, 9)) for _ in range(random.randint(0, 12))) for _ in range(20)]
+    texts = [t.encode() for t in [*texts, "", " ", "one", "\n\n", texts[3]]]
+    together = linededup.lines_of(texts)
+    of, anchors = linededup.anchors_of(*together)
+    for i, text in enumerate(texts):
+        own, _, ends, rows = alone = linededup.lines_of([text])
+        a, b = together[3][i : i + 2]
+        assert own.tolist() == together[0][a:b].tolist() and ends.tolist() == together[2][a:b].tolist()
+        assert linededup.anchors_of(*alone)[1].tolist() == anchors[of == i].tolist()
+        assert (ends[-1] if len(ends) else 0) == len(text.split()) and rows[-1] == len(own)
+
+
 def test_repeated_passages_leave_later_documents(spark):
     random.seed(11)
     words = [f"term{i}" for i in range(900)]
