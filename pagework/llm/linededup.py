@@ -20,22 +20,21 @@ from __future__ import annotations
 import bisect
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagework.llm.bpe import _once
-from pagework.llm.common import Bounded, small_batches
+from pagework.llm.common import small_batches
 from pagework.plans.stage import stage
 
 ANCHOR = 12
-WINNOW = 3
+WINNOW = 4
 LEAST = 30
 CUT = 12
-WORDS_KEPT = 500_000
+BYTES_AT_ONCE = 1 << 20
 BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2**64
 SPANS = "array<struct<first: int, last: int>>"
 
@@ -71,40 +70,50 @@ def run_hashes(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.nda
     return _mix((sums[end] - sums[first]) * down[first])
 
 
-def _word(word: str) -> int:
-    """Signed hash of a word; its lowest bit says whether it ends a line."""
-    value = xxhash.xxh64_intdigest(word.encode())
-    ends = word[-1] in ".!?" or value // 2 % CUT == 0
-    return (value & ~1 | ends) - (1 << 63)
-
-
-def lines_of(text: str | None, memo) -> tuple[np.ndarray, np.ndarray]:
-    """Line hashes and, for each line, the number of words up to its end."""
-    words, breaks = [], []
-    for line in (text or "").split("\n"):
-        words += line.split()
-        breaks.append(len(words))
-    if not words:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    values = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-    ends = (values & 1).astype(bool)
-    ends[[b - 1 for b in breaks if b]] = True
-    ends = np.flatnonzero(ends) + 1
+def lines_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of several texts at once: their hashes, the text each belongs to, the
+    word of that text each ends before, and where each text's lines start."""
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    place = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    start = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    end = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1
+    if not len(start):
+        none = np.empty(0, np.int64)
+        return none.astype(np.uint64), none, none, np.zeros(len(texts) + 1, np.int64)
+    words = run_hashes(data, start, end)
+    breaks = np.cumsum(data == 10)[start]
+    closes = np.isin(data[end - 1], np.frombuffer(b".!?", np.uint8)) | (words % CUT == 0)
+    closes[:-1] |= breaks[1:] != breaks[:-1]
+    closes[-1] = True
+    last = np.flatnonzero(closes) + 1
+    first = np.concatenate([[0], last[:-1]])
+    owner = np.searchsorted(place, start[first], "right") - 1
+    before = np.searchsorted(start, place)  # words before each text
+    rows = np.searchsorted(owner, np.arange(len(texts) + 1))
+    return run_hashes(words, first, last), owner, last - before[owner], rows
+
+
+def anchors_of(lines: np.ndarray, owner: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, anchor), by text.  Texts of fewer than ANCHOR words have none."""
     starts = np.concatenate([[0], ends[:-1]])
-    return run_hashes(values, starts, ends), ends
-
-
-def anchors_of(lines: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Distinct anchors; none for texts of fewer than ANCHOR words."""
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    last = np.searchsorted(ends, starts + ANCHOR)
-    whole = np.flatnonzero(last < len(ends))
-    if not len(whole):
-        return np.empty(0, np.uint64)
-    runs = run_hashes(lines, whole, last[whole] + 1)
-    if len(runs) <= WINNOW:
-        return runs[[runs.argmin()]]
-    return np.unique(np.lib.stride_tricks.sliding_window_view(runs, WINNOW).min(axis=1))
+    starts[rows[:-1][rows[:-1] < len(lines)]] = 0
+    # One increasing scale for all texts, so that one search finds every run's end.
+    scale = np.cumsum(ends - starts)
+    last = np.searchsorted(scale, scale - (ends - starts) + ANCHOR)
+    whole = np.flatnonzero(last < rows[owner + 1])
+    runs, text = run_hashes(lines, whole, last[whole] + 1), owner[whole]
+    few = np.bincount(text, minlength=len(rows))[text] < WINNOW
+    least, of = runs[few], text[few]
+    if len(runs) >= WINNOW:
+        inside = text[: len(runs) - WINNOW + 1] == text[WINNOW - 1 :]
+        minima = np.lib.stride_tricks.sliding_window_view(runs, WINNOW).min(axis=1)[inside]
+        least, of = np.concatenate([least, minima]), np.concatenate([of, text[: len(inside)][inside]])
+    order = np.argsort(of, kind="stable")
+    least, of = least[order], of[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (least[1:] != least[:-1])
+    return of[new], least[new]
 
 
 def _longest_run(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -122,11 +131,14 @@ def _longest_run(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _unique_row(a: list, b: list) -> list[tuple[int, int]]:
-    """Longest row, increasing on both sides, of lines unique on both sides."""
+def _unique_row(a: list, b: list) -> tuple[list[tuple[int, int]], bool]:
+    """Longest row, increasing on both sides, of lines unique on both sides; and
+    whether the sides share a line at all."""
     count_a, count_b = Counter(a), Counter(b)
-    where = {x: j for j, x in enumerate(b) if count_b[x] == 1}
-    pairs = [(i, where[x]) for i, x in enumerate(a) if count_a[x] == 1 and x in where]
+    shared = count_a.keys() & count_b.keys()
+    single = {x for x in shared if count_a[x] == 1 == count_b[x]}
+    where = {x: j for j, x in enumerate(b) if x in single}
+    pairs = [(i, where[x]) for i, x in enumerate(a) if x in single]
     tails, ends, back = [], [], [-1] * len(pairs)
     for n, (_, j) in enumerate(pairs):
         at = bisect.bisect_left(tails, j)
@@ -136,10 +148,10 @@ def _unique_row(a: list, b: list) -> list[tuple[int, int]]:
     while n >= 0:
         row.append(pairs[n])
         n = back[n]
-    return row[::-1]
+    return row[::-1], bool(shared)
 
 
-def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Aligned (line of a, line of b), increasing on both sides."""
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
@@ -152,9 +164,9 @@ def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
             out.append((m, n))
         if i == m or j == n:
             continue
-        row = _unique_row(a[i:m].tolist(), b[j:n].tolist())
-        if not row:
-            x, y, size = _longest_run(a[i:m], b[j:n])
+        row, shared = _unique_row(a[i:m], b[j:n])
+        if shared and not row:
+            x, y, size = _longest_run(np.array(a[i:m], np.uint64), np.array(b[j:n], np.uint64))
             row = [(x + k, y + k) for k in range(size)]
         at_i, at_j = i, j
         for x, y in row:
@@ -166,33 +178,32 @@ def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(later: np.ndarray, ends: np.ndarray, earlier: np.ndarray, least: int) -> list[tuple[int, int]]:
+def common_blocks(later: list, ends: list, earlier: list, least: int) -> list[tuple[int, int]]:
     """Word spans (end exclusive) of the later text that aligned blocks cover."""
     found: list[tuple[int, int]] = []
-    before = np.concatenate([[0], ends]).astype(np.int64)
-    values, taken = later.copy(), np.zeros(len(later), bool)
-    # Lines that the earlier text lacks can never align.
-    while True:
-        blocks, rows = [], patience(values, earlier)
-        for i, j in rows:
+    before, values, known = [0, *ends], list(later), set(earlier)
+    # The words of lines that could still align must be enough for a block.
+    while sum(before[i + 1] - before[i] for i, x in enumerate(values) if x in known) >= least:
+        blocks = []
+        for i, j in patience(values, earlier):
             if blocks and blocks[-1][1] == i and blocks[-1][2] == j:
                 blocks[-1][1:] = [i + 1, j + 1]
             else:
                 blocks.append([i, i + 1, j + 1])
         new = [(x, y) for x, y, _ in blocks if before[y] - before[x] >= least]
         if not new:
-            return found
+            break
+        # What is taken gets a value that the earlier text does not have.
+        free = next(x for x in range(len(known) + 1) if x not in known)
         for x, y in new:
-            taken[x:y] = True
-            found.append((int(before[x]), int(before[y])))
-        # What is taken gets values that the earlier text does not have.
-        free = np.setdiff1d(np.arange(len(earlier) + 1, dtype=np.uint64), earlier)[0]
-        values = np.where(taken, free, later)
+            values[x:y] = [free] * (y - x)
+            found.append((before[x], before[y]))
+    return found
 
 
 def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the words of the spans and the blanks after them."""
-    places = [m.span() for m in re.finditer(r"\S+", text)]
+    places = [m.span() for m in re.finditer(r"[^\x20\t-\r]+", text)]
     keep, at = [], 0
     for first, end in _united(spans):
         keep.append(text[at : places[first][0]])
@@ -211,6 +222,19 @@ def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _parts(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in parts of about BYTES_AT_ONCE."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= BYTES_AT_ONCE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _spans(rows: list[list[tuple[int, int]]]) -> pa.Array:
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     return pa.array([[{"first": a, "last": b} for a, b in row] for row in rows], kind)
@@ -221,46 +245,49 @@ def repeated_blocks(docs: DataFrame, least: int = LEAST, text: str = "text") ->
     earlier document, one of smaller doc_id, has as well."""
     small_batches(docs.sparkSession)
 
-    @F.arrow_udf("struct<lines: binary, ends: binary, anchors: array<bigint>>")
+    @F.arrow_udf("struct<lines: binary, words: binary, anchors: array<bigint>>")
     def cut(texts: pa.Array) -> pa.Array:
-        memo = _once("words", "lines", lambda: Bounded(_word, WORDS_KEPT))
-        lines, ends, anchors = [], [], []
-        for value in texts:
-            own, last = lines_of(value.as_py(), memo)
-            lines.append(own.tobytes())
-            ends.append(last.astype("<i4").tobytes())
-            anchors.append(anchors_of(own, last).view(np.int64))
-        arrays = [pa.array(lines, pa.binary()), pa.array(ends, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))]
-        return pa.StructArray.from_arrays(arrays, ["lines", "ends", "anchors"])
+        lines, words, sizes, anchors = [], [], [], []
+        for part in _parts([(t.as_py() or "").encode() for t in texts]):
+            own, owner, ends, rows = lines_of(part)
+            of, least_runs = anchors_of(own, owner, ends, rows)
+            anchors.append(least_runs.view(np.int64))
+            sizes.append(np.bincount(of, minlength=len(part)))
+            for a, b in zip(rows, rows[1:], strict=False):
+                lines.append(own[a:b].tobytes())
+                words.append(np.diff(ends[a:b], prepend=0).astype("<u4").tobytes())
+        flat = np.concatenate([*anchors, np.empty(0, np.int64)])
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate([*sizes, np.empty(0, np.int64)]))]).astype(np.int32)
+        arrays = [pa.array(lines, pa.binary()), pa.array(words, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+        return pa.StructArray.from_arrays(arrays, ["lines", "words", "anchors"])
 
     @F.arrow_udf(SPANS)
-    def align(later: pa.Array, ends: pa.Array, earlier: pa.Array) -> pa.Array:
+    def align(later: pa.Array, words: pa.Array, earlier: pa.Array) -> pa.Array:
         out = []
-        for a, e, b in zip(later, ends, earlier, strict=True):
-            arrays = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(e.as_py(), "<i4"), np.frombuffer(b.as_py(), np.uint64)
-            out.append(common_blocks(*arrays, least))
+        for a, w, b in zip(later, words, earlier, strict=True):
+            own, other = (np.frombuffer(x.as_py(), np.uint64).tolist() for x in (a, b))
+            out.append(common_blocks(own, np.cumsum(np.frombuffer(w.as_py(), "<u4")).tolist(), other, least))
         return _spans(out)
 
     named = docs.where(F.col("doc_id").isNotNull())
     cutting = named.select("doc_id", F.xxhash64(text).alias("text_hash"), cut(text).alias("r"))
     units = stage(cutting.select("doc_id", "text_hash", "r.*"), "lines")
-    anchors = units.select("doc_id", "text_hash", F.explode("anchors").alias("anchor"))
-    owners = anchors.groupBy("anchor").agg(F.min(F.struct("doc_id", "text_hash")).alias("owner"), F.max("doc_id").alias("latest"))
-    owners = owners.where(F.col("latest") > F.col("owner.doc_id")).drop("latest")
-    met = anchors.join(owners, "anchor").where(F.col("doc_id") > F.col("owner.doc_id"))
-    pairs = met.select("doc_id", "text_hash", F.col("owner.doc_id").alias("owner_id"), F.col("owner.text_hash").alias("owner_hash")).distinct()
-    later = units.select("doc_id", "text_hash", "lines", "ends")
-    earlier = units.select(F.col("doc_id").alias("owner_id"), F.col("text_hash").alias("owner_hash"), F.col("lines").alias("earlier"))
-    both = pairs.join(later, ["doc_id", "text_hash"]).join(earlier, ["owner_id", "owner_hash"])
-    aligned = both.select("doc_id", "text_hash", align("lines", "ends", "earlier").alias("blocks")).where(F.size("blocks") > 0)
+    anchors = units.select("doc_id", F.explode("anchors").alias("anchor"))
+    owners = anchors.groupBy("anchor").agg(F.min("doc_id").alias("owner_id"), F.max("doc_id").alias("latest"))
+    owners = owners.where("latest > owner_id").drop("latest")
+    pairs = anchors.join(owners, "anchor").where("doc_id > owner_id").select("doc_id", "owner_id").distinct()
+    later = units.select("doc_id", "text_hash", "lines", "words")
+    earlier = units.select(F.col("doc_id").alias("owner_id"), F.col("lines").alias("earlier"))
+    both = pairs.join(later, "doc_id").join(earlier, "owner_id")
+    aligned = both.select("doc_id", "text_hash", align("lines", "words", "earlier").alias("blocks")).where(F.size("blocks") > 0)
     return aligned.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("blocks")).alias("blocks"))
 
 
 def dedup(docs: DataFrame, least: int = LEAST, text: str = "text") -> DataFrame:
     """``docs`` with the blocks cut out of ``text``, and ``removed_words``.
 
-    Documents are ordered by doc_id; the earliest keeps its text.  Rows that share
-    a doc_id never delete from each other, and rows with a null doc_id are left
+    Documents are ordered by doc_id; the earliest keeps its text.  Words are what
+    stands between ASCII blanks.  Rows that share a doc_id never delete from each other, and rows with a null doc_id are left
     alone.  Null texts stay null; a text that is a block as a whole becomes empty.
     All findings refer to the texts as they came in, so the order of work does not
     matter.  A column ``removed_words`` is replaced; an empty table stays empty.
