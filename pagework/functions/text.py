@@ -6,27 +6,38 @@ JVM.  Lengths are code points.
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters whose compatibility form is one other character.
-FULLWIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-HALFWIDTH = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+
+def _plane() -> Iterator[str]:
+    return (chr(c) for c in range(0x80, 0xFFFE) if not 0xD800 <= c < 0xE000)
+
+
+def _base(letter: str) -> str:
+    """The letter under the accents of a lower-case letter, or the letter."""
+    parts = unicodedata.normalize("NFKD", letter)
+    marked = len(parts) > 1 and all(unicodedata.combining(m) for m in parts[1:])
+    return parts[0] if marked and parts[0].isalpha() else letter
+
+
+# Characters whose compatibility form is one other character.
+COMPATIBLE = {c: n for c in _plane() if len(n := unicodedata.normalize("NFKC", c)) == 1 and n != c}
+FULLWIDTH, HALFWIDTH = "".join(COMPATIBLE), "".join(COMPATIBLE.values())
 WIDE_BLANKS = " " + "".join(chr(c) for c in range(0x2000, 0x200B)) + "  　"
-# Characters whose compatibility form is several characters.
+# Characters whose compatibility form is several characters: three dots, Latin
+# ligatures and Roman numerals.
 LIGATURES = {
-    "…": "...",
-    "ﬀ": "ff",
-    "ﬁ": "fi",
-    "ﬂ": "fl",
-    "ﬃ": "ffi",
-    "ﬄ": "ffl",
-    "ﬅ": "st",
-    "ﬆ": "st",
+    c: unicodedata.normalize("NFKC", c)
+    for c in ["…", *map(chr, range(0xFB00, 0xFB07)), *map(chr, range(0x2160, 0x2180))]
+    if len(unicodedata.normalize("NFKC", c)) > 1
 }
-# Accented Latin letters and their base letters (search folding).
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyy"
+# Accented letters and their base letters (search folding).
+FOLDED = {c: _base(c) for c in _plane() if c.islower() and _base(c) != c}
+ACCENTED, UNACCENTED = "".join(FOLDED), "".join(FOLDED.values())
 
 # Sentence marks and CJK punctuation of the clean-up rules.
 MARKS = "。！？.!?；;：:"
@@ -50,13 +61,17 @@ def strip(c: Column | str) -> Column:
 def nfkc(c: Column | str) -> Column:
     """Compatibility forms that occur in page text: width, blanks, ligatures.
 
-    One ``translate`` for the one-to-one part, one plain ``replace`` per
-    character that becomes several.
+    One ``translate`` for the one-to-one part; one plain ``replace`` per
+    character that becomes several, where the text has any of them.
     """
-    out = nfkc_same_length(c)
-    for source, target in LIGATURES.items():
-        out = F.replace(out, F.lit(source), F.lit(target))
-    return out
+
+    def spelled(x: Column) -> Column:
+        out = x
+        for source, target in LIGATURES.items():
+            out = F.replace(out, F.lit(source), F.lit(target))
+        return F.when(x.rlike(f"[{''.join(LIGATURES)}]"), out).otherwise(x)
+
+    return bound(nfkc_same_length(c), spelled)
 
 
 def nfkc_same_length(c: Column | str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagework.functions import text as T
-from pagework.operators.search import matching_rows, needle_pattern, ranges_in
+from pagework.operators.search import matching_rows, needle_pattern, ranges_or_all
 
 PAGE = ["book_id", "page_index"]
 BOX = ["x0", "y0", "x1", "y1"]
@@ -298,7 +298,7 @@ def search_hit_boxes(asks: DataFrame, words: DataFrame) -> DataFrame:
     key = ["page_index", "line_no"]
     hits = matching_rows(asks, lines, key).join(lines, line).select(
         "query_id", *line,
-        F.explode(ranges_in(T.fold("text"), needle_pattern(F.col("needle")))).alias("r"),
+        F.explode(ranges_or_all(T.fold("text"), needle_pattern(F.col("needle")))).alias("r"),
     )
     cut = hits.join(placed, line).where(
         (F.col("_from") + F.length("text") > F.col("r.start")) & (F.col("_from") < F.col("r.stop"))

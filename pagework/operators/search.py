@@ -17,6 +17,7 @@ from pagework.plans.stage import stage
 
 GAP = "[^\\p{L}\\p{N}]*"
 BOUNDARY = ".。!?！？；;"
+LETTERS = {c: t for c, t in T.LIGATURES.items() if "\ufb00" <= c <= "\ufb06"}
 
 
 def needles(asks: DataFrame) -> DataFrame:
@@ -36,8 +37,29 @@ def matching_rows(asks: DataFrame, texts: DataFrame, text_id: list[str]) -> Data
 
 def needle_pattern(needle: Column) -> Column:
     """The needle with anything but letters and digits allowed in between; a
-    match in the folded text is then a match of the projections, in place."""
-    return F.array_join(F.split(needle, "(?<=.)(?=.)"), GAP)
+    match in the folded text is then a match of the projections, in place.
+    Letters that a ligature may stand for match it as well."""
+    pattern = F.array_join(F.split(needle, "(?<=.)(?=.)"), GAP)
+    spelled = sorted(LETTERS.items(), key=lambda e: (-len(e[1]), e[0]))
+    for text in dict.fromkeys(t for _, t in spelled):
+        forms = {f for c, t in spelled for f in _forms(text, c, t)}
+        apart = GAP.join(text)
+        either = "(?:" + "|".join([apart, *sorted(forms)]) + ")"
+        pattern = F.replace(pattern, F.lit(apart), F.lit(either))
+    return pattern
+
+
+def _forms(text: str, ligature: str, spelling: str) -> set[str]:
+    """``text`` with one occurrence of a ligature's spelling written by it."""
+    found = {i for i in range(len(text)) if text.startswith(spelling, i)}
+    return {GAP.join([*text[:i], ligature, *text[i + len(spelling):]]) for i in found}
+
+
+def ranges_or_all(folded: Column, pattern: Column) -> Column:
+    """``ranges_in``; the whole text where a match has no range of its own,
+    as one that begins or ends inside a ligature or a Roman numeral."""
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(folded).alias("stop")))
+    return T.bound(ranges_in(folded, pattern), lambda r: F.when(F.size(r) > 0, r).otherwise(whole))
 
 
 def ranges_in(folded: Column, pattern: Column) -> Column:
@@ -74,7 +96,7 @@ def match_ranges(asks: DataFrame, lines: DataFrame) -> DataFrame:
     hits = matching_rows(asks, texts, key).join(texts, ["book_id", *key])
     placed = hits.select(
         "query_id", "book_id", *key,
-        F.explode(ranges_in(T.fold("text"), needle_pattern(F.col("needle")))).alias("r"),
+        F.explode(ranges_or_all(T.fold("text"), needle_pattern(F.col("needle")))).alias("r"),
     )
     return placed.select("query_id", "book_id", *key, "r.start", "r.stop")
 
@@ -107,7 +129,7 @@ def snippet(rows: DataFrame) -> DataFrame:
     so that it is computed once."""
     shown = rows.withColumn("_shown", display_text("text"))
     located = shown.withColumn(
-        "_hit", F.get(ranges_in(T.fold("_shown"), needle_pattern(F.col("needle"))), F.lit(0))
+        "_hit", F.get(ranges_or_all(T.fold("_shown"), needle_pattern(F.col("needle"))), F.lit(0))
     )
     before = F.left(F.col("_shown"), F.col("_hit.start"))
     opening = F.length(F.regexp_extract(before, f"(?s)^.*[{BOUNDARY}]", 0))

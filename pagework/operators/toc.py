@@ -65,14 +65,17 @@ def page_profiles(lines: DataFrame) -> DataFrame:
     """T1. One row of counts per page; pages without text count nothing."""
     trimmed = lines.select("book_id", "page_index", "line_no", T.strip("line").alias("line"))
     filled = trimmed.where("line <> ''")
-    place = F.row_number().over(Window.partitionBy("book_id", "page_index").orderBy("line_no"))
     line = F.col("line")
+    # A heading counts among the first 30 lines with text: only numbers are
+    # shuffled, no line is.
+    thirtieth = F.get(F.array_sort(F.collect_list("line_no")), F.lit(29))
+    heading = F.min(F.when(T.fold("line").rlike(HEADING), F.col("line_no")))
 
     def total(condition: Column) -> Column:
         return F.count(F.when(condition, 1))
 
-    counted = filled.withColumn("_place", place).groupBy("book_id", "page_index").agg(
-        F.max((F.col("_place") <= 30) & T.fold("line").rlike(HEADING)).alias("has_heading"),
+    counted = filled.groupBy("book_id", "page_index").agg(
+        F.coalesce(heading <= thirtieth, heading.isNotNull()).alias("has_heading"),
         total(line.rlike(ENTRY) | line.rlike(COMPACT_ENTRY)).alias("same_line"),
         total(line.rlike(STRUCTURAL)).alias("structural"),
         total(line.rlike(NUMBER_ONLY)).alias("number_only"),

@@ -66,3 +66,24 @@ def test_accept_correction(spark):
 
 def test_search_projection_ignores_accents_and_blanks(spark):
     assert one(spark, T.search_projection, "Él  É-té!") == "elete"
+
+
+def test_projection_folds_any_accent_and_compatibility_form(spark):
+    texts = ["český ő ř", "Tiế́ng Việt", "élève", "Ⅳ ⅷ", "ｶﾅ ①", "ﬁne eﬃcient", "Ｆｕｌｌ"]
+    want = ["ceskyor", "tiengviet", "eleve", "ivviii", "カナ1", "fineefficient", "full"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.p for r in df.select("i", T.search_projection("t").alias("p")).orderBy("i").collect()]
+    assert got == want
+
+
+def test_hits_inside_ligatures_and_accents_have_ranges(spark):
+    from pagework.operators import search as S
+
+    lines = ["the ﬁne art of x.", "an eﬃ- cient ﬂow", "Šťastný  nový rok", "café noir"]
+    df = spark.createDataFrame([(1, 0, i, t) for i, t in enumerate(lines)], "book_id long, page_index int, line_no int, line string")
+    asks = spark.createDataFrame(
+        [(1, 1, "fine art"), (2, 1, "efficient flow"), (3, 1, "stastny novy"), (4, 1, "CAFÉ NOIR"), (5, 1, "ine art")],
+        "query_id long, book_id long, phrase string",
+    )
+    got = {r.query_id: lines[r.line_no][r.start : r.stop] for r in S.match_ranges(asks, df).collect()}
+    assert got == {1: "ﬁne art", 2: "eﬃ- cient ﬂow", 3: "Šťastný  nový", 4: "café noir", 5: lines[0]}
