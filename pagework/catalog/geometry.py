@@ -223,14 +223,45 @@ SELECT * REPLACE (CAST(x0 // 2 + m * 1200 AS INT) AS x0, CAST(x1 // 2 + m * 1200
 FROM (SELECT *, line_no % 2 AS m FROM rd_words WHERE dup = 0)""")
 sql.define("word_rows", rows_sql("single_words"))
 sql.define("split_rows", rows_sql("split_words"))
-sql.define("gutter_parts", """
+
+
+def parts_sql(source: str) -> str:
+    return f"""
 SELECT book_id, page_index, CAST(row_no AS BIGINT) AS row_no, CAST(part_no AS BIGINT) AS part_no, min(x0) AS x0,
   min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(text, ' ' ORDER BY x0, x1, text) AS text
 FROM (SELECT *, sum(CASE WHEN x0 - reach <= greatest(9, fh * 1.35) THEN 0 ELSE 1 END) OVER (PARTITION BY
     book_id, page_index, row_no ORDER BY x0, x1, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part_no
   FROM (SELECT *, max(x1) OVER (PARTITION BY book_id, page_index, row_no ORDER BY x0, x1, text
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, first_value(h) OVER (PARTITION BY book_id,
-      page_index, row_no ORDER BY y0, x0, x1, text) AS fh FROM split_rows)) GROUP BY ALL""")
+      page_index, row_no ORDER BY y0, x0, x1, text) AS fh FROM {source})) GROUP BY ALL"""
+
+
+sql.define("gutter_parts", parts_sql("split_rows"))
+sql.define("single_parts", parts_sql("word_rows"))
+# Boxes with x and y swapped, on pages where a third of the lines is tall.
+ORACLE["g7_vertical_order"] = with_tables(
+    """SELECT book_id, page_index, CAST(row_number() OVER (PARTITION BY book_id, page_index
+      ORDER BY tall, CASE WHEN tall THEN -(x0 + x1) / 2 END NULLS FIRST, y0, x0, text) AS INT) AS place, x0, y0
+    FROM (SELECT *, count(*) FILTER (WHERE tall) OVER p AS n_tall, count(*) OVER p AS n FROM turned
+      WINDOW p AS (PARTITION BY book_id, page_index))
+    WHERE n_tall >= greatest(3, n // 3)""",
+    turned="""SELECT book_id, page_index, text, y0 AS x0, x0 AS y0, y1 AS x1, x1 AS y1,
+      x1 - x0 > (y1 - y0) * 1.35 AS tall FROM single_parts""",
+)
+ORACLE["g10_merge_fragments"] = with_tables(
+    """SELECT book_id, page_index, row_no, CAST(part_no AS BIGINT) AS part_no, min(x0) AS x0, min(y0) AS y0,
+      max(x1) AS x1, max(y1) AS y1, count(*) AS n
+    FROM (SELECT *, sum(CASE WHEN x0 - reach <= greatest(2, (y1 - y0) * 0.22) THEN 0 ELSE 1 END) OVER (PARTITION BY
+        book_id, page_index, row_no ORDER BY x0, x1, y0 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part_no
+      FROM (SELECT *, max(x1) OVER (PARTITION BY book_id, page_index, row_no ORDER BY x0, x1, y0
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM lined)) GROUP BY ALL""",
+    lined="""SELECT * EXCLUDE (py0, py1), CAST(sum(CASE WHEN (least(y1, py1) - greatest(y0, py0))
+        / greatest(least(y1 - y0, py1 - py0), 0.001) >= 0.62 THEN 0 ELSE 1 END) OVER (PARTITION BY book_id, page_index
+        ORDER BY y0, y1, x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS row_no
+      FROM (SELECT *, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1
+        FROM (SELECT DISTINCT book_id, page_index, x0, y0, x1, y1 FROM rd_words)
+        WINDOW w AS (PARTITION BY book_id, page_index ORDER BY y0, y1, x0, x1))""",
+)
 ORACLE["g4_assemble_rows"] = with_tables(
     r"""SELECT book_id, page_index, row_no, x0, y0, x1, y1, md5(CASE WHEN len(w) > 2 AND w[len(w)] = w[len(w) - 1]
       AND regexp_matches(w[len(w)], '^[0-9]{1,4}$') THEN array_to_string(w[1:len(w) - 1], ' ')

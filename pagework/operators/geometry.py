@@ -53,20 +53,25 @@ def rotate_boxes(boxes: DataFrame, rotation: Column) -> DataFrame:
     )
 
 
-CELL_X, CELL_Y = 200, 40
-
-
 def dedupe_boxes(boxes: DataFrame, key: list[str]) -> DataFrame:
     """G3. Of two boxes that cover the same region (72 % of the smaller one)
     with one text inside the other, the less certain one goes.
 
-    Boxes meet only in the grid cells they touch, not all over the page.  The
-    rule is pairwise; in chains of duplicates a box may be dropped by one that
-    is dropped itself.
+    Boxes meet only in the grid cells they touch, not all over the page; a cell
+    is twice the page's mean box, whatever the unit.  The rule is pairwise; in
+    chains of duplicates a box may be dropped by one that is dropped itself.
     """
-    cells_x = F.sequence(F.floor(F.col("x0") / CELL_X), F.floor(F.col("x1") / CELL_X))
-    cells_y = F.sequence(F.floor(F.col("y0") / CELL_Y), F.floor(F.col("y1") / CELL_Y))
-    spread = boxes.withColumn("_cx", F.explode(cells_x)).withColumn("_cy", F.explode(cells_y))
+    twice = {"_w": F.col("x1") - F.col("x0"), "_h": F.col("y1") - F.col("y0")}
+    cell = boxes.groupBy(*PAGE).agg(
+        *[F.greatest(F.avg(size) * 2, F.lit(1e-9)).alias(name) for name, size in twice.items()]
+    )
+
+    def cells(low: str, high: str, size: str) -> Column:
+        return F.sequence(F.floor(F.col(low) / F.col(size)), F.floor(F.col(high) / F.col(size)))
+
+    placed = boxes.join(cell, PAGE)
+    spread = placed.withColumn("_cx", F.explode(cells("x0", "x1", "_w"))).withColumn(
+        "_cy", F.explode(cells("y0", "y1", "_h")))
     narrow = spread.select(*PAGE, "_cx", "_cy", *key, "text", *BOX, "conf")
     other = narrow.select(
         *PAGE, "_cx", "_cy",
