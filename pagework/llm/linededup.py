@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from pagework.llm.common import small_batches
 from pagework.plans.stage import stage
 
-ANCHOR = 12
-WINNOW = 4
+ANCHOR = 10
+WINNOW = 6
 LEAST = 30
 CUT = 12
 BYTES_AT_ONCE = 1 << 20
@@ -269,6 +269,7 @@ def repeated_blocks(docs: DataFrame, least: int = LEAST, text: str = "text") ->
             out.append(common_blocks(own, np.cumsum(np.frombuffer(w.as_py(), "<u4")).tolist(), other, least))
         return _spans(out)
 
+    # The joins below are merge joins at every size: nothing is broadcast.
     named = docs.where(F.col("doc_id").isNotNull())
     cutting = named.select("doc_id", F.xxhash64(text).alias("text_hash"), cut(text).alias("r"))
     units = stage(cutting.select("doc_id", "text_hash", "r.*"), "lines")
@@ -276,9 +277,13 @@ def repeated_blocks(docs: DataFrame, least: int = LEAST, text: str = "text") ->
     owners = anchors.groupBy("anchor").agg(F.min("doc_id").alias("owner_id"), F.max("doc_id").alias("latest"))
     owners = owners.where("latest > owner_id").drop("latest")
     pairs = anchors.join(owners, "anchor").where("doc_id > owner_id").select("doc_id", "owner_id").distinct()
-    later = units.select("doc_id", "text_hash", "lines", "words")
-    earlier = units.select(F.col("doc_id").alias("owner_id"), F.col("lines").alias("earlier"))
-    both = pairs.join(later, "doc_id").join(earlier, "owner_id")
+    pairs = stage(pairs, "line-pairs")
+    # Lines of unpaired documents are moved once only, and then left behind.
+    paired = pairs.select(F.explode(F.array("doc_id", "owner_id")).alias("doc_id")).distinct()
+    held = stage(units.drop("anchors").join(paired.hint("merge"), "doc_id", "left_semi"), "paired-lines")
+    later = held.select("doc_id", "text_hash", "lines", "words")
+    earlier = held.select(F.col("doc_id").alias("owner_id"), F.col("lines").alias("earlier"))
+    both = pairs.join(later.hint("merge"), "doc_id").join(earlier.hint("merge"), "owner_id")
     aligned = both.select("doc_id", "text_hash", align("lines", "words", "earlier").alias("blocks")).where(F.size("blocks") > 0)
     return aligned.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("blocks")).alias("blocks"))
 
@@ -308,7 +313,7 @@ def dedup(docs: DataFrame, least: int = LEAST, text: str = "text") -> DataFrame:
     names = [c for c in docs.columns if c != "removed_words"]
     marked = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("__hash", F.xxhash64(text))
     found = blocks.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__of"), F.col("blocks").alias("__blocks"))
-    joined = marked.join(found, (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__of")), "left")
+    joined = marked.join(found.hint("merge"), (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__of")), "left")
     done = joined.withColumn("__r", apply(F.col(text), F.col("__blocks")))
     kept = [F.col("__r.text").alias(text) if c == text else F.col(f"`{c}`") for c in names]
     return done.select(*kept, F.col("__r.removed").alias("removed_words"))
