@@ -30,11 +30,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagework.llm.common import Bounded, small_batches, with_result
+from pagework.llm.common import Bounded, once, small_batches, with_result
 
-PIECES_KEPT = 200_000
-STATES_KEPT = 120_000
+PIECES_KEPT = 400_000
+STATES_KEPT = 160_000
 ROOT = 0
+# Hypotheses, pairs and moves are kept as one number each, to save memory: a
+# token + 1 (0: none) above a node, a token above a token, a state above a token.
+SHIFT = 24
+LOW = (1 << SHIFT) - 1
 
 
 def read_ranks(blob: bytes) -> dict[bytes, int]:
@@ -98,14 +102,14 @@ class Transducer:
                     self.depth.append(self.depth[node] + 1)
                 node = self.child[key]
             self.token_at[node] = rank
-        self.allowed = Bounded(self._follows, 400_000)
+        self.allowed = Bounded(self._follows, 300_000)
         self.forget()
 
     def forget(self) -> None:
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: dict[int, tuple[int, int]] = {}  # state * 256 + byte -> state, token
-        self.start = self._number(((-1, ROOT),))
+        self.moves: dict[int, int] = {}  # state * 256 + byte -> state, token + 1
+        self.start = self._number((ROOT,))
 
     def _number(self, state: tuple) -> int:
         number = self.numbers.setdefault(state, len(self.states))
@@ -113,28 +117,29 @@ class Transducer:
             self.states.append(state)
         return number
 
-    def _follows(self, pair: tuple[int, int]) -> bool:
-        first, second = pair
+    def _follows(self, pair: int) -> bool:
+        first, second = (pair >> SHIFT) - 1, pair & LOW
         right = self.bytes_of[second]
         if first < 0:
             return merge(right, self.ranks) == [right]
         left = self.bytes_of[first]
         return merge(left + right, self.ranks) == [left, right]
 
-    def move(self, number: int, byte: int) -> tuple[int, int]:
-        """Next state, and the last token of all bytes so far."""
+    def move(self, number: int, byte: int) -> int:
+        """Next state, and the last token of all bytes so far plus one."""
         living, ended = [], -1
         child, token_at, allowed = self.child, self.token_at, self.allowed
-        for last, node in self.states[number]:
-            node = child.get(node << 8 | byte)
+        for hypothesis in self.states[number]:
+            node = child.get((hypothesis & LOW) << 8 | byte)
             if node is None:
                 continue
-            living.append((last, node))
+            last = hypothesis >> SHIFT
+            living.append(last << SHIFT | node)
             token = token_at[node]
-            if token >= 0 and ended < 0 and allowed[last, token]:
+            if token >= 0 and ended < 0 and allowed[last << SHIFT | token]:
                 ended = token
-        living.append((ended, ROOT))
-        self.moves[number << 8 | byte] = known = (self._number(tuple(living)), ended)
+        living.append(ended + 1 << SHIFT | ROOT)
+        self.moves[number << 8 | byte] = known = self._number(tuple(living)) << SHIFT | ended + 1
         return known
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
@@ -145,8 +150,9 @@ class Transducer:
         lasts: list[int] = []  # last token after each byte not yet emitted
         for byte in data:
             known = moves.get(state << 8 | byte)
-            state, last = known if known is not None else self.move(state, byte)
-            lasts.append(last)
+            known = self.move(state, byte) if known is None else known
+            state = known >> SHIFT
+            lasts.append((known & LOW) - 1)
             if len(lasts) >= self.lookahead:
                 yield from self._certain(state, lasts)
         yield from self._back(lasts, len(lasts))
@@ -161,7 +167,7 @@ class Transducer:
 
     def _certain(self, state: int, lasts: list[int]) -> list[int]:
         """Tokens before the place where all live rows meet; they leave ``lasts``."""
-        places = {len(lasts) - self.depth[node] for _, node in self.states[state]}
+        places = {len(lasts) - self.depth[h & LOW] for h in self.states[state]}
         while len(places) > 1:
             latest = max(places)
             places.remove(latest)
@@ -182,8 +188,9 @@ class Transducer:
         state, lasts = self.start, []
         get, move = self.moves.get, self.move
         for byte in piece:
-            state, last = get(state << 8 | byte) or move(state, byte)
-            lasts.append(last)
+            known = get(state << 8 | byte) or move(state, byte)
+            state = known >> SHIFT
+            lasts.append((known & LOW) - 1)
         return self._back(lasts, len(lasts))
 
 
@@ -251,14 +258,19 @@ def pattern_of(pattern: str):
     return regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
-_MADE: dict = {}
+def _encoded(texts: pa.Array, ranks_path: str, pattern: str, blob) -> list[bytes]:
+    def make():
+        machine = Transducer(read_ranks(blob.value))
+        return Bounded(lambda piece: np.array(machine.encode(piece.encode()), "<u4").tobytes(), PIECES_KEPT)
 
+    pieces = once("bpe", "encode", (ranks_path, pattern), make)
+    find = once("bpe", "pattern", pattern, lambda: pattern_of(pattern)).findall
+    return [b"".join(map(pieces.__getitem__, find(t.as_py() or ""))) for t in texts]
 
-def _once(name: str, key, make):
-    """One instance per Python worker."""
-    if _MADE.get(name, (None,))[0] != key:
-        _MADE[name] = (key, make())
-    return _MADE[name][1]
+
+def _decoded(rows: list[bytes | None], ranks_path: str, blob) -> list[str]:
+    decoder = once("bpe", "decode", ranks_path, lambda: Decoder(read_ranks(blob.value)))
+    return [decoder.decode(np.frombuffer(r or b"", "<u4").tolist()) for r in rows]
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -275,13 +287,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
 
     @F.arrow_udf("struct<ids: binary, n_tokens: bigint>")
     def run(texts: pa.Array) -> pa.Array:
-        def make():
-            machine = Transducer(read_ranks(blob.value))
-            return Bounded(lambda piece: np.array(machine.encode(piece.encode()), "<u4").tobytes(), PIECES_KEPT)
-
-        pieces = _once("encode", (ranks_path, pattern), make)
-        find = _once("pattern", pattern, lambda: pattern_of(pattern)).findall
-        out = [b"".join(map(pieces.__getitem__, find(t.as_py() or ""))) for t in texts]
+        out = _encoded(texts, ranks_path, pattern, blob)
         counts = pa.array([len(x) // 4 for x in out], pa.int64())
         return pa.StructArray.from_arrays([pa.array(out, pa.binary()), counts], ["ids", "n_tokens"])
 
@@ -298,16 +304,33 @@ def decode(docs: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
 
     @F.arrow_udf("struct<decoded: string>")
     def run(rows: pa.Array) -> pa.Array:
-        decoder = _once("decode", ranks_path, lambda: Decoder(read_ranks(blob.value)))
-        out = [decoder.decode(np.frombuffer(r.as_py() or b"", "<u4").tolist()) for r in rows]
+        out = _decoded([r.as_py() for r in rows], ranks_path, blob)
         return pa.StructArray.from_arrays([pa.array(out, pa.string())], ["decoded"])
 
     return with_result(docs, run(F.col(ids)), ["decoded"])
 
 
+def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in the same Python process: appends ``ids``,
+    ``n_tokens`` and ``decoded``."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    with open(ranks_path, "rb") as file:
+        blob = spark.sparkContext.broadcast(file.read())
+
+    @F.arrow_udf("struct<ids: binary, n_tokens: bigint, decoded: string>")
+    def run(texts: pa.Array) -> pa.Array:
+        out = _encoded(texts, ranks_path, pattern, blob)
+        counts = pa.array([len(x) // 4 for x in out], pa.int64())
+        arrays = [pa.array(out, pa.binary()), counts, pa.array(_decoded(out, ranks_path, blob), pa.string())]
+        return pa.StructArray.from_arrays(arrays, ["ids", "n_tokens", "decoded"])
+
+    return with_result(docs, run(F.col(text)), ["ids", "n_tokens", "decoded"])
+
+
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Encode, decode, and digest both: the columns of the query."""
-    coded = decode(encode(docs.select("doc_id", "text"), ranks_path, pattern), ranks_path)
+    coded = encode_and_decode(docs.select("doc_id", "text"), ranks_path, pattern)
     return coded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),

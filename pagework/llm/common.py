@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,26 @@ def with_result(df: DataFrame, result: Column, names: Sequence[str]) -> DataFram
     )
 
 
+_MADE: dict = {}
+
+
+def alone(operator: str) -> None:
+    """Let go of what other operators have left in this Python worker, which the
+    stages of a job share."""
+    if _MADE.get("operator") != operator:
+        _MADE.clear()
+        gc.collect()
+        _MADE["operator"] = operator
+
+
+def once(operator: str, name: str, key, make: Callable):
+    """One instance per Python worker, as long as the operator stays the same."""
+    alone(operator)
+    if _MADE.get(name, (None,))[0] != key:
+        _MADE[name] = (key, make())
+    return _MADE[name][1]
+
+
 class Bounded(dict):
     """A memo of ``make(key)`` that starts anew when it holds ``limit`` entries."""
 

@@ -16,8 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagework.llm.bpe import _once, pattern_of
-from pagework.llm.common import Bounded, small_batches, with_result
+from pagework.llm.bpe import pattern_of
+from pagework.llm.common import Bounded, once, small_batches, with_result
 
 PIECES_KEPT = 600_000
 # Fixed value: how the byte-level pre-tokenizer splits.
@@ -117,7 +117,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
 
     @F.arrow_udf("struct<n_tokens: bigint>")
     def run(texts: pa.Array) -> pa.Array:
-        counter = _once("counter", path, lambda: Counter(blob.value))
+        counter = once("counts", "counter", path, lambda: Counter(blob.value))
         out = [counter.count(t.as_py() or "") for t in texts]
         return pa.StructArray.from_arrays([pa.array(out, pa.int64())], ["n_tokens"])
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagework.llm.common import small_batches, with_result
+from pagework.llm.common import alone, small_batches, with_result
 
 WINDOW = 10
 BLOCK = 2
@@ -139,6 +139,7 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
 
         @F.arrow_udf(KIND)
         def run(texts: pa.Array) -> pa.Array:
+            alone("decontaminate")
             if "searcher" not in made:
                 made["searcher"] = Searcher(shared.value, window)
             return _struct([made["searcher"].run(t.as_py()) for t in texts])

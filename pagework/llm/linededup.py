@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagework.llm.common import small_batches
+from pagework.llm.common import alone, small_batches
 from pagework.plans.stage import stage
 
 ANCHOR = 10
@@ -247,8 +247,9 @@ def repeated_blocks(docs: DataFrame, least: int = LEAST, text: str = "text") ->
 
     @F.arrow_udf("struct<lines: binary, words: binary, anchors: array<bigint>>")
     def cut(texts: pa.Array) -> pa.Array:
+        alone("linededup")
         lines, words, sizes, anchors = [], [], [], []
-        for part in _parts([(t.as_py() or "").encode() for t in texts]):
+        for part in _parts([t.as_py() or b"" for t in texts.cast(pa.binary())]):
             own, owner, ends, rows = lines_of(part)
             of, least_runs = anchors_of(own, owner, ends, rows)
             anchors.append(least_runs.view(np.int64))
@@ -314,6 +315,9 @@ def dedup(docs: DataFrame, least: int = LEAST, text: str = "text") -> DataFrame:
     marked = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("__hash", F.xxhash64(text))
     found = blocks.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__of"), F.col("blocks").alias("__blocks"))
     joined = marked.join(found.hint("merge"), (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__of")), "left")
-    done = joined.withColumn("__r", apply(F.col(text), F.col("__blocks")))
-    kept = [F.col("__r.text").alias(text) if c == text else F.col(f"`{c}`") for c in names]
+    # Only texts that change go to Python.
+    changed = F.col("__blocks").isNotNull()
+    done = joined.withColumn("__r", apply(F.when(changed, F.col(text)), F.col("__blocks")))
+    new = F.when(changed, F.col("__r.text")).otherwise(F.col(text)).alias(text)
+    kept = [new if c == text else F.col(f"`{c}`") for c in names]
     return done.select(*kept, F.col("__r.removed").alias("removed_words"))

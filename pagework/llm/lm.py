@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagework.llm.bpe import _once
-from pagework.llm.common import small_batches
+from pagework.llm.common import alone, once, small_batches
 from pagework.plans.stage import stage
 
 SYMBOLS = 1024  # words that are symbols of their own
@@ -74,6 +73,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             words = pa.array(list(counts), pa.binary()).cast(pa.string())
             return pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
+        alone("lm")
         counts: Counter = Counter()
         for batch in batches:
             counts.update(tokens_of(batch.column(0))[0])
@@ -266,7 +266,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
 
     @F.arrow_udf(kind)
     def run(texts: pa.Array) -> pa.Array:
-        mine: Model = _once("lm", (model_key, token), lambda: pickle.loads(shared.value).ready())
+        mine: Model = once("lm", "model", (model_key, token), lambda: pickle.loads(shared.value).ready())
         words, sizes = tokens_of(texts)
         symbols, place = mine.symbols(words)
         logs = mine.log_at[place]

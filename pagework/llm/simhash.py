@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagework.llm.common import small_batches, with_result
+from pagework.llm.common import alone, small_batches, with_result
 from pagework.llm.links import components
 from pagework.plans.stage import stage
 
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") ->
 
     @F.arrow_udf("struct<simhash: bigint>")
     def run(texts: pa.Array) -> pa.Array:
+        alone("simhash")
         out = [fingerprint(t.as_py(), shingle) for t in texts]
         return pa.StructArray.from_arrays([pa.array(out, pa.int64())], ["simhash"])
 

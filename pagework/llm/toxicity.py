@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagework.llm.common import Bounded, small_batches, with_result
+from pagework.llm.common import Bounded, alone, small_batches, with_result
 
 SAMPLE = 12_000  # labelled documents that are fitted, at most
 BUCKETS = 1 << 20
 FEATURES = 6_000  # hashed features with a weight, at most
 SWAPS = 3  # counterfactuals of a text, at most
 THRESHOLD = 0.3
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 
 # Groups of terms that may be swapped for each other.
 IDENTITY = (
@@ -165,6 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, identity=IDENTITY,
 
     @F.arrow_udf(kind)
     def featurise(column: pa.Array) -> pa.Array:
+        alone("toxicity")
         own, swapped = [], []
         for text in column:
             words = set(WORD.findall((text.as_py() or "").lower()))
@@ -192,6 +193,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str
 
     @F.arrow_udf("struct<score: double>")
     def run(texts: pa.Array) -> pa.Array:
+        alone("toxicity")
         out = []
         for value in texts:
             found = set()
