@@ -2,11 +2,11 @@
 
 A line is what a line break or the end of a sentence ends; a word whose hash is
 divisible by 12 ends one too, so that endless lines are cut where their content
-says.  Documents meet through anchors: hashes of the shortest run of whole lines
-that has ANCHOR words, of which the least of every WINNOW in a row is kept, so
-that long passages always keep some.  Such runs are rare; frequent single lines
-are no anchors.  The earliest document with an anchor is paired with every later
-one (a star, never all pairs of a group).
+says.  Documents meet through anchors: hashes of runs of ANCHOR words, wherever
+lines end, of which the least of every WINNOW in a row is kept.  A passage of
+LEAST words holds a full window, so wherever it stands it keeps the same anchor.
+The earliest document with an anchor is paired with every later one (a star,
+never all pairs of a group).
 
 A pair is aligned by patience diff over its line hashes: common ends first, then
 the longest increasing row of lines that are unique on both sides, then the
@@ -31,8 +31,8 @@ from pagework.llm.common import alone, small_batches
 from pagework.plans.stage import stage
 
 ANCHOR = 10
-WINNOW = 6
 LEAST = 30
+WINNOW = LEAST - ANCHOR + 1
 CUT = 12
 BYTES_AT_ONCE = 1 << 20
 BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2**64
@@ -70,45 +70,67 @@ def run_hashes(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.nda
     return _mix((sums[end] - sums[first]) * down[first])
 
 
-def lines_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines of several texts at once: their hashes, the text each belongs to, the
-    word of that text each ends before, and where each text's lines start."""
+Units = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def words_of(texts: list[bytes]) -> tuple[Units, np.ndarray]:
+    """Words of several texts at once: their hashes, the text each belongs to, the
+    number of words of that text up to each, and where each text's words start;
+    and the words that end a line."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     place = np.cumsum([0, *[len(t) + 1 for t in texts]])
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     start = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     end = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1
-    if not len(start):
-        none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none, np.zeros(len(texts) + 1, np.int64)
+    rows = np.searchsorted(start, place)
+    owner = np.repeat(np.arange(len(texts)), np.diff(rows))
     words = run_hashes(data, start, end)
-    breaks = np.cumsum(data == 10)[start]
     closes = np.isin(data[end - 1], np.frombuffer(b".!?", np.uint8)) | (words % CUT == 0)
-    closes[:-1] |= breaks[1:] != breaks[:-1]
-    closes[-1] = True
-    last = np.flatnonzero(closes) + 1
-    first = np.concatenate([[0], last[:-1]])
-    owner = np.searchsorted(place, start[first], "right") - 1
-    before = np.searchsorted(start, place)  # words before each text
-    rows = np.searchsorted(owner, np.arange(len(texts) + 1))
-    return run_hashes(words, first, last), owner, last - before[owner], rows
-
-
-def anchors_of(lines: np.ndarray, owner: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, anchor), by text.  Texts of fewer than ANCHOR words have none."""
-    starts = np.concatenate([[0], ends[:-1]])
-    starts[rows[:-1][rows[:-1] < len(lines)]] = 0
+    if len(start):
+        breaks = np.cumsum(data == 10)[start]
+        closes[:-1] |= breaks[1:] != breaks[:-1]
+        closes[-1] = True
+    return (words, owner, np.arange(1, len(start) + 1) - rows[owner], rows), np.flatnonzero(closes)
+
+
+def _lines(units: Units, closing: np.ndarray) -> Units:
+    words, owner, ends, rows = units
+    first = np.concatenate([[0], closing[:-1] + 1])[: len(closing)]
+    return run_hashes(words, first, closing + 1), owner[closing], ends[closing], np.searchsorted(closing, rows)
+
+
+def lines_of(texts: list[bytes]) -> Units:
+    """Lines of several texts at once: their hashes, the text each belongs to, the
+    word of that text each ends before, and where each text's lines start."""
+    return _lines(*words_of(texts))
+
+
+def _least_of(values: np.ndarray, window: int) -> np.ndarray:
+    """The least of every ``window`` values in a row."""
+    size = 1
+    while size < window:
+        step = min(size, window - size)
+        values = np.minimum(values[:-step], values[step:])
+        size += step
+    return values
+
+
+def anchors_of(units: np.ndarray, owner: np.ndarray, ends: np.ndarray, rows: np.ndarray, length: int = ANCHOR, window: int = WINNOW) -> tuple[np.ndarray, np.ndarray]:
+    """(text, anchor), by text, of units that are words or lines.  Texts of fewer
+    than ``length`` words have none; of texts with few runs all are kept."""
+    starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
+    starts[rows[:-1][rows[:-1] < len(units)]] = 0
     # One increasing scale for all texts, so that one search finds every run's end.
     scale = np.cumsum(ends - starts)
-    last = np.searchsorted(scale, scale - (ends - starts) + ANCHOR)
+    last = np.searchsorted(scale, scale - (ends - starts) + length)
     whole = np.flatnonzero(last < rows[owner + 1])
-    runs, text = run_hashes(lines, whole, last[whole] + 1), owner[whole]
-    few = np.bincount(text, minlength=len(rows))[text] < WINNOW
+    runs, text = run_hashes(units, whole, last[whole] + 1), owner[whole]
+    few = np.bincount(text, minlength=len(rows))[text] < window
     least, of = runs[few], text[few]
-    if len(runs) >= WINNOW:
-        inside = text[: len(runs) - WINNOW + 1] == text[WINNOW - 1 :]
-        minima = np.lib.stride_tricks.sliding_window_view(runs, WINNOW).min(axis=1)[inside]
-        least, of = np.concatenate([least, minima]), np.concatenate([of, text[: len(inside)][inside]])
+    if len(runs) >= window:
+        inside = text[: len(runs) - window + 1] == text[window - 1 :]
+        least = np.concatenate([least, _least_of(runs, window)[inside]])
+        of = np.concatenate([of, text[: len(inside)][inside]])
     order = np.argsort(of, kind="stable")
     least, of = least[order], of[order]
     new = np.ones(len(of), bool)
@@ -244,14 +266,16 @@ def repeated_blocks(docs: DataFrame, least: int = LEAST, text: str = "text") ->
     """(doc_id, text_hash, blocks): word spans (end exclusive) of blocks that an
     earlier document, one of smaller doc_id, has as well."""
     small_batches(docs.sparkSession)
+    length = min(ANCHOR, least)
 
     @F.arrow_udf("struct<lines: binary, words: binary, anchors: array<bigint>>")
     def cut(texts: pa.Array) -> pa.Array:
         alone("linededup")
         lines, words, sizes, anchors = [], [], [], []
         for part in _parts([t.as_py() or b"" for t in texts.cast(pa.binary())]):
-            own, owner, ends, rows = lines_of(part)
-            of, least_runs = anchors_of(own, owner, ends, rows)
+            units, closing = words_of(part)
+            own, _, ends, rows = _lines(units, closing)
+            of, least_runs = anchors_of(*units, length, least - length + 1)
             anchors.append(least_runs.view(np.int64))
             sizes.append(np.bincount(of, minlength=len(part)))
             for a, b in zip(rows, rows[1:], strict=False):

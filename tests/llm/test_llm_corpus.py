@@ -189,6 +189,22 @@ def test_lines_and_anchors_do_not_depend_on_neighbours():
         assert (ends[-1] if len(ends) else 0) == len(text.split()) and rows[-1] == len(own)
 
 
+@pytest.mark.parametrize("stops", [True, False])
+@pytest.mark.parametrize("size", [30, 51])
+def test_every_passage_keeps_a_common_anchor(stops, size):
+    random.seed(size + stops)
+    words = [f"term{i}" for i in range(900)]
+
+    def prose(n):
+        return [w + "." * (stops and random.random() < 0.15) for w in random.choices(words, k=n)]
+
+    for _ in range(150):
+        passage = prose(size)
+        texts = [" ".join(prose(random.randint(5, 90)) + passage + prose(random.randint(5, 90))).encode() for _ in range(2)]
+        of, anchors = linededup.anchors_of(*linededup.words_of(texts)[0])
+        assert set(anchors[of == 0]) & set(anchors[of == 1])
+
+
 def test_repeated_passages_leave_later_documents(spark):
     random.seed(11)
     words = [f"term{i}" for i in range(900)]
