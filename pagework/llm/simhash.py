@@ -10,6 +10,11 @@ slices, fingerprints within ``bits`` agree on two slices wholly, and so in all
 coordinates of those.  Survivors are verified bit by bit.  No link is lost.
 
 Copies share a fingerprint and are one class; only classes are linked.
+
+The pipeline asks for a Jaccard similarity of shingle sets instead (``keep_similar_first``).
+At 0.8 fingerprints differ in 10 of 64 bits on average and often in 16; slices
+for so many bits are so short that nearly all pairs meet.  There, documents meet
+in bands of shingle minima, and the exact similarity decides.
 """
 
 from __future__ import annotations
@@ -32,6 +37,11 @@ BITS = 3
 SEED = 42
 PIVOTS = 16
 AT_ONCE = 1 << 16  # shingle hashes whose bits are spread out at once
+# A pair of similarity 0.8 shares one of 20 bands of 5 minima with probability 0.9996.
+ALIKE = 0.8
+LONG_SHINGLE = 5
+BANDS = 20
+BAND_ROWS = 5
 
 
 def pivots(count: int = PIVOTS) -> list[int]:
@@ -39,16 +49,24 @@ def pivots(count: int = PIVOTS) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(b"pivot %d" % i)).astype(np.int64)) for i in range(count)]
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash; zero for a text without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of all runs of ``shingle`` words; of a shorter text the whole."""
     words = text.encode().lower().split() if text else []  # bytes: A-Z and ASCII blanks only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     size = min(shingle, len(words))
     n = len(words) - size + 1
     windows = zip(*[words[i : i + n] for i in range(size)], strict=True)
-    hashes = np.fromiter((digest(b" ".join(w), SEED) for w in windows), np.uint64, n)
+    return np.fromiter((digest(b" ".join(w), SEED) for w in windows), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit SimHash; zero for a text without words."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, n, AT_ONCE):
         part = hashes[at : at + AT_ONCE].view(np.uint8).reshape(-1, 8)
@@ -127,11 +145,87 @@ def hexadecimal(value: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(value)), 16, "0"))
 
 
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of minima over a shingle set (signed 64-bit)."""
+    minima = np.full(len(FACTORS), (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), AT_ONCE // len(FACTORS)):
+        mixed = hashes[None, at : at + AT_ONCE // len(FACTORS)] * FACTORS
+        mixed ^= mixed >> np.uint64(31)
+        np.minimum(minima, mixed.min(axis=1), out=minima)
+    rows = minima.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def alike(docs: DataFrame, shingle: int = LONG_SHINGLE, least: float = ALIKE, text: str = "text") -> DataFrame:
+    """(doc_id, root) of the rows with an id: ``root`` names the component of texts
+    whose shingle sets have a Jaccard similarity of ``least`` or more.
+
+    Texts with one shingle set are one class; classes meet in bands, every pair
+    that meets is verified by its exact similarity.
+    """
+    small_batches(docs.sparkSession)
+
+    @F.arrow_udf("struct<node: bigint, hashes: binary, keys: array<bigint>>")
+    def cut(texts: pa.Array) -> pa.Array:
+        alone("simhash")
+        nodes, sets, keys = [], [], []
+        for t in texts:
+            own = np.unique(shingle_hashes(t.as_py(), shingle))
+            sets.append(own.tobytes())
+            nodes.append(xxhash.xxh64_intdigest(sets[-1]))
+            keys.append(band_keys(own) if len(own) else np.empty(0, np.int64))
+        arrays = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(arrays, ["node", "hashes", "keys"])
+
+    @F.arrow_udf("boolean")
+    def similar(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(left, right, strict=True):
+            a, b = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(common >= least * (len(a) + len(b) - common))
+        return pa.array(out, pa.bool_())
+
+    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", cut(text).alias("r"))
+    rows = stage(named.select("doc_id", "r.*"), "shingles")
+    # One document speaks for its class.
+    first = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    classes = rows.join(first, ["node", "doc_id"], "left_semi").select("node", F.col("keys"), F.octet_length("hashes").alias("size")).dropDuplicates(["node"])
+    keyed = classes.select("node", "size", F.explode("keys").alias("key"))
+    x, y = keyed.alias("x"), keyed.alias("y")
+    # Sets of too different sizes cannot be alike.
+    sizes = F.least("x.size", "y.size") >= F.lit(least) * F.greatest("x.size", "y.size")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & sizes)
+    pairs = stage(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "shingle-pairs")
+    held = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = rows.join(first, ["node", "doc_id"], "left_semi").join(held.hint("merge"), "node", "left_semi")
+    sets = stage(sets.select("node", "hashes").dropDuplicates(["node"]), "shingle-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("left")).hint("merge"), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("right")).hint("merge"), "b")
+    roots = components(both.where(similar("left", "right")).select("a", "b"))
+    placed = rows.select("doc_id", "node").join(roots, "node", "left")
+    return placed.select("doc_id", F.coalesce("root", "node").alias("root"))
+
+
+def keep_similar_first(docs: DataFrame, shingle: int = LONG_SHINGLE, least: float = ALIKE) -> DataFrame:
+    """Like ``keep_first``, by similarity of shingle sets."""
+    kept = alike(docs, shingle, least).groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    return _of_kept(docs, kept)
+
+
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """The documents without near-duplicates of an earlier one: of each component
     the smallest doc_id stays, once.  Rows with a null doc_id stay as they are."""
     placed = near_duplicates(docs, shingle, bits)
     kept = placed.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return _of_kept(docs, kept)
+
+
+def _of_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Once each document with a kept id, and all rows with a null doc_id."""
     named = docs.where(F.col("doc_id").isNotNull())
     first = named.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(
         F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])).alias("_row")

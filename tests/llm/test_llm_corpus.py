@@ -92,6 +92,34 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sum(r.doc_id is None for r in kept) == 2
 
 
+def test_stage_keeps_one_of_texts_that_are_alike(spark):
+    random.seed(17)
+    words = [f"w{i}" for i in range(500)]
+    rows, near = [], {}
+
+    def grams(text):
+        own = text.split()
+        return {tuple(own[k : k + 5]) for k in range(max(len(own) - 4, 1))}
+
+    for i in range(150):
+        own = random.choices(words, k=random.randint(60, 300))
+        rows.append((i, " ".join(own)))
+        for at in random.sample(range(len(own)), random.randint(1, max(1, len(own) // 40))):
+            own[at] = "changed"
+        text = " ".join(own)
+        a, b = grams(rows[-1][1]), grams(text)
+        near[1000 + i] = len(a & b) / len(a | b)
+        rows.append((1000 + i, text))
+    rows += [(2000, ""), (2001, None), (2002, "a b"), (2003, "A  b"), (3, "w0"), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()
+    kept = {r.doc_id for r in got}
+    assert sum(0.8 <= x < 0.95 for x in near.values()) > 50 and sum(x < 0.8 for x in near.values()) > 10
+    assert {i for i in near if i in kept} == {i for i, x in near.items() if x < 0.8}
+    assert set(range(150)) <= kept and {2000, 2002} <= kept and not {2001, 2003} & kept
+    assert len(got) == len(kept) and sum(r.doc_id is None for r in got) == 1
+
+
 def test_max_score_shard_equals_sorting():
     generator = np.random.default_rng(1)
     for trial in range(200):
