@@ -6,7 +6,9 @@ says.  Documents meet through anchors: hashes of runs of ANCHOR words, wherever
 lines end, of which the least of every WINNOW in a row is kept.  A passage of
 LEAST words holds a full window, so wherever it stands it keeps the same anchor.
 The earliest document with an anchor is paired with every later one (a star,
-never all pairs of a group).
+never all pairs of a group).  That document may have the anchor and nothing else
+of the passage, so runs of LEAST words are winnowed and paired in the same way:
+what two documents share of 50 words or more also meets a holder of a whole block.
 
 A pair is aligned by patience diff over its line hashes: common ends first, then
 the longest increasing row of lines that are unique on both sides, then the
@@ -138,6 +140,18 @@ def anchors_of(units: np.ndarray, owner: np.ndarray, ends: np.ndarray, rows: np.
     return of[new], least[new]
 
 
+def meeting_keys(units: Units, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key), by text: anchors, and runs of ``least`` words."""
+    length = min(ANCHOR, least)
+    window = least - length + 1
+    found = [anchors_of(*units, length, window)]
+    if window > 1:
+        found.append(anchors_of(*units, least, window))
+    of, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(of, kind="stable")
+    return of[order], keys[order]
+
+
 def _longest_run(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """(start in a, start in b, length) of the longest common run, by halving."""
     low, high, best = 1, min(len(a), len(b)), (0, 0, 0)
@@ -266,7 +280,6 @@ def repeated_blocks(docs: DataFrame, least: int = LEAST, text: str = "text") ->
     """(doc_id, text_hash, blocks): word spans (end exclusive) of blocks that an
     earlier document, one of smaller doc_id, has as well."""
     small_batches(docs.sparkSession)
-    length = min(ANCHOR, least)
 
     @F.arrow_udf("struct<lines: binary, words: binary, anchors: array<bigint>>")
     def cut(texts: pa.Array) -> pa.Array:
@@ -275,7 +288,7 @@ def repeated_blocks(docs: DataFrame, least: int = LEAST, text: str = "text") ->
         for part in _parts([t.as_py() or b"" for t in texts.cast(pa.binary())]):
             units, closing = words_of(part)
             own, _, ends, rows = _lines(units, closing)
-            of, least_runs = anchors_of(*units, length, least - length + 1)
+            of, least_runs = meeting_keys(units, least)
             anchors.append(least_runs.view(np.int64))
             sizes.append(np.bincount(of, minlength=len(part)))
             for a, b in zip(rows, rows[1:], strict=False):

@@ -233,6 +233,18 @@ def test_every_passage_keeps_a_common_anchor(stops, size):
         assert set(anchors[of == 0]) & set(anchors[of == 1])
 
 
+def test_holders_of_fragments_hide_no_pair():
+    random.seed(23)
+    words = [f"term{i}" for i in range(900)]
+    for _ in range(200):
+        passage = random.choices(words, k=random.randint(50, 55))
+        parts = [passage[:29], passage[-29:], passage, passage]
+        texts = [" ".join(random.choices(words, k=40) + p + random.choices(words, k=40)).encode() for p in parts]
+        of, keys = linededup.meeting_keys(linededup.words_of(texts)[0])
+        first, second, *others = [set(keys[of == i]) for i in range(4)]
+        assert set.intersection(*others) - first - second
+
+
 def test_repeated_passages_leave_later_documents(spark):
     random.seed(11)
     words = [f"term{i}" for i in range(900)]
