@@ -14,7 +14,8 @@ A pair is aligned by patience diff over its line hashes: common ends first, then
 the longest increasing row of lines that are unique on both sides, then the
 longest common run where no line is unique.  Aligned blocks of ``least`` words
 or more are deleted from the later document; the alignment is repeated without
-them, so that passages in another order are found too.
+them, so that passages in another order are found too.  Where it finds no more,
+the longest common run of words is taken, until none has ``least`` words.
 """
 
 from __future__ import annotations
@@ -214,26 +215,51 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(later: list, ends: list, earlier: list, least: int) -> list[tuple[int, int]]:
-    """Word spans (end exclusive) of the later text that aligned blocks cover."""
-    found: list[tuple[int, int]] = []
-    before, values, known = [0, *ends], list(later), set(earlier)
-    # The words of lines that could still align must be enough for a block.
-    while sum(before[i + 1] - before[i] for i, x in enumerate(values) if x in known) >= least:
+def _runs(values: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` values."""
+    first = np.arange(max(len(values) - size + 1, 0))
+    return run_hashes(values, first, first + size)
+
+
+Sides = tuple[np.ndarray, np.ndarray]
+
+
+def sides_of(texts: list[bytes]) -> list[Sides]:
+    """Of each text its words' hashes and the words before each line and the end."""
+    out = []
+    for part in _parts(texts):
+        (words, _, ends, rows), closing = words_of(part)
+        at = np.searchsorted(closing, rows)
+        before = [np.concatenate([[0], ends[closing[a:b]]]) for a, b in zip(at, at[1:], strict=False)]
+        out += [(words[a:b], c) for a, b, c in zip(rows, rows[1:], before, strict=False)]
+    return out
+
+
+def common_blocks(later: Sides, earlier: Sides, least: int) -> list[tuple[int, int]]:
+    """Word spans (end exclusive) of the later text that the earlier one has too;
+    what is left has no run of ``least`` words in common with it."""
+    (values, before), (others, other_before) = later, earlier
+    values, found = values.copy(), []
+    known, runs = set(others.tolist()), np.unique(_runs(others, least))
+    # What is taken gets a value that the earlier text does not have.
+    free = next(x for x in range(len(known) + 1) if x not in known)
+    other_lines = run_hashes(others, other_before[:-1], other_before[1:]).tolist()
+    while np.isin(_runs(values, least), runs).any():
         blocks = []
-        for i, j in patience(values, earlier):
+        for i, j in patience(run_hashes(values, before[:-1], before[1:]).tolist(), other_lines):
             if blocks and blocks[-1][1] == i and blocks[-1][2] == j:
                 blocks[-1][1:] = [i + 1, j + 1]
             else:
                 blocks.append([i, i + 1, j + 1])
-        new = [(x, y) for x, y, _ in blocks if before[y] - before[x] >= least]
+        new = [(int(before[x]), int(before[y])) for x, y, _ in blocks if before[y] - before[x] >= least]
         if not new:
-            break
-        # What is taken gets a value that the earlier text does not have.
-        free = next(x for x in range(len(known) + 1) if x not in known)
+            x, _, size = _longest_run(values, others)
+            if size < least:
+                break
+            new = [(x, x + size)]
         for x, y in new:
-            values[x:y] = [free] * (y - x)
-            found.append((before[x], before[y]))
+            values[x:y] = free
+            found.append((x, y))
     return found
 
 
@@ -281,48 +307,40 @@ def repeated_blocks(docs: DataFrame, least: int = LEAST, text: str = "text") ->
     earlier document, one of smaller doc_id, has as well."""
     small_batches(docs.sparkSession)
 
-    @F.arrow_udf("struct<lines: binary, words: binary, anchors: array<bigint>>")
+    @F.arrow_udf("array<bigint>")
     def cut(texts: pa.Array) -> pa.Array:
         alone("linededup")
-        lines, words, sizes, anchors = [], [], [], []
+        sizes, keys = [np.zeros(1, np.int64)], [np.empty(0, np.int64)]
         for part in _parts([t.as_py() or b"" for t in texts.cast(pa.binary())]):
-            units, closing = words_of(part)
-            own, _, ends, rows = _lines(units, closing)
-            of, least_runs = meeting_keys(units, least)
-            anchors.append(least_runs.view(np.int64))
+            of, own = meeting_keys(words_of(part)[0], least)
+            keys.append(own.view(np.int64))
             sizes.append(np.bincount(of, minlength=len(part)))
-            for a, b in zip(rows, rows[1:], strict=False):
-                lines.append(own[a:b].tobytes())
-                words.append(np.diff(ends[a:b], prepend=0).astype("<u4").tobytes())
-        flat = np.concatenate([*anchors, np.empty(0, np.int64)])
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate([*sizes, np.empty(0, np.int64)]))]).astype(np.int32)
-        arrays = [pa.array(lines, pa.binary()), pa.array(words, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-        return pa.StructArray.from_arrays(arrays, ["lines", "words", "anchors"])
+        offsets = np.cumsum(np.concatenate(sizes)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
 
     @F.arrow_udf(SPANS)
-    def align(later: pa.Array, words: pa.Array, earlier: pa.Array) -> pa.Array:
-        out = []
-        for a, w, b in zip(later, words, earlier, strict=True):
-            own, other = (np.frombuffer(x.as_py(), np.uint64).tolist() for x in (a, b))
-            out.append(common_blocks(own, np.cumsum(np.frombuffer(w.as_py(), "<u4")).tolist(), other, least))
-        return _spans(out)
+    def align(later: pa.Array, earlier: pa.Array) -> pa.Array:
+        alone("linededup")
+        own, others = ([t.as_py() or b"" for t in x.cast(pa.binary())] for x in (later, earlier))
+        distinct = list(dict.fromkeys(others))
+        held = dict(zip(distinct, sides_of(distinct), strict=True))
+        return _spans([common_blocks(a, held[b], least) for a, b in zip(sides_of(own), others, strict=True)])
 
     # The joins below are merge joins at every size: nothing is broadcast.
-    named = docs.where(F.col("doc_id").isNotNull())
-    cutting = named.select("doc_id", F.xxhash64(text).alias("text_hash"), cut(text).alias("r"))
-    units = stage(cutting.select("doc_id", "text_hash", "r.*"), "lines")
-    anchors = units.select("doc_id", F.explode("anchors").alias("anchor"))
-    owners = anchors.groupBy("anchor").agg(F.min("doc_id").alias("owner_id"), F.max("doc_id").alias("latest"))
+    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col(text).alias("text"))
+    # Keys are dealt out once, for their owners and for the pairs.
+    keys = named.select("doc_id", F.explode(cut("text")).alias("key")).repartition("key")
+    owners = keys.groupBy("key").agg(F.min("doc_id").alias("owner_id"), F.max("doc_id").alias("latest"))
     owners = owners.where("latest > owner_id").drop("latest")
-    pairs = anchors.join(owners, "anchor").where("doc_id > owner_id").select("doc_id", "owner_id").distinct()
+    pairs = keys.join(owners.hint("merge"), "key").where("doc_id > owner_id").select("doc_id", "owner_id").distinct()
     pairs = stage(pairs, "line-pairs")
-    # Lines of unpaired documents are moved once only, and then left behind.
+    # Texts of unpaired documents are moved once only, and then left behind.
     paired = pairs.select(F.explode(F.array("doc_id", "owner_id")).alias("doc_id")).distinct()
-    held = stage(units.drop("anchors").join(paired.hint("merge"), "doc_id", "left_semi"), "paired-lines")
-    later = held.select("doc_id", "text_hash", "lines", "words")
-    earlier = held.select(F.col("doc_id").alias("owner_id"), F.col("lines").alias("earlier"))
+    held = stage(named.join(paired.hint("merge"), "doc_id", "left_semi"), "paired-texts")
+    later = held.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    earlier = held.select(F.col("doc_id").alias("owner_id"), F.col("text").alias("earlier"))
     both = pairs.join(later.hint("merge"), "doc_id").join(earlier.hint("merge"), "owner_id")
-    aligned = both.select("doc_id", "text_hash", align("lines", "words", "earlier").alias("blocks")).where(F.size("blocks") > 0)
+    aligned = both.select("doc_id", "text_hash", align("text", "earlier").alias("blocks")).where(F.size("blocks") > 0)
     return aligned.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("blocks")).alias("blocks"))
 
 

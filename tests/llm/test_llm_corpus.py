@@ -245,6 +245,17 @@ def test_holders_of_fragments_hide_no_pair():
         assert set.intersection(*others) - first - second
 
 
+def test_moved_passage_is_found_behind_more_lines():
+    random.seed(29)
+    labels = [f"label{i} head{i}." for i in range(7)]
+    passage = [" ".join(f"p{i}x{j}" for j in range(9)) + "." for i in range(6)]
+    between = iter(f"own{i} text{i} here{i}." for i in range(99))
+    earlier = [x for line in labels for x in (line, next(between))] + passage
+    later = passage + [x for line in labels for x in (line, next(between))]
+    a, b = linededup.sides_of([" ".join(x).encode() for x in (later, earlier)])
+    assert linededup.common_blocks(a, b, 30) == [(0, 54)]
+
+
 def test_repeated_passages_leave_later_documents(spark):
     random.seed(11)
     words = [f"term{i}" for i in range(900)]
