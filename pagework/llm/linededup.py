@@ -12,8 +12,8 @@ what two documents share of 50 words or more also meets a holder of a whole bloc
 
 A pair is aligned by patience diff over its line hashes: common ends first, then
 the longest increasing row of lines that are unique on both sides, then the
-longest common run where no line is unique.  Aligned blocks of ``least`` words
-or more are deleted from the later document; the alignment is repeated without
+longest common run where no line is unique.  Aligned blocks are extended word by
+word into the lines around them; those of ``least`` words or more are deleted from the later document; the alignment is repeated without
 them, so that passages in another order are found too.  Where it finds no more,
 the longest common run of words is taken, until none has ``least`` words.
 """
@@ -235,6 +235,17 @@ def sides_of(texts: list[bytes]) -> list[Sides]:
     return out
 
 
+def _widened(a: np.ndarray, b: np.ndarray, x: int, y: int, at: int) -> tuple[int, int]:
+    """The span a[x:y], which b has at ``at``, with the common words around it."""
+    before, after = min(x, at), min(len(a) - y, len(b) - at - (y - x))
+    end = at + y - x
+    while before and a[x - 1] == b[at - 1]:
+        x, at, before = x - 1, at - 1, before - 1
+    while after and a[y] == b[end]:
+        y, end, after = y + 1, end + 1, after - 1
+    return x, y
+
+
 def common_blocks(later: Sides, earlier: Sides, least: int) -> list[tuple[int, int]]:
     """Word spans (end exclusive) of the later text that the earlier one has too;
     what is left has no run of ``least`` words in common with it."""
@@ -251,7 +262,9 @@ def common_blocks(later: Sides, earlier: Sides, least: int) -> list[tuple[int, i
                 blocks[-1][1:] = [i + 1, j + 1]
             else:
                 blocks.append([i, i + 1, j + 1])
-        new = [(int(before[x]), int(before[y])) for x, y, _ in blocks if before[y] - before[x] >= least]
+        # ``values`` changes only when all blocks of the pass are known.
+        wide = [_widened(values, others, int(before[x]), int(before[y]), int(other_before[j - (y - x)])) for x, y, j in blocks]
+        new = [(x, y) for x, y in wide if y - x >= least]
         if not new:
             x, _, size = _longest_run(values, others)
             if size < least:

@@ -256,6 +256,23 @@ def test_moved_passage_is_found_behind_more_lines():
     assert linededup.common_blocks(a, b, 30) == [(0, 54)]
 
 
+@pytest.mark.parametrize("stops", [True, False])
+@pytest.mark.parametrize("size", [30, 51, 80])
+def test_passages_inside_lines_are_found_whole(stops, size):
+    random.seed(31 + size + stops)
+    words = [f"term{i}" for i in range(5000)]
+
+    def prose(n):
+        return [w + "." * (stops and random.random() < 0.15) for w in random.choices(words, k=n)]
+
+    for _ in range(100):
+        passage = prose(size)
+        heads = [prose(random.randint(5, 60)) + [f"own{i}"] for i in range(2)]
+        tails = [[f"end{i}"] + prose(random.randint(5, 60)) for i in range(2)]
+        a, b = linededup.sides_of([" ".join(h + passage + t).encode() for h, t in zip(heads, tails, strict=True)])
+        assert linededup._united(linededup.common_blocks(a, b, 30)) == [(len(heads[0]), len(heads[0]) + size)]
+
+
 def test_repeated_passages_leave_later_documents(spark):
     random.seed(11)
     words = [f"term{i}" for i in range(900)]
