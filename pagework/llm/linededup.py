@@ -251,11 +251,11 @@ def common_blocks(later: Sides, earlier: Sides, least: int) -> list[tuple[int, i
     what is left has no run of ``least`` words in common with it."""
     (values, before), (others, other_before) = later, earlier
     values, found = values.copy(), []
-    known, runs = set(others.tolist()), np.unique(_runs(others, least))
+    known, runs = set(others.tolist()), set(_runs(others, least).tolist())
     # What is taken gets a value that the earlier text does not have.
     free = next(x for x in range(len(known) + 1) if x not in known)
     other_lines = run_hashes(others, other_before[:-1], other_before[1:]).tolist()
-    while np.isin(_runs(values, least), runs).any():
+    while not runs.isdisjoint(_runs(values, least).tolist()):
         blocks = []
         for i, j in patience(run_hashes(values, before[:-1], before[1:]).tolist(), other_lines):
             if blocks and blocks[-1][1] == i and blocks[-1][2] == j:
