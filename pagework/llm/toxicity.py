@@ -24,7 +24,6 @@ from pagework.llm.common import Bounded, alone, small_batches, with_result
 SAMPLE = 12_000  # labelled documents that are fitted, at most
 BUCKETS = 1 << 20
 FEATURES = 6_000  # hashed features with a weight, at most
-SWAPS = 3  # counterfactuals of a text, at most
 THRESHOLD = 0.3
 WORDS_KEPT = 200_000
 
@@ -61,8 +60,10 @@ def text_features(words: set[str], memo) -> np.ndarray:
     return np.fromiter(found, np.int32, len(found))
 
 
-def counterfactuals(words: set[str], groups: Sequence[Sequence[str]], swaps: int) -> list[set[str]]:
-    """The text's words with the terms of one group swapped for its other terms."""
+def counterfactuals(words: set[str], groups: Sequence[Sequence[str]], swaps: int | None = None) -> list[set[str]]:
+    """The text's words with the terms of one group swapped for each of its other
+    terms, for every group in the text: at most as many as the groups have terms,
+    or the first ``swaps``."""
     out = []
     for group in groups:
         present = words & set(group)
@@ -170,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, identity=IDENTITY,
         for text in column:
             words = set(WORD.findall((text.as_py() or "").lower()))
             own.append(text_features(words, memo))
-            swapped.append([text_features(w, memo) for w in counterfactuals(words, identity, SWAPS)])
+            swapped.append([text_features(w, memo) for w in counterfactuals(words, identity)])
         kinds = pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))
         return pa.StructArray.from_arrays([pa.array(own, kinds[0]), pa.array(swapped, kinds[1])], ["own", "swapped"])
 

@@ -235,6 +235,13 @@ def test_swapped_identity_terms_change_scores_less():
     assert held.logit(toxicity.text_features({"scum"}, memo)) > held.logit(toxicity.text_features({"word1"}, memo)) + 1
 
 
+def test_all_terms_of_all_groups_are_swapped():
+    got = toxicity.counterfactuals({"a", "black", "christian"}, toxicity.IDENTITY)
+    want = [{"a", "black", x} for x in ("muslim", "jewish", "hindu", "buddhist", "atheist")]
+    want += [{"a", "christian", x} for x in ("white", "asian", "latino", "arab")]
+    assert len(got) == len(want) and all(x in got for x in want)
+
+
 def test_toxicity_learns_from_labels_and_handles_edges(spark):
     random.seed(8)
     rows = []
