@@ -190,10 +190,11 @@ def alike(docs: DataFrame, shingle: int = LONG_SHINGLE, least: float = ALIKE, te
         return pa.array(out, pa.bool_())
 
     named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", cut(text).alias("r"))
-    rows = stage(named.select("doc_id", "r.*"), "shingles")
+    rows = stage(named.select("doc_id", "r.*", F.octet_length("r.hashes").alias("size")), "shingles")
     # One document speaks for its class.
-    first = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    classes = rows.join(first, ["node", "doc_id"], "left_semi").select("node", F.col("keys"), F.octet_length("hashes").alias("size")).dropDuplicates(["node"])
+    first = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    classes = rows.select("node", "doc_id", "keys", "size").join(first.hint("merge"), "node").where("doc_id = first_id")
+    classes = classes.select("node", "keys", "size").dropDuplicates(["node"])
     keyed = classes.select("node", "size", F.explode("keys").alias("key"))
     x, y = keyed.alias("x"), keyed.alias("y")
     # Sets of too different sizes cannot be alike.
@@ -201,7 +202,9 @@ def alike(docs: DataFrame, shingle: int = LONG_SHINGLE, least: float = ALIKE, te
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & sizes)
     pairs = stage(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "shingle-pairs")
     held = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = rows.join(first, ["node", "doc_id"], "left_semi").join(held.hint("merge"), "node", "left_semi")
+    # Shingles are moved once only.
+    wanted = first.join(held.hint("merge"), "node", "left_semi")
+    sets = rows.select("node", "doc_id", "hashes").join(wanted.hint("merge"), "node").where("doc_id = first_id")
     sets = stage(sets.select("node", "hashes").dropDuplicates(["node"]), "shingle-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("left")).hint("merge"), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("right")).hint("merge"), "b")
