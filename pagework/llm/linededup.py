@@ -13,9 +13,11 @@ what two documents share of 50 words or more also meets a holder of a whole bloc
 A pair is aligned by patience diff over its line hashes: common ends first, then
 the longest increasing row of lines that are unique on both sides, then the
 longest common run where no line is unique.  Aligned blocks are extended word by
-word into the lines around them; those of ``least`` words or more are deleted from the later document; the alignment is repeated without
-them, so that passages in another order are found too.  Where it finds no more,
-the longest common run of words is taken, until none has ``least`` words.
+word into the lines around them; those of ``least`` words or more are deleted from
+the later document; the alignment is repeated without them, so that passages in
+another order are found too.  Where it finds no more, common runs of ``least`` words
+are widened and taken, the longest row of them first, until there is none.  Hashes
+only propose: every block is compared word by word.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -66,11 +69,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def run_hashes(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of values[first:end] for every pair, independent of its place."""
+    """Hash of values[first:end] for every pair, independent of its place.  The
+    length is part of it: a value of zero at the end of a run would leave no trace."""
     up, down = POWERS.get(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values.astype(np.uint64) * up[: len(values)], out=sums[1:])
-    return _mix((sums[end] - sums[first]) * down[first])
+    sizes = (np.asarray(end) - first).astype(np.uint64)
+    return _mix((sums[end] - sums[first]) * down[first] ^ _mix(sizes * np.uint64(BASE)))
 
 
 Units = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -215,65 +220,131 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _runs(values: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of ``size`` values."""
-    first = np.arange(max(len(values) - size + 1, 0))
-    return run_hashes(values, first, first + size)
+@dataclass
+class Side:
+    """A text as word hashes, with the words before each line and the end, the
+    hashes of its lines and of its runs of ``least`` words."""
 
+    words: np.ndarray
+    before: np.ndarray
+    lines: np.ndarray
+    runs: np.ndarray
 
-Sides = tuple[np.ndarray, np.ndarray]
 
-
-def sides_of(texts: list[bytes]) -> list[Sides]:
-    """Of each text its words' hashes and the words before each line and the end."""
+def sides_of(texts: list[bytes], least: int = LEAST) -> list[Side]:
     out = []
     for part in _parts(texts):
-        (words, _, ends, rows), closing = words_of(part)
+        (words, owner, ends, rows), closing = words_of(part)
         at = np.searchsorted(closing, rows)
-        before = [np.concatenate([[0], ends[closing[a:b]]]) for a, b in zip(at, at[1:], strict=False)]
-        out += [(words[a:b], c) for a, b, c in zip(rows, rows[1:], before, strict=False)]
+        lines = _lines((words, owner, ends, rows), closing)[0]
+        runs = run_hashes(words, first := np.arange(max(len(words) - least + 1, 0)), first + least)
+        for i, (a, b) in enumerate(zip(rows, rows[1:], strict=False)):
+            before = np.concatenate([[0], ends[closing[at[i] : at[i + 1]]]])
+            out.append(Side(words[a:b], before, lines[at[i] : at[i + 1]], runs[a : max(b - least + 1, a)]))
     return out
 
 
-def _widened(a: np.ndarray, b: np.ndarray, x: int, y: int, at: int) -> tuple[int, int]:
-    """The span a[x:y], which b has at ``at``, with the common words around it."""
-    before, after = min(x, at), min(len(a) - y, len(b) - at - (y - x))
-    end = at + y - x
-    while before and a[x - 1] == b[at - 1]:
-        x, at, before = x - 1, at - 1, before - 1
-    while after and a[y] == b[end]:
-        y, end, after = y + 1, end + 1, after - 1
-    return x, y
-
-
-def common_blocks(later: Sides, earlier: Sides, least: int) -> list[tuple[int, int]]:
+def _same(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values the two have in common before they first differ."""
+    n = min(len(a), len(b))
+    other = a[:n] != b[:n]
+    return int(other.argmax()) if other.any() else n
+
+
+class _Open:
+    """The words of the later text that no block has taken yet, and the starts of
+    the runs of ``least`` open words that the earlier text has too."""
+
+    def __init__(self, later: Side, earlier: Side, least: int):
+        self.later, self.earlier, self.least = later, earlier, least
+        self.taken = np.zeros(len(later.words) + 2, bool)  # one closed word at each end
+        self.taken[[0, -1]] = True
+        self.hit = np.isin(later.runs, earlier.runs)
+        self.found: list[tuple[int, int]] = []
+
+    def take(self, first: int, end: int) -> None:
+        self.taken[first + 1 : end + 1] = True
+        self.hit[max(0, first - self.least + 1) : end] = False
+        self.found.append((first, end))
+
+    def widened(self, first: int, end: int, at: int) -> tuple[int, int]:
+        """The span, which the earlier text has at ``at``, with the open common
+        words around it.  A span that the earlier text does not have there, or one
+        with a taken word, is empty."""
+        a, b = self.later.words, self.earlier.words
+        after = at + end - first
+        if self.taken[first + 1 : end + 1].any() or not np.array_equal(a[first:end], b[at:after]):
+            return first, first
+        ahead = int(self.taken[end + 1 :].argmax())
+        behind = int(self.taken[first::-1].argmax())
+        end += _same(a[end : end + ahead], b[after : after + ahead])
+        return first - _same(a[first - behind : first][::-1], b[max(at - behind, 0) : at][::-1]), end
+
+    def aligned(self) -> list[tuple[int, int]]:
+        """Spans of ``least`` words or more by one patience alignment of the lines
+        that reach into a hit."""
+        reach = np.zeros(len(self.later.words) + 1, np.int64)
+        starts = np.flatnonzero(self.hit)
+        np.add.at(reach, starts, 1)
+        np.add.at(reach, starts + self.least, -1)
+        inside = np.concatenate([[0], np.cumsum(np.cumsum(reach[:-1]) > 0)])
+        before, other = self.later.before, self.earlier.before
+        mine = np.flatnonzero(inside[before[1:]] > inside[before[:-1]])
+        theirs = np.flatnonzero(np.isin(self.earlier.lines, self.later.lines[mine]))
+        blocks: list[list[int]] = []
+        for i, j in patience(self.later.lines[mine].tolist(), self.earlier.lines[theirs].tolist()):
+            x, y = int(mine[i]), int(theirs[j])
+            if blocks and blocks[-1][1] == x and blocks[-1][2] == y:
+                blocks[-1][1:] = [x + 1, y + 1]
+            else:
+                blocks.append([x, x + 1, y + 1])
+        # Nothing is taken before all blocks of the alignment are known.
+        wide: list[tuple[int, int]] = []
+        for x, y, j in blocks:
+            first, end = int(before[x]), int(before[y])
+            if wide and end <= wide[-1][1] or not self.hit[max(0, first - self.least + 1) : end].any():
+                continue
+            span = self.widened(first, end, int(other[j - (y - x)]))
+            if span[1] - span[0] >= self.least:
+                wide.append(span)
+        return wide
+
+    def longest(self) -> tuple[int, int]:
+        """The widest span around the longest row of hits, or an empty one."""
+        starts = np.flatnonzero(self.hit)
+        rows = np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1)
+        first = int(max(rows, key=len)[0])
+        places = np.flatnonzero(self.earlier.runs == self.later.runs[first])
+        return max((self.widened(first, first + self.least, int(p)) for p in places), key=lambda s: s[1] - s[0])
+
+
+def common_blocks(later: Side, earlier: Side, least: int = LEAST) -> list[tuple[int, int]]:
     """Word spans (end exclusive) of the later text that the earlier one has too;
     what is left has no run of ``least`` words in common with it."""
-    (values, before), (others, other_before) = later, earlier
-    values, found = values.copy(), []
-    known, runs = set(others.tolist()), set(_runs(others, least).tolist())
-    # What is taken gets a value that the earlier text does not have.
-    free = next(x for x in range(len(known) + 1) if x not in known)
-    other_lines = run_hashes(others, other_before[:-1], other_before[1:]).tolist()
-    while not runs.isdisjoint(_runs(values, least).tolist()):
-        blocks = []
-        for i, j in patience(run_hashes(values, before[:-1], before[1:]).tolist(), other_lines):
-            if blocks and blocks[-1][1] == i and blocks[-1][2] == j:
-                blocks[-1][1:] = [i + 1, j + 1]
-            else:
-                blocks.append([i, i + 1, j + 1])
-        # ``values`` changes only when all blocks of the pass are known.
-        wide = [_widened(values, others, int(before[x]), int(before[y]), int(other_before[j - (y - x)])) for x, y, j in blocks]
-        new = [(x, y) for x, y in wide if y - x >= least]
+    state = _Open(later, earlier, least)
+    if not state.hit.any():
+        return []
+    # Common ends first: a whole copy ends here.
+    head = _same(later.words, earlier.words)
+    if head >= least:
+        state.take(0, head)
+    n = len(later.words) - head if head >= least else len(later.words)
+    tail = min(_same(later.words[::-1], earlier.words[::-1]), n)
+    if tail >= least:
+        state.take(len(later.words) - tail, len(later.words))
+    aligning = True
+    while state.hit.any():
+        new = state.aligned() if aligning else []
+        aligning = bool(new)
         if not new:
-            x, _, size = _longest_run(values, others)
-            if size < least:
-                break
-            new = [(x, x + size)]
-        for x, y in new:
-            values[x:y] = free
-            found.append((x, y))
-    return found
+            first, end = state.longest()
+            if end == first:  # equal hashes of runs that differ
+                state.hit[int(state.hit.argmax())] = False
+                continue
+            new = [(first, end)]
+        for span in new:
+            state.take(*span)
+    return state.found
 
 
 def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
@@ -336,8 +407,8 @@ def repeated_blocks(docs: DataFrame, least: int = LEAST, text: str = "text") ->
         alone("linededup")
         own, others = ([t.as_py() or b"" for t in x.cast(pa.binary())] for x in (later, earlier))
         distinct = list(dict.fromkeys(others))
-        held = dict(zip(distinct, sides_of(distinct), strict=True))
-        return _spans([common_blocks(a, held[b], least) for a, b in zip(sides_of(own), others, strict=True)])
+        held = dict(zip(distinct, sides_of(distinct, least), strict=True))
+        return _spans([common_blocks(a, held[b], least) for a, b in zip(sides_of(own, least), others, strict=True)])
 
     # The joins below are merge joins at every size: nothing is broadcast.
     named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col(text).alias("text"))
@@ -365,7 +436,7 @@ def dedup(docs: DataFrame, least: int = LEAST, text: str = "text") -> DataFrame:
     alone.  Null texts stay null; a text that is a block as a whole becomes empty.
     All findings refer to the texts as they came in, so the order of work does not
     matter.  A column ``removed_words`` is replaced; an empty table stays empty.
-    Lines are compared by 64-bit hashes.
+    Words are compared by 64-bit hashes.
     """
     blocks = repeated_blocks(docs.select("doc_id", text), least, text)
 

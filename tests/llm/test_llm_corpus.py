@@ -92,6 +92,16 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sum(r.doc_id is None for r in kept) == 2
 
 
+def test_repeated_ids_with_other_texts_are_kept(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a, {"k": 1}), (5, a, {"k": 2}), (5, b, None), (5, b, None), (9, None, None), (None, a, None), (None, a, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, extra map<string, int>")
+    for kept in (simhash.keep_first(docs), simhash.keep_similar_first(docs)):
+        assert kept.columns == docs.columns
+        got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+        assert got == {(1, a): 1, (5, b): 1, (9, None): 1, (None, a): 2}
+
+
 def test_stage_keeps_one_of_texts_that_are_alike(spark):
     random.seed(17)
     words = [f"w{i}" for i in range(500)]
@@ -117,7 +127,8 @@ def test_stage_keeps_one_of_texts_that_are_alike(spark):
     assert sum(0.8 <= x < 0.95 for x in near.values()) > 50 and sum(x < 0.8 for x in near.values()) > 10
     assert {i for i in near if i in kept} == {i for i, x in near.items() if x < 0.8}
     assert set(range(150)) <= kept and {2000, 2002} <= kept and not {2001, 2003} & kept
-    assert len(got) == len(kept) and sum(r.doc_id is None for r in got) == 1
+    # The id 3 names two texts: both are documents.
+    assert len(got) == len(kept) + 1 and sum(r.doc_id is None for r in got) == 1
 
 
 def test_max_score_shard_equals_sorting():
@@ -273,6 +284,49 @@ def test_passages_inside_lines_are_found_whole(stops, size):
         assert linededup._united(linededup.common_blocks(a, b, 30)) == [(len(heads[0]), len(heads[0]) + size)]
 
 
+def check_blocks(later, earlier, least):
+    """Removed words lie in common runs of ``least``; none is left."""
+    sides = linededup.sides_of([" ".join(x).encode() for x in (later, earlier)], least)
+    cut = linededup._united(linededup.common_blocks(*sides, least))
+    runs = {tuple(earlier[i : i + least]) for i in range(len(earlier) - least + 1)}
+    hits = [tuple(later[i : i + least]) in runs for i in range(len(later) - least + 1)]
+    covered = {i + k for i, hit in enumerate(hits) if hit for k in range(least)}
+    taken = {i for a, b in cut for i in range(a, b)}
+    assert taken <= covered
+    for i, hit in enumerate(hits):
+        assert not hit or taken & set(range(i, i + least))
+    return cut
+
+
+def test_blocks_of_random_texts_are_exact():
+    random.seed(41)
+    for trial in range(1500):
+        least = random.choice([3, 5, 8])
+        words = [f"w{i}" for i in range(random.choice([3, 12, 60]))]
+        lines = [[random.choice(words) for _ in range(random.randint(1, 9))] for _ in range(12)]
+        for line in lines[: trial % 12]:
+            line[-1] += "."
+        a, b = ([w for line in random.choices(lines, k=random.randint(0, 14)) for w in line] for _ in range(2))
+        check_blocks(a, b, least)
+
+
+def test_short_common_runs_next_to_passages_stay():
+    random.seed(43)
+    words = [f"term{i}" for i in range(900)]
+    for trial in range(400):
+        own = random.choices(words, k=27)
+        first, second = (random.choices(words, k=random.randint(31, 60)) for _ in range(2))
+        ends = ["." * (trial % 2), "." * (trial % 3 == 0)]
+        own[-1] += ends[0]
+        first[3] += ends[1]
+        later = own + first + second
+        earlier = second + random.choices(words, k=9) + own + random.choices(words, k=4 * (trial % 5)) + first
+        cut = check_blocks(later, earlier, 30)
+        assert cut and (cut[0][0] > 20 if trial % 5 else cut[0][0] == 0)
+    assert check_blocks(["a\0"] * 40, ["a"] * 40, 30) == []
+    assert check_blocks(["u"] * 5 + ["\0"] * 2, ["u"] * 5, 5) == [(0, 5)]
+
+
 def test_repeated_passages_leave_later_documents(spark):
     random.seed(11)
     words = [f"term{i}" for i in range(900)]
