@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagework.llm.common import alone, small_batches, with_result
@@ -120,9 +120,10 @@ def links(classes: DataFrame, bits: int = BITS) -> DataFrame:
     return met.select(F.col("x.simhash").alias("a"), F.col("y.simhash").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, text: str = "text", key: Column | None = None) -> DataFrame:
     """(doc_id, simhash, component_id) per row of ``docs``; component_id is the
-    smallest doc_id that links of at most ``bits`` bits reach.
+    smallest doc_id that links of at most ``bits`` bits reach.  ``key`` is carried
+    along where it is given.
 
     Texts without words have the fingerprint zero and link like any other.  Rows
     with a null doc_id have a fingerprint and a component (null if nothing in it
@@ -131,14 +132,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, t
     the shuffle, and the join that hands out its component is left to skew
     splitting.
     """
-    rows = stage(fingerprints(docs.select("doc_id", text), shingle, text).select("doc_id", "simhash"), "simhash")
+    carried = [] if key is None else [key.alias("key")]
+    rows = stage(fingerprints(docs.select("doc_id", text, *carried), shingle, text).drop(text), "simhash")
     classes = stage(rows.groupBy("simhash").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     roots = components(links(classes, bits))
     placed = classes.join(roots.withColumnRenamed("node", "simhash"), "simhash", "left")
     placed = placed.withColumn("root", F.coalesce("root", "simhash"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = placed.select("simhash", "root").join(least, "root").select("simhash", "component_id")
-    return rows.join(known, "simhash").select("doc_id", "simhash", "component_id")
+    return rows.join(known, "simhash").select("doc_id", "simhash", "component_id", *rows.columns[1:-1])
 
 
 def hexadecimal(value: str) -> Column:
@@ -160,7 +162,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def alike(docs: DataFrame, shingle: int = LONG_SHINGLE, least: float = ALIKE, text: str = "text") -> DataFrame:
-    """(doc_id, root) of the rows with an id: ``root`` names the component of texts
+    """(doc_id, text_hash, root) of the rows with an id: ``root`` names the component of texts
     whose shingle sets have a Jaccard similarity of ``least`` or more.
 
     Texts with one shingle set are one class; classes meet in bands, every pair
@@ -189,8 +191,8 @@ def alike(docs: DataFrame, shingle: int = LONG_SHINGLE, least: float = ALIKE, te
             out.append(common >= least * (len(a) + len(b) - common))
         return pa.array(out, pa.bool_())
 
-    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", cut(text).alias("r"))
-    rows = stage(named.select("doc_id", "r.*", F.octet_length("r.hashes").alias("size")), "shingles")
+    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64(text).alias("text_hash"), cut(text).alias("r"))
+    rows = stage(named.select("doc_id", "text_hash", "r.*", F.octet_length("r.hashes").alias("size")), "shingles")
     # One document speaks for its class.
     first = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     classes = rows.select("node", "doc_id", "keys", "size").join(first.hint("merge"), "node").where("doc_id = first_id")
@@ -209,29 +211,33 @@ def alike(docs: DataFrame, shingle: int = LONG_SHINGLE, least: float = ALIKE, te
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("left")).hint("merge"), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("right")).hint("merge"), "b")
     roots = components(both.where(similar("left", "right")).select("a", "b"))
-    placed = rows.select("doc_id", "node").join(roots, "node", "left")
-    return placed.select("doc_id", F.coalesce("root", "node").alias("root"))
+    placed = rows.select("doc_id", "text_hash", "node").join(roots, "node", "left")
+    return placed.select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 
-def keep_similar_first(docs: DataFrame, shingle: int = LONG_SHINGLE, least: float = ALIKE) -> DataFrame:
+def keep_similar_first(docs: DataFrame, shingle: int = LONG_SHINGLE, least: float = ALIKE, text: str = "text") -> DataFrame:
     """Like ``keep_first``, by similarity of shingle sets."""
-    kept = alike(docs, shingle, least).groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return _of_kept(docs, kept)
+    return _first_of(docs, alike(docs, shingle, least, text), text)
 
 
-def keep_first(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, text: str = "text") -> DataFrame:
     """The documents without near-duplicates of an earlier one: of each component
-    the smallest doc_id stays, once.  Rows with a null doc_id stay as they are."""
-    placed = near_duplicates(docs, shingle, bits)
-    kept = placed.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return _of_kept(docs, kept)
-
-
-def _of_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Once each document with a kept id, and all rows with a null doc_id."""
-    named = docs.where(F.col("doc_id").isNotNull())
-    first = named.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])).alias("_row")
-    )
-    first = first.select("doc_id", "_row.*").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return first.unionByName(docs.where(F.col("doc_id").isNull()))
+    the smallest doc_id stays.  An id that repeats with other texts is another
+    document each time, and the same id and text again are the same document.
+    Rows with a null doc_id stay as they are."""
+    placed = near_duplicates(docs, shingle, bits, text, key=F.xxhash64(text))
+    return _first_of(docs, placed.select("doc_id", F.col("key").alias("text_hash"), F.col("component_id").alias("root")), text)
+
+
+def _first_of(docs: DataFrame, placed: DataFrame, text: str) -> DataFrame:
+    """Once each document (doc_id, text_hash) with the least id, and of several texts
+    of that id the least hash, of its ``root``; and all rows with a null doc_id.
+    Texts move once: the join's partitions serve the rank as well."""
+    placed = placed.where(F.col("doc_id").isNotNull())
+    first = placed.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__of")).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("__text", F.xxhash64(text))
+    met = named.join(kept.hint("merge"), (F.col("doc_id") == F.col("__id")) & (F.col("__text") == F.col("__of")))
+    again = F.row_number().over(Window.partitionBy("__id", "__of").orderBy("__id"))
+    return met.withColumn("__again", again).where("__again = 1").select(*columns).unionByName(docs.where(F.col("doc_id").isNull()))
