@@ -258,9 +258,14 @@ def pattern_of(pattern: str):
     return regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
+def _ranks(ranks_path: str, blob) -> dict[bytes, int]:
+    """One table per worker, for encoding and decoding."""
+    return once("bpe", "ranks", ranks_path, lambda: read_ranks(blob.value))
+
+
 def _encoded(texts: pa.Array, ranks_path: str, pattern: str, blob) -> list[bytes]:
     def make():
-        machine = Transducer(read_ranks(blob.value))
+        machine = Transducer(_ranks(ranks_path, blob))
         return Bounded(lambda piece: np.array(machine.encode(piece.encode()), "<u4").tobytes(), PIECES_KEPT)
 
     pieces = once("bpe", "encode", (ranks_path, pattern), make)
@@ -269,7 +274,7 @@ def _encoded(texts: pa.Array, ranks_path: str, pattern: str, blob) -> list[bytes
 
 
 def _decoded(rows: list[bytes | None], ranks_path: str, blob) -> list[str]:
-    decoder = once("bpe", "decode", ranks_path, lambda: Decoder(read_ranks(blob.value)))
+    decoder = once("bpe", "decode", ranks_path, lambda: Decoder(_ranks(ranks_path, blob)))
     return [decoder.decode(np.frombuffer(r or b"", "<u4").tolist()) for r in rows]
 
 

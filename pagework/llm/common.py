@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagework.plans.stage import stage
+
 ROWS_PER_BATCH = 1000
 BYTES_PER_BATCH = 16 << 20
 
@@ -36,15 +40,41 @@ def with_result(df: DataFrame, result: Column, names: Sequence[str]) -> DataFram
     )
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Append ``name``: the place of each row in ``order``, from 1.
+
+    The rows are dealt out by ranges of the order and sorted inside them; the
+    driver sees one count per range.  ``df`` is read twice (once for the ranges),
+    so callers stage what is dear to compute.
+    """
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # This id counts the rows inside a partition, below the partition's number.
+    rows = stage(ranged.withColumn("__at", F.monotonically_increasing_id()), "places").withColumn("__part", F.shiftright("__at", 33))
+    sizes = sorted(rows.groupBy("__part").count().collect())
+    before, starts = 0, []
+    for part, size in sizes:
+        starts.append((part, before))
+        before += size
+    offsets = F.broadcast(spark.createDataFrame(starts, "__part bigint, __before bigint"))
+    place = F.col("__at") - F.shiftleft("__part", 33) + F.col("__before") + 1
+    return rows.join(offsets, "__part").select(*[F.col(f"`{c}`") for c in df.columns], place.alias(name))
+
+
 _MADE: dict = {}
+# Where the C library can hand back the pages of freed objects, it is told to.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def alone(operator: str) -> None:
     """Let go of what other operators have left in this Python worker, which the
-    stages of a job share."""
+    stages of a job share, and give the freed memory back to the system."""
     if _MADE.get("operator") != operator:
         _MADE.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        if TRIM:
+            TRIM(0)
         _MADE["operator"] = operator
 
 

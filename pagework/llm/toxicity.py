@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagework.llm.common import Bounded, alone, small_batches, with_result
+from pagework.llm.common import Bounded, once, small_batches, with_result
 
 SAMPLE = 12_000  # labelled documents that are fitted, at most
 BUCKETS = 1 << 20
@@ -162,11 +162,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, identity=IDENTITY,
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     texts = texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
     kind = "struct<own: array<int>, swapped: array<array<int>>>"
-    memo = Bounded(word_features, WORDS_KEPT)
 
     @F.arrow_udf(kind)
     def featurise(column: pa.Array) -> pa.Array:
-        alone("toxicity")
+        memo = once("toxicity", "words", None, lambda: Bounded(word_features, WORDS_KEPT))
         own, swapped = [], []
         for text in column:
             words = set(WORD.findall((text.as_py() or "").lower()))
@@ -190,11 +189,12 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str
     """
     small_batches(docs.sparkSession)
     weights, bias = model.weights, model.bias
-    memo = Bounded(lambda word: tuple(f for f in word_features(word) if f in weights), WORDS_KEPT)
+    version = hash((bias, tuple(weights.items())))
 
     @F.arrow_udf("struct<score: double>")
     def run(texts: pa.Array) -> pa.Array:
-        alone("toxicity")
+        make = lambda: Bounded(lambda word: tuple(f for f in word_features(word) if f in weights), WORDS_KEPT)
+        memo = once("toxicity", "weighted", version, make)
         out = []
         for value in texts:
             found = set()
