@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 
 from pyspark.sql import functions as F
 
-from pagework.llm import bpe, counts, decontaminate, licenses, linededup, lm, pii, search, simhash, toxicity
+from pagework.llm import bpe, counts, decontaminate, jaccard, licenses, linededup, lm, pii, resample, search, simhash, toxicity
 from pagework.llm.common import id_hash, table
 
 QUERIES = {}
@@ -75,6 +75,14 @@ def op10_license_scan(spark, sf):
     return licenses.report(table(spark, sf, "documents"), licenses.notices(spark))
 
 
+def op11_resampling(spark, sf):
+    return resample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op12_jaccard_join(spark, sf):
+    return jaccard.alike_documents(table(spark, sf, "documents"))
+
+
 QUERIES["op1_bpe_round_trip"] = op1_bpe_round_trip
 QUERIES["op2_toxicity"] = op2_toxicity
 QUERIES["op3_decontamination"] = op3_decontamination
@@ -85,3 +93,5 @@ QUERIES["op7_language_model"] = op7_language_model
 QUERIES["op8_top_k"] = op8_top_k
 QUERIES["op9_line_dedup"] = op9_line_dedup
 QUERIES["op10_license_scan"] = op10_license_scan
+QUERIES["op11_resampling"] = op11_resampling
+QUERIES["op12_jaccard_join"] = op12_jaccard_join
