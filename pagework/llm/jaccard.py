@@ -9,22 +9,24 @@ number from the two sizes.
 Sizes are dealt into bands.  In a band at most ``reach`` shingles differ, so of
 the ``reach + spare + 1`` words of 64 bits that a band's sketch has, two alike
 documents share at least ``spare + 1`` whole words (pigeonhole).  Words are
-compared with the XOR of their shingles' full hashes, which holds as much.  A
+compared by the XOR of their shingles' full hashes, of which the bits are a part.  A
 document leaves out its ``spare`` most frequent words; the rarest shared word
 stays on both sides, so no link is lost, and words that boilerplate or chance
 makes common pair nothing.
 
-A document whose partner may lie in the band below has a sketch of that band too.
+A document whose partner may lie in the band below has words of that band too.
 Documents with one set are one class.  Classes that share a word are first linked
-to one holder of it; only holders that are then still in other components are
-paired with each other, so a group of near copies never forms all its pairs.
-Folded sketches discard pairs by their Hamming distance, and the exact similarity
-of the sets decides.
+to one holder of it; only holders that are then still in other components than most
+of the word's holders are looked at again.  Pairs whose parity sketches of WORDS
+words differ in too many bits never leave the join, and the exact similarity of the
+sets decides on the others.  A group of near copies does not form all its pairs;
+one whose members are nearly, but not quite, alike still compares their sketches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,9 @@ SHINGLE = 4
 PERCENT = 85  # least similarity
 SEED = 12
 GROWTH = 1.5  # of the sizes from band to band
-FOLD = 8  # words of a sketch that share one word of the folded sketch
-ENTRIES = "array<struct<band: int, sketch: binary, keys: array<bigint>>>"
+SPARE = 0.125  # spare words of a band's sketch, as a share of its reach
+WORDS = 16  # of the sketch that discards pairs
+FACTS = "node: bigint, size: bigint, sketch: array<bigint>, entries: array<struct<band: int, keys: array<bigint>>>"
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -87,7 +90,12 @@ class Bands:
         return farthest(largest, largest * 100 // self.percent, self.percent)
 
     def spare(self, band: int) -> int:
-        return self.reach(band) // 3 + 1
+        return int(self.reach(band) * SPARE) + 1
+
+    def spares(self, size: int) -> Column:
+        """``spare`` by the column ``band``, for sizes up to ``size``."""
+        pairs = ((b, self.spare(b)) for b in range(self.of(size)[0] + 1))
+        return F.create_map(*[F.lit(x) for pair in pairs for x in pair])[F.col("band")]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -95,34 +103,48 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def sketch(hashes: np.ndarray, band: int, reach: int, spare: int) -> tuple[np.ndarray, np.ndarray]:
-    """(folded parity sketch, keys of its words)."""
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity sketch of WORDS words."""
+    bits = np.zeros(WORDS, np.uint64)
+    np.bitwise_xor.at(bits, hashes >> np.uint64(6) & np.uint64(WORDS - 1), np.uint64(1) << (hashes & np.uint64(63)))
+    return bits
+
+
+def keys(hashes: np.ndarray, band: int, reach: int, spare: int) -> np.ndarray:
+    """Keys of the words of a band's sketch."""
     n = reach + spare + 1
-    place = ((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-    bits, sums = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    np.bitwise_xor.at(bits, place, np.uint64(1) << (hashes & np.uint64(63)))
-    np.bitwise_xor.at(sums, place, hashes)
-    folded = np.zeros(-(-n // FOLD), np.uint64)
-    np.bitwise_xor.at(folded, np.arange(n) // FOLD, bits)
-    salt = _mixed(np.arange(n, dtype=np.uint64) + np.uint64(band << 32))
-    return folded, _mixed(_mixed(sums ^ salt) ^ bits)
-
-
-def _sketched(texts: pa.Array, shingle: int, bands: Bands) -> pa.Array:
-    nodes, sizes, entries = [], [], []
+    sums = np.zeros(n, np.uint64)
+    np.bitwise_xor.at(sums, (hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), hashes)
+    return _mixed(sums ^ _mixed(np.arange(n, dtype=np.uint64) + np.uint64(band << 32)))
+
+
+def _facts(texts: pa.Array, shingle: int, bands: Bands) -> pa.Array:
+    nodes, sizes, sketches, entries = [], [], [], []
     for value in texts:
         own = shingle_set(value.as_py(), shingle)
         nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
         sizes.append(len(own))
-        found = []
-        for band in bands.of(len(own)) if len(own) else []:
-            if reach := bands.reach(band):  # without reach only equal sets are alike
-                folded, keys = sketch(own, band, reach, bands.spare(band))
-                found.append({"band": band, "sketch": folded.tobytes(), "keys": keys.view(np.int64)})
-        entries.append(found)
-    kind = pa.list_(pa.struct([("band", pa.int32()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))]))
-    arrays = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(entries, kind)]
-    return pa.StructArray.from_arrays(arrays, ["node", "size", "entries"])
+        sketches.append(sketch(own).view(np.int64))
+        # Without reach only equal sets are alike.
+        near = [band for band in bands.of(len(own)) if bands.reach(band)] if len(own) else []
+        entries.append([{"band": band, "keys": keys(own, band, bands.reach(band), bands.spare(band)).view(np.int64)} for band in near])
+    kind = pa.list_(pa.struct([("band", pa.int32()), ("keys", pa.list_(pa.int64()))]))
+    arrays = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(entries, kind)]
+    return pa.StructArray.from_arrays(arrays, ["node", "size", "sketch", "entries"])
+
+
+def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, node, size, sketch, entries) per row: the class of its
+    shingle set, the set's size, its sketch, and the keys of its bands."""
+    small_batches(docs.sparkSession)
+    bands = Bands(percent)
+
+    @F.arrow_udf(f"struct<{FACTS}>")
+    def run(texts: pa.Array) -> pa.Array:
+        alone("jaccard")
+        return _facts(texts, shingle, bands)
+
+    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), run(text).alias("r")).select("doc_id", "text_hash", "r.*")
 
 
 def _kept_keys(entries: DataFrame, spare: Column) -> DataFrame:
@@ -137,24 +159,12 @@ def _kept_keys(entries: DataFrame, spare: Column) -> DataFrame:
     return shared.withColumn("place", F.row_number().over(frequent)).where(F.col("place") > spare).select("key", "node", "band")
 
 
-def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, band) of classes whose sizes and sketches allow a link."""
-
-    @F.arrow_udf("int")
-    def distance(left: pa.Array, right: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(v.as_py() for v in side), np.uint64) for side in (left, right))
-        sizes = np.array([len(v.as_py()) // 8 for v in left], np.int64)
-        differing = np.concatenate([[0], np.cumsum(np.bitwise_count(x ^ y).astype(np.int64))])
-        ends = np.cumsum(sizes)
-        return pa.array((differing[ends] - differing[ends - sizes]).astype(np.int32))
-
-    def side(name: str, number: str) -> DataFrame:
-        return sketches.select(F.col("node").alias(name), "band", F.col("size").alias(f"n{number}"), F.col("sketch").alias(f"s{number}"))
-
-    met = pairs.join(side("a", "1").hint("merge"), ["a", "band"]).join(side("b", "2").hint("merge"), ["b", "band"])
-    sizes = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
-    bound = F.floor((F.col("n1") + F.col("n2")) * (100 - percent) / (100 + percent))
-    return met.where(sizes).where(distance("s1", "s2") <= bound).select("a", "b").distinct()
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and sketches allow a link."""
+    n, m = F.col(f"{x}.size"), F.col(f"{y}.size")
+    differing = [F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(WORDS)]
+    sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    return sizes & (reduce(add, differing) * (100 + percent) <= (n + m) * (100 - percent))
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -181,65 +191,59 @@ def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
     return both.where(similar("left", "right")).select("a", "b")
 
 
-def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, text: str = "text") -> DataFrame:
-    """(doc_id, node, size, text_hash, entries) per row: the class of its shingle
-    set, the set's size, and its sketches."""
-    small_batches(docs.sparkSession)
-    bands = Bands(percent)
+def sketches_of(text: str, shingle: int, bands: Bands) -> Column:
+    """The class (node) of a text's shingle set, the set's size, and its sketches."""
 
     @F.arrow_udf(f"struct<node: bigint, size: bigint, entries: {ENTRIES}>")
     def run(texts: pa.Array) -> pa.Array:
         alone("jaccard")
         return _sketched(texts, shingle, bands)
 
-    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), run(text).alias("r")).select("doc_id", "text_hash", "r.*")
+    return run(F.col(text))
+
+
+def _across(kept: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, band, node, root, main) of the words whose holders are in several
+    components; ``main`` is the one with most holders."""
+    placed = kept.join(roots.hint("merge"), "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts"))
+    return placed.join(largest.where("parts > 1").select("key", "main").hint("merge"), "key")
 
 
 def links(docs: DataFrame, rows: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """(node, root) of the classes of ``rows`` that are linked to another: ``root``
     names their component."""
-    bands = Bands(percent)
-    spare = F.create_map(*[F.lit(x) for b in _every_band(rows, bands) for x in (b, bands.spare(b))])[F.col("band")]
-    entries = rows.where(F.size("entries") > 0).select("node", "size", "doc_id", "text_hash", F.explode("entries").alias("e"))
-    entries = entries.select("node", "size", "doc_id", "text_hash", "e.*")
-    kept = stage(_kept_keys(entries, spare), "parity-words")
+    size = rows.agg(F.max("size")).first()[0] or 1
+    entries = rows.where(F.size("entries") > 0).select("node", F.explode("entries").alias("e")).select("node", "e.*")
+    kept = stage(_kept_keys(entries, Bands(percent).spares(size)), "parity-words")
     # What one class holds alone after the choice of words pairs nothing.
     most = kept.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("rep"), F.min("node").alias("lo"), F.max("node").alias("hi"))
     holders = stage(kept.join(most.where("lo < hi").select("key", "rep").hint("merge"), "key"), "holders")
-    held = entries.join(holders.select("node").distinct().hint("merge"), "node", "left_semi")
     # One row, and one text, speaks for its class.
-    one = [F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash")).alias("row")]
-    sketches = stage(held.groupBy("node", "band").agg(*one), "sketches")
-
-    def ordered(x: str, y: str) -> list[Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.col("band")]
-
-    stars = holders.where("node <> rep").select(*ordered("node", "rep")).distinct()
-    near = stage(_near(stars, sketches, percent), "near-stars")
-    wanted = sketches.select("node", F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("of")).distinct()
+    held = rows.join(holders.select("node").distinct().hint("merge"), "node", "left_semi")
+    row = F.min(F.struct("doc_id", "text_hash")).alias("row")
+    facts = stage(held.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), row), "sketches")
+    wanted = facts.select("node", F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("of"))
     found = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("of")))
     texts = stage(found.select("node", F.col(text).alias("text")).dropDuplicates(["node"]), "class-texts")
+    stars = holders.where("node <> rep").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
+    sketches = facts.drop("row")
+    x, y = sketches.alias("x"), sketches.alias("y")
+    met = stars.join(x.hint("merge"), F.col("a") == F.col("x.node")).join(y.hint("merge"), F.col("b") == F.col("y.node"))
+    near = stage(met.where(_may_link("x", "y", percent)).select("a", "b"), "near-stars")
     first = stage(_alike(near, texts, shingle, percent), "star-links")
-    roots = components(first)
-    # Holders of a word in other components than most of them: no holder is paired
-    # inside its component.
-    placed = holders.join(roots.hint("merge"), "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
-    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    split = stage(placed.join(largest.hint("merge"), "key"), "split-words")
+    # Linked classes that are not in one component yet share a word across components.
+    split = _across(holders.drop("rep"), components(first))
+    split = stage(split.join(sketches.hint("merge"), "node"), "split-words")
     x, y = split.where("root <> main").alias("x"), split.alias("y")
-    across = (F.col("x.key") == F.col("y.key")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.root") < F.col("y.root")))
-    pairs = x.join(y.hint("merge"), across).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.col("x.band").alias("band")).distinct()
-    rest = stage(_near(pairs, sketches, percent), "near-pairs")
-    second = _alike(rest.join(near.hint("merge"), ["a", "b"], "left_anti"), texts, shingle, percent)
+    other = (F.col("x.key") == F.col("y.key")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.root") < F.col("y.root")))
+    pairs = x.join(y.hint("merge"), other & _may_link("x", "y", percent))
+    pairs = stage(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "near-pairs")
+    second = _alike(pairs.join(near.hint("merge"), ["a", "b"], "left_anti"), texts, shingle, percent)
     return components(first.unionByName(second))
 
 
-def _every_band(rows: DataFrame, bands: Bands) -> Iterator[int]:
-    largest = rows.agg(F.max("size")).first()[0] or 1
-    return range(bands.of(largest)[0] + 1)
-
-
 def alike_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``; component_id is the
     smallest doc_id that links of ``percent`` similarity or more reach.

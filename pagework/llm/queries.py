@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 
 from pyspark.sql import functions as F
 
-from pagework.llm import bpe, counts, decontaminate, jaccard, licenses, linededup, lm, pii, resample, search, simhash, toxicity
+from pagework.llm import bpe, counts, decontaminate, jaccard, licenses, linededup, lm, phrases, pii, resample, search, simhash, toxicity
 from pagework.llm.common import id_hash, table
 
 QUERIES = {}
@@ -83,6 +83,10 @@ def op12_jaccard_join(spark, sf):
     return jaccard.alike_documents(table(spark, sf, "documents"))
 
 
+def op13_collocations(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
 QUERIES["op1_bpe_round_trip"] = op1_bpe_round_trip
 QUERIES["op2_toxicity"] = op2_toxicity
 QUERIES["op3_decontamination"] = op3_decontamination
@@ -95,3 +99,4 @@ QUERIES["op9_line_dedup"] = op9_line_dedup
 QUERIES["op10_license_scan"] = op10_license_scan
 QUERIES["op11_resampling"] = op11_resampling
 QUERIES["op12_jaccard_join"] = op12_jaccard_join
+QUERIES["op13_collocations"] = op13_collocations
