@@ -93,8 +93,18 @@ def g3_dedupe_boxes(spark, sf):
     return G.dedupe_boxes(words(spark, sf), KEY).select(*G.PAGE, *KEY)
 
 
+def slanted(spark, sf):
+    w = single(spark, sf)
+    slant, tall = F.col("word_no") % 4 * 2, (F.col("word_no") == 3) & (F.col("line_no") % 11 == 4)
+    text = F.when((F.col("word_no") == 2) & (F.col("line_no") % 5 == 1), F.concat("text", F.lit(" "), "line_no")).when(
+        (F.col("word_no") == 4) & (F.col("line_no") % 5 == 1), F.col("line_no").cast("string")).when(
+        (F.col("word_no") == 6) & (F.col("line_no") % 5 == 1), F.concat("text", F.lit(" "), F.col("line_no") + 1)).otherwise(F.col("text"))
+    return w.withColumns({"y0": F.col("y0") + slant, "y1": F.when(tall, F.col("y0") + 400).otherwise(F.col("y1")) + slant, "text": text})
+
+
 def g4_assemble_rows(spark, sf):
-    return G.assemble_rows(single(spark, sf)).select(
+    """Words with a slant, a tall one and a page number twice on some lines."""
+    return G.assemble_rows(slanted(spark, sf), 3200).select(
         *G.PAGE, "row_no", *G.BOX, F.md5("text").alias("digest"))
 
 
@@ -129,7 +139,7 @@ def g8_best_layout(spark, sf):
 
 def g9_attach_chapter_label(spark, sf):
     """Chapter labels split off their contents lines: after the completed line
-    in even books, before it in odd ones."""
+    in even books (two of them after every fourth line), before it in odd ones."""
     o = D.outline(spark, sf)
     shift = F.when(F.col("book_id") % 2 == 0, 1).otherwise(-1)
     title = o.select("book_id", F.lit(3).alias("page_index"), (F.col("ord") * 10).alias("place"),
@@ -139,14 +149,18 @@ def g9_attach_chapter_label(spark, sf):
     label = o.select("book_id", F.lit(3).alias("page_index"),
                      (F.col("ord") * 10 + shift).alias("place"),
                      F.concat(F.lit("CHAPTER "), F.col("ord") + 1).alias("text"))
-    boxed = title.unionByName(label).select(
+    second = o.where("book_id % 2 = 0 AND ord % 4 = 3").select(
+        "book_id", F.lit(3).alias("page_index"), (F.col("ord") * 10 + 2).alias("place"),
+        F.lit("CHAPTER II").alias("text"))
+    boxed = title.unionByName(label).unionByName(second).select(
         *G.PAGE, "place", "text", F.lit(0).alias("x0"), F.col("place").alias("y0"),
         F.lit(10).alias("x1"), (F.col("place") + 5).alias("y1"), F.lit(1.0).alias("conf"))
     return G.attach_chapter_label(boxed).select("book_id", "place", "text", "y0", "y1")
 
 
 def g10_merge_fragments(spark, sf):
-    return G.merge_fragments(words(spark, sf).select(*G.PAGE, *G.BOX))
+    w = words(spark, sf)
+    return G.merge_fragments(w.withColumns({c: F.col(c) + F.col("word_no") % 3 * 2 for c in ("y0", "y1")}).select(*G.PAGE, *G.BOX))
 
 
 def g11_search_hit_boxes(spark, sf):
@@ -248,26 +262,58 @@ ORACLE["g7_vertical_order"] = with_tables(
     turned="""SELECT book_id, page_index, text, y0 AS x0, x0 AS y0, y1 AS x1, x1 AS y1,
       x1 - x0 > (y1 - y0) * 1.35 AS tall FROM single_parts""",
 )
+# Both folds run over the boxes of a stretch of overlapping heights.
+def _stretches(source: str, columns: str) -> str:
+    return f"""SELECT *, sum(CASE WHEN y0 >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY book_id, page_index
+        ORDER BY y0, y1, x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS band
+      FROM (SELECT {columns}, max(y1) OVER (PARTITION BY book_id, page_index ORDER BY y0, y1, x0, x1
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {source})"""
+
+
 ORACLE["g10_merge_fragments"] = with_tables(
-    """SELECT book_id, page_index, row_no, CAST(part_no AS BIGINT) AS part_no, min(x0) AS x0, min(y0) AS y0,
-      max(x1) AS x1, max(y1) AS y1, count(*) AS n
-    FROM (SELECT *, sum(CASE WHEN x0 - reach <= greatest(2, (y1 - y0) * 0.22) THEN 0 ELSE 1 END) OVER (PARTITION BY
-        book_id, page_index, row_no ORDER BY x0, x1, y0 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part_no
-      FROM (SELECT *, max(x1) OVER (PARTITION BY book_id, page_index, row_no ORDER BY x0, x1, y0
-          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM lined)) GROUP BY ALL""",
-    lined="""SELECT * EXCLUDE (py0, py1), CAST(sum(CASE WHEN (least(y1, py1) - greatest(y0, py0))
-        / greatest(least(y1 - y0, py1 - py0), 0.001) >= 0.62 THEN 0 ELSE 1 END) OVER (PARTITION BY book_id, page_index
-        ORDER BY y0, y1, x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS row_no
-      FROM (SELECT *, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1
-        FROM (SELECT DISTINCT book_id, page_index, x0, y0, x1, y1 FROM rd_words)
-        WINDOW w AS (PARTITION BY book_id, page_index ORDER BY y0, y1, x0, x1))""",
+    """SELECT book_id, page_index, r.x0 AS x0, r.y0 AS y0, r.x1 AS x1, r.y1 AS y1, r.n AS n
+    FROM (SELECT book_id, page_index, unnest(rows) AS r FROM fold)""",
+    shifted="""SELECT DISTINCT book_id, page_index, x0, y0 + word_no % 3 * 2 AS y0, x1, y1 + word_no % 3 * 2 AS y1
+      FROM rd_words WHERE x1 > x0 AND y1 > y0""",
+    boxes_in=_stretches("shifted", "*"),
+    fold="""SELECT book_id, page_index, band, list_reduce(list([struct_pack(x0 := x0, y0 := y0, x1 := x1, y1 := y1,
+        n := 1::BIGINT)] ORDER BY y0, x0, y1, x1), lambda rows, b: list_transform([list_min(list_transform(rows, lambda r, i:
+          CASE WHEN least(r.y1, b[1].y1) - greatest(r.y0, b[1].y0) >= 0.62 * least(r.y1 - r.y0, b[1].y1 - b[1].y0)
+            AND greatest(r.x0, b[1].x0) - least(r.x1, b[1].x1) <= greatest(2.0, 0.22 * least(r.y1 - r.y0, b[1].y1 - b[1].y0))
+          THEN i END))], lambda c: CASE WHEN c IS NULL THEN list_concat(rows, b) ELSE list_transform(rows, lambda r, i:
+            CASE WHEN i = c THEN struct_pack(x0 := least(r.x0, b[1].x0), y0 := least(r.y0, b[1].y0),
+              x1 := greatest(r.x1, b[1].x1), y1 := greatest(r.y1, b[1].y1), n := r.n + 1) ELSE r END) END)[1]) AS rows
+      FROM boxes_in GROUP BY book_id, page_index, band""",
 )
 ORACLE["g4_assemble_rows"] = with_tables(
-    r"""SELECT book_id, page_index, row_no, x0, y0, x1, y1, md5(CASE WHEN len(w) > 2 AND w[len(w)] = w[len(w) - 1]
-      AND regexp_matches(w[len(w)], '^[0-9]{1,4}$') THEN array_to_string(w[1:len(w) - 1], ' ')
-      ELSE array_to_string(w, ' ') END) AS digest
-    FROM (SELECT book_id, page_index, CAST(row_no AS BIGINT) AS row_no, min(x0) AS x0, min(y0) AS y0,
-      max(x1) AS x1, max(y1) AS y1, list(text ORDER BY x0, x1, text) AS w FROM word_rows GROUP BY ALL)"""
+    r"""SELECT book_id, page_index, row_number() OVER (PARTITION BY book_id, page_index ORDER BY y0, x0, x1, text) AS row_no,
+      x0, y0, x1, y1, md5(text) AS digest FROM (
+      SELECT book_id, page_index, x0, y0, x1, y1, text FROM slanted WHERE y1 - y0 > greatest((x1 - x0) * 1.35, 57.6)
+      UNION ALL SELECT book_id, page_index, list_min(list_transform(r, lambda m: m.x0)), list_min(list_transform(r, lambda m: m.y0)),
+        list_max(list_transform(r, lambda m: m.x1)), list_max(list_transform(r, lambda m: m.y1)),
+        array_to_string(list_transform(list_filter(list_transform(s, lambda m, i: CASE WHEN i > 1
+            AND regexp_matches(m.text, '^[0-9]{1,4}$') AND (regexp_matches(s[i - 1].text, '^[0-9]{1,4}$')
+              OR regexp_matches(s[i - 1].text, '[/／.·…:\s]\s*[0-9]{1,4}\s*$'))
+            AND TRY_CAST(regexp_extract(s[i - 1].text, '([0-9]{1,4})\s*$', 1) AS INT) = TRY_CAST(m.text AS INT)
+            THEN NULL ELSE m.text END), lambda t: t IS NOT NULL), lambda t: t), ' ')
+      FROM (SELECT *, list_sort(r) AS s FROM (SELECT book_id, page_index, unnest(rows) AS r FROM fold)))""",
+    slanted="""SELECT * REPLACE (y0 + word_no % 4 * 2 AS y0, CASE WHEN word_no = 3 AND line_no % 11 = 4 THEN y0 + 400 ELSE y1 END
+        + word_no % 4 * 2 AS y1, CASE WHEN line_no % 5 <> 1 THEN text WHEN word_no = 2 THEN text || ' ' || line_no
+        WHEN word_no = 4 THEN '' || line_no WHEN word_no = 6 THEN text || ' ' || (line_no + 1) ELSE text END AS text)
+      FROM rd_words WHERE dup = 0""",
+    flat="SELECT * FROM slanted WHERE y1 - y0 <= greatest((x1 - x0) * 1.35, 57.6)",
+    boxes_in=_stretches("flat", r"""book_id, page_index, struct_pack(x0 := x0, x1 := x1, text := trim(text), y0 := y0, y1 := y1,
+      complete := regexp_matches(text, '(?:^|[/／.·…:\s])\s*[0-9]{1,4}\s*$') AND regexp_matches(text, '\p{L}')) AS m,
+      x0, x1, y0, y1, text"""),
+    fold="""SELECT book_id, page_index, band, list_reduce(list([[m]] ORDER BY y0, x0, x1, y1, text), lambda rows, b:
+        list_transform([list_max(list_transform(rows, lambda r, i: CASE WHEN len(list_filter(r, lambda o:
+              least(o.y1, b[1][1].y1) - greatest(o.y0, b[1][1].y0) >= 0.42 * least(o.y1 - o.y0, b[1][1].y1 - b[1][1].y0)
+              OR abs(o.y0 + o.y1 - b[1][1].y0 - b[1][1].y1) / 2 <= 0.42 * greatest(o.y1 - o.y0, b[1][1].y1 - b[1][1].y0))) > 0
+            AND NOT (b[1][1].complete AND len(list_filter(r, lambda o: o.complete)) > 0)
+            THEN struct_pack(far := list_min(list_transform(r, lambda o: abs(o.y0 + o.y1 - b[1][1].y0 - b[1][1].y1) / 2)), i := -i) END))],
+          lambda c: CASE WHEN c IS NULL THEN list_concat(rows, b) ELSE list_transform(rows, lambda r, i:
+            CASE WHEN i = -c.i THEN list_append(r, b[1][1]) ELSE r END) END)[1]) AS rows
+      FROM boxes_in GROUP BY book_id, page_index, band""",
 )
 ORACLE["g5_split_by_gutter"] = with_tables(
     "SELECT book_id, page_index, row_no, part_no, x0, x1, md5(text) AS digest FROM gutter_parts"
@@ -297,10 +343,11 @@ ORACLE["g8_best_layout"] = with_tables(
 )
 ORACLE["g9_attach_chapter_label"] = with_tables(
     """SELECT book_id, CASE WHEN book_id % 2 = 0 THEN ord * 10 ELSE ord * 10 - 1 END AS place,
-      'CHAPTER ' || (ord + 1) || ' Topic ' || CASE WHEN book_id % 2 = 0 THEN '' || printed_page
+      CASE WHEN book_id % 2 = 0 AND ord % 4 = 3 THEN 'CHAPTER II ' ELSE '' END || 'CHAPTER ' || (ord + 1) || ' Topic ' || CASE WHEN book_id % 2 = 0 THEN '' || printed_page
         ELSE ord || ' x' END AS text,
       CASE WHEN book_id % 2 = 0 THEN ord * 10 ELSE ord * 10 - 1 END AS y0,
-      CASE WHEN book_id % 2 = 0 THEN ord * 10 + 6 ELSE ord * 10 + 5 END AS y1 FROM rd_outline"""
+      CASE WHEN book_id % 2 = 0 AND ord % 4 = 3 THEN ord * 10 + 7 WHEN book_id % 2 = 0 THEN ord * 10 + 6
+      ELSE ord * 10 + 5 END AS y1 FROM rd_outline"""
 )
 ORACLE["g12_filter_repair_lines"] = with_tables(
     r"""SELECT book_id, page_index, line_no, word_no, dup, md5(CASE word_no % 3

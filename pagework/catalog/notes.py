@@ -8,6 +8,7 @@ from pagework.catalog import sql
 from pagework.catalog.sql import with_tables
 from pagework.operators import notes as B
 from pagework.operators import outline as O
+from pagework.operators.pages import heading_line
 from pagework.sources import derived as D
 
 QUERIES = {}
@@ -59,10 +60,29 @@ def mark_blocks(spark, sf):
     )
 
 
+def note_lines(spark, sf):
+    """Notes that readers have written in: remarks below every third heading, with
+    blank lines, and below their own notes, which every fifth book does not have.
+    Every seventh heading is missing."""
+    o = D.outline(spark, sf)
+    place = (F.col("ord").cast("long") + 1) * 10
+    heads = o.where("ord % 7 <> 5").select("book_id", place.alias("line_no"), heading_line("level", "title").alias("line"))
+    remarks = o.where("ord % 3 = 0").select(
+        "book_id", F.explode(F.array(
+            F.struct((place + 1).alias("line_no"), F.lit("").alias("line")),
+            F.struct((place + 2).alias("line_no"), F.concat(F.lit("手记 "), "title").alias("line")),
+            F.struct((place + 3).alias("line_no"), F.lit("  ").alias("line")),
+        )).alias("r")).select("book_id", "r.*")
+    ends = o.groupBy("book_id").agg(((F.max("ord").cast("long") + 2) * 10).alias("line_no")).where("book_id % 5 <> 0")
+    tails = ends.select("book_id", "line_no", F.lit(B.TAIL).alias("line"))
+    own = ends.select("book_id", (F.col("line_no") + 1).alias("line_no"), F.lit("后记").alias("line"))
+    return heads.unionByName(remarks).unionByName(tails).unionByName(own)
+
+
 def b5_insert_under_chapter(spark, sf):
-    note = B.insert_under_chapter(D.outline(spark, sf), mark_blocks(spark, sf))
+    note = B.insert_under_chapter(note_lines(spark, sf), mark_blocks(spark, sf))
     return note.select(
-        "book_id", "heading_ord", "kind", "page_index", "created_at", "block_id",
+        "book_id", "line_no", "kind", "page_index", "created_at", "block_id",
         F.md5("block").alias("digest"),
     )
 
@@ -120,13 +140,29 @@ ORACLE["b4_conversation_block"] = with_tables(
       || replace(content, chr(10), chr(10) || '> ') FROM rd_turns"""
 )
 ORACLE["b5_insert_under_chapter"] = with_tables(
-    f"""SELECT book_id, ord AS heading_ord, 0 AS kind, NULL::INT AS page_index, NULL::VARCHAR AS created_at,
-      NULL::BIGINT AS block_id, md5({_HEAD}) AS digest FROM rd_outline o
-    UNION ALL SELECT DISTINCT book_id, 2000000000, 0, NULL, NULL, NULL, md5('## 我的笔记') FROM rd_outline
-    UNION ALL SELECT m.book_id, coalesce((SELECT min(ord) FROM rd_outline o WHERE o.book_id = m.book_id
-        AND o.title = c.chapter), 2000000000), 1, m.page_index, strftime(m.created_at, '%Y-%m-%d %H:%M:%S'),
-      m.mark_id, md5({block_sql()}) FROM rd_marks m JOIN mark_chapters c ON c.passage_id = m.mark_id""",
+    f"""SELECT book_id, line_no, 0 AS kind, NULL::INT AS page_index, NULL::VARCHAR AS created_at,
+      NULL::BIGINT AS block_id, md5(line) AS digest FROM written
+    UNION ALL SELECT DISTINCT book_id, line_no, 0, NULL, NULL, NULL, md5('## 我的笔记') FROM placed_marks WHERE added
+    UNION ALL SELECT book_id, line_no, 1, page_index, strftime(created_at, '%Y-%m-%d %H:%M:%S'), mark_id,
+      md5({block_sql()}) FROM placed_marks""",
     mark_chapters=ORACLE["o4_note_chapter"][ORACLE["o4_note_chapter"].index("SELECT m.mark_id AS passage_id"):],
+    written=f"""SELECT book_id, (ord + 1) * 10 AS line_no, {_HEAD} AS line FROM rd_outline o WHERE ord % 7 <> 5
+      UNION ALL SELECT book_id, (ord + 1) * 10 + k, CASE k WHEN 1 THEN '' WHEN 2 THEN '手记 ' || title ELSE '  ' END
+        FROM rd_outline, (VALUES (1), (2), (3)) t(k) WHERE ord % 3 = 0
+      UNION ALL SELECT book_id, (max(ord) + 2) * 10 + k, CASE k WHEN 0 THEN '## 我的笔记' ELSE '后记' END
+        FROM rd_outline, (VALUES (0), (1)) t(k) WHERE book_id % 5 <> 0 GROUP BY book_id, k""",
+    heads="SELECT *, lead(line_no) OVER (PARTITION BY book_id ORDER BY line_no) AS upto FROM written "
+          "WHERE regexp_matches(line, '^#{2,6}\\s+')",
+    placed_marks="""SELECT m.*, coalesce(c.last, t.line_no, w.last + 1) AS line_no, c.last IS NULL AND t.line_no IS NULL AS added
+      FROM rd_marks m JOIN mark_chapters k ON k.passage_id = m.mark_id
+      LEFT JOIN (SELECT h.book_id, h.name, max(w.line_no) AS last
+        FROM (SELECT book_id, lower(trim(regexp_replace(line, '^#+\\s+', ''))) AS name, min(line_no) AS line_no,
+            min_by(upto, line_no) AS upto FROM heads GROUP BY ALL) h
+        JOIN written w ON w.book_id = h.book_id AND w.line_no >= h.line_no AND trim(w.line) <> ''
+          AND (h.upto IS NULL OR w.line_no < h.upto) GROUP BY ALL) c
+        ON c.book_id = m.book_id AND c.name = lower(trim(k.chapter))
+      LEFT JOIN heads t ON t.book_id = m.book_id AND t.line = '## 我的笔记'
+      JOIN (SELECT book_id, max(line_no) AS last FROM written GROUP BY ALL) w ON w.book_id = m.book_id""",
 )
 ORACLE["b6_skip_existing_blocks"] = with_tables(
     """SELECT mark_id, book_id FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM blocks w

@@ -7,6 +7,10 @@ windows stay small however long a book is.
 
 from __future__ import annotations
 
+import itertools
+
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,14 +129,126 @@ def extent() -> list[Column]:
             F.max("x1").alias("x1"), F.max("y1").alias("y1")]
 
 
-def assemble_rows(pieces: DataFrame) -> DataFrame:
-    """G4. One line per visual row, left to right; a page number printed twice
-    at the end counts once."""
-    lines = number_rows(pieces).groupBy(*PAGE, "row_no").agg(
-        joined_text(["x0", "x1"]).alias("text"), *extent()
-    )
-    once = F.regexp_replace("text", "(\\s\\d{1,4})\\1$", "$1")
-    return lines.withColumn("text", once)
+# Shares of heights that make boxes neighbours on a row.
+SHARED, TALL = 0.42, 1.35
+# What makes fragments one visual line.
+SAME_LINE, LEAST_GAP, GAP = 0.62, 2.0, 0.22
+COMPLETE = "\\p{L}"
+
+
+Box = tuple[float, ...]
+
+
+def _folded(fold, *names: str):
+    """A column function: the row number of every box of a page, from a fold over
+    its boxes (the fields ``names`` of an array of structs, in order)."""
+
+    @F.arrow_udf("array<int>")
+    def run(pages: pa.Array) -> pa.Array:
+        boxes = pages.flatten()
+        columns = list(zip(*(boxes.field(n).to_pylist() for n in names), strict=True))
+        ends = [0, *itertools.accumulate(pa.compute.list_value_length(pages).to_pylist())]
+        found = [fold(columns[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        return pa.array(found, pa.list_(pa.int32()))
+
+    return run
+
+
+def rows_of_pieces(boxes: list[Box]) -> list[int]:
+    """Row of each (y0, y1, complete), from top to bottom."""
+    rows: list[list[Box]] = []
+    open_rows: list[int] = []
+    out = []
+    for box in boxes:
+        y0, y1, complete = box
+        # Boxes that share no height are never neighbours.
+        open_rows = [n for n in open_rows if any(m[1] > y0 for m in rows[n])]
+        best = None
+        for n in open_rows:
+            if complete and any(m[2] for m in rows[n]):
+                continue
+            far, near = None, False
+            for top, low, _ in rows[n]:
+                apart = abs(top + low - y0 - y1) / 2
+                far = apart if far is None else min(far, apart)
+                least = max(min(low - top, y1 - y0), 1e-6)
+                near = near or min(low, y1) - max(top, y0) >= SHARED * least or apart <= SHARED * max(low - top, y1 - y0)
+            if near and (best is None or far > best[0]):
+                best = (far, n)
+        if best is None:
+            open_rows.append(len(rows))
+            rows.append([box])
+        else:
+            rows[best[1]].append(box)
+        out.append(open_rows[-1] if best is None else best[1])
+    return out
+
+
+def rows_of_fragments(boxes: list[Box]) -> list[int]:
+    """Merged rectangle of each (y0, x0, y1, x1), in reading order."""
+    rows: list[list[float]] = []
+    open_rows: list[int] = []
+    out = []
+    for y0, x0, y1, x1 in boxes:
+        open_rows = [n for n in open_rows if rows[n][2] > y0]
+        for n in open_rows:
+            top, left, low, right = rows[n]
+            least = min(low - top, y1 - y0)
+            if (min(low, y1) - max(top, y0) >= SAME_LINE * max(least, 0.001)
+                    and max(left, x0) - min(right, x1) <= max(LEAST_GAP, GAP * least)):
+                rows[n] = [min(top, y0), min(left, x0), max(low, y1), max(right, x1)]
+                break
+        else:
+            n = len(rows)
+            rows.append([y0, x0, y1, x1])
+            open_rows.append(n)
+        out.append(n)
+    return out
+
+
+def _row_text(row: Column) -> Column:
+    """A row's pieces from left to right; a page number alone that the text so far
+    ends in already counts once."""
+    across = F.array_sort(F.transform(row, lambda p: F.struct(
+        p["x0"].alias("x0"), p["x1"].alias("x1"), T.strip(p["text"]).alias("text"))))
+    start = F.struct(F.lit("").alias("line"), F.lit("").alias("last"))
+
+    def add(state: Column, piece: Column) -> Column:
+        page = F.regexp_extract(state["last"], TRAILING_PAGE, 1)
+        again = piece["text"].rlike("^\\d{1,4}$") & (page != "") & (page.cast("int") == piece["text"].try_cast("int"))
+        more = F.when(state["line"] == "", piece["text"]).otherwise(F.concat(state["line"], F.lit(" "), piece["text"]))
+        return F.when((piece["text"] == "") | again, state).otherwise(
+            F.struct(more.alias("line"), piece["text"].alias("last")))
+
+    return F.aggregate(across, start, add, lambda s: s["line"])
+
+
+def assemble_rows(pieces: DataFrame, page_height: float = 1.0) -> DataFrame:
+    """G4. (page, row_no, text, box): one line per visual row.
+
+    Boxes come from top to bottom.  A box may join a row of which a member overlaps
+    it by SHARED of the smaller height, or has its centre within SHARED of the
+    larger one; two entries that are complete (letters and a page at the end) never
+    share a row.  Of several rows the one whose nearest member is farthest counts,
+    then the first.  Boxes taller than TALL times their width (and 0.018 of the
+    page) stay lines of their own.
+
+    The choice depends on the rows so far: it is a fold over the boxes of one page.
+    """
+    height = F.col("y1") - F.col("y0")
+    upright = height <= F.greatest((F.col("x1") - F.col("x0")) * TALL, F.lit(0.018 * page_height))
+    marked = pieces.withColumn("_up", upright)
+    complete = F.col("text").rlike(TRAILING_PAGE) & F.col("text").rlike(COMPLETE)
+    piece = F.struct("y0", "x0", "x1", "y1", "text", complete.alias("complete"))
+    pages = marked.where("_up").groupBy(*PAGE).agg(F.array_sort(F.collect_list(piece)).alias("_pieces"))
+    rows = pages.withColumn("_row", _folded(rows_of_pieces, "y0", "y1", "complete")("_pieces"))
+    rows = rows.select(*PAGE, F.explode(F.arrays_zip("_row", "_pieces")).alias("p")).select(*PAGE, "p._row", "p._pieces.*")
+    lines = rows.groupBy(*PAGE, "_row").agg(
+        F.collect_list(F.struct("x0", "x1", "text")).alias("_parts"), *extent()
+    ).select(*PAGE, _row_text(F.col("_parts")).alias("text"), *BOX)
+    lone = marked.where("NOT _up").select(*PAGE, "text", *BOX)
+    order = Window.partitionBy(*PAGE).orderBy("y0", "x0", "x1", "text")
+    return lines.unionByName(lone).withColumn("row_no", F.row_number().over(order).cast("long"))
 
 
 def split_rows_by_gutter(pieces: DataFrame) -> DataFrame:
@@ -231,60 +347,56 @@ CHAPTER_ALONE = f"(?i)^(?:chapter\\s+[0-9ivxlcdm]+|第\\s*[{T.NUMERALS}]+\\s*章
 
 
 def attach_chapter_label(lines: DataFrame) -> DataFrame:
-    """G9. A lone chapter label joins the line before it when that ends in a
-    page number, else the next line.  ``lines``: place, text, box, conf."""
+    """G9. Lone chapter labels join the line before them when that ends in a page
+    number, any number of labels; else the last of them joins the next line.  A
+    label that ends in a number is such a line for the labels right after it.
+    ``lines``: place, text, box, conf.
+    """
     order = Window.partitionBy(*PAGE).orderBy("place")
-    alone = F.col("text").rlike(CHAPTER_ALONE)
-    tagged = lines.withColumn("_alone", alone).withColumns(
-        {
-            "_prev": F.lag("text").over(order),
-            "_prev_alone": F.lag("_alone").over(order),
-            "_next_alone": F.lead("_alone").over(order),
-        }
-    )
-    up = F.col("_alone") & ~F.coalesce("_prev_alone", F.lit(False)) & F.coalesce(
-        F.col("_prev").rlike(TRAILING_PAGE), F.lit(False))
-    down = F.col("_alone") & ~up & ~F.coalesce("_next_alone", F.lit(True))
-    joined = tagged.withColumns({"_up": up, "_down": down})
-    follows = F.coalesce(F.lag("_down").over(order), F.lit(False))
-    starts = ~F.col("_up") & ~follows
-    grouped = joined.withColumn("_starts", starts.cast("int")).withColumn(
-        "_group", F.sum("_starts").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    alone, paged = F.col("text").rlike(CHAPTER_ALONE), F.col("text").rlike(TRAILING_PAGE)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    tagged = lines.withColumns({"_alone": alone, "_paged": paged}).withColumns({
+        "_line": F.last(F.when(~F.col("_alone"), F.struct("place", "_paged")), ignorenulls=True).over(before),
+        "_next": F.when(~F.lead("_alone").over(order), F.lead("place").over(order)),
+        "_run": F.sum((~F.col("_alone")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    run = Window.partitionBy(*PAGE, "_run")
+    tagged = tagged.withColumn("_open", F.min(F.when(F.col("_alone") & F.col("_paged"), F.col("place"))).over(run))
+    base = (
+        F.when(~F.col("_alone"), F.col("place"))
+        .when(F.col("_line._paged"), F.col("_line.place"))
+        .when(F.col("place") > F.col("_open"), F.col("_open"))
+        .otherwise(F.coalesce("_next", "place"))
     )
-    # The label leads the text whichever neighbour it joins.
-    lead = F.when(F.col("_up"), -F.col("place")).when(F.col("_down"), 1_000_000_000)
-    lead = F.coalesce(lead, F.lit(2_000_000_000)).alias("a")
-    parts = F.array_sort(F.collect_list(F.struct(lead, "place", "text")))
-    return grouped.groupBy(*PAGE, "_group").agg(
+    # Labels lead the line they join, the latest first.
+    place = F.col("place")
+    lead = F.when(place > F.col("_base"), F.struct(F.lit(0).alias("a"), (-place).alias("b"))).when(
+        place < F.col("_base"), F.struct(F.lit(1).alias("a"), place.alias("b"))).otherwise(
+        F.struct(F.lit(2).alias("a"), place.alias("b")))
+    parts = F.array_sort(F.collect_list(F.struct(lead.alias("lead"), "text")))
+    return tagged.withColumn("_base", base).groupBy(*PAGE, "_base").agg(
         F.min("place").alias("place"),
         F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"),
         *extent(),
         F.max("conf").alias("conf"),
-    ).drop("_group")
+    ).drop("_base")
 
 
 def merge_fragments(rects: DataFrame) -> DataFrame:
-    """G10. Rectangles of one visual line joined where the gap is at most
-    max(2, 0.22 x height); exact copies (to a quarter unit) count once."""
+    """G10. Rectangles of one visual line joined: (page, box, n).
+
+    Fragments come in reading order.  Each joins the first open rectangle that it
+    overlaps by SAME_LINE of the smaller height, across a gap of at most
+    max(LEAST_GAP, GAP x the smaller height); the rectangle then covers both, and
+    the next fragment is held against its whole extent.  Exact copies (to a quarter
+    unit) count once; empty rectangles are left out.
+    """
     keys = {f"_{c}": F.round(F.col(c) * 4) for c in BOX}
-    unique = rects.withColumns(keys).dropDuplicates([*PAGE, *keys]).drop(*keys)
-    order = Window.partitionBy(*PAGE).orderBy("y0", "y1", "x0")
-    overlap = F.least(F.col("y1"), F.lag("y1").over(order)) - F.greatest(
-        F.col("y0"), F.lag("y0").over(order))
-    lowest = F.greatest(
-        F.least(F.col("y1") - F.col("y0"), F.lag(F.col("y1") - F.col("y0")).over(order)),
-        F.lit(0.001),
-    )
-    fresh = F.coalesce(overlap / lowest < 0.62, F.lit(True)).cast("int")
-    rows = unique.withColumn("_fresh", fresh).withColumn(
-        "row_no", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    across = Window.partitionBy(*PAGE, "row_no").orderBy("x0", "x1", "y0")
-    reach = F.max("x1").over(across.rowsBetween(Window.unboundedPreceding, -1))
-    slack = F.greatest(F.lit(2.0), (F.col("y1") - F.col("y0")) * 0.22)
-    cut = F.coalesce(F.col("x0") - reach > slack, F.lit(True)).cast("int")
-    parts = rows.withColumn("_cut", cut).withColumn(
-        "part_no", F.sum("_cut").over(across.rowsBetween(Window.unboundedPreceding, 0)))
-    return parts.groupBy(*PAGE, "row_no", "part_no").agg(*extent(), F.count("*").alias("n"))
+    unique = rects.where("x1 > x0 AND y1 > y0").withColumns(keys).dropDuplicates([*PAGE, *keys]).drop(*keys)
+    pages = unique.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "y1", "x1"))).alias("_pieces"))
+    rows = pages.withColumn("_row", _folded(rows_of_fragments, "y0", "x0", "y1", "x1")("_pieces"))
+    rows = rows.select(*PAGE, F.explode(F.arrays_zip("_row", "_pieces")).alias("p")).select(*PAGE, "p._row", "p._pieces.*")
+    return rows.groupBy(*PAGE, "_row").agg(*extent(), F.count("*").alias("n")).drop("_row")
 
 
 def search_hit_boxes(asks: DataFrame, words: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from pagework.functions import text as T
 from pagework.operators.pages import heading_line
-from pagework.plans.running import keep_first
+from pagework.plans.running import block_of, keep_first, running
+from pagework.plans.stage import stage
 
 # Labels and callouts of the note format.
 TAIL = "## 我的笔记"
@@ -105,34 +106,58 @@ def conversation_block(turns: DataFrame, pages: DataFrame, collapsed: bool = Fal
     return head.unionByName(body)
 
 
-def insert_under_chapter(outline: DataFrame, blocks: DataFrame) -> DataFrame:
-    """B5. The note with blocks in place: (book_id, heading_ord, kind,
-    page_index, created_at, block_id, block).
+# Fixed value: a heading of a chapter in a note.
+HEADING = "^#{2,6}\\s+(.*?)\\s*$"
 
-    ``blocks`` has book_id, chapter, page_index, created_at, block_id, block.
-    A block belongs to the first heading of its title and sorts after that
-    heading's line, before the next heading; without one it goes to the tail.
-    """
-    first = keep_first(outline.select("book_id", "ord", "title"), ["book_id", "title"], ["ord"])
-    placed = blocks.join(
-        first.select("book_id", F.col("title").alias("chapter"), "ord"),
-        ["book_id", "chapter"], "left",
-    ).select(
-        "book_id", F.coalesce("ord", F.lit(LAST)).alias("heading_ord"), F.lit(1).alias("kind"),
-        "page_index", "created_at", "block_id", "block",
+
+def _sections(note_lines: DataFrame) -> DataFrame:
+    """``note_lines`` with ``owner``, the line number of the heading each line
+    belongs to, and ``title``, lower-cased, on headings."""
+    title = F.when(F.col("line").rlike(HEADING), F.lower(F.regexp_extract("line", HEADING, 1)))
+    return running(
+        note_lines.withColumn("title", title), ["book_id"], ["line_no"], block_of("line_no"),
+        last={"owner": F.when(F.col("title").isNotNull(), F.col("line_no"))},
     )
-    null = {"page_index": "int", "created_at": placed.schema["created_at"].dataType,
-            "block_id": placed.schema["block_id"].dataType}
-    empty = [F.lit(None).cast(t).alias(n) for n, t in null.items()]
-    heads = outline.select(
-        "book_id", F.col("ord").alias("heading_ord"), F.lit(0).alias("kind"), *empty,
-        heading_line("level", "title").alias("block"),
+
+
+def insert_under_chapter(note_lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """B5. The note with blocks in place: (book_id, line_no, kind, page_index,
+    created_at, block_id, block), to be read in the order of these columns.
+
+    ``note_lines`` is the note as it is (book_id, line_no, line), hand-written
+    lines included; every line comes back unchanged (kind 0).  ``blocks`` has
+    book_id, chapter, page_index, created_at, block_id, block.  A block (kind 1)
+    follows the last line with text below the first heading of its chapter, before
+    the next heading.  Without such a heading it follows the heading of the
+    reader's own notes, which is added after the last line where there is none.
+    """
+    lines = stage(_sections(note_lines), "note-lines")
+    written = F.when(F.trim("line") != "", F.col("line_no"))
+    ends = lines.where("owner IS NOT NULL").groupBy("book_id", F.col("owner").alias("line_no")).agg(
+        F.max(written).alias("end"))
+    heads = lines.where("title IS NOT NULL").select("book_id", "line_no", "title", "line")
+    first = keep_first(heads, ["book_id", "title"], ["line_no"]).join(ends, ["book_id", "line_no"])
+    chapters = first.select("book_id", F.col("title").alias("_title"), "end")
+    tails = heads.where(F.rtrim("line") == TAIL).groupBy("book_id").agg(F.min("line_no").alias("tail"))
+    last = note_lines.groupBy("book_id").agg((F.max("line_no") + 1).alias("after"))
+    placed = (
+        blocks.withColumn("_title", F.lower(F.trim("chapter")))
+        .join(chapters, ["book_id", "_title"], "left")
+        .join(tails, "book_id", "left").join(last, "book_id", "left")
+        .withColumn("after", F.coalesce("after", F.lit(0)).cast("long"))
     )
-    tails = outline.select("book_id").distinct().select(
-        "book_id", F.lit(LAST).alias("heading_ord"), F.lit(0).alias("kind"), *empty,
-        F.lit(TAIL).alias("block"),
+    placed = stage(placed, "note-blocks")
+    new = placed.select(
+        "book_id", F.coalesce("end", "tail", "after").cast("long").alias("line_no"),
+        F.lit(1).alias("kind"), "page_index", "created_at", "block_id", "block",
     )
-    return heads.unionByName(placed).unionByName(tails)
+    nothing = [F.lit(None).cast(new.schema[n].dataType).alias(n) for n in ("page_index", "created_at", "block_id")]
+    kept = lines.select(
+        "book_id", F.col("line_no").cast("long").alias("line_no"), F.lit(0).alias("kind"), *nothing,
+        F.col("line").alias("block"))
+    added = placed.where("end IS NULL AND tail IS NULL").select("book_id", "after").distinct().select(
+        "book_id", F.col("after").alias("line_no"), F.lit(0).alias("kind"), *nothing, F.lit(TAIL).alias("block"))
+    return kept.unionByName(added).unionByName(new)
 
 
 def skip_existing_blocks(blocks: DataFrame, written: DataFrame) -> DataFrame:
