@@ -52,7 +52,24 @@ def h4_complete_pairs(spark, sf):
 
 
 def h5_note_groups(spark, sf):
-    return H.note_groups(D.turns(spark, sf), D.outline(spark, sf))
+    """Every other question quotes the second half of a heading's page, if it opens one."""
+    return H.note_groups(quoting(spark, sf), D.pages(spark, sf), D.outline(spark, sf))
+
+
+def h5_group_pages(spark, sf):
+    found = H.group_pages(H.grouped_turns(quoting(spark, sf), D.pages(spark, sf), D.outline(spark, sf)))
+    return found.select("conv_id", "chapter", "anchor_page", "part", F.array_join("pages", ",").alias("pages"))
+
+
+def quoting(spark, sf):
+    """Turns whose questions quote the title of the book's next heading, on the page
+    before which it stands."""
+    turns = D.turns(spark, sf)
+    heads = D.outline(spark, sf).select("book_id", F.col("page_index").alias("anchor_page"), F.col("title").alias("_title"))
+    joined = turns.join(heads, ["book_id", "anchor_page"], "left")
+    quote = F.concat(F.lit("P "), (F.col("anchor_page") + 1).cast("string"), F.lit("\n"), "_title", F.lit("\n\n"), "content")
+    asks = (F.col("turn") % 4 == 0) & F.col("_title").isNotNull() & (F.trim("content") != "")
+    return joined.withColumn("content", F.when(asks, quote).otherwise(F.col("content"))).select(turns.columns)
 
 
 def h6_transcript(spark, sf):
@@ -97,7 +114,11 @@ def h9_summary_sections(spark, sf):
 
 
 def h10_decode_usage(spark, sf):
-    return H.decode_usage(D.usage_raw(spark, sf)).drop("payload", "n_chars")
+    """Payloads, every third inside four more objects."""
+    raw = D.usage_raw(spark, sf)
+    deep = F.concat(F.lit('{"id":1,"data":{"usage":7,"response":{"result":{"metadata":'), "payload", F.lit("}}}}"))
+    wrapped = raw.withColumn("payload", F.when(F.col("turn") % 3 == 1, deep).otherwise(F.col("payload")))
+    return H.decode_usage(wrapped).drop("payload", "n_chars")
 
 
 def filled(spark, sf):
@@ -167,6 +188,12 @@ ORACLE["h5_note_groups"] = with_tables(
     FROM (SELECT p.*, (SELECT o.title FROM rd_outline o WHERE o.book_id = p.book_id AND o.page_index <= p.page
       ORDER BY ord DESC LIMIT 1) AS chapter FROM pair_turns p) GROUP BY ALL"""
 )
+ORACLE["h5_group_pages"] = with_tables(
+    """SELECT conv_id, chapter, CASE WHEN chapter IS NULL THEN page END AS anchor_page, page // 1024 AS part,
+      string_agg(DISTINCT page, ',' ORDER BY page) AS pages
+    FROM (SELECT p.*, (SELECT o.title FROM rd_outline o WHERE o.book_id = p.book_id AND o.page_index <= p.page
+      ORDER BY ord DESC LIMIT 1) AS chapter FROM pair_turns p WHERE page IS NOT NULL) GROUP BY ALL"""
+)
 ORACLE["h6_transcript"] = with_tables(
     "SELECT conv_id, turn, md5(CASE role WHEN 'user' THEN 'Reader' ELSE 'Companion' END || '：' || content) "
     "AS digest FROM rd_turns"
@@ -213,7 +240,7 @@ ORACLE["h12_usage_metrics"] = with_tables(
     "round(least(1.0, coalesce(cached_tokens, 0) / input_tokens), 6) AS cache_hit_rate FROM usage_filled"
 )
 
-for _fn in (h1_parse_question, h2_focus_page, h3_history_window, h4_complete_pairs, h5_note_groups,
+for _fn in (h1_parse_question, h2_focus_page, h3_history_window, h4_complete_pairs, h5_note_groups, h5_group_pages,
             h6_transcript, h7_condense_budget, h9_summary_sections, h10_decode_usage,
             h11_fill_usage, h12_usage_metrics):
     QUERIES[_fn.__name__] = _fn
