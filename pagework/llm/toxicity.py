@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, identity=IDENTITY,
 
     @F.arrow_udf(kind)
     def featurise(column: pa.Array) -> pa.Array:
-        memo = once("toxicity", "words", None, lambda: Bounded(word_features, WORDS_KEPT))
+        memo = once("toxicity", "words", "plain", lambda: Bounded(word_features, WORDS_KEPT))
         own, swapped = [], []
         for text in column:
             words = set(WORD.findall((text.as_py() or "").lower()))
