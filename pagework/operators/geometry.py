@@ -157,15 +157,16 @@ def _folded(fold, *names: str):
 def rows_of_pieces(boxes: list[Box]) -> list[int]:
     """Row of each (y0, y1, complete), from top to bottom."""
     rows: list[list[Box]] = []
+    lows, full = [], []  # of each row
     open_rows: list[int] = []
     out = []
     for box in boxes:
         y0, y1, complete = box
         # Boxes that share no height are never neighbours.
-        open_rows = [n for n in open_rows if any(m[1] > y0 for m in rows[n])]
+        open_rows = [n for n in open_rows if lows[n] > y0]
         best = None
         for n in open_rows:
-            if complete and any(m[2] for m in rows[n]):
+            if complete and full[n]:
                 continue
             far, near = None, False
             for top, low, _ in rows[n]:
@@ -178,8 +179,12 @@ def rows_of_pieces(boxes: list[Box]) -> list[int]:
         if best is None:
             open_rows.append(len(rows))
             rows.append([box])
+            lows.append(y1)
+            full.append(complete)
         else:
-            rows[best[1]].append(box)
+            n = best[1]
+            rows[n].append(box)
+            lows[n], full[n] = max(lows[n], y1), full[n] or complete
         out.append(open_rows[-1] if best is None else best[1])
     return out
 
