@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import math
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,8 +37,9 @@ from pagework.llm.common import Bounded, once, small_batches, with_result
 PIECES_KEPT = 400_000
 STATES_KEPT = 160_000
 ROOT = 0
-# Hypotheses, pairs and moves are kept as one number each, to save memory: a
-# token + 1 (0: none) above a node, a token above a token, a state above a token.
+# Hypotheses and moves are kept as one number each, to save memory: a
+# token + 1 (0: none) above a node, a state above a token + 1.
+# A state is the bytes of its hypotheses' numbers.
 SHIFT = 24
 LOW = (1 << SHIFT) - 1
 
@@ -47,9 +50,10 @@ def read_ranks(blob: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """The merges' own result for ``piece``: lowest rank first, leftmost on ties.
-    A heap over a linked list, so that long pieces cost n log n."""
+def merge(piece: bytes, ranks: dict[bytes, int], below: float = math.inf) -> list[bytes]:
+    """The merges' own result for ``piece``: lowest rank first, leftmost on ties,
+    ranks from ``below`` on left out.  A heap over a linked list, so that long
+    pieces cost n log n."""
     n = len(piece)
     ends = list(range(1, n + 1))  # end of the part that starts here
     before = list(range(-1, n - 1))
@@ -59,7 +63,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
         middle = ends[start]
         if middle < n:
             rank = ranks.get(piece[start : ends[middle]])
-            if rank is not None:
+            if rank is not None and rank < below:
                 heapq.heappush(heap, (rank, start, middle, ends[middle]))
 
     for i in range(n):
@@ -89,7 +93,7 @@ class Transducer:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}  # node * 256 + byte -> node
-        self.token_at, self.depth = [-1], [0]
+        self.token_at, self.depth = array("i", [-1]), array("i", [0])
         self.length = {rank: len(token) for token, rank in ranks.items()}
         self.lookahead = 4 * max(self.length.values(), default=1)
         for token, rank in ranks.items():
@@ -102,44 +106,70 @@ class Transducer:
                     self.depth.append(self.depth[node] + 1)
                 node = self.child[key]
             self.token_at[node] = rank
-        self.allowed = Bounded(self._follows, 300_000)
+        self.split = Bounded(self._split, len(ranks) + 1)  # every token
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict[tuple, int] = {}
-        self.states: list[tuple] = []
+        self.numbers: dict[bytes, int] = {}
+        self.states: list[bytes] = []
         self.moves: dict[int, int] = {}  # state * 256 + byte -> state, token + 1
-        self.start = self._number((ROOT,))
+        self.start = self._number([ROOT])
 
-    def _number(self, state: tuple) -> int:
+    def _number(self, hypotheses: list[int]) -> int:
+        state = array("Q", hypotheses).tobytes()
         number = self.numbers.setdefault(state, len(self.states))
         if number == len(self.states):
             self.states.append(state)
         return number
 
-    def _follows(self, pair: int) -> bool:
-        first, second = (pair >> SHIFT) - 1, pair & LOW
-        right = self.bytes_of[second]
-        if first < 0:
-            return merge(right, self.ranks) == [right]
-        left = self.bytes_of[first]
-        return merge(left + right, self.ranks) == [left, right]
+    def _split(self, token: int) -> tuple[int, ...]:
+        """The two tokens that the last merge of ``token`` joins; a byte has none.
+        More parts: merges of lower rank do not make the token."""
+        parts = merge(self.bytes_of[token], self.ranks, token)
+        return tuple(self.ranks[p] for p in parts) if len(parts) > 1 else ()
+
+    def _follows(self, left: int, right: int) -> bool:
+        """Whether the merges of both tokens' bytes end with these two (of the
+        right one's alone: with it, if ``left`` is negative).
+
+        The merges of both sides are undone, the latest first.  One across the
+        border that comes before the merge undone last forbids the pair: of equal
+        ranks the leftmost comes first.  Where ranks do not tell the order of
+        merges, the bytes are merged.
+        """
+        ends = [self.bytes_of[t] for t in (left, right) if t >= 0]
+        limit = math.inf
+        while True:
+            lefts, rights = self.split[left] if left >= 0 else (), self.split[right]
+            if len(lefts) > 2 or len(rights) > 2:
+                return merge(b"".join(ends), self.ranks) == ends
+            if left < 0:
+                return True
+            across = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
+            if across is not None and across < limit:
+                return False
+            if lefts and (left > right or not rights):
+                limit, left = left, lefts[1]
+            elif rights:
+                limit, right = right + 1, rights[0]
+            else:
+                return True
 
     def move(self, number: int, byte: int) -> int:
         """Next state, and the last token of all bytes so far plus one."""
         living, ended = [], -1
-        child, token_at, allowed = self.child, self.token_at, self.allowed
-        for hypothesis in self.states[number]:
+        child, token_at, follows = self.child, self.token_at, self._follows
+        for hypothesis in array("Q", self.states[number]):
             node = child.get((hypothesis & LOW) << 8 | byte)
             if node is None:
                 continue
             last = hypothesis >> SHIFT
             living.append(last << SHIFT | node)
             token = token_at[node]
-            if token >= 0 and ended < 0 and allowed[last << SHIFT | token]:
+            if token >= 0 and ended < 0 and follows(last - 1, token):
                 ended = token
         living.append(ended + 1 << SHIFT | ROOT)
-        self.moves[number << 8 | byte] = known = self._number(tuple(living)) << SHIFT | ended + 1
+        self.moves[number << 8 | byte] = known = self._number(living) << SHIFT | ended + 1
         return known
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
@@ -167,7 +197,7 @@ class Transducer:
 
     def _certain(self, state: int, lasts: list[int]) -> list[int]:
         """Tokens before the place where all live rows meet; they leave ``lasts``."""
-        places = {len(lasts) - self.depth[h & LOW] for h in self.states[state]}
+        places = {len(lasts) - self.depth[h & LOW] for h in array("Q", self.states[state])}
         while len(places) > 1:
             latest = max(places)
             places.remove(latest)

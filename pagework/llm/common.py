@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pagework.plans.stage import stage
 
 ROWS_PER_BATCH = 1000
-BYTES_PER_BATCH = 16 << 20
+BYTES_PER_BATCH = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

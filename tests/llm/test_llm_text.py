@@ -68,6 +68,23 @@ def test_transducer_streams_with_bounded_lookahead():
     assert first in machine.bytes_of and taken <= 2 * machine.lookahead
 
 
+def test_pairs_that_may_follow_are_those_the_merges_keep():
+    rng = random.Random(5)
+    for ordered in [True, False] * 40:
+        tokens = [b"a", b"b", b"c"]
+        while len(tokens) < 12:
+            token = b"".join(rng.choices(tokens, k=2)) if ordered else bytes(rng.choices(b"abc", k=rng.randrange(2, 6)))
+            if token not in tokens:
+                tokens.append(token)
+        ranks = dict(zip(tokens, range(12) if ordered else rng.sample(range(12), 12), strict=True))
+        machine = bpe.Transducer(ranks)
+        for right in tokens:
+            assert machine._follows(-1, ranks[right]) == (bpe.merge(right, ranks) == [right])
+            for left in tokens:
+                kept = bpe.merge(left + right, ranks) == [left, right]
+                assert machine._follows(ranks[left], ranks[right]) == kept, (ranks, left, right)
+
+
 def test_decoder_marks_broken_characters():
     decoder = bpe.Decoder({bytes([b]): b for b in range(256)})
     for data in (b"\xe6\xbc", b"a\xff b", b"\xf0\x9f\x98\x80", b"\xc3(", b"\xed\xa0\x80"):
