@@ -24,7 +24,7 @@ import base64
 import heapq
 import math
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,7 @@ from pagework.llm.common import Bounded, once, small_batches, with_result
 
 PIECES_KEPT = 400_000
 STATES_KEPT = 160_000
+LONG = 1 << 16  # longer texts are cut into pieces one by one
 ROOT = 0
 # Hypotheses and moves are kept as one number each, to save memory: a
 # token + 1 (0: none) above a node, a state above a token + 1.
@@ -276,7 +277,7 @@ class Decoder:
         if pending:
             yield "�"
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         try:  # every token holds whole characters
             return "".join(map(self.whole.__getitem__, ids))
         except KeyError:
@@ -299,13 +300,17 @@ def _encoded(texts: pa.Array, ranks_path: str, pattern: str, blob) -> list[bytes
         return Bounded(lambda piece: np.array(machine.encode(piece.encode()), "<u4").tobytes(), PIECES_KEPT)
 
     pieces = once("bpe", "encode", (ranks_path, pattern), make)
-    find = once("bpe", "pattern", pattern, lambda: pattern_of(pattern)).findall
-    return [b"".join(map(pieces.__getitem__, find(t.as_py() or ""))) for t in texts]
+    found = once("bpe", "pattern", pattern, lambda: pattern_of(pattern))
+
+    def pieces_of(text: str) -> Iterable[str]:
+        return found.findall(text) if len(text) < LONG else (m[0] for m in found.finditer(text))
+
+    return [b"".join(map(pieces.__getitem__, pieces_of(t.as_py() or ""))) for t in texts]
 
 
 def _decoded(rows: list[bytes | None], ranks_path: str, blob) -> list[str]:
     decoder = once("bpe", "decode", ranks_path, lambda: Decoder(_ranks(ranks_path, blob)))
-    return [decoder.decode(np.frombuffer(r or b"", "<u4").tolist()) for r in rows]
+    return [decoder.decode(np.frombuffer(r or b"", "<u4").astype("u4").data) for r in rows]
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:

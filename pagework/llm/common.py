@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from pagework.plans.stage import stage
 
-ROWS_PER_BATCH = 1000
-BYTES_PER_BATCH = 8 << 20
+ROWS_PER_BATCH = 250
+BYTES_PER_BATCH = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
