@@ -84,13 +84,19 @@ def t6_normalize_toc_lines(spark, sf):
 
 
 def t7_split_combined(spark, sf):
-    """Neighbouring entry lines glued together, then cut again."""
-    rows = D.toc_lines(spark, sf).where("line_no % 2 = 1")
+    """Neighbouring entry lines glued together, then cut again: entry lines, and
+    every line followed by a named part without a page."""
+    lines = D.toc_lines(spark, sf).where("line_no % 2 = 1")
+    named = lines.where("line <> 'Contents'").select(
+        "book_id", (-1 - F.floor(F.col("line_no") / 4)).cast("int").alias("pair"),
+        F.concat(F.lit("开始的故事 "), F.col("line_no"), F.lit("  附录")).alias("line"), "line_no",
+    )
     pair = F.floor(F.col("line_no") / 4).cast("int")
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    glued = rows.groupBy("book_id", pair.alias("pair")).agg(
+    glued = lines.groupBy("book_id", pair.alias("pair")).agg(
         F.array_join(F.transform(ordered, lambda e: F.trim(e["line"])), " ").alias("line")
     )
+    glued = glued.unionByName(named.where("line_no % 4 = 1").select("book_id", "pair", "line"))
     return glued.select(
         "book_id", "pair", F.posexplode(T.split_combined("line")).alias("part_no", "line")
     )
@@ -303,7 +309,9 @@ ORACLE["t5_build_toc_text"] = with_tables(
 ORACLE["t6_normalize_toc_lines"] = with_tables("SELECT book_id, line_no, line FROM rd_toc_lines")
 ORACLE["t7_split_combined"] = with_tables(
     r"""SELECT book_id, CAST(line_no // 4 AS INT) AS pair, CASE WHEN line_no % 4 = 1 THEN 0 ELSE 1 END AS part_no,
-      trim(line) AS line FROM rd_toc_lines WHERE line_no % 2 = 1"""
+      trim(line) AS line FROM rd_toc_lines WHERE line_no % 2 = 1
+    UNION ALL SELECT book_id, CAST(-1 - line_no // 4 AS INT), n, CASE n WHEN 0 THEN '开始的故事 ' || line_no ELSE '附录' END
+    FROM rd_toc_lines, (VALUES (0), (1)) AS parts(n) WHERE line_no % 4 = 1 AND line <> 'Contents'"""
 )
 _TAIL = r"(?:p\.?\s*)?[（(\[【{]?\s*([0-9]{1,4}|[ivxlcdm]{1,10})\s*[）)\]】}]?\s*$"
 _SEP = r"(?:\.{2,}|…+|·{2,}|[/／]+|\s{2,}|[-—–]\s*|\s+)"

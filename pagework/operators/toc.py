@@ -58,6 +58,9 @@ COMBINED = (
     "|part\\s+[0-9ivxlcdm]+|section\\s+[0-9]+(?:\\.[0-9]+)*|[0-9]{1,3}(?:\\.[0-9]{1,3})+\\s+(?=\\S)"
     "|序言|前言|引言|导言|导论|绪论|结语|后记|附录|参考文献|索引)"
 )
+NAMED = (
+    "(?i)(?<=[0-9ivxlcdm])\\s+(?=(?:序言|前言|引言|导言|导论|绪论|结语|后记|附录|参考文献|索引)(?:\\s|。|$))"
+)
 BACK, FORWARD = 4, 20
 
 
@@ -300,15 +303,25 @@ SINGLE_LEADER = f"(?:(?<!\\d)\\.|\\.{{2,}}|…+|·{{2,}}|[/／])\\s*{PAGE}"
 
 
 def split_combined(c: Column | str) -> Column:
-    """T7. Array of entries of a line that holds several."""
+    """T7. Array of entries of a line that holds several.
+
+    A line with two or more entry starts is cut at each; words like "contents"
+    before the first are no entry.  Any other line is cut where a page is followed
+    by a named part, and behind a led page that another led entry follows.
+    """
     x = T.col(c)
     marked = F.regexp_replace(x, COMBINED, "\n$1")
     cuts = F.length(marked) - F.length(x)
+    named = F.regexp_replace(x, NAMED, "\n")
     led = F.regexp_replace(
-        x, f"(?i)({SINGLE_LEADER})\\s+(?=\\S.{{1,160}}{SINGLE_LEADER}\\s*$)", "$1\n"
+        named, f"(?i)({SINGLE_LEADER})\\s+(?=\\S.{{1,160}}?{SINGLE_LEADER}\\s*$)", "$1\n"
     )
-    text = F.when(F.length(x) < 6, x).when(cuts >= 2, marked).otherwise(led)
-    return F.filter(F.transform(F.split(text, "\n"), T.strip), lambda s: s != "")
+
+    def parts(text: Column) -> Column:
+        return F.filter(F.transform(F.split(text, "\n"), T.strip), lambda s: s != "")
+
+    started = T.bound(parts(marked), lambda p: F.filter(p, lambda s, i: (i > 0) | ~s.rlike(NOISE)))
+    return F.when(F.length(x) < 6, parts(x)).when(cuts >= 2, started).otherwise(parts(led))
 
 
 def title_and_page(c: Column | str) -> Column:

@@ -108,6 +108,20 @@ def test_summary_sections(spark):
     assert df.select(H.summary_complete(F.col("p"))).first()[0]
 
 
+def test_section_names_inside_points_are_text(spark):
+    df = spark.createDataFrame([("结论：问题在于甲\n论证 论证是乙 2. 丙",), ("问题：论证：甲",), ("无",)], "x string")
+    got = [[(p["section"], p["point"]) for p in r["p"]] for r in df.select(H.summary_points("x").alias("p")).collect()]
+    assert got == [[("结论", "问题在于甲"), ("论证", "论证是乙"), ("论证", "丙")], [("论证", "甲")], []]
+
+
+def test_lines_of_several_entries(spark):
+    lines = ["开始的故事 12 附录", "第一章 甲 1 第二章 乙 9", "目录 第一章 甲 1 第二章 乙 9", "Title one.... 3 Title two.... 9", "A 附录"]
+    df = spark.createDataFrame([(x,) for x in lines], "x string").select(toc.split_combined("x").alias("p"))
+    assert [r["p"] for r in df.collect()] == [
+        ["开始的故事 12", "附录"], ["第一章 甲 1", "第二章 乙 9"], ["第一章 甲 1", "第二章 乙 9"],
+        ["Title one.... 3", "Title two.... 9"], ["A 附录"]]
+
+
 def test_vertical_pages_read_right_to_left(spark):
     rows = [(1, 0, f"c{i}", 100 - 20 * i, 50, 110 - 20 * i, 150) for i in range(4)]
     rows.append((1, 0, "head", 10, 5, 110, 15))
