@@ -85,7 +85,10 @@ def build_postings(asks: DataFrame, chunks: DataFrame, method: str = "bm25") ->
         "tf", "qtf"
     )
     asked = chunks.join(asks.select("book_id").distinct(), "book_id", "left_semi")
-    listed = asked.select("book_id", "chunk_no", "page_index", tokens("text").alias("_tokens"))
+    # Every chunk is tokenised once; counts and lengths are read from this table.
+    listed = stage(asked.select(
+        "book_id", "chunk_no", "page_index", tokens("text").alias("_tokens")
+    ).withColumn("length", F.size("_tokens")), "chunk-tokens")
     needed = terms.select("book_id", "token").distinct()
     rows = (
         listed.select("book_id", "chunk_no", F.explode("_tokens").alias("token"))
@@ -93,7 +96,7 @@ def build_postings(asks: DataFrame, chunks: DataFrame, method: str = "bm25") ->
         .groupBy("book_id", "chunk_no", "token")
         .agg(F.count("*").alias("tf"))
     )
-    lengths = listed.select("book_id", "chunk_no", "page_index", F.size("_tokens").alias("length"))
+    lengths = listed.select("book_id", "chunk_no", "page_index", "length")
 
     titles = title_hits(asks, chunks, form)
     element = F.col("element")
@@ -124,7 +127,7 @@ def build_postings(asks: DataFrame, chunks: DataFrame, method: str = "bm25") ->
     return Postings(
         stage(terms, "terms"),
         stage(rows, "postings"),
-        stage(lengths, "lengths"),
+        lengths,
         stage(bonus, "bonus"),
     )
 
