@@ -37,8 +37,7 @@ def f2_sentence_hits(spark, sf):
 def f3_snippet(spark, sf):
     lines = D.lines(spark, sf).withColumnRenamed("line", "text")
     key = ["page_index", "line_no"]
-    hits = S.matching_rows(asked(spark, sf), lines, key).join(lines, ["book_id", *key])
-    return S.snippet(hits).select("query_id", *key, "snippet")
+    return S.snippets(asked(spark, sf), lines, key).select("query_id", *key, "snippet")
 
 
 def every_second_broken(queries):

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagework.functions import text as T
-from pagework.operators.search import matching_rows, needle_pattern, ranges_or_all
+from pagework.operators.search import matching_rows, ranges_of
 
 PAGE = ["book_id", "page_index"]
 BOX = ["x0", "y0", "x1", "y1"]
@@ -418,9 +418,8 @@ def search_hit_boxes(asks: DataFrame, words: DataFrame) -> DataFrame:
         "_from", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
     lines = placed.groupBy(*line).agg(joined_text(["word_no"]).alias("text"))
     key = ["page_index", "line_no"]
-    hits = matching_rows(asks, lines, key).join(lines, line).select(
-        "query_id", *line,
-        F.explode(ranges_or_all(T.fold("text"), needle_pattern(F.col("needle")))).alias("r"),
+    hits = matching_rows(asks, lines, key, ranges_of).select(
+        "query_id", *line, F.explode("ranges").alias("r")
     )
     cut = hits.join(placed, line).where(
         (F.col("_from") + F.length("text") > F.col("r.start")) & (F.col("_from") < F.col("r.stop"))

@@ -95,63 +95,61 @@ def similar_pairs(needles: DataFrame, heads: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def line_score(lines: Column, title: Column) -> Column:
+    """How well a title's key fits the best of a page's line keys."""
+    size = F.length(title)
+    return (
+        F.when(F.exists(lines, lambda k: k == title), 1.0)
+        .when(F.exists(lines, lambda k: k.startswith(title) & (F.length(k) <= size + 12)), 0.99)
+        .when(F.exists(lines, lambda k: F.contains(k, title) & (F.length(k) <= size * 3 + 8)), 0.97)
+        .otherwise(0.0)
+    )
+
+
+def head_score(head: Column, title: Column) -> Column:
+    """How well a title's key fits the head of a page."""
+    size = F.length(title)
+    grams = bigrams(title)
+    looked = bigrams(F.left(head, F.greatest(size * 4, F.lit(100))))
+    return (
+        F.when(size <= 3, 0.0)
+        .when(head.startswith(title), 1.0)
+        .when(F.contains(head, title), 0.94)
+        .otherwise(F.size(F.array_intersect(grams, looked)) / F.size(grams))
+    )
+
+
 def title_candidates(entries: DataFrame, pages: DataFrame, toc_pages: DataFrame) -> DataFrame:
     """R3. The best six pages of each title: (book_id, ord, page_index, score).
 
-    A page is looked at when its key contains the title's key or its head may
-    share enough bigrams with it; only those pairs are scored.
+    A title that a page's key contains is scored inside the page's row; a line
+    that fits holds the title, and so does the page's key.  Titles that a head
+    may share enough bigrams with are scored on the head alone.
     """
-    searchable = pages.join(toc_pages, ["book_id", "page_index"], "left_anti").join(
+    key = ["book_id", "page_index"]
+    searchable = pages.select(*key, "text").join(toc_pages, key, "left_anti").join(
         entries.select("book_id").distinct(), "book_id", "left_semi"
     )
     needles = stage(title_keys(entries), "needles")
-    keyed = stage(
-        searchable.select(
-            "book_id", "page_index", "text", head_key("text").alias("head"),
-        ).where("head <> ''"),
-        "page-keys",
-    )
-    whole = contains_pairs(
-        needles, keyed.select("book_id", "page_index", "text"), ["book_id"], ["page_index"],
-        T.comparison_key,
-    )
-    heads = keyed.select("book_id", "page_index", "head")
-    near = similar_pairs(needles.where("length(needle) > 3"), heads)
-    pairs = whole.unionByName(near).distinct()
-    looked = keyed.join(
-        pairs.select("book_id", "page_index").distinct(), ["book_id", "page_index"], "left_semi"
-    ).select(
-        "book_id", "page_index", "head",
-        F.filter(
-            F.transform(F.split("text", "\n"), T.comparison_key), lambda k: k != ""
-        ).alias("lines"),
-    )
-    rows = pairs.join(looked, ["book_id", "page_index"])
-    title, head = F.col("needle"), F.col("head")
-    size = F.length(title)
+    head, title = F.col("head"), F.col("needle")
 
-    def some(condition) -> Column:
-        return F.exists("lines", condition)
+    def scores(held: Column, _searched: Column) -> Column:
+        lines = F.filter(F.transform(F.split("text", "\n"), T.comparison_key), lambda k: k != "")
+        return T.bound(F.struct(lines.alias("lines"), head_key("text").alias("head")), lambda p: F.transform(
+            held, lambda n: F.struct(n.alias("needle"), F.when(p["head"] != "", F.greatest(
+                line_score(p["lines"], n), head_score(p["head"], n))).alias("score"))))
 
-    line_score = (
-        F.when(some(lambda k: k == title), 1.0)
-        .when(some(lambda k: k.startswith(title) & (F.length(k) <= size + 12)), 0.99)
-        .when(some(lambda k: F.contains(k, title) & (F.length(k) <= size * 3 + 8)), 0.97)
-        .otherwise(0.0)
+    whole = contains_pairs(
+        needles, searchable, ["book_id"], ["page_index"], T.comparison_key, scores
     )
-    grams = bigrams(title)
-    share = F.size(
-        F.array_intersect(grams, bigrams(F.left(head, F.greatest(size * 4, F.lit(100)))))
-    ) / F.size(grams)
-    loose = (
-        F.when(size <= 3, 0.0)
-        .when(head.startswith(title), 1.0)
-        .when(F.contains(head, title), 0.94)
-        .otherwise(share)
+    heads = stage(
+        searchable.select(*key, head_key("text").alias("head")).where("head <> ''"), "page-heads"
+    )
+    near = similar_pairs(needles.where("length(needle) > 3"), heads).join(heads, key).select(
+        *key, "needle", head_score(head, title).alias("score")
     )
-    scored = rows.select(
-        "book_id", "needle", "page_index",
-        F.round(F.greatest(line_score, loose), 6).alias("score"),
+    scored = whole.select(*key, "needle", "score").unionByName(near).select(
+        *key, "needle", F.round("score", 6).alias("score")
     ).where(F.col("score") >= ENOUGH)
     best = scored.join(needles, ["book_id", "needle"]).groupBy("book_id", "ord", "page_index").agg(
         F.max("score").alias("score")

@@ -6,6 +6,8 @@ and punctuation, on the projection N5.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +28,14 @@ def needles(asks: DataFrame) -> DataFrame:
     ).where("needle <> ''")
 
 
-def matching_rows(asks: DataFrame, texts: DataFrame, text_id: list[str]) -> DataFrame:
+def matching_rows(asks: DataFrame, texts: DataFrame, text_id: list[str],
+                  result: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(query_id, book_id, text_id, needle) where the projection of the text
-    contains the projection of the phrase.  ``texts`` has book_id, text_id, text."""
+    contains the projection of the phrase.  ``texts`` has book_id, text_id, text.
+    ``result`` adds columns that are computed in the text's own row."""
     wanted = needles(asks)
     raw = texts.select("book_id", *text_id, "text")
-    pairs = contains_pairs(wanted, raw, ["book_id"], text_id, T.search_projection)
+    pairs = contains_pairs(wanted, raw, ["book_id"], text_id, T.search_projection, result)
     return pairs.join(wanted, ["book_id", "needle"])
 
 
@@ -39,14 +43,15 @@ def needle_pattern(needle: Column) -> Column:
     """The needle with anything but letters and digits allowed in between; a
     match in the folded text is then a match of the projections, in place.
     Letters that a ligature may stand for match it as well."""
-    pattern = F.array_join(F.split(needle, "(?<=.)(?=.)"), GAP)
+    plain = F.array_join(F.split(needle, "(?<=.)(?=.)"), GAP)
+    pattern = plain
     spelled = sorted(LETTERS.items(), key=lambda e: (-len(e[1]), e[0]))
     for text in dict.fromkeys(t for _, t in spelled):
         forms = {f for c, t in spelled for f in _forms(text, c, t)}
         apart = GAP.join(text)
         either = "(?:" + "|".join([apart, *sorted(forms)]) + ")"
         pattern = F.replace(pattern, F.lit(apart), F.lit(either))
-    return pattern
+    return F.when(needle.rlike("|".join(dict.fromkeys(LETTERS.values()))), pattern).otherwise(plain)
 
 
 def _forms(text: str, ligature: str, spelling: str) -> set[str]:
@@ -89,15 +94,17 @@ def ranges_in(folded: Column, pattern: Column) -> Column:
     return F.aggregate(pairs, start, step, lambda s: s["out"])
 
 
+def ranges_of(held: Column, _searched: Column) -> Column:
+    """Per held needle its ranges in the row's ``text``, which is folded once."""
+    return T.bound(T.fold("text"), lambda folded: F.transform(held, lambda n: F.struct(
+        n.alias("needle"), ranges_or_all(folded, needle_pattern(n)).alias("ranges"))))
+
+
 def match_ranges(asks: DataFrame, lines: DataFrame) -> DataFrame:
     """F1. (query_id, book_id, page_index, line_no, start, stop), 0-based."""
     key = ["page_index", "line_no"]
-    texts = lines.withColumnRenamed("line", "text")
-    hits = matching_rows(asks, texts, key).join(texts, ["book_id", *key])
-    placed = hits.select(
-        "query_id", "book_id", *key,
-        F.explode(ranges_or_all(T.fold("text"), needle_pattern(F.col("needle")))).alias("r"),
-    )
+    hits = matching_rows(asks, lines.withColumnRenamed("line", "text"), key, ranges_of)
+    placed = hits.select("query_id", "book_id", *key, F.explode("ranges").alias("r"))
     return placed.select("query_id", "book_id", *key, "r.start", "r.stop")
 
 
@@ -123,21 +130,42 @@ def display_text(c: Column | str) -> Column:
     return T.strip(F.regexp_replace(T.single_spaced(c), "\\s+", " "))
 
 
-def snippet(rows: DataFrame) -> DataFrame:
-    """F3. Adds ``snippet``: the first match widened to sentence boundaries, or
-    null.  ``rows`` has text and needle; the display form is bound to a column
-    so that it is computed once."""
-    shown = rows.withColumn("_shown", display_text("text"))
-    located = shown.withColumn(
-        "_hit", F.get(ranges_or_all(T.fold("_shown"), needle_pattern(F.col("needle"))), F.lit(0))
-    )
-    before = F.left(F.col("_shown"), F.col("_hit.start"))
+def first_match(folded: Column, pattern: Column) -> Column:
+    """(start, stop) of the first match, the whole text where it has none of its
+    own; lengths of pieces, as positions of a match would not be code points."""
+    found = F.coalesce(F.length(F.regexp_substr(folded, pattern)), F.lit(0))
+    start = F.length(F.split(folded, pattern, 2)[0])
+    own = F.struct(start.alias("start"), (start + found).alias("stop"))
+    whole = F.struct(F.lit(0).alias("start"), F.length(folded).alias("stop"))
+    return F.when(found > 0, own).otherwise(whole)
+
+
+def widened(shown: Column, hit: Column) -> Column:
+    """The part of ``shown`` from the sentence boundary before the hit to the one after."""
+    before = F.left(shown, hit["start"])
     opening = F.length(F.regexp_extract(before, f"(?s)^.*[{BOUNDARY}]", 0))
-    after = F.substring(F.col("_shown"), F.col("_hit.stop") + 1, F.length("_shown"))
+    after = F.substring(shown, hit["stop"] + 1, F.length(shown))
     closing = F.regexp_extract(after, f"(?s)^[^{BOUNDARY}]*[{BOUNDARY}]?", 0)
-    size = F.col("_hit.stop") + F.length(closing) - opening
-    cut = T.strip(F.substring(F.col("_shown"), opening + 1, size))
-    return located.withColumn("snippet", cut).drop("_shown", "_hit")
+    return T.strip(F.substring(shown, opening + 1, hit["stop"] + F.length(closing) - opening))
+
+
+def snippets_of(held: Column, _searched: Column) -> Column:
+    """Per held needle its snippet from the row's ``text``, which is brought to
+    the display form and folded once."""
+
+    def cut(shown: Column, folded: Column) -> Column:
+        return F.transform(held, lambda n: F.struct(n.alias("needle"), T.bound(
+            first_match(folded, needle_pattern(n)), lambda hit: widened(shown, hit)
+        ).alias("snippet")))
+
+    return T.bound(display_text("text"), lambda shown: T.bound(
+        T.fold(shown), lambda folded: cut(shown, folded)))
+
+
+def snippets(asks: DataFrame, texts: DataFrame, text_id: list[str]) -> DataFrame:
+    """F3. (query_id, book_id, text_id, needle, snippet): the first match of the
+    phrase widened to sentence boundaries.  ``texts`` has book_id, text_id, text."""
+    return matching_rows(asks, texts, text_id, snippets_of)
 
 
 def fulltext_search(asks: DataFrame, pages: DataFrame, chunks: DataFrame,
@@ -150,8 +178,7 @@ def fulltext_search(asks: DataFrame, pages: DataFrame, chunks: DataFrame,
     pages; phrases without letters or digits match nothing.
     """
     key = ["page_index"]
-    hits = matching_rows(asks, pages.select("book_id", "page_index", "text"), key)
-    found = snippet(hits.join(pages.select("book_id", "page_index", "text"), ["book_id", *key]))
+    found = snippets(asks, pages, key)
     # Read by the fallback's gate and by the result.
     direct = stage(found.select("query_id", "book_id", "page_index", "snippet"), "direct")
     silent = asks.join(direct.select("query_id").distinct(), "query_id", "left_anti")
