@@ -169,3 +169,52 @@ def test_entries_have_queries_and_sql():
     assert set(sql) <= set(queries)
     # The training-data operators stay outside the catalog.
     assert all(not re.match(r"op\d|pipeline", name) for name in catalog.queries())
+
+
+def test_hit_boxes_equal_brute_force(spark):
+    import random
+    import re
+
+    from pagework.operators import geometry
+
+    rng = random.Random(3)
+    vocabulary = ["Alpha", "beta", "be-ta", "gamma", "al", "pha", "b", "Été"]
+    words = []
+    for page in range(3):
+        for line in range(6):
+            for no in range(rng.randint(1, 6)):
+                wide = rng.random() < 0.7
+                x0, y0 = float(no * 10), float(line * 10)
+                words.append((1, page, line, no, rng.choice(vocabulary), x0, y0,
+                              x0 + (8.0 if wide else 2.0), y0 + (4.0 if wide else 8.0)))
+    asks = [(7, 1, "Beta gamma"), (8, 1, "alpha"), (9, 1, "ete"), (10, 1, "zz"), (11, 2, "alpha")]
+    want = []
+    lines = {}
+    for w in words:
+        lines.setdefault(w[:3], []).append(w)
+    for query, book, phrase in asks:
+        letters = re.sub("[^a-z]", "", phrase.lower())
+        pattern = "[^a-z]*".join(letters)
+        for (b, page, line), row in lines.items():
+            text = " ".join(w[4] for w in row).lower().replace("é", "e")
+            for hit in re.finditer(pattern, text) if b == book else ():
+                at = 0
+                for w in row:
+                    low, high, size = max(hit.start(), at), min(hit.end(), at + len(w[4])), len(w[4])
+                    if low < at + size and at < hit.end():
+                        a, z = (low - at) / size, (high - at) / size
+                        x0, y0, x1, y1 = w[5:]
+                        if y1 - y0 > (x1 - x0) * 1.25:
+                            y0, y1 = y0 + (y1 - y0) * a, y0 + (y1 - y0) * z
+                        else:
+                            x0, x1 = x0 + (x1 - x0) * a, x0 + (x1 - x0) * z
+                        want.append((query, page, line, w[3], hit.start(),
+                                     *[round(v, 6) for v in (x0, y0, x1, y1)]))
+                    at += size + 1
+    table = spark.createDataFrame(
+        words, "book_id long, page_index int, line_no int, word_no int, text string, "
+        "x0 double, y0 double, x1 double, y1 double")
+    asked = spark.createDataFrame(asks, "query_id long, book_id long, phrase string")
+    got = geometry.search_hit_boxes(asked, table).select(
+        "query_id", "page_index", "line_no", "word_no", "start", "x0", "y0", "x1", "y1").collect()
+    assert want and sorted(map(tuple, got)) == sorted(want)
