@@ -276,6 +276,9 @@ def printed_page(token: Column) -> Column:
     )
 
 
+# Fixed value: four numbers are a network address, not a place in an outline.
+ADDRESS = "\\d{1,3}(?:\\.\\d{1,3}){3}(?!\\.?\\d)"
+
 # Chinese numerals.
 CHINESE_DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5,
                   "六": 6, "七": 7, "八": 8, "九": 9}
@@ -312,8 +315,10 @@ def sequence_key(c: Column | str) -> Column:
 
 
 def sequence_token_key(token: Column) -> Column:
-    numbers = F.transform(F.split(token, "\\."), lambda p: p.cast("int"))
-    return F.when(token.rlike("^\\d+(?:\\.\\d+)*$"), numbers).when(
+    """Numbers of any length may stand in a text; those beyond 64 bits are no key."""
+    numbers = F.transform(F.split(token, "\\."), lambda p: p.try_cast("bigint"))
+    known = bound(numbers, lambda n: F.when(~F.exists(n, lambda v: v.isNull()), n))
+    return F.when(token.rlike("^\\d+(?:\\.\\d+)*$"), known).when(
         token.rlike("^[一二三四五六七八九十百千零〇两]+$"), F.array(chinese_value(token))
     )
 

@@ -640,7 +640,8 @@ def parse_linewise(lines: DataFrame) -> DataFrame:
 
     def score(c: str) -> Column:
         n, distinct = F.count(c), F.countDistinct(c)
-        dense = distinct / F.greatest(F.max(c) - F.min(c) + 1, F.lit(1))
+        span = F.max(c).cast("double") - F.min(c).cast("double") + 1
+        dense = distinct / F.greatest(span, F.lit(1.0))
         return F.when(
             (n >= 2) & (n == distinct), dense + F.when(F.min(c) <= 2, 0.35).otherwise(0.0)
         ).otherwise(0.0)
