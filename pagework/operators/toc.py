@@ -53,9 +53,16 @@ UNITS = [
     f"(?i)^(?:第\\s*[{T.NUMERALS}]+\\s*节|section\\s+\\S+)",
 ]
 ENUMERATION = "^(?:[一二三四五六七八九十百千零〇两]+|[0-9]+)[、.．。)）]\\s*\\S"
+# A number in front of a title.  Four parts are an address, and part of the title before
+# them, unless they open the line or follow a led page; no start lies inside one.
+LED_PAGE = "(?:\\.{2}|…|·{2}|[/／]|\\s{2}|(?<!\\d)\\.)\\s{0,3}\\d{1,4}\\s{1,3}"
+NUMBERED = (
+    f"(?:(?<=^\\s{{0,8}})|(?<={LED_PAGE})|(?<![0-9])(?<![0-9]\\.)(?!{T.ADDRESS}))"
+    "[0-9]{1,3}(?:\\.[0-9]{1,3})+\\s+(?=\\S)"
+)
 COMBINED = (
     f"(?i)(?<![\\p{{IsHan}}A-Za-z])(第\\s*[{T.NUMERALS}]+\\s*[篇部卷章节]|chapter\\s+[0-9ivxlcdm]+"
-    "|part\\s+[0-9ivxlcdm]+|section\\s+[0-9]+(?:\\.[0-9]+)*|[0-9]{1,3}(?:\\.[0-9]{1,3})+\\s+(?=\\S)"
+    f"|part\\s+[0-9ivxlcdm]+|section\\s+[0-9]+(?:\\.[0-9]+)*|{NUMBERED}"
     "|序言|前言|引言|导言|导论|绪论|结语|后记|附录|参考文献|索引)"
 )
 NAMED = (
