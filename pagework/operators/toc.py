@@ -510,7 +510,9 @@ def parse_contents(rows: DataFrame) -> DataFrame:
         F.col("e.style").alias("page_style"), "e.inherits",
     )
     parsed = stage(parsed, "parsed")
-    paged = inherit_division_page(parsed).withColumn("_raw", F.col("title"))
+    # Cleaning joins numbers, also an address to the number before it.
+    numbered_title = F.regexp_replace("title", f"(?<=\\d)\\s+{T.ADDRESS}", "")
+    paged = inherit_division_page(parsed).withColumn("_numbered", clean_entry_title(numbered_title))
     cleaned = paged.withColumn("title", clean_entry_title("title")).where(
         F.length("title").between(2, 180)
         & (F.col("printed_page").isNotNull() | F.col("title").rlike(ENTRY_START))
@@ -521,13 +523,15 @@ def parse_contents(rows: DataFrame) -> DataFrame:
     parts = parsed.groupBy("book_id").agg(F.max(F.col("title").rlike(PART)).alias("_has_part"))
     return unique.join(parts, "book_id").select(
         "book_id", "ord", "title", "printed_page", "page_style",
-        raw_level(F.col("title"), F.col("_has_part")).alias("level"),
+        raw_level(F.col("title"), F.col("_has_part"), F.col("_numbered")).alias("level"),
     )
 
 
-def raw_level(title: Column, has_part: Column) -> Column:
-    """T13, raw variant: the level a single line suggests."""
-    digits = F.regexp_extract(title, "^\\d+(?:\\.\\d+)*", 0)
+def raw_level(title: Column, has_part: Column, numbered_title: Column | None = None) -> Column:
+    """T13, raw variant: the level a single line suggests; its number is read from
+    ``numbered_title``, by default the title."""
+    number = title if numbered_title is None else numbered_title
+    digits = F.regexp_extract(number, "^\\d+(?:\\.\\d+)*", 0)
     depth = F.least(F.length(digits) - F.length(F.replace(digits, F.lit("."), F.lit(""))), F.lit(5))
     return (
         F.when(title.rlike(PART), 0)
