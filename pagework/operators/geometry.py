@@ -322,8 +322,9 @@ def vertical_order(lines: DataFrame) -> DataFrame:
     )
 
 
-# Fixed value: a page number that ends a line.
-TRAILING_PAGE = "(?:^|[/／.·…:\\s])\\s*[（(\\[【{]?\\s*(\\d{1,4})\\s*[）)\\]】}]?\\s*$"
+# Fixed value: a page number that ends a line.  Behind a country code like +1 a number
+# in brackets is an area code.
+TRAILING_PAGE = "(?:^|[/／.·…:\\s])\\s*(?:(?<!\\+\\d{1,3}\\s{1,4})[（(\\[【{])?\\s*(\\d{1,4})\\s*[）)\\]】}]?\\s*$"
 
 
 def best_layout(orders: DataFrame) -> DataFrame:
