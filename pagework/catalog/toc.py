@@ -77,7 +77,7 @@ def t5_build_toc_text(spark, sf):
 def t6_normalize_toc_lines(spark, sf):
     """Page numbers of the printed contents spaced digit by digit."""
     spaced = F.regexp_replace(
-        F.regexp_replace("line", "(\\d)(\\d)(\\d)$", "$1 $2 $3"), "(\\d)(\\d)$", "$1 $2"
+        F.regexp_replace("line", "(?<!\\d)(\\d)(\\d)(\\d)$", "$1 $2 $3"), "(?<!\\d)(\\d)(\\d)$", "$1 $2"
     )
     rows = T.normalize_toc_lines(D.toc_lines(spark, sf).withColumn("line", spaced))
     return rows.select("book_id", "line_no", "line")

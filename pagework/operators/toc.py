@@ -240,11 +240,12 @@ def build_toc_text(pages: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def join_trailing_digits(c: Column | str) -> Column:
-    """A page number printed as spaced digits at the end of a line."""
+    """A page number printed as spaced digits at the end of a line.  A digit that a
+    wider gap parts from single-spaced ones is not of that number."""
     blank = "[ \\t　]"
     return F.regexp_replace(
         T.col(c),
-        f"(?<!\\d)(\\d){blank}+(\\d)(?:{blank}+(\\d))?(?:{blank}+(\\d))?{blank}*$",
+        f"(?<!\\d)(\\d)(?!{blank}{{2,}}\\d{blank}\\d){blank}+(\\d)(?:{blank}+(\\d))?(?:{blank}+(\\d))?{blank}*$",
         "$1$2$3$4",
     )
 
