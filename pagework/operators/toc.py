@@ -307,7 +307,8 @@ def clean_line(c: Column | str) -> Column:
     return T.strip(F.regexp_replace(t, "[\\t ]+", " "))
 
 
-SINGLE_LEADER = f"(?:(?<!\\d)\\.|\\.{{2,}}|…+|·{{2,}}|[/／])\\s*{PAGE}"
+# A single dot also ends a sentence, and words like "mi" are roman digits: no page.
+SINGLE_LEADER = f"(?:(?<!\\d)\\.\\s*[0-9]{{1,4}}|(?:\\.{{2,}}|…+|·{{2,}}|[/／])\\s*{PAGE})"
 
 
 def split_combined(c: Column | str) -> Column:

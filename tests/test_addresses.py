@@ -11,6 +11,8 @@ def test_addresses_do_not_split_lines(spark):
         "7.1.1 Erorly of, 23.184.127.85 oneain  31 Chapter 8 Elle": ["7.1.1 Erorly of, 23.184.127.85 oneain  31", "Chapter 8 Elle"],
         "10.1 56.187.231.175 Keit / 046": ["10.1 56.187.231.175 Keit / 046"],
         "1.1.1.1 One / 3 1.1.1.2 Two / 5": ["1.1.1.1 One / 3", "1.1.1.2 Two / 5"],
+        "Chapter 9 Í. Mi osado ........ 41": ["Chapter 9 Í. Mi osado ........ 41"],
+        "Foreword .. iv Preface ... vi": ["Foreword .. iv", "Preface ... vi"],
         "1.1 One 3 1.2 Two 5": ["1.1 One 3", "1.2 Two 5"],
     }
     df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", toc.split_combined("t").alias("p"))
