@@ -15,7 +15,7 @@ ORACLE = {}
 
 def ocr_side(spark, sf):
     """Recognised page text: the words of the page joined again, in order."""
-    words = D.words(spark, sf).where("dup = 0")
+    words = D.words(spark, sf, copies=False)
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "word_no", "text")))
     return words.groupBy("book_id", "page_index").agg(
         F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("text")

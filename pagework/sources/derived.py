@@ -6,8 +6,12 @@ Fifty consecutive documents form one book; every table below follows from
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from pagework.plans.stage import spread
 
@@ -115,41 +119,52 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word boxes in pixels on a 2400 x 3200 page; every ninth word also
-    occurs as a shorter copy of lower confidence."""
-    exploded = (
-        lines(spark, sf_dir)
-        .select("book_id", "page_index", "line_no",
-                F.posexplode(F.split("line", " ")).alias("word_no", "word"))
-        .where("word <> ''")
-    )
-    before = (
-        Window.partitionBy("book_id", "page_index", "line_no")
-        .orderBy("word_no")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    off = F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0))
-    b = exploded.withColumn("off", off)
+@F.arrow_udf(ArrayType(IntegerType()))
+def word_offsets(lines: pa.Array) -> pa.Array:
+    """Where each word of a line begins when its words are joined by one blank;
+    empty words take no place."""
+    size = pc.fill_null(pc.utf8_length(lines.flatten()), 0)
+    ends = np.cumsum(np.where(size, pc.add(size, 1), 0), dtype=np.int64)
+    before = np.concatenate(([0], ends))
+    count = pc.fill_null(pc.list_value_length(lines), 0).to_numpy(zero_copy_only=False)
+    first = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+    off = before[:-1] - np.repeat(before[first[:-1]], count)
+    return pa.ListArray.from_arrays(pa.array(first), pa.array(off.astype(np.int32)))
+
+
+def words(spark: SparkSession, sf_dir: str, copies: bool = True) -> DataFrame:
+    """Word boxes in pixels on a 2400 x 3200 page; with ``copies`` every ninth word
+    also occurs as a shorter copy of lower confidence.  A line's words are placed in
+    its own row: nothing is shuffled."""
+    split = lines(spark, sf_dir).select(
+        "book_id", "page_index", "line_no", F.split("line", " ").alias("word")
+    ).withColumn("off", word_offsets("word"))
+    b = split.select(
+        "book_id", "page_index", "line_no",
+        F.posexplode(F.arrays_zip("word", "off")).alias("word_no", "w"),
+    ).select("book_id", "page_index", "line_no", "word_no", "w.word", "w.off").where("word <> ''")
     across = (F.col("off") % 220) * 10
     down = (F.col("line_no") * 3 + F.floor(F.col("off") / 220)) * 17
     key = ["book_id", "page_index", "line_no", "word_no"]
     box = [(40 + across).cast("long").alias("x0"), (40 + down).cast("long").alias("y0")]
-    full = b.select(
-        *key, F.col("word").alias("text"), *box,
-        (40 + across + F.length("word") * 10).cast("long").alias("x1"),
-        (54 + down).cast("long").alias("y1"),
+    low = (54 + down).cast("long").alias("y1")
+    full = [
+        F.col("word").alias("text"), *box,
+        (40 + across + F.length("word") * 10).cast("long").alias("x1"), low,
         (60 + (F.col("word_no") * 7 + F.col("line_no") * 3) % 40).cast("int").alias("conf"),
         F.lit(0).alias("dup"),
-    )
-    short = b.where("word_no % 9 = 0 AND length(word) > 2").select(
-        *key, F.expr("left(word, greatest(1, length(word) - 1))").alias("text"), *box,
-        (30 + across + F.length("word") * 10).cast("long").alias("x1"),
-        (54 + down).cast("long").alias("y1"),
+    ]
+    if not copies:
+        return b.select(*key, *full)
+    short = [
+        F.expr("left(word, greatest(1, length(word) - 1))").alias("text"), *box,
+        (30 + across + F.length("word") * 10).cast("long").alias("x1"), low,
         F.lit(50).alias("conf"),
         F.lit(1).alias("dup"),
-    )
-    return full.unionByName(short)
+    ]
+    copied = (F.col("word_no") % 9 == 0) & (F.length("word") > 2)
+    boxes = F.when(copied, F.array(F.struct(*full), F.struct(*short))).otherwise(F.array(F.struct(*full)))
+    return b.select(*key, F.explode(boxes).alias("b")).select(*key, "b.*")
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
