@@ -8,6 +8,7 @@ windows stay small however long a book is.
 from __future__ import annotations
 
 import itertools
+import math
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -189,26 +190,29 @@ def rows_of_pieces(boxes: list[Box]) -> list[int]:
     return out
 
 
-def rows_of_fragments(boxes: list[Box]) -> list[int]:
-    """Merged rectangle of each (y0, x0, y1, x1), in reading order."""
+def merged_fragments(boxes: list[Box]) -> list[list[float]]:
+    """Merged rectangles (y0, x0, y1, x1, n) of (y0, x0, y1, x1) in reading order."""
     rows: list[list[float]] = []
     open_rows: list[int] = []
-    out = []
-    for y0, x0, y1, x1 in boxes:
+    seen = set()
+    for box in boxes:
+        quarters = tuple(math.floor(v * 4 + 0.5) for v in box)
+        if quarters in seen:
+            continue
+        seen.add(quarters)
+        y0, x0, y1, x1 = box
         open_rows = [n for n in open_rows if rows[n][2] > y0]
         for n in open_rows:
-            top, left, low, right = rows[n]
+            top, left, low, right, count = rows[n]
             least = min(low - top, y1 - y0)
             if (min(low, y1) - max(top, y0) >= SAME_LINE * max(least, 0.001)
                     and max(left, x0) - min(right, x1) <= max(LEAST_GAP, GAP * least)):
-                rows[n] = [min(top, y0), min(left, x0), max(low, y1), max(right, x1)]
+                rows[n] = [min(top, y0), min(left, x0), max(low, y1), max(right, x1), count + 1]
                 break
         else:
-            n = len(rows)
-            rows.append([y0, x0, y1, x1])
-            open_rows.append(n)
-        out.append(n)
-    return out
+            open_rows.append(len(rows))
+            rows.append([y0, x0, y1, x1, 1])
+    return rows
 
 
 def _row_text(row: Column) -> Column:
@@ -397,12 +401,24 @@ def merge_fragments(rects: DataFrame) -> DataFrame:
     the next fragment is held against its whole extent.  Exact copies (to a quarter
     unit) count once; empty rectangles are left out.
     """
-    keys = {f"_{c}": F.round(F.col(c) * 4) for c in BOX}
-    unique = rects.where("x1 > x0 AND y1 > y0").withColumns(keys).dropDuplicates([*PAGE, *keys]).drop(*keys)
-    pages = unique.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "y1", "x1"))).alias("_pieces"))
-    rows = pages.withColumn("_row", _folded(rows_of_fragments, "y0", "x0", "y1", "x1")("_pieces"))
-    rows = rows.select(*PAGE, F.explode(F.arrays_zip("_row", "_pieces")).alias("p")).select(*PAGE, "p._row", "p._pieces.*")
-    return rows.groupBy(*PAGE, "_row").agg(*extent(), F.count("*").alias("n")).drop("_row")
+    order = ["y0", "x0", "y1", "x1"]
+    solid = rects.where("x1 > x0 AND y1 > y0")
+    pages = solid.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_pieces"))
+    types = {f.name: f.dataType.simpleString() for f in solid.select(*order).schema} | {"n": "bigint"}
+
+    @F.arrow_udf("array<struct<" + ",".join(f"{n}:{t}" for n, t in types.items()) + ">>")
+    def merge(pieces: pa.Array) -> pa.Array:
+        boxes = pieces.flatten()
+        columns = list(zip(*(boxes.field(n).to_pylist() for n in order), strict=True))
+        ends = [0, *itertools.accumulate(pa.compute.list_value_length(pieces).to_pylist())]
+        found = [merged_fragments(columns[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        rows = [dict(zip(types, row, strict=True)) for page in found for row in page]
+        fields = [pa.array([r[n] for r in rows], boxes.type.field(n).type if n in order else pa.int64()) for n in types]
+        starts = pa.array([0, *itertools.accumulate(map(len, found))], pa.int32())
+        return pa.ListArray.from_arrays(starts, pa.StructArray.from_arrays(fields, list(types)))
+
+    merged = pages.select(*PAGE, F.explode(merge("_pieces")).alias("r"))
+    return merged.select(*PAGE, *[f"r.{c}" for c in BOX], "r.n")
 
 
 def search_hit_boxes(asks: DataFrame, words: DataFrame) -> DataFrame:
