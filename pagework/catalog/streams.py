@@ -3,12 +3,15 @@ is left (X1-X4)."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from pagework.catalog import outline as _outline
 from pagework.catalog import sql
 from pagework.catalog.sql import with_tables
-from pagework.plans.stage import shared_folder, stage
+from pagework.plans.stage import shared_folder
 from pagework.sources import derived as D
 from pagework.sources import store
 from pagework.streaming import streams as X
@@ -19,19 +22,26 @@ ORACLE = {}
 
 def replay(rows, order, files=3):
     """``rows`` as a stream of a few deliveries in the given order, with every
-    seventh row delivered again and every eleventh one delivery late."""
+    seventh row delivered again and every eleventh one delivery late.  A value of
+    ``order`` that most rows share is still written by many tasks, and the batches
+    are as many for a large table as for a small one."""
     spark = rows.sparkSession
-    path = store.new_folder(spark, "replay")
-    # Which delivery a row belongs to: its place on the range of ``order``.
-    ranged = rows.repartitionByRange(files, order).withColumn("_file", F.spark_partition_id())
+    # Which delivery a row belongs to: its place between the quantiles of ``order``.
+    place = F.col(order).cast("double")
+    cuts = rows.agg(F.percentile_approx(place, [i / files for i in range(1, files)], 1000)).first()[0] or []
+    at = sum((F.coalesce((place > cut).cast("int"), F.lit(0)) for cut in cuts), F.lit(0))
     mark = F.pmod(F.xxhash64(*rows.columns), F.lit(77))
-    late = F.when(mark % 11 == 0, F.col("_file") + 1).otherwise(F.col("_file"))
-    once = ranged.withColumn("_file", late).withColumn("_again", mark % 7 == 0)
-    twice = once.where("_again").withColumn("_file", F.col("_file") + 1)
-    rows = stage(once.unionByName(twice).drop("_again"), "ranged")
+    at = F.when(mark % 11 == 0, at + 1).otherwise(at)
+    dealt = rows.withColumn("_file", F.explode(F.when(mark % 7 == 0, F.array(at, at + 1)).otherwise(F.array(at))))
+    ranged, path = store.new_folder(spark, "ranged"), store.new_folder(spark, "replay")
+    dealt.write.partitionBy("_file").parquet(ranged)
+    schema = S.StructType([*rows.schema, S.StructField("_file", S.IntegerType())])
     for i in range(files + 2):
-        rows.where(F.col("_file") == i).drop("_file").write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.drop("_file").schema).option("maxFilesPerTrigger", 4).parquet(path)
+        delivery = spark.read.schema(schema).parquet(ranged).where(F.col("_file") == i).drop("_file")
+        delivery.write.mode("append").parquet(path)
+    written = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+    at_once = max(1, math.ceil(written / (files + 2)))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", at_once).parquet(path)
 
 
 def folder(spark, label):
