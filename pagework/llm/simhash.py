@@ -12,9 +12,10 @@ coordinates of those.  Survivors are verified bit by bit.  No link is lost.
 Copies share a fingerprint and are one class; only classes are linked.
 
 The pipeline asks for a Jaccard similarity of shingle sets instead (``keep_similar_first``).
-At 0.8 fingerprints differ in 10 of 64 bits on average and often in 16; slices
-for so many bits are so short that nearly all pairs meet.  There, documents meet
-in bands of shingle minima, and the exact similarity decides.
+There, too, the fingerprints within ``bits`` meet by the pivot tables.  But at 0.8
+they differ in 10 of 64 bits on average and often in 16; slices for so many bits
+are so short that nearly all pairs meet.  So the rest meets in bands of shingle
+minima, and the exact similarity decides for both.
 """
 
 from __future__ import annotations
@@ -63,7 +64,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Signed 64-bit SimHash; zero for a text without words."""
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of ``hashes``, signed; zero for none."""
     n = len(hashes)
     if not n:
         return 0
@@ -165,22 +170,30 @@ def alike(docs: DataFrame, shingle: int = LONG_SHINGLE, least: float = ALIKE, te
     """(doc_id, text_hash, root) of the rows with an id: ``root`` names the component of texts
     whose shingle sets have a Jaccard similarity of ``least`` or more.
 
-    Texts with one shingle set are one class; classes meet in bands, every pair
-    that meets is verified by its exact similarity.
+    Texts with one shingle set are one class; classes meet by their fingerprints
+    and in bands, every pair that meets is verified by its exact similarity.  Only
+    the shingles of classes that meet another are written, made anew from the text.
     """
     small_batches(docs.sparkSession)
 
-    @F.arrow_udf("struct<node: bigint, hashes: binary, keys: array<bigint>>")
+    @F.arrow_udf("struct<node: bigint, size: int, simhash: bigint, keys: array<bigint>>")
     def cut(texts: pa.Array) -> pa.Array:
         alone("simhash")
-        nodes, sets, keys = [], [], []
+        nodes, sizes, prints, keys = [], [], [], []
         for t in texts:
             own = np.unique(shingle_hashes(t.as_py(), shingle))
-            sets.append(own.tobytes())
-            nodes.append(xxhash.xxh64_intdigest(sets[-1]))
+            nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
+            sizes.append(len(own))
+            prints.append(majority(own))
             keys.append(band_keys(own) if len(own) else np.empty(0, np.int64))
-        arrays = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.StructArray.from_arrays(arrays, ["node", "hashes", "keys"])
+        arrays = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()),
+                  pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(arrays, ["node", "size", "simhash", "keys"])
+
+    @F.arrow_udf("binary")
+    def shingles(texts: pa.Array) -> pa.Array:
+        alone("simhash")
+        return pa.array([np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in texts], pa.binary())
 
     @F.arrow_udf("boolean")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -191,23 +204,38 @@ def alike(docs: DataFrame, shingle: int = LONG_SHINGLE, least: float = ALIKE, te
             out.append(common >= least * (len(a) + len(b) - common))
         return pa.array(out, pa.bool_())
 
-    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64(text).alias("text_hash"), cut(text).alias("r"))
-    rows = stage(named.select("doc_id", "text_hash", "r.*", F.octet_length("r.hashes").alias("size")), "shingles")
+    known = docs.where(F.col("doc_id").isNotNull())
+    rows = stage(known.select("doc_id", F.xxhash64(text).alias("text_hash"), cut(text).alias("r")).select(
+        "doc_id", "text_hash", "r.*"), "shingles")
     # One document speaks for its class.
-    first = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    classes = rows.select("node", "doc_id", "keys", "size").join(first.hint("merge"), "node").where("doc_id = first_id")
-    classes = classes.select("node", "keys", "size").dropDuplicates(["node"])
-    keyed = classes.select("node", "size", F.explode("keys").alias("key"))
+    speaks = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    classes = rows.groupBy("node").agg(speaks, F.first("size").alias("size"), F.first("simhash").alias("simhash"))
+    classes = stage(classes.where("size > 0"), "shingle-classes")
+    # By fingerprints: classes of one fingerprint meet its least, and those meet by pivot tables.
+    least_of = classes.groupBy("simhash").agg(F.min("node").alias("of"))
+    same = classes.join(least_of, "simhash").where("node <> of").select(F.col("of").alias("a"), F.col("node").alias("b"))
+    near = links(stage(least_of.select("simhash"), "shingle-prints"))
+    near = near.join(least_of.select(F.col("simhash").alias("a"), F.col("of").alias("x")), "a").join(
+        least_of.select(F.col("simhash").alias("b"), F.col("of").alias("y")), "b").select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    # By bands.
+    spoken = rows.join(classes.select("node", "first").hint("merge"), "node").where(
+        "doc_id = first.doc_id AND text_hash = first.text_hash")
+    keyed = spoken.select("node", "size", "keys").dropDuplicates(["node"]).select("node", "size", F.explode("keys").alias("key"))
     x, y = keyed.alias("x"), keyed.alias("y")
     # Sets of too different sizes cannot be alike.
     sizes = F.least("x.size", "y.size") >= F.lit(least) * F.greatest("x.size", "y.size")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & sizes)
-    pairs = stage(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "shingle-pairs")
+    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    pairs = stage(met.unionByName(same).unionByName(near).distinct(), "shingle-pairs")
     held = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # Shingles are moved once only.
-    wanted = first.join(held.hint("merge"), "node", "left_semi")
-    sets = rows.select("node", "doc_id", "hashes").join(wanted.hint("merge"), "node").where("doc_id = first_id")
-    sets = stage(sets.select("node", "hashes").dropDuplicates(["node"]), "shingle-sets")
+    speakers = classes.join(held.hint("merge"), "node", "left_semi").select(
+        "node", F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__of"))
+    texts = known.select("doc_id", F.col(text).alias("__text"), F.xxhash64(text).alias("__hash")).join(
+        speakers.hint("merge"), (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__of")))
+    again = F.row_number().over(Window.partitionBy("__id", "__of").orderBy("__id"))
+    once = texts.withColumn("__again", again).where("__again = 1")
+    sets = stage(once.select("node", shingles("__text").alias("hashes")), "shingle-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("left")).hint("merge"), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("right")).hint("merge"), "b")
     roots = components(both.where(similar("left", "right")).select("a", "b"))

@@ -131,6 +131,20 @@ def test_stage_keeps_one_of_texts_that_are_alike(spark):
     assert len(got) == len(kept) + 1 and sum(r.doc_id is None for r in got) == 1
 
 
+def test_stage_links_fingerprints_by_pivot_tables(spark, monkeypatch):
+    """Without bands, pairs within three bits are still met, and verified exactly."""
+    random.seed(5)
+    own = [f"w{random.randrange(500)}" for _ in range(900)]
+    near = ["changed" if k in range(50, 350, 60) else w for k, w in enumerate(own)]
+    far = [f"v{random.randrange(500)}" for _ in range(900)]
+    rows = [(1, " ".join(own)), (2, " ".join(near)), (3, " ".join(far)), (4, None), (5, " ")]
+    prints = [simhash.majority(np.unique(simhash.shingle_hashes(t, 5))) for _, t in rows]
+    assert 0 < (prints[0] ^ prints[1]).bit_count() <= 3
+    monkeypatch.setattr(simhash, "band_keys", lambda hashes: np.empty(0, np.int64))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.keep_similar_first(docs).collect()) == [1, 3, 4]
+
+
 def test_max_score_shard_equals_sorting():
     generator = np.random.default_rng(1)
     for trial in range(200):
