@@ -39,6 +39,13 @@ LIGATURES = {
 FOLDED = {c: _base(c) for c in _plane() if c.islower() and _base(c) != c}
 ACCENTED, UNACCENTED = "".join(FOLDED), "".join(FOLDED.values())
 
+# Supersets of the characters with a compatibility form, of wide characters with their
+# marks, and of the accented letters, in few ranges: a text without any of them needs
+# no look at each character.
+COMPATIBLE_CLASS = "[\\x{A0}-\\x{BF}\\x{17F}-\\x{FFFF}]"
+WIDE_CLASS = "[\\x{200B}-\\x{10FFFF}]"
+ACCENTED_CLASS = "[\\x{E0}-\\x{FFFF}]"
+
 # Sentence marks and CJK punctuation of the clean-up rules.
 MARKS = "。！？.!?；;：:"
 CJK_PUNCT = "，。！？；：“”‘’（）【】"
@@ -71,7 +78,8 @@ def nfkc(c: Column | str) -> Column:
             out = F.replace(out, F.lit(source), F.lit(target))
         return F.when(x.rlike(f"[{''.join(LIGATURES)}]"), out).otherwise(x)
 
-    return bound(nfkc_same_length(c), spelled)
+    return bound(col(c), lambda x: F.when(
+        x.rlike(COMPATIBLE_CLASS), bound(nfkc_same_length(x), spelled)).otherwise(x))
 
 
 def nfkc_same_length(c: Column | str) -> Column:
@@ -82,9 +90,13 @@ def nfkc_same_length(c: Column | str) -> Column:
 def normalize_text(c: Column | str) -> Column:
     """N1. Look-around makes the CJK blank removal a single pass."""
     cjk = f"[\\p{{IsHan}}{CJK_PUNCT}]"
-    t = F.translate(nfkc(c), "​⁠", "")
-    t = F.regexp_replace(t, f"(?=\\s)(?<={cjk})\\s+(?={cjk})", "")
-    return strip(F.regexp_replace(join_wrapped_lines(t), "[ \\t]+", " "))
+
+    def closed(x: Column) -> Column:
+        t = F.translate(x, "​⁠", "")
+        return F.regexp_replace(t, f"(?=\\s)(?<={cjk})\\s+(?={cjk})", "")
+
+    t = bound(nfkc(c), lambda x: F.when(x.rlike(WIDE_CLASS), closed(x)).otherwise(x))
+    return strip(F.regexp_replace(join_wrapped_lines(t), "[ \\t]{2,}|\\t", " "))
 
 
 def join_wrapped_lines(c: Column | str) -> Column:
@@ -94,10 +106,17 @@ def join_wrapped_lines(c: Column | str) -> Column:
     Patterns test the blank before the look-behind, which most positions then
     never reach.
     """
-    t = F.regexp_replace(col(c), "-(?<=\\p{L}-)\\s*\\n\\s*(?=\\p{L})", "")
-    t = F.regexp_replace(t, f"(?=\\s)(?<=[{MARKS}])\\s*\\n\\s*", "\n")
-    t = F.regexp_replace(t, f"(?=\\s)(?<![{MARKS}])\\s*\\n\\s*(?=\\S)", " ")
-    return F.regexp_replace(t, "\\n{3,}", "\n\n")
+
+    def joined(x: Column) -> Column:
+        t = bound(x, lambda y: F.when(
+            F.contains(y, F.lit("-")), F.regexp_replace(y, "-(?<=\\p{L}-)\\s*\\n\\s*(?=\\p{L})", "")
+        ).otherwise(y))
+        t = F.regexp_replace(t, f"(?=\\s)(?<=[{MARKS}])\\s*\\n\\s*", "\n")
+        t = F.regexp_replace(t, f"(?=\\s)(?<![{MARKS}])\\s*\\n\\s*(?=\\S)", " ")
+        return bound(t, lambda y: F.when(
+            F.contains(y, F.lit("\n\n\n")), F.regexp_replace(y, "\\n{3,}", "\n\n")).otherwise(y))
+
+    return bound(col(c), lambda x: F.when(F.contains(x, F.lit("\n")), joined(x)).otherwise(x))
 
 
 def remove_spurious_spaces(c: Column | str) -> Column:
@@ -158,7 +177,10 @@ def comparison_key(c: Column | str) -> Column:
 
 def fold(c: Column | str) -> Column:
     """Lower case without accents; same number of characters as the input."""
-    return F.translate(F.lower(F.translate(col(c), FULLWIDTH, HALFWIDTH)), ACCENTED, UNACCENTED)
+    narrow = bound(col(c), lambda x: F.when(
+        x.rlike(COMPATIBLE_CLASS), F.translate(x, FULLWIDTH, HALFWIDTH)).otherwise(x))
+    return bound(F.lower(narrow), lambda x: F.when(
+        x.rlike(ACCENTED_CLASS), F.translate(x, ACCENTED, UNACCENTED)).otherwise(x))
 
 
 def search_projection(c: Column | str) -> Column:

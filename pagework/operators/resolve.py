@@ -52,16 +52,19 @@ def pagination_segments(entries: DataFrame) -> DataFrame:
 
 
 def bigrams(key: Column) -> Column:
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(key) - 1)),
-        lambda i: F.substring(key, i, F.lit(2)),
-    )
-    return F.array_distinct(pairs)
+    """The distinct pairs of neighbouring characters, found in one pass."""
+    pairs = F.regexp_extract_all(key, F.lit("(?s)(?=(..))."), F.lit(1))
+    return F.when(F.length(key) < 2, F.array(key)).otherwise(F.array_distinct(pairs))
 
 
 def head_key(text: Column | str) -> Column:
-    head = F.array_join(F.slice(F.split(T.col(text), "\n"), 1, HEAD_LINES), " ")
-    return T.comparison_key(F.left(head, F.lit(HEAD_CHARS)))
+    head = F.left(F.substring_index(T.col(text), "\n", HEAD_LINES), F.lit(HEAD_CHARS))
+    return T.comparison_key(F.replace(head, F.lit("\n"), F.lit(" ")))
+
+
+def reach(title: Column) -> Column:
+    """How many characters of a head may be similar to a title."""
+    return F.greatest(F.length(title) * 4, F.lit(100))
 
 
 def similar_pairs(needles: DataFrame, heads: DataFrame) -> DataFrame:
@@ -69,7 +72,8 @@ def similar_pairs(needles: DataFrame, heads: DataFrame) -> DataFrame:
 
     A title with g bigrams must share at least ceil(.82 g) of them, so one of
     its g - ceil(.82 g) + 1 rarest ones must occur: only those are joined, and
-    common bigrams never meet all pages.
+    common bigrams never meet all pages.  Heads offer the bigrams of the part
+    that the book's longest title may be compared with.
     """
     wanted = needles.select("book_id", "needle").distinct().withColumn(
         "_grams", bigrams(F.col("needle"))
@@ -80,9 +84,12 @@ def similar_pairs(needles: DataFrame, heads: DataFrame) -> DataFrame:
         (size - F.ceil(size * F.lit(ENOUGH)) + 1).cast("int").alias("_n"),
     )
     # Heads meet the book's wanted bigrams in their own row and offer only those.
-    asked = listed.groupBy("book_id").agg(F.collect_set("_gram").alias("_asked"))
-    held = F.array_intersect(bigrams(F.col("head")), F.col("_asked"))
-    offered = heads.join(asked, "book_id").select("book_id", "page_index", F.explode(held).alias("_gram"))
+    asked = listed.groupBy("book_id").agg(
+        F.collect_set("_gram").alias("_asked"), F.max(reach(F.col("needle"))).alias("_reach"))
+    held = F.array_intersect(bigrams(F.left("head", "_reach")), F.col("_asked"))
+    # Read for the frequencies and for the pairs.
+    offered = stage(heads.join(asked, "book_id").select(
+        "book_id", "page_index", F.explode(held).alias("_gram")), "head-grams")
     frequency = offered.groupBy("book_id", "_gram").agg(F.count("*").alias("_df"))
     # A gram no page has leaves the title with fewer that can be shared; it
     # ranks first and simply finds nothing.
@@ -109,13 +116,14 @@ def line_score(lines: Column, title: Column) -> Column:
 def head_score(head: Column, title: Column) -> Column:
     """How well a title's key fits the head of a page."""
     size = F.length(title)
-    grams = bigrams(title)
-    looked = bigrams(F.left(head, F.greatest(size * 4, F.lit(100))))
+    looked = bigrams(F.left(head, reach(title)))
+    shared = T.bound(
+        bigrams(title), lambda grams: F.size(F.array_intersect(grams, looked)) / F.size(grams))
     return (
         F.when(size <= 3, 0.0)
         .when(head.startswith(title), 1.0)
         .when(F.contains(head, title), 0.94)
-        .otherwise(F.size(F.array_intersect(grams, looked)) / F.size(grams))
+        .otherwise(shared)
     )
 
 
@@ -142,9 +150,10 @@ def title_candidates(entries: DataFrame, pages: DataFrame, toc_pages: DataFrame)
     whole = contains_pairs(
         needles, searchable, ["book_id"], ["page_index"], T.comparison_key, scores
     )
+    # Filtered when read: a filter before would make every head twice.
     heads = stage(
-        searchable.select(*key, head_key("text").alias("head")).where("head <> ''"), "page-heads"
-    )
+        searchable.select(*key, head_key("text").alias("head")), "page-heads"
+    ).where("head <> ''")
     near = similar_pairs(needles.where("length(needle) > 3"), heads).join(heads, key).select(
         *key, "needle", head_score(head, title).alias("score")
     )
