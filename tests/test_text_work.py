@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagework.functions import text as T
 from pagework.operators import resolve as R
+from pagework.operators import search as S
 
 
 def test_guards_leave_no_character_out():
@@ -35,3 +36,15 @@ def test_bigrams_beyond_the_compared_part_make_no_pair(spark):
         [(1, 0, "a" * 300 + "quartz"), (1, 1, "quartz" + "a" * 300)], "book_id long, page_index int, head string")
     got = R.similar_pairs(needles, heads).collect()
     assert [r["page_index"] for r in got] == [1]
+
+
+def test_sentences_stay_in_their_page(spark):
+    text = "One fish. Two\x01fish! twofish.  Three cats? O\u00c9 two - fish"
+    pages = spark.createDataFrame([(1, 0, text), (1, 1, ""), (1, 2, None), (2, 0, "two fish.")],
+                                  "book_id long, page_index int, text string")
+    assert S.sentences(pages).where("book_id = 1").count() == 3
+    asks = spark.createDataFrame([(7, 1, "Two fish"), (8, 1, "fish two"), (9, 1, "oe"), (10, 1, "?")],
+                                 "query_id long, book_id long, phrase string")
+    got = S.sentence_hits(asks, pages).orderBy("query_id", "sentence_no").collect()
+    assert [(r["query_id"], r["sentence_no"], r["sentence"]) for r in got] == [
+        (7, 1, "Two\x01fish!"), (7, 2, "twofish."), (7, 4, "O\u00c9 two - fish"), (9, 4, "O\u00c9 two - fish")]
