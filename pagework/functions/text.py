@@ -369,14 +369,17 @@ def safe_name(c: Column | str, default: str = "Untitled") -> Column:
     return F.when(name == "", F.lit(default)).otherwise(name)
 
 
-def accept_correction(original: Column | str, recognized: Column | str) -> Column:
-    """N13. The re-read text if it is plausibly the same passage, else null."""
+def accept_correction(original: Column | str, recognized: Column | str, in_bytes: bool = False) -> Column:
+    """N13. The re-read text if it is plausibly the same passage, else null.  With
+    ``in_bytes`` edits are counted in UTF-8 bytes, as DuckDB's ``levenshtein`` does."""
     text = inline(recognized)
     left = F.regexp_replace(F.lower(inline(original)), f"[^{ALNUM}]", "")
     right = F.regexp_replace(F.lower(text), f"[^{ALNUM}]", "")
     ratio = F.length(right) / F.length(left)
     longest = F.greatest(F.length(left), F.length(right))
-    similar = 1 - F.levenshtein(left, right) / longest >= 0.58
+    # One character for each byte.
+    sides = [F.decode(F.encode(c, "UTF-8"), "ISO-8859-1") for c in (left, right)] if in_bytes else [left, right]
+    similar = 1 - F.levenshtein(*sides) / longest >= 0.58
     return F.when(
         (F.length(left) >= 2)
         & (F.length(right) >= 2)
