@@ -32,14 +32,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagework.llm.common import Bounded, once, small_batches, with_result
+from pagework.llm.common import Bounded, Recent, once, small_batches, with_result
 
-PIECES_KEPT = 400_000
+PIECES_KEPT = 130_000  # in each half of the memo
 STATES_KEPT = 160_000
 LONG = 1 << 16  # longer texts are cut into pieces one by one
 ROOT = 0
 # Hypotheses and moves are kept as one number each, to save memory: a
-# token + 1 (0: none) above a node, a state above a token + 1.
+# token + 1 (0: none) above a node, a state * 256 above a token + 1.
 # A state is the bytes of its hypotheses' numbers.
 SHIFT = 24
 LOW = (1 << SHIFT) - 1
@@ -107,17 +107,19 @@ class Transducer:
                     self.depth.append(self.depth[node] + 1)
                 node = self.child[key]
             self.token_at[node] = rank
+        self.ends = bytearray(b"\x01") * len(self.token_at)  # 1: no token goes on from the node
+        for key in self.child:
+            self.ends[key >> 8] = 0
         self.split = Bounded(self._split, len(ranks) + 1)  # every token
         self.forget()
 
     def forget(self) -> None:
         self.numbers: dict[bytes, int] = {}
         self.states: list[bytes] = []
-        self.moves: dict[int, int] = {}  # state * 256 + byte -> state, token + 1
-        self.start = self._number([ROOT])
+        self.moves: dict[int, int] = {}  # state * 256 + byte -> state * 256, token + 1
+        self.start = self._number(array("Q", [ROOT]).tobytes()) << 8 + SHIFT
 
-    def _number(self, hypotheses: list[int]) -> int:
-        state = array("Q", hypotheses).tobytes()
+    def _number(self, state: bytes) -> int:
         number = self.numbers.setdefault(state, len(self.states))
         if number == len(self.states):
             self.states.append(state)
@@ -156,53 +158,56 @@ class Transducer:
             else:
                 return True
 
-    def move(self, number: int, byte: int) -> int:
+    def move(self, key: int) -> int:
         """Next state, and the last token of all bytes so far plus one."""
+        state, byte = self.states[key >> 8], key & 255
         living, ended = [], -1
-        child, token_at, follows = self.child, self.token_at, self._follows
-        for hypothesis in array("Q", self.states[number]):
+        child, token_at, ends, follows = self.child, self.token_at, self.ends, self._follows
+        for hypothesis in array("Q", state):
             node = child.get((hypothesis & LOW) << 8 | byte)
             if node is None:
                 continue
             last = hypothesis >> SHIFT
-            living.append(last << SHIFT | node)
+            if not ends[node]:
+                living.append(last << SHIFT | node)
             token = token_at[node]
             if token >= 0 and ended < 0 and follows(last - 1, token):
                 ended = token
         living.append(ended + 1 << SHIFT | ROOT)
-        self.moves[number << 8 | byte] = known = self._number(living) << SHIFT | ended + 1
+        self.moves[key] = known = self._number(array("Q", living).tobytes()) << 8 + SHIFT | ended + 1
         return known
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
         """Token ids of one piece, each as soon as all hypotheses share it."""
         if len(self.states) > STATES_KEPT:
             self.forget()
-        state, moves = self.start, self.moves
-        lasts: list[int] = []  # last token after each byte not yet emitted
+        known, moves = self.start, self.moves
+        lasts: list[int] = []  # state and last token after each byte not yet emitted
         for byte in data:
-            known = moves.get(state << 8 | byte)
-            known = self.move(state, byte) if known is None else known
-            state = known >> SHIFT
-            lasts.append((known & LOW) - 1)
+            key = known >> SHIFT | byte
+            known = moves.get(key)
+            known = self.move(key) if known is None else known
+            lasts.append(known)
             if len(lasts) >= self.lookahead:
-                yield from self._certain(state, lasts)
+                yield from self._certain(lasts)
         yield from self._back(lasts, len(lasts))
 
     def _back(self, lasts: list[int], end: int) -> list[int]:
         """The row of tokens that ends at ``end``."""
         out = []
         while end:
-            out.append(lasts[end - 1])
+            out.append((lasts[end - 1] & LOW) - 1)
             end -= self.length[out[-1]]
         return out[::-1]
 
-    def _certain(self, state: int, lasts: list[int]) -> list[int]:
+    def _certain(self, lasts: list[int]) -> list[int]:
         """Tokens before the place where all live rows meet; they leave ``lasts``."""
+        state = lasts[-1] >> 8 + SHIFT
         places = {len(lasts) - self.depth[h & LOW] for h in array("Q", self.states[state])}
         while len(places) > 1:
             latest = max(places)
             places.remove(latest)
-            places.add(latest - self.length[lasts[latest - 1]])
+            places.add(latest - self.length[(lasts[latest - 1] & LOW) - 1])
         meet = places.pop()
         out = self._back(lasts, meet)
         del lasts[:meet]
@@ -216,12 +221,11 @@ class Transducer:
             return list(self.stream(piece))
         if len(self.states) > STATES_KEPT:
             self.forget()
-        state, lasts = self.start, []
+        known, lasts = self.start, []
         get, move = self.moves.get, self.move
         for byte in piece:
-            known = get(state << 8 | byte) or move(state, byte)
-            state = known >> SHIFT
-            lasts.append((known & LOW) - 1)
+            known = get(known >> SHIFT | byte) or move(known >> SHIFT | byte)
+            lasts.append(known)
         return self._back(lasts, len(lasts))
 
 
@@ -297,7 +301,7 @@ def _ranks(ranks_path: str, blob) -> dict[bytes, int]:
 def _encoded(texts: pa.Array, ranks_path: str, pattern: str, blob) -> list[bytes]:
     def make():
         machine = Transducer(_ranks(ranks_path, blob))
-        return Bounded(lambda piece: np.array(machine.encode(piece.encode()), "<u4").tobytes(), PIECES_KEPT)
+        return Recent(lambda piece: array("I", machine.encode(piece.encode())).tobytes(), PIECES_KEPT)
 
     pieces = once("bpe", "encode", (ranks_path, pattern), make)
     found = once("bpe", "pattern", pattern, lambda: pattern_of(pattern))

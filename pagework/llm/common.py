@@ -98,3 +98,23 @@ class Bounded(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+class Recent(dict):
+    """A memo of ``make(key)`` that forgets what was not asked for lately: when it
+    holds ``limit`` entries they become the older half, in which keys are looked up
+    before they are made again, and the older half so far goes."""
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
