@@ -2,25 +2,58 @@
 
 Boxes are flat columns x0, y0, x1, y1 with the origin top left.  Everything is
 local to a page (book_id, page_index), and a page is one source row, so page
-windows stay small however long a book is.
+windows stay small however long a book is.  A source that has all boxes of a page in
+its row gives them to ``page_rows`` without a shuffle.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from pagework.functions import text as T
+from pagework.operators import pageboxes as P
 from pagework.operators.search import matching_rows, ranges_of
+from pagework.plans.stage import small_batches
 
 PAGE = ["book_id", "page_index"]
 BOX = ["x0", "y0", "x1", "y1"]
 SMALLEST = 0.0001
+BYTES_AT_ONCE = 1 << 20
+
+
+def gathered(boxes: DataFrame) -> DataFrame:
+    """(book_id, page_index, boxes): the boxes of a page in one row."""
+    small_batches(boxes.sparkSession)
+    fields = F.struct(*[c for c in boxes.columns if c not in PAGE])
+    return boxes.groupBy(*PAGE).agg(F.collect_list(fields).alias("boxes"))
+
+
+def page_rows(pages: DataFrame, make: Callable[[pa.RecordBatch], pa.Array], fields: StructType) -> DataFrame:
+    """(page, fields): what ``make`` lists for each page of a batch.  A page is one row, and
+    only a few pages are worked on at a time."""
+    small_batches(pages.sparkSession)
+    kinds = pages.schema
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, len(batch) * BYTES_AT_ONCE // max(batch.nbytes, 1))
+            for at in range(0, len(batch), step):
+                some = batch.slice(at, step)
+                lists = make(some)
+                page = pa.array(np.repeat(np.arange(len(some)), P.sizes_of(lists)))
+                found = lists.flatten()
+                columns = [*(some.column(c).take(page) for c in PAGE), *(found.field(c) for c in fields.names)]
+                yield pa.RecordBatch.from_arrays(columns, [*PAGE, *fields.names])
+
+    return pages.mapInArrow(rows, StructType([*(kinds[c] for c in PAGE), *fields]))
 
 
 def normalize_boxes(boxes: DataFrame, width: float, height: float) -> DataFrame:
@@ -132,8 +165,6 @@ def extent() -> list[Column]:
 
 # Shares of heights that make boxes neighbours on a row.
 SHARED, TALL = 0.42, 1.35
-# What makes fragments one visual line.
-SAME_LINE, LEAST_GAP, GAP = 0.62, 2.0, 0.22
 COMPLETE = "\\p{L}"
 
 
@@ -190,31 +221,6 @@ def rows_of_pieces(boxes: list[Box]) -> list[int]:
     return out
 
 
-def merged_fragments(boxes: list[Box]) -> list[list[float]]:
-    """Merged rectangles (y0, x0, y1, x1, n) of (y0, x0, y1, x1) in reading order."""
-    rows: list[list[float]] = []
-    open_rows: list[int] = []
-    seen = set()
-    for box in boxes:
-        quarters = tuple(math.floor(v * 4 + 0.5) for v in box)
-        if quarters in seen:
-            continue
-        seen.add(quarters)
-        y0, x0, y1, x1 = box
-        open_rows = [n for n in open_rows if rows[n][2] > y0]
-        for n in open_rows:
-            top, left, low, right, count = rows[n]
-            least = min(low - top, y1 - y0)
-            if (min(low, y1) - max(top, y0) >= SAME_LINE * max(least, 0.001)
-                    and max(left, x0) - min(right, x1) <= max(LEAST_GAP, GAP * least)):
-                rows[n] = [min(top, y0), min(left, x0), max(low, y1), max(right, x1), count + 1]
-                break
-        else:
-            open_rows.append(len(rows))
-            rows.append([y0, x0, y1, x1, 1])
-    return rows
-
-
 def _row_text(row: Column) -> Column:
     """A row's pieces from left to right; a page number alone that the text so far
     ends in already counts once."""
@@ -401,24 +407,9 @@ def merge_fragments(rects: DataFrame) -> DataFrame:
     the next fragment is held against its whole extent.  Exact copies (to a quarter
     unit) count once; empty rectangles are left out.
     """
-    order = ["y0", "x0", "y1", "x1"]
-    solid = rects.where("x1 > x0 AND y1 > y0")
-    pages = solid.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_pieces"))
-    types = {f.name: f.dataType.simpleString() for f in solid.select(*order).schema} | {"n": "bigint"}
-
-    @F.arrow_udf("array<struct<" + ",".join(f"{n}:{t}" for n, t in types.items()) + ">>")
-    def merge(pieces: pa.Array) -> pa.Array:
-        boxes = pieces.flatten()
-        columns = list(zip(*(boxes.field(n).to_pylist() for n in order), strict=True))
-        ends = [0, *itertools.accumulate(pa.compute.list_value_length(pieces).to_pylist())]
-        found = [merged_fragments(columns[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-        rows = [dict(zip(types, row, strict=True)) for page in found for row in page]
-        fields = [pa.array([r[n] for r in rows], boxes.type.field(n).type if n in order else pa.int64()) for n in types]
-        starts = pa.array([0, *itertools.accumulate(map(len, found))], pa.int32())
-        return pa.ListArray.from_arrays(starts, pa.StructArray.from_arrays(fields, list(types)))
-
-    merged = pages.select(*PAGE, F.explode(merge("_pieces")).alias("r"))
-    return merged.select(*PAGE, *[f"r.{c}" for c in BOX], "r.n")
+    kinds = rects.schema
+    fields = StructType([kinds[c] for c in BOX]).add("n", LongType())
+    return page_rows(gathered(rects.select(*PAGE, *BOX)), lambda pages: P.merged(pages["boxes"]), fields)
 
 
 def search_hit_boxes(asks: DataFrame, words: DataFrame) -> DataFrame:

@@ -31,6 +31,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
+# Whole pages are long rows, so few of them make an Arrow batch.
+PAGES_PER_BATCH, BYTES_PER_BATCH = 256, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, so that the boxes of its pages fit a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAGES_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession

@@ -167,6 +167,46 @@ def words(spark: SparkSession, sf_dir: str, copies: bool = True) -> DataFrame:
     return b.select(*key, F.explode(boxes).alias("b")).select(*key, "b.*")
 
 
+def placed_words(texts: pa.Array, copies: bool) -> pa.Array:
+    """The boxes of ``words`` of each text, as one list a text."""
+    lines = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+    words = pc.split_pattern(lines.flatten(), " ")
+    lines_of_text = pc.list_value_length(lines).to_numpy(zero_copy_only=False)
+    words_of_line = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    text = np.repeat(np.arange(len(texts)), lines_of_text)
+    line = np.repeat(np.arange(len(text)), words_of_line)
+    first_line = np.cumsum(lines_of_text) - lines_of_text
+    first_word = np.cumsum(words_of_line) - words_of_line
+    words = words.flatten()
+    size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(np.where(size, size + 1, 0))))
+    off = ends[:-1] - ends[first_word][line]
+    word_no = np.arange(len(size)) - first_word[line]
+    copied = (word_no % 9 == 0) & (size > 2) & copies
+    # A word and then its copy; empty words are left out.
+    at = np.repeat(np.arange(len(size)), np.where(size > 0, 1 + copied, 0))
+    dup = np.zeros(len(at), np.int32)
+    dup[1:] = at[1:] == at[:-1]
+    short = pc.utf8_slice_codeunits(words.take(pa.array(np.flatnonzero(copied))), 0, -1)
+    spelled = pa.concat_arrays([words, short])
+    spelled = spelled.take(pa.array(np.where(dup, len(size) + np.cumsum(copied)[at] - 1, at)))
+    line_no, word_no, off, size = (np.arange(len(text)) - first_line[text])[line[at]], word_no[at], off[at], size[at]
+    x, y = 40 + off % 220 * 10, 40 + (line_no * 3 + off // 220) * 17
+    conf = np.where(dup, 50, 60 + (word_no * 7 + line_no * 3) % 40)
+    fields = {
+        "line_no": line_no.astype(np.int32), "word_no": word_no.astype(np.int32), "text": spelled,
+        "x0": x, "y0": y, "x1": x + size * 10 - 10 * dup, "y1": y + 14, "conf": conf.astype(np.int32), "dup": dup,
+    }
+    boxes = pa.StructArray.from_arrays([pa.array(f) for f in fields.values()], list(fields))
+    per_text = np.bincount(text[line[at]], minlength=len(texts))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per_text))).astype(np.int32)), boxes)
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book_id, page_index, text), for what is made of a page's words in its row."""
+    return pages(spark, sf_dir).select("book_id", "page_index", "text")
+
+
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     joined = table(spark, sf_dir, "labels").join(pages(spark, sf_dir), "doc_id")
