@@ -99,46 +99,9 @@ def dedupe_boxes(boxes: DataFrame, key: list[str]) -> DataFrame:
     is twice the page's mean box, whatever the unit.  The rule is pairwise; in
     chains of duplicates a box may be dropped by one that is dropped itself.
     """
-    twice = {"_w": F.col("x1") - F.col("x0"), "_h": F.col("y1") - F.col("y0")}
-    cell = boxes.groupBy(*PAGE).agg(
-        *[F.greatest(F.avg(size) * 2, F.lit(1e-9)).alias(name) for name, size in twice.items()]
-    )
-
-    def cells(low: str, high: str, size: str) -> Column:
-        return F.sequence(F.floor(F.col(low) / F.col(size)), F.floor(F.col(high) / F.col(size)))
-
-    placed = boxes.join(cell, PAGE)
-    spread = placed.withColumn("_cx", F.explode(cells("x0", "x1", "_w"))).withColumn(
-        "_cy", F.explode(cells("y0", "y1", "_h")))
-    narrow = spread.select(*PAGE, "_cx", "_cy", *key, "text", *BOX, "conf")
-    other = narrow.select(
-        *PAGE, "_cx", "_cy",
-        *[F.col(c).alias(f"o_{c}") for c in [*key, "text", *BOX, "conf"]],
-    )
-    pairs = narrow.join(other, [*PAGE, "_cx", "_cy"])
-
-    def side(low: str, high: str) -> Column:
-        return F.greatest(
-            F.lit(0), F.least(F.col(high), F.col(f"o_{high}")) - F.greatest(F.col(low), F.col(f"o_{low}"))
-        )
-
-    def area(prefix: str) -> Column:
-        return (F.col(f"{prefix}x1") - F.col(f"{prefix}x0")) * (
-            F.col(f"{prefix}y1") - F.col(f"{prefix}y0")
-        )
-
-    smaller = F.least(area(""), area("o_"))
-    same = (smaller > 0) & (side("x0", "x1") * side("y0", "y1") / smaller >= 0.72)
-    inside = F.contains("text", "o_text") | F.contains("o_text", "text")
-
-    def rank(prefix: str) -> Column:
-        return F.struct(
-            (-F.col(f"{prefix}conf")).alias("a"), (-F.length(f"{prefix}text")).alias("b"),
-            *[F.col(f"{prefix}{c}").alias(c) for c in key],
-        )
-
-    lost = pairs.where(same & inside & (rank("o_") < rank(""))).select(*PAGE, *key).distinct()
-    return boxes.join(lost, [*PAGE, *key], "left_anti")
+    fields = StructType([f for f in boxes.schema if f.name not in PAGE])
+    stay = page_rows(gathered(boxes), lambda pages: P.deduped(pages["boxes"], key, fields.names), fields)
+    return stay.select(*boxes.columns)
 
 
 def number_rows(pieces: DataFrame, name: str = "row_no") -> DataFrame:

@@ -12,6 +12,9 @@ import pyarrow.compute as pc
 
 # What makes fragments one visual line.
 SAME_LINE, LEAST_GAP, GAP = 0.62, 2.0, 0.22
+# Fixed value: the share of the smaller box that makes two boxes one.
+COVERED = 0.72
+PAIRS_AT_ONCE = 1 << 21
 OPEN_AT_ONCE = 8
 
 Box = tuple[float, ...]
@@ -172,3 +175,94 @@ def merged(pages: pa.Array) -> pa.Array:
         for i, (n, kind) in enumerate([*kinds.items(), ("n", pa.int64())])
     }
     return listed(fields, np.bincount(of_page, minlength=len(pages)))
+
+
+def grid_pairs(page: np.ndarray, x0, y0, x1, y1, n_pages: int):
+    """(a, b), some at a time: every pair of solid boxes of a page of which b holds the middle of a."""
+    per_page = np.maximum(np.bincount(page, minlength=n_pages), 1)
+
+    def cells(low, high, at_most):
+        span = np.zeros(n_pages)
+        least, most = np.full(n_pages, np.inf), np.full(n_pages, -np.inf)
+        np.minimum.at(least, page, low)
+        np.maximum.at(most, page, high)
+        some = most > least
+        span[some] = most[some] - least[some]
+        size = np.maximum(np.bincount(page, high - low, n_pages) / per_page * 2, np.maximum(span / at_most, 1e-9))
+        cut = lambda v: np.floor((v - least[page]) / size[page]).astype(np.int64)
+        return cut(low), cut(high), cut(low + (high - low) / 2)
+
+    ax, zx, mx = cells(x0, x1, 64)
+    ay, zy, my = cells(y0, y1, 1024)
+    width, height = int(zx.max()) + 1, int(zy.max()) + 1
+    middle = (page * width + mx) * height + my
+    by_cell = np.argsort(middle, kind="stable")
+    sorted_cells = middle[by_cell]
+    touched = (zx - ax + 1) * (zy - ay + 1)
+    total = np.cumsum(touched)
+    begin = 0
+    while begin < len(page):
+        before = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, before + PAIRS_AT_ONCE, "right")))
+        box = np.repeat(np.arange(begin, end), touched[begin:end])
+        nth = np.arange(len(box)) - np.repeat(total[begin:end] - touched[begin:end] - before, touched[begin:end])
+        rows = (zy - ay + 1)[box]
+        cell = (page[box] * width + ax[box] + nth // rows) * height + ay[box] + nth % rows
+        low = np.searchsorted(sorted_cells, cell, "left")
+        held = np.searchsorted(sorted_cells, cell, "right") - low
+        met = held > 0
+        box, low, held = box[met], low[met], held[met]
+        sums = np.cumsum(held)
+        at = 0
+        while at < len(box):
+            done = sums[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(sums, done + PAIRS_AT_ONCE, "right")))
+            b = np.repeat(box[at:stop], held[at:stop])
+            skip = np.arange(len(b)) - np.repeat(sums[at:stop] - held[at:stop] - done, held[at:stop])
+            yield by_cell[np.repeat(low[at:stop], held[at:stop]) + skip], b
+            at = stop
+        begin = end
+
+
+def ranked(values: pa.Array) -> np.ndarray:
+    """Numbers in the order of the values, nulls first, equal for equal ones."""
+    if pa.types.is_integer(values.type) and not values.null_count:
+        return numbers(values)
+    return numbers(pc.rank(values, "ascending", null_placement="at_start", tiebreaker="dense")).astype(np.int64)
+
+
+def deduped(pages: pa.Array, key: list[str], names: list[str]) -> pa.Array:
+    """G3. The lists of the boxes that stay, with the fields ``names``."""
+    boxes = pages.flatten()
+    page = np.repeat(np.arange(len(pages)), sizes_of(pages))
+    lost = np.zeros(len(page), bool)
+    sides = {n: boxes.field(n) for n in ("x0", "y0", "x1", "y1")}
+    solid = pc.and_(pc.greater(sides["x1"], sides["x0"]), pc.greater(sides["y1"], sides["y0"]))
+    solid = np.flatnonzero(numbers(pc.fill_null(solid, False)))
+    if len(solid):
+        x0, y0, x1, y1 = (numbers(c.take(pa.array(solid))) for c in sides.values())
+        area = (x1 - x0) * (y1 - y0)
+        text = boxes.field("text").take(pa.array(solid))
+        # Of two boxes the first in this order stays.
+        rank = [-ranked(boxes.field("conf").take(pa.array(solid))), -ranked(pc.utf8_length(text))]
+        rank += [ranked(boxes.field(k).take(pa.array(solid))) for k in key]
+        gone = np.zeros(len(solid), bool)
+        for a, b in grid_pairs(page[solid], x0, y0, x1, y1, len(pages)):
+            near = (a != b) & (area[a] <= area[b])
+            a, b = a[near], b[near]
+            wide = np.minimum(x1[a], x1[b]) - np.maximum(x0[a], x0[b])
+            high = np.minimum(y1[a], y1[b]) - np.maximum(y0[a], y0[b])
+            same = (wide > 0) & (high > 0)
+            same &= wide * high / area[a] >= COVERED
+            a, b = a[same], b[same]
+            order = np.zeros(len(a), np.int8)
+            for r in rank:
+                order = np.where(order == 0, np.sign(r[a] - r[b]).astype(np.int8), order)
+            texts = zip(text.take(pa.array(a)).to_pylist(), text.take(pa.array(b)).to_pylist(), strict=True)
+            inside = np.array([s is not None and t is not None and (s in t or t in s) for s, t in texts], bool)
+            gone[a[inside & (order > 0)]] = True
+            gone[b[inside & (order < 0)]] = True
+        lost[solid[gone]] = True
+    stay = np.flatnonzero(~lost)
+    fields = {n: boxes.field(n).take(pa.array(stay)) for n in names}
+    return listed(fields, np.bincount(page[stay], minlength=len(pages)))

@@ -64,3 +64,41 @@ def test_fragments_of_pages_equal_plain_loops(spark, book):
         shifted.setdefault(w.page_index, set()).add((w.x0, w.y0 + step, w.x1, w.y1 + step))
     want = sorted((n, *r) for n, boxes in shifted.items() for r in merged_by_hand(boxes))
     assert want and sorted((r.page_index, r.x0, r.y0, r.x1, r.y1, r.n) for r in merged.collect()) == want
+
+
+def deduped_by_hand(boxes):
+    """Boxes are (key, text, x0, y0, x1, y1, conf)."""
+
+    def lost(a, b):
+        wide, high = min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3])
+        least = min((a[4] - a[2]) * (a[5] - a[3]), (b[4] - b[2]) * (b[5] - b[3]))
+        return wide > 0 and high > 0 and wide * high / least >= 0.72 and (a[1] in b[1] or b[1] in a[1]) and (
+            -b[6], -len(b[1]), b[0]) < (-a[6], -len(a[1]), a[0])
+
+    return sorted(a[0] for a in boxes if not any(lost(a, b) for b in boxes))
+
+
+def test_copies_of_pages_equal_plain_loops(spark, book):
+    rng = random.Random(8)
+    pages = {}
+    for n in range(30):
+        boxes = pages[n] = []
+        for k in range(rng.randint(1, 60)):
+            x, y = (rng.uniform(0, 60) if rng.random() < 0.5 or not boxes else boxes[-1][i] + rng.uniform(0, 2) for i in (2, 3))
+            text = rng.choice(["a", "ab", "Été", "abé", ""])
+            boxes.append((k, text, x, y, x + rng.choice([6, 20, 900]), y + rng.choice([5, 9, 700]), rng.randint(1, 4)))
+    rows = [(1, n, *b) for n, boxes in pages.items() for b in boxes]
+    df = spark.createDataFrame(rows, "book_id long, page_index int, no long, text string, x0 double, y0 double, x1 double, y1 double, conf int")
+    got = {n: [] for n in pages}
+    kept = G.dedupe_boxes(df, ["no"])
+    assert kept.columns == df.columns
+    for r in kept.collect():
+        got[r.page_index].append(r.no)
+    assert {n: sorted(k) for n, k in got.items()} == {n: deduped_by_hand(b) for n, b in pages.items()}
+    stay = C.g3_dedupe_boxes(spark, book)
+    assert "hashpartitioning(book_id" not in plan(stay)
+    words = {}
+    for w in C.words(spark, book).collect():
+        words.setdefault(w.page_index, []).append(((w.line_no, w.word_no, w.dup), w.text, w.x0, w.y0, w.x1, w.y1, w.conf))
+    want = sorted((n, *key) for n, boxes in words.items() for key in deduped_by_hand(boxes))
+    assert want and sorted((r.page_index, r.line_no, r.word_no, r.dup) for r in stay.collect()) == want
