@@ -8,15 +8,13 @@ its row gives them to ``page_rows`` without a shuffle.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from pagework.functions import text as T
 from pagework.operators import pageboxes as P
@@ -104,18 +102,6 @@ def dedupe_boxes(boxes: DataFrame, key: list[str]) -> DataFrame:
     return stay.select(*boxes.columns)
 
 
-def number_rows(pieces: DataFrame, name: str = "row_no") -> DataFrame:
-    """Visual lines: in order of y, a new one starts where y moves on by more
-    than 0.55 of the height."""
-    order = Window.partitionBy(*PAGE).orderBy("y0", "x0", "x1", "text")
-    height = F.col("y1") - F.col("y0")
-    tolerance = F.greatest(height, F.lag(height).over(order)) * 0.55
-    starts = F.coalesce(F.col("y0") - F.lag("y0").over(order) > tolerance, F.lit(True))
-    return pieces.withColumn("_starts", starts.cast("int")).withColumn(
-        name, F.sum("_starts").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ).drop("_starts")
-
-
 def joined_text(order: list[str]) -> Column:
     listed = F.array_sort(F.collect_list(F.struct(*order, "text")))
     return F.array_join(F.transform(listed, lambda p: p["text"]), " ")
@@ -126,81 +112,6 @@ def extent() -> list[Column]:
             F.max("x1").alias("x1"), F.max("y1").alias("y1")]
 
 
-# Shares of heights that make boxes neighbours on a row.
-SHARED, TALL = 0.42, 1.35
-COMPLETE = "\\p{L}"
-
-
-Box = tuple[float, ...]
-
-
-def _folded(fold, *names: str):
-    """A column function: the row number of every box of a page, from a fold over
-    its boxes (the fields ``names`` of an array of structs, in order)."""
-
-    @F.arrow_udf("array<int>")
-    def run(pages: pa.Array) -> pa.Array:
-        boxes = pages.flatten()
-        columns = list(zip(*(boxes.field(n).to_pylist() for n in names), strict=True))
-        ends = [0, *itertools.accumulate(pa.compute.list_value_length(pages).to_pylist())]
-        found = [fold(columns[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-        return pa.array(found, pa.list_(pa.int32()))
-
-    return run
-
-
-def rows_of_pieces(boxes: list[Box]) -> list[int]:
-    """Row of each (y0, y1, complete), from top to bottom."""
-    rows: list[list[Box]] = []
-    lows, full = [], []  # of each row
-    open_rows: list[int] = []
-    out = []
-    for box in boxes:
-        y0, y1, complete = box
-        # Boxes that share no height are never neighbours.
-        open_rows = [n for n in open_rows if lows[n] > y0]
-        best = None
-        for n in open_rows:
-            if complete and full[n]:
-                continue
-            far, near = None, False
-            for top, low, _ in rows[n]:
-                apart = abs(top + low - y0 - y1) / 2
-                far = apart if far is None else min(far, apart)
-                least = max(min(low - top, y1 - y0), 1e-6)
-                near = near or min(low, y1) - max(top, y0) >= SHARED * least or apart <= SHARED * max(low - top, y1 - y0)
-            if near and (best is None or far > best[0]):
-                best = (far, n)
-        if best is None:
-            open_rows.append(len(rows))
-            rows.append([box])
-            lows.append(y1)
-            full.append(complete)
-        else:
-            n = best[1]
-            rows[n].append(box)
-            lows[n], full[n] = max(lows[n], y1), full[n] or complete
-        out.append(open_rows[-1] if best is None else best[1])
-    return out
-
-
-def _row_text(row: Column) -> Column:
-    """A row's pieces from left to right; a page number alone that the text so far
-    ends in already counts once."""
-    across = F.array_sort(F.transform(row, lambda p: F.struct(
-        p["x0"].alias("x0"), p["x1"].alias("x1"), T.strip(p["text"]).alias("text"))))
-    start = F.struct(F.lit("").alias("line"), F.lit("").alias("last"))
-
-    def add(state: Column, piece: Column) -> Column:
-        page = F.regexp_extract(state["last"], TRAILING_PAGE, 1)
-        again = piece["text"].rlike("^\\d{1,4}$") & (page != "") & (page.cast("int") == piece["text"].try_cast("int"))
-        more = F.when(state["line"] == "", piece["text"]).otherwise(F.concat(state["line"], F.lit(" "), piece["text"]))
-        return F.when((piece["text"] == "") | again, state).otherwise(
-            F.struct(more.alias("line"), piece["text"].alias("last")))
-
-    return F.aggregate(across, start, add, lambda s: s["line"])
-
-
 def assemble_rows(pieces: DataFrame, page_height: float = 1.0) -> DataFrame:
     """G4. (page, row_no, text, box): one line per visual row.
 
@@ -213,67 +124,28 @@ def assemble_rows(pieces: DataFrame, page_height: float = 1.0) -> DataFrame:
 
     The choice depends on the rows so far: it is a fold over the boxes of one page.
     """
-    height = F.col("y1") - F.col("y0")
-    upright = height <= F.greatest((F.col("x1") - F.col("x0")) * TALL, F.lit(0.018 * page_height))
-    marked = pieces.withColumn("_up", upright)
-    complete = F.col("text").rlike(TRAILING_PAGE) & F.col("text").rlike(COMPLETE)
-    piece = F.struct("y0", "x0", "x1", "y1", "text", complete.alias("complete"))
-    pages = marked.where("_up").groupBy(*PAGE).agg(F.array_sort(F.collect_list(piece)).alias("_pieces"))
-    rows = pages.withColumn("_row", _folded(rows_of_pieces, "y0", "y1", "complete")("_pieces"))
-    rows = rows.select(*PAGE, F.explode(F.arrays_zip("_row", "_pieces")).alias("p")).select(*PAGE, "p._row", "p._pieces.*")
-    lines = rows.groupBy(*PAGE, "_row").agg(
-        F.collect_list(F.struct("x0", "x1", "text")).alias("_parts"), *extent()
-    ).select(*PAGE, _row_text(F.col("_parts")).alias("text"), *BOX)
-    lone = marked.where("NOT _up").select(*PAGE, "text", *BOX)
-    order = Window.partitionBy(*PAGE).orderBy("y0", "x0", "x1", "text")
-    return lines.unionByName(lone).withColumn("row_no", F.row_number().over(order).cast("long"))
+    fields = StructType([pieces.schema[c] for c in ("text", *BOX)]).add("row_no", LongType())
+    return page_rows(
+        gathered(pieces.select(*PAGE, "text", *BOX)), lambda pages: P.assembled(pages["boxes"], page_height), fields)
 
 
 def split_rows_by_gutter(pieces: DataFrame) -> DataFrame:
-    """G5. Rows cut where the gap to everything before exceeds
-    max(9, 1.35 x height); one line per part."""
-    rows = number_rows(pieces)
-    order = Window.partitionBy(*PAGE, "row_no").orderBy("x0", "x1", "text")
-    reach = F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    height = F.first(F.col("y1") - F.col("y0")).over(
-        Window.partitionBy(*PAGE, "row_no").orderBy("y0", "x0", "x1", "text")
-    )
-    cut = F.coalesce(F.col("x0") - reach > F.greatest(F.lit(9.0), height * 1.35), F.lit(True))
-    parts = rows.withColumn("_cut", cut.cast("int")).withColumn(
-        "part_no", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    return parts.groupBy(*PAGE, "row_no", "part_no").agg(
-        joined_text(["x0", "x1"]).alias("text"), *extent()
-    )
+    """G5. Rows, in order of y, begin where y moves on by more than 0.55 of the height;
+    they are cut where the gap to everything before exceeds max(9, 1.35 x height);
+    one line per part."""
+    kinds = pieces.schema
+    numbers = StructType().add("row_no", LongType()).add("part_no", LongType())
+    fields = StructType([*numbers, *(kinds[c] for c in ("text", *BOX))])
+    return page_rows(gathered(pieces.select(*PAGE, "text", *BOX)), lambda pages: P.parts_of_rows(pages["boxes"]), fields)
 
 
 def column_order(lines: DataFrame, width: float) -> DataFrame:
     """G6. ``place`` of each line: header, left column, right column, footer
     when the page has two columns that overlap vertically, else top down."""
-    narrow = F.col("x1") - F.col("x0") < width * 0.58
-    left = (F.col("x0") + F.col("x1")) / 2 < width * 0.5
-
-    def over(side: Column, measure) -> Column:
-        return measure(F.when(narrow & side, F.col("y0")))
-
-    page = lines.groupBy(*PAGE).agg(
-        F.count(F.when(narrow & left, 1)).alias("_nl"),
-        F.count(F.when(narrow & ~left, 1)).alias("_nr"),
-        over(left, F.min).alias("_lmin"), over(left, F.max).alias("_lmax"),
-        over(~left, F.min).alias("_rmin"), over(~left, F.max).alias("_rmax"),
-        F.min(F.when(narrow, F.col("y0"))).alias("_top"),
-    )
-    two = (F.col("_nl") >= 5) & (F.col("_nr") >= 5) & (
-        F.least("_lmax", "_rmax") > F.greatest("_lmin", "_rmin")
-    )
-    header = F.col("y0") <= F.col("_top") + F.greatest(F.lit(8.0), F.abs("_top") * 0.01)
-    column = F.when(~F.coalesce(two, F.lit(False)), 0).when(narrow & left, 1).when(
-        narrow, 2).when(header, 0).otherwise(3)
-    placed = lines.join(page, PAGE).withColumn("column_no", column)
-    order = Window.partitionBy(*PAGE).orderBy("column_no", "y0", "x0", "x1", "text")
-    return placed.withColumn("place", F.row_number().over(order)).drop(
-        "_nl", "_nr", "_lmin", "_lmax", "_rmin", "_rmax", "_top"
-    )
+    kept = [f for f in lines.schema if f.name not in PAGE]
+    fields = StructType(kept).add("column_no", IntegerType()).add("place", IntegerType())
+    placed = page_rows(gathered(lines), lambda pages: P.in_columns(pages["boxes"], width), fields)
+    return placed.select(*lines.columns, "column_no", "place")
 
 
 def is_tall() -> Column:

@@ -6,14 +6,20 @@ A function here takes the lists of a batch of pages and gives one list a page.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from pagework.functions.text import BLANKS
+
 # What makes fragments one visual line.
 SAME_LINE, LEAST_GAP, GAP = 0.62, 2.0, 0.22
 # Fixed value: the share of the smaller box that makes two boxes one.
 COVERED = 0.72
+# Shares of heights that make boxes neighbours on a row, and begin a new one.
+SHARED, TALL, ROW_STEP = 0.42, 1.35, 0.55
 PAIRS_AT_ONCE = 1 << 21
 OPEN_AT_ONCE = 8
 
@@ -266,3 +272,224 @@ def deduped(pages: pa.Array, key: list[str], names: list[str]) -> pa.Array:
     stay = np.flatnonzero(~lost)
     fields = {n: boxes.field(n).take(pa.array(stay)) for n in names}
     return listed(fields, np.bincount(page[stay], minlength=len(pages)))
+
+
+def ordered(keys: list[np.ndarray], text: pa.Array) -> np.ndarray:
+    """The order by the keys and then the text, which is looked at where the keys tie."""
+    order = np.lexsort(list(reversed(keys)))
+    tied = ~starts_of(*(k[order] for k in keys))
+    tied[:-1] |= tied[1:]
+    if not tied.any():
+        return order
+    some = order[tied]
+    rank = np.zeros(len(order), np.int64)
+    rank[some] = ranked(text.take(pa.array(some)))
+    return np.lexsort((rank, *reversed(keys)))
+
+
+def joined(text: pa.Array, starts: np.ndarray) -> pa.Array:
+    """The texts of each group, which begin at ``starts``, with blanks between."""
+    ends = pa.array(np.concatenate((starts, [len(text)])).astype(np.int32))
+    return pc.binary_join(pa.ListArray.from_arrays(ends, text), " ")
+
+
+def extremes(starts: np.ndarray, x0, y0, x1, y1) -> list[np.ndarray]:
+    if not len(starts):
+        return [x0, y0, x1, y1]
+    return [np.minimum.reduceat(x0, starts), np.minimum.reduceat(y0, starts),
+            np.maximum.reduceat(x1, starts), np.maximum.reduceat(y1, starts)]
+
+
+SIDES = ("x0", "y0", "x1", "y1")
+
+
+def parts_of_rows(pages: pa.Array) -> pa.Array:
+    """G5. The lists of the parts of rows (row_no, part_no, text, box)."""
+    boxes = pages.flatten()
+    page = np.repeat(np.arange(len(pages)), sizes_of(pages))
+    kinds, text = {n: boxes.field(n).type for n in SIDES}, boxes.field("text")
+    x0, y0, x1, y1 = (numbers(boxes.field(n)) for n in SIDES)
+    order = ordered([page, y0, x0, x1], text)
+    high, top = (y1 - y0)[order], y0[order]
+    new_page = starts_of(page[order])
+    new = new_page.copy()
+    new[1:] |= top[1:] - top[:-1] > np.maximum(high[1:], high[:-1]) * ROW_STEP
+    row = np.empty(len(page), np.int64)
+    row[order] = np.cumsum(new) - 1
+    first_high = high[new]  # of each row
+    row_no = nth_of(np.cumsum(new), new_page)
+    row_no = row_no[new]
+    across = ordered([row, x0, x1], text)
+    row, x0, y0, x1, y1, page = (v[across] for v in (row, x0, y0, x1, y1, page))
+    new_row = starts_of(row)
+    new = new_row.copy()
+    new[1:] |= (x0[1:] - running_max(x1, row)[:-1]) > np.maximum(9.0, first_high[row[1:]] * TALL)
+    starts = np.flatnonzero(new)
+    part_no = nth_of(np.cumsum(new), new_row)[starts]
+    left, upper, right, lower = extremes(starts, x0, y0, x1, y1)
+    fields = {"row_no": pa.array(row_no[row[starts]], pa.int64()), "part_no": pa.array(part_no, pa.int64()),
+              "text": joined(text.take(pa.array(across)), starts)}
+    fields |= {n: pa.array(v, kinds[n]) for n, v in zip(SIDES, (left, upper, right, lower), strict=True)}
+    return listed(fields, np.bincount(page[starts], minlength=len(pages)))
+
+
+def nth_of(counted: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """A running count, from 1 again where a group begins."""
+    return counted - np.repeat(counted[begins] - 1, np.diff(np.append(np.flatnonzero(begins), len(counted))))
+
+
+def in_columns(pages: pa.Array, width: float) -> pa.Array:
+    """G6. The lists of the lines in reading order, with ``column_no`` and ``place``."""
+    lines = pages.flatten()
+    page = np.repeat(np.arange(len(pages)), sizes_of(pages))
+    x0, y0, x1, _ = (numbers(lines.field(n)) for n in SIDES)
+    narrow, left = x1 - x0 < width * 0.58, (x0 + x1) / 2 < width * 0.5
+
+    def bounds(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        low, high = np.full(len(pages), np.inf), np.full(len(pages), -np.inf)
+        np.minimum.at(low, page[some], y0[some])
+        np.maximum.at(high, page[some], y0[some])
+        return np.bincount(page[some], minlength=len(pages)), low, high
+
+    n_left, left_low, left_high = bounds(narrow & left)
+    n_right, right_low, right_high = bounds(narrow & ~left)
+    top = np.minimum(left_low, right_low)
+    two = (n_left >= 5) & (n_right >= 5) & (np.minimum(left_high, right_high) > np.maximum(left_low, right_low))
+    header = y0 <= (top + np.maximum(8.0, np.abs(top) * 0.01))[page]
+    column = np.select([~two[page], narrow & left, narrow, header], [0, 1, 2, 0], 3)
+    order = ordered([page, column, y0, x0, x1], lines.field("text"))
+    page = page[order]
+    place = nth_of(np.arange(1, len(page) + 1), starts_of(page))
+    at = pa.array(order)
+    fields = {lines.type.field(i).name: lines.field(i).take(at) for i in range(lines.type.num_fields)}
+    fields |= {"column_no": pa.array(column[order], pa.int32()), "place": pa.array(place, pa.int32())}
+    return listed(fields, np.bincount(page, minlength=len(pages)))
+
+
+BLANK = "[ \\t\\n\\x0b\\f\\r]"
+# ``geometry.TRAILING_PAGE`` without its look-behind.
+PAGED = re.compile(
+    f"(?:\\A|[/／.·…:]|{BLANK}){BLANK}*([（(\\[【{{])?{BLANK}*([0-9]{{1,4}}){BLANK}*"
+    f"[）)\\]】}}]?{BLANK}*[\\u0085\\u2028\\u2029]?\\Z")
+COUNTRY = re.compile(f"\\+[0-9]{{1,3}}{BLANK}{{1,4}}\\Z")
+
+
+def trailing_page(text: str) -> str | None:
+    """The page number that ends a text; behind a country code a number in brackets is none."""
+    found = PAGED.search(text)
+    if not found or found[1] and COUNTRY.search(text[:found.start(1)]):
+        return None
+    return found[2]
+
+
+def rows_of_pieces(boxes: list[Box]) -> list[int]:
+    """Row of each (y0, y1, complete), from top to bottom."""
+    rows: list[list[Box]] = []  # the different heights that a row has
+    lows, full = [], []  # of each row
+    open_rows: list[int] = []
+    known: dict[Box, int] = {}  # the rows of such boxes, as long as nothing changes
+    out = []
+    for box in boxes:
+        n = known.get(box)
+        if n is not None:
+            out.append(n)
+            continue
+        y0, y1, complete = box
+        # Boxes that share no height are never neighbours.
+        open_rows = [n for n in open_rows if lows[n] > y0]
+        best = None
+        for n in open_rows:
+            if complete and full[n]:
+                continue
+            far, near = None, False
+            for top, low in rows[n]:
+                apart = abs(top + low - y0 - y1) / 2
+                far = apart if far is None or apart < far else far
+                near = near or (
+                    min(low, y1) - max(top, y0) >= SHARED * max(min(low - top, y1 - y0), 1e-6)
+                    or apart <= SHARED * max(low - top, y1 - y0))
+            if near and (best is None or far > best[0]):
+                best = (far, n)
+        if best is None:
+            n = len(rows)
+            open_rows.append(n)
+            rows.append([(y0, y1)])
+            lows.append(y1)
+            full.append(complete)
+            known.clear()
+        else:
+            n = best[1]
+            if (y0, y1) in rows[n] and (full[n] or not complete):
+                known[box] = n
+            else:
+                if (y0, y1) not in rows[n]:
+                    rows[n].append((y0, y1))
+                lows[n], full[n] = max(lows[n], y1), full[n] or complete
+                known.clear()
+        out.append(n)
+    return out
+
+
+def said_again(text: list[str | None], row: np.ndarray, alone: np.ndarray) -> list[int]:
+    """Page numbers alone that the text of their row so far ends in already."""
+    again, last, before = [], None, -1
+    rows = set(row[alone].tolist())
+    for i in np.flatnonzero(np.isin(row, list(rows))).tolist() if rows else ():
+        if row[i] != before:
+            last, before = None, row[i]
+        piece = text[i]
+        if alone[i] and last is not None:
+            page = trailing_page(last)
+            if page is not None and int(page) == int(piece):
+                again.append(i)
+                continue
+        if piece != "":
+            last = piece
+    return again
+
+
+def assembled(pages: pa.Array, page_height: float) -> pa.Array:
+    """G4. The lists of the lines (text, box, row_no)."""
+    boxes = pages.flatten()
+    whole = np.flatnonzero(np.all([numbers(pc.is_valid(boxes.field(n))) for n in SIDES], axis=0))
+    page = np.repeat(np.arange(len(pages)), sizes_of(pages))[whole]
+    kinds, text = {n: boxes.field(n).type for n in SIDES}, boxes.field("text").take(pa.array(whole))
+    x0, y0, x1, y1 = (numbers(boxes.field(n).take(pa.array(whole))) for n in SIDES)
+    up = y1 - y0 <= np.maximum((x1 - x0) * TALL, 0.018 * page_height)
+    lone = np.flatnonzero(~up)
+    order = ordered([page, y0, x0, x1, y1], text)
+    order = order[up[order]]
+    digits = numbers(pc.fill_null(pc.match_substring_regex(text, "[0-9]"), False))
+    complete = np.zeros(len(page), bool)
+    for i in np.flatnonzero(digits & up).tolist():
+        t = text[i].as_py()
+        complete[i] = trailing_page(t) is not None and any(c.isalpha() for c in t)
+    heights = list(zip(y0[order].tolist(), y1[order].tolist(), complete[order].tolist(), strict=True))
+    begins = np.flatnonzero(starts_of(page[order])).tolist()
+    row = np.empty(len(order), np.int64)
+    n_rows = 0
+    for a, z in zip(begins, [*begins[1:], len(order)], strict=True):
+        found = np.array(rows_of_pieces(heights[a:z]))
+        row[a:z] = found + n_rows
+        n_rows += found.max() + 1
+    shown = pc.utf8_trim(text.take(pa.array(order)), BLANKS)
+    across = ordered([row, x0[order], x1[order]], shown)
+    row, order, shown = row[across], order[across], shown.take(pa.array(across))
+    starts = np.flatnonzero(starts_of(row))
+    sides = extremes(starts, *(v[order] for v in (x0, y0, x1, y1)))
+    of_page = page[order][starts]
+    alone = numbers(pc.fill_null(pc.match_substring_regex(shown, "^[0-9]{1,4}$"), False))
+    read = numbers(pc.fill_null(pc.not_equal(shown, ""), True)).copy()
+    read[said_again(shown.to_pylist(), row, alone)] = False
+    kept = np.flatnonzero(read)
+    sizes = np.bincount(row[kept], minlength=n_rows)
+    lines = joined(shown.take(pa.array(kept)), (np.cumsum(sizes) - sizes))
+    lines = pa.concat_arrays([lines, text.take(pa.array(lone))])
+    sides = [np.concatenate((s, v[lone])) for s, v in zip(sides, (x0, y0, x1, y1), strict=True)]
+    of_page = np.concatenate((of_page, page[lone]))
+    order = ordered([of_page, sides[1], sides[0], sides[2]], lines)
+    of_page = of_page[order]
+    at = pa.array(order)
+    fields = {"text": lines.take(at)} | {n: pa.array(s[order], kinds[n]) for n, s in zip(SIDES, sides, strict=True)}
+    fields["row_no"] = pa.array(nth_of(np.arange(1, len(order) + 1), starts_of(of_page)), pa.int64())
+    return listed(fields, np.bincount(of_page, minlength=len(pages)))

@@ -2,10 +2,13 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from pagework.catalog import geometry as C
 from pagework.operators import geometry as G
+from pagework.operators import pageboxes as P
+from pagework.sources import derived as D
 
 
 @pytest.fixture
@@ -102,3 +105,44 @@ def test_copies_of_pages_equal_plain_loops(spark, book):
         words.setdefault(w.page_index, []).append(((w.line_no, w.word_no, w.dup), w.text, w.x0, w.y0, w.x1, w.y1, w.conf))
     want = sorted((n, *key) for n, boxes in words.items() for key in deduped_by_hand(boxes))
     assert want and sorted((r.page_index, r.line_no, r.word_no, r.dup) for r in stay.collect()) == want
+
+
+def test_page_numbers_are_read_as_by_the_pattern(spark):
+    texts = ["a 12", "12", "a12", "+1 (415)", "+44  【7】 ", "x (7)", "x（ 0012 ）", "a/3", "a…9\t", "12345", "a 1 2", "a 12 ", "(3", "第 4页", "", "+1 415"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", G.F.regexp_extract("t", G.TRAILING_PAGE, 1).alias("p"))
+    assert [(r.t, r.p or None) for r in df.collect()] == [(t, P.trailing_page(t)) for t in texts]
+
+
+def rows_by_hand(boxes):
+    """The fold over every member of every row."""
+    rows, out = [], []
+    for y0, y1, complete in boxes:
+        best = None
+        for n, row in enumerate(rows):
+            if max(b[1] for b in row) <= y0 or complete and any(b[2] for b in row):
+                continue
+            apart = [abs(b[0] + b[1] - y0 - y1) / 2 for b in row]
+            near = any(
+                min(b[1], y1) - max(b[0], y0) >= 0.42 * max(min(b[1] - b[0], y1 - y0), 1e-6)
+                or a <= 0.42 * max(b[1] - b[0], y1 - y0) for a, b in zip(apart, row, strict=True))
+            if near and (best is None or min(apart) > best[0]):
+                best = (min(apart), n)
+        if best is None:
+            rows.append([])
+        out.append(len(rows) - 1 if best is None else best[1])
+        rows[out[-1]].append((y0, y1, complete))
+    return out
+
+
+def test_rows_of_pages_equal_plain_loops(spark, book):
+    rng = random.Random(9)
+    for _ in range(400):
+        heights = [(y, y + rng.randint(1, 25)) for y in rng.choices(range(60), k=rng.choice([2, 9]))]
+        boxes = sorted(((*rng.choice(heights), rng.random() < 0.2) for _ in range(40)), key=lambda b: b[0])
+        assert P.rows_of_pieces(boxes) == rows_by_hand(boxes)
+    lines = C.g4_assemble_rows(spark, book)
+    assert "hashpartitioning(book_id" not in plan(lines)
+    boxes = C.slanted(D.placed_words(pa.array(["one two\nthree", None, "x"]), False)).to_pylist()
+    assert [[(b["text"], b["y0"]) for b in page] for page in boxes] == [[("one", 40), ("two", 42), ("three", 91)], [], [("x", 40)]]
+    heights = {(r.page_index, r.y0, r.y1) for r in lines.collect()}
+    assert (2, 40, 60) in heights
