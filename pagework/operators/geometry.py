@@ -14,11 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from pagework.functions import text as T
 from pagework.operators import pageboxes as P
-from pagework.operators.search import matching_rows, ranges_of
+from pagework.operators.search import needle_pattern, needles, ranges_or_all
+from pagework.plans.containment import contains_pairs
 from pagework.plans.stage import small_batches
 
 PAGE = ["book_id", "page_index"]
@@ -34,7 +35,8 @@ def gathered(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy(*PAGE).agg(F.collect_list(fields).alias("boxes"))
 
 
-def page_rows(pages: DataFrame, make: Callable[[pa.RecordBatch], pa.Array], fields: StructType) -> DataFrame:
+def page_rows(pages: DataFrame, make: Callable[[pa.RecordBatch], pa.Array], fields: StructType,
+              keys: list[str] = PAGE) -> DataFrame:
     """(page, fields): what ``make`` lists for each page of a batch.  A page is one row, and
     only a few pages are worked on at a time."""
     small_batches(pages.sparkSession)
@@ -48,10 +50,10 @@ def page_rows(pages: DataFrame, make: Callable[[pa.RecordBatch], pa.Array], fiel
                 lists = make(some)
                 page = pa.array(np.repeat(np.arange(len(some)), P.sizes_of(lists)))
                 found = lists.flatten()
-                columns = [*(some.column(c).take(page) for c in PAGE), *(found.field(c) for c in fields.names)]
-                yield pa.RecordBatch.from_arrays(columns, [*PAGE, *fields.names])
+                columns = [*(some.column(c).take(page) for c in keys), *(found.field(c) for c in fields.names)]
+                yield pa.RecordBatch.from_arrays(columns, [*keys, *fields.names])
 
-    return pages.mapInArrow(rows, StructType([*(kinds[c] for c in PAGE), *fields]))
+    return pages.mapInArrow(rows, StructType([*(kinds[c] for c in keys), *fields]))
 
 
 def normalize_boxes(boxes: DataFrame, width: float, height: float) -> DataFrame:
@@ -254,33 +256,32 @@ def search_hit_boxes(asks: DataFrame, words: DataFrame) -> DataFrame:
     ``words``: line_no, word_no, text, box; a line's text is its words joined
     by blanks.
     """
+    placed = F.array_sort(F.collect_list(F.struct("word_no", "text", *BOX)))
+    lines = words.groupBy(*PAGE, "line_no").agg(placed.alias("words")).withColumn(
+        "text", F.array_join(F.transform("words", lambda w: w["text"]), " "))
+    return hit_boxes(asks, lines, F.col("text"), ["words"], lambda rows: rows["words"], words.schema["word_no"])
+
+
+def hit_boxes(asks: DataFrame, lines: DataFrame, joined: Column, kept: list[str],
+              words_of: Callable[[pa.RecordBatch], pa.Array], word_no: StructField) -> DataFrame:
+    """``search_hit_boxes`` of lines (page, line_no, text) whose words, ``joined`` by blanks,
+    are searched.  ``words_of`` makes the boxes of the words from the columns ``kept``, of
+    lines that are hit only."""
     line = [*PAGE, "line_no"]
-    before = Window.partitionBy(*line).orderBy("word_no").rowsBetween(
-        Window.unboundedPreceding, -1)
-    placed = words.withColumn(
-        "_from", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
-    lines = placed.groupBy(*line).agg(joined_text(["word_no"]).alias("text"))
-    key = ["page_index", "line_no"]
-    hits = matching_rows(asks, lines, key, ranges_of).select(
-        "query_id", *line, F.explode("ranges").alias("r")
-    )
-    cut = hits.join(placed, line).where(
-        (F.col("_from") + F.length("text") > F.col("r.start")) & (F.col("_from") < F.col("r.stop"))
-    )
-    size = F.greatest(F.length("text"), F.lit(1))
-    a = (F.greatest(F.col("r.start"), F.col("_from")) - F.col("_from")) / size
-    b = (F.least(F.col("r.stop"), F.col("_from") + F.length("text")) - F.col("_from")) / size
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    tall = h > w * 1.25
-
-    def along(low: str, size_: Column, share: Column, when: Column, still: str) -> Column:
-        return F.round(F.when(when, F.col(low) + size_ * share).otherwise(F.col(still)), 6)
-
-    return cut.select(
-        "query_id", *line, "word_no", F.col("r.start").alias("start"),
-        along("x0", w, a, ~tall, "x0").alias("x0"), along("y0", h, a, tall, "y0").alias("y0"),
-        along("x0", w, b, ~tall, "x1").alias("x1"), along("y0", h, b, tall, "y1").alias("y1"),
-    )
+    wanted = needles(asks)
+
+    def ranges(held: Column, _searched: Column) -> Column:
+        return T.bound(T.fold(joined), lambda folded: F.transform(held, lambda n: F.struct(
+            n.alias("needle"), ranges_or_all(folded, needle_pattern(n)).alias("ranges"), *kept)))
+
+    found = contains_pairs(
+        wanted, lines.select(*line, *dict.fromkeys(["text", *kept])), ["book_id"], line[1:], T.search_projection, ranges)
+    fields = StructType([word_no]).add("start", IntegerType())
+    for c in BOX:
+        fields = fields.add(c, DoubleType())
+    cut = page_rows(found, lambda rows: P.cut_words(rows["ranges"], words_of(rows)), fields, [*line, "needle"])
+    return cut.join(wanted, ["book_id", "needle"]).select(
+        "query_id", *line, "word_no", "start", *[F.round(c, 6).alias(c) for c in BOX])
 
 
 def filter_repair_lines(lines: DataFrame, least: float = 0.45) -> DataFrame:

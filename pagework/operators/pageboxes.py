@@ -493,3 +493,35 @@ def assembled(pages: pa.Array, page_height: float) -> pa.Array:
     fields = {"text": lines.take(at)} | {n: pa.array(s[order], kinds[n]) for n, s in zip(SIDES, sides, strict=True)}
     fields["row_no"] = pa.array(nth_of(np.arange(1, len(order) + 1), starts_of(of_page)), pa.int64())
     return listed(fields, np.bincount(of_page, minlength=len(pages)))
+
+
+def cut_words(ranges: pa.Array, lines: pa.Array) -> pa.Array:
+    """G11. The lists of the words that the ranges of a line meet, with the parts of their
+    boxes (word_no, start, box).  A line's text is its words, in order, joined by blanks."""
+    words, sizes = lines.flatten(), sizes_of(lines)
+    line = np.repeat(np.arange(len(lines)), sizes)
+    length = numbers(pc.utf8_length(words.field("text"))).astype(np.int64)
+    # Positions in all lines, one after the other.
+    ends = np.cumsum(length + 1)
+    begins = ends - length - 1
+    first = np.concatenate(([0], ends))[np.cumsum(sizes) - sizes]
+    asked = ranges.flatten()
+    of_line = np.repeat(np.arange(len(lines)), sizes_of(ranges))
+    start, stop = (first[of_line] + numbers(asked.field(n)) for n in ("start", "stop"))
+    low = np.searchsorted(begins + length, start, "right")
+    met = np.maximum(np.searchsorted(begins, stop, "left") - low, 0)
+    hit = np.repeat(np.arange(len(start)), met)
+    word = np.repeat(low, met) + np.arange(len(hit)) - np.repeat(np.cumsum(met) - met, met)
+    x0, y0, x1, y1 = (numbers(words.field(n))[word] for n in SIDES)
+    size = np.maximum(length[word], 1)
+    a = (np.maximum(start[hit], begins[word]) - begins[word]) / size
+    z = (np.minimum(stop[hit], begins[word] + length[word]) - begins[word]) / size
+    tall = y1 - y0 > (x1 - x0) * 1.25
+    fields = {
+        "word_no": words.field("word_no").take(pa.array(word)),
+        "start": pa.array((start - first[of_line])[hit], pa.int32()),
+        "x0": np.where(tall, x0, x0 + (x1 - x0) * a), "y0": np.where(tall, y0 + (y1 - y0) * a, y0),
+        "x1": np.where(tall, x1, x0 + (x1 - x0) * z), "y1": np.where(tall, y0 + (y1 - y0) * z, y1),
+    }
+    fields = {n: f if isinstance(f, pa.Array) else pa.array(f, pa.float64()) for n, f in fields.items()}
+    return listed(fields, np.bincount(line[word], minlength=len(lines)))

@@ -167,8 +167,9 @@ def words(spark: SparkSession, sf_dir: str, copies: bool = True) -> DataFrame:
     return b.select(*key, F.explode(boxes).alias("b")).select(*key, "b.*")
 
 
-def placed_words(texts: pa.Array, copies: bool) -> pa.Array:
-    """The boxes of ``words`` of each text, as one list a text."""
+def placed_words(texts: pa.Array, copies: bool, first: pa.Array | None = None) -> pa.Array:
+    """The boxes of ``words`` of each text, as one list a text.  ``first``: the number of
+    each text's first line, where the texts are parts of pages."""
     lines = pc.split_pattern(pc.fill_null(texts, ""), "\n")
     words = pc.split_pattern(lines.flatten(), " ")
     lines_of_text = pc.list_value_length(lines).to_numpy(zero_copy_only=False)
@@ -177,6 +178,9 @@ def placed_words(texts: pa.Array, copies: bool) -> pa.Array:
     line = np.repeat(np.arange(len(text)), words_of_line)
     first_line = np.cumsum(lines_of_text) - lines_of_text
     first_word = np.cumsum(words_of_line) - words_of_line
+    line_of_text = np.arange(len(text)) - first_line[text]
+    if first is not None:
+        line_of_text = line_of_text + first.to_numpy(zero_copy_only=False)[text]
     words = words.flatten()
     size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.concatenate(([0], np.cumsum(np.where(size, size + 1, 0))))
@@ -190,7 +194,7 @@ def placed_words(texts: pa.Array, copies: bool) -> pa.Array:
     short = pc.utf8_slice_codeunits(words.take(pa.array(np.flatnonzero(copied))), 0, -1)
     spelled = pa.concat_arrays([words, short])
     spelled = spelled.take(pa.array(np.where(dup, len(size) + np.cumsum(copied)[at] - 1, at)))
-    line_no, word_no, off, size = (np.arange(len(text)) - first_line[text])[line[at]], word_no[at], off[at], size[at]
+    line_no, word_no, off, size = line_of_text[line[at]], word_no[at], off[at], size[at]
     x, y = 40 + off % 220 * 10, 40 + (line_no * 3 + off // 220) * 17
     conf = np.where(dup, 50, 60 + (word_no * 7 + line_no * 3) % 40)
     fields = {

@@ -198,3 +198,12 @@ def test_rows_of_pages_equal_plain_loops(spark, book):
     assert [[(b["text"], b["y0"]) for b in page] for page in boxes] == [[("one", 40), ("two", 42), ("three", 91)], [], [("x", 40)]]
     heights = {(r.page_index, r.y0, r.y1) for r in lines.collect()}
     assert (2, 40, 60) in heights
+
+
+def test_words_are_placed_in_lines_that_are_hit(spark, book):
+    found = C.g11_search_hit_boxes(spark, book)
+    physical = plan(found)
+    assert "Window" not in physical and "word_no" not in "".join(x for x in physical.splitlines() if "hashpartitioning(book_id" in x and "line_no" in x)
+    flat = G.search_hit_boxes(C.CS.asked(spark, book), C.single(spark, book))
+    got = sorted(map(tuple, found.collect()))
+    assert got and len({r[3] for r in got}) > 1 and got == sorted(map(tuple, flat.select(*found.columns).collect()))
