@@ -75,7 +75,8 @@ def ocr_lines(words: DataFrame, page: list[str]) -> DataFrame:
     finite = F.lit(True)
     for c in ("left", "top", "width", "height"):
         finite = finite & F.col(c).isNotNull() & ~F.isnan(c)
-    text = T.single_spaced(T.normalize_text("text"))
+    # Words of visible ASCII characters only are in that form already.
+    text = F.when(F.col("text").rlike("^[!-~]+\\z"), F.col("text")).otherwise(T.single_spaced(T.normalize_text("text")))
     kept = words.where((F.col("level") == WORD_LEVEL) & finite & (F.col("width") > 0)
                        & (F.col("height") > 0)).withColumn("text", text).where("text <> ''")
     keys = [*page, "block_num", "par_num", "line_num"]
